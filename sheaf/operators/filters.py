@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sheaf import schema as S
@@ -17,7 +18,13 @@ from sheaf.schema import SearchFilters
 DATE_RANGES = {"1d": 1, "7d": 7, "30d": 30, "90d": 90, "1y": 365}
 
 
-def filter_condition(filters: SearchFilters | None) -> Column | None:
+def _moment(value: datetime, like: T.DataType | None) -> Column:
+    """A constant of the column's own time type; a cast on the column would keep the
+    comparison from the scan."""
+    return F.lit(value).cast(like if isinstance(like, T.TimestampNTZType) else "timestamp")
+
+
+def filter_condition(filters: SearchFilters | None, time_type: T.DataType | None = None) -> Column | None:
     """One condition on plain columns, so that it reaches the Parquet scan."""
     if filters is None:
         return None
@@ -33,14 +40,15 @@ def filter_condition(filters: SearchFilters | None) -> Column | None:
     if filters.max_amount is not None:
         parts.append(F.col("amount_numeric") <= filters.max_amount)
     if filters.start_date:
-        parts.append(F.col("created_at") >= F.lit(filters.start_date))
+        parts.append(F.col("created_at") >= _moment(filters.start_date, time_type))
     if filters.end_date:
-        parts.append(F.col("created_at") <= F.lit(filters.end_date))
+        parts.append(F.col("created_at") <= _moment(filters.end_date, time_type))
     return reduce(lambda a, b: a & b, parts) if parts else None
 
 
 def apply_filters(df: DataFrame, filters: SearchFilters | None) -> DataFrame:
-    condition = filter_condition(filters)
+    time_type = df.schema["created_at"].dataType if "created_at" in df.columns else None
+    condition = filter_condition(filters, time_type)
     return df if condition is None else df.filter(condition)
 
 
@@ -63,9 +71,8 @@ def refilter(
             raise ValueError("a date range needs as_of")
         # floor(age in days) <= n  is  created_at > as_of - (n + 1) days: a plain comparison
         # with a constant, which the scan can use.
-        limit = F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {days + 1} DAYS")
-        created = F.col("created_at").cast("timestamp")
-        df = df.filter(created.isNull() | (created > limit))
+        limit = _moment(as_of - timedelta(days=days + 1), df.schema["created_at"].dataType)
+        df = df.filter(F.col("created_at").isNull() | (F.col("created_at") > limit))
     return df
 
 

@@ -14,7 +14,10 @@ from sheaf.operators.filters import cut_scores
 from sheaf.operators.text_search import lexical_search, lexical_search_one
 from sheaf.operators.vector_search import vector_search, vector_search_one
 from sheaf.schema import SearchFilters
-from sheaf.session import union_all
+from sheaf.session import at_most, broadcast_if, union_all
+
+# Up to so many queries, their ranked ids are sent to the scan that adds the wide columns.
+FEW_QUERIES = 1000
 
 Scorer = Callable[[str, list[str]], list[float]]
 
@@ -133,7 +136,8 @@ def hybrid_search(
     asked = queries.filter(F.coalesce(F.trim("query") != "", F.lit(False)))
     lexical = lexical_search(asked, docs, filters, S.LEXICAL_LIMIT, index)
     vector = vector_search(asked, docs, embeddings, filters, S.VECTOR_LIMIT)
-    return _finish(asked.select("query_id", "query"), lexical, vector, docs, top_k, scorer, min_score, cap)
+    few = at_most(asked.select("query_id"), FEW_QUERIES)
+    return _finish(asked.select("query_id", "query"), lexical, vector, docs, top_k, scorer, min_score, cap, few)
 
 
 def hybrid_search_one(
@@ -156,7 +160,7 @@ def hybrid_search_one(
         docs = docs.filter(F.lit(False))
     lexical = lexical_search_one(query, docs, filters).withColumn("query_id", F.lit(0))
     near = vector_search_one(vector, docs, embeddings, filters).withColumn("query_id", F.lit(0))
-    return _finish(asked, lexical, near, docs, top_k, scorer, min_score, cap)
+    return _finish(asked, lexical, near, docs, top_k, scorer, min_score, cap, few=True)
 
 
 def _finish(
@@ -168,19 +172,22 @@ def _finish(
     scorer: Scorer | str | None,
     min_score: float,
     cap: int,
+    few: bool,
 ) -> DataFrame:
+    """``few`` says that the ranked ids, at most 80 per query, have a proven bound."""
     ranked = fuse_rrf(lexical, vector, S.RRF_K, S.VECTOR_WEIGHT)
     if scorer is None:
         # Nothing will reorder the rows: cut them before the wide columns are read.
-        return result_columns(_with_columns(cut_results(ranked, top_k, min_score, cap), docs))
+        return result_columns(_with_columns(cut_results(ranked, top_k, min_score, cap), docs, few))
     # Rows past the head keep their order, so those past head + top_k can no longer be returned.
     ranked = ranked.filter(F.col("rank") <= S.RERANK_HEAD + top_k)
-    wide = _with_columns(ranked, docs).join(asked, "query_id")
+    wide = _with_columns(ranked, docs, few).join(asked, "query_id")
     return result_columns(cut_results(rerank(wide, scorer), top_k, min_score, cap))
 
 
-def _with_columns(ranked: DataFrame, docs: DataFrame) -> DataFrame:
+def _with_columns(ranked: DataFrame, docs: DataFrame, few: bool) -> DataFrame:
+    ids = broadcast_if(ranked.withColumnRenamed("id", "_id"), few)
     wide = docs.select(
-        F.col("id").alias("_id"), "network", "type", "title", "description", "proposer", "amount_numeric", "status", "created_at"
+        "id", "network", "type", "title", "description", "proposer", "amount_numeric", "status", "created_at"
     )
-    return ranked.join(wide, F.col("id") == F.col("_id")).drop("_id")
+    return wide.join(ids, F.col("id") == F.col("_id")).drop("_id")

@@ -6,9 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def local_session(cores: int | str = "*", app: str = "sheaf", **conf: str) -> SparkSession:
+def local_session(cores: int | str = "*", app: str = "sheaf", conf: dict | None = None) -> SparkSession:
     """A local session for tests and benchmarks. On a cluster, use the session it gives."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -20,8 +21,8 @@ def local_session(cores: int | str = "*", app: str = "sheaf", **conf: str) -> Sp
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
-    for key, value in conf.items():
-        builder = builder.config(key.replace("__", "."), value)
+    for key, value in (conf or {}).items():
+        builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -85,3 +86,13 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def at_most(df: DataFrame, rows: int) -> bool:
+    """True if the frame has no more than ``rows`` rows. Reads no further than it must."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def broadcast_if(df: DataFrame, proven: bool) -> DataFrame:
+    """Broadcast a side whose size has been proven small; otherwise leave the join to Spark."""
+    return F.broadcast(df) if proven else df
