@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,11 +50,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """True if a path or glob matches anything on the file system it belongs to."""
-    jvm = spark._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(_matches(spark, path)[1])
+
+
+def holds_files(spark: SparkSession, path: str, suffixes: Sequence[str]) -> bool:
+    """True if a file, folder or glob holds a file with one of the suffixes, at any depth."""
+    fs, found = _matches(spark, path)
+    for status in found:
+        if status.isFile():
+            if status.getPath().getName().endswith(tuple(suffixes)):
+                return True
+            continue
+        files = fs.listFiles(status.getPath(), True)
+        while files.hasNext():
+            if files.next().getPath().getName().endswith(tuple(suffixes)):
+                return True
+    return False
+
+
+def _matches(spark: SparkSession, path: str):
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = fs.globStatus(hadoop_path)
-    return found is not None and len(found) > 0
+    return fs, list(fs.globStatus(hadoop_path) or [])
 
 
 def prepare(spark: SparkSession) -> SparkSession:

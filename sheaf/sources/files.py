@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheaf.session import path_exists, union_all
+from sheaf.session import holds_files, union_all
 
 CORRUPT = "_corrupt_record"
 ORIGIN = "_origin"
 
 
+def located(raw: DataFrame) -> DataFrame:
+    """Parsed documents with the file and block each came from, as :func:`records_of` wants."""
+    return raw.select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
+    )
+
+
 def _origin(position: Column) -> Column:
     """Where a row came from: file, block, row, place in its envelope. Sorts in load order."""
     return F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
+        F.col("_file").alias("file"),
+        F.col("_block").alias("block"),
         F.monotonically_increasing_id().alias("row"),
         position.cast("int").alias("item"),
     )
@@ -37,7 +44,7 @@ def load_json(spark: SparkSession, paths: Sequence[str], schema: T.StructType |
         if CORRUPT not in schema.names:
             schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
         reader = reader.schema(schema)
-    raw = reader.json(list(paths))
+    raw = located(reader.json(list(paths)))
     if CORRUPT not in raw.columns:
         raw = raw.withColumn(CORRUPT, F.lit(None).cast("string"))
     return records_of(raw)
@@ -54,24 +61,27 @@ def _record_lists(schema: T.StructType) -> list[str]:
 
 
 def records_of(raw: DataFrame) -> DataFrame:
-    """One row per record of parsed JSON documents, in one pass over them."""
+    """One row per record of parsed, :func:`located` JSON documents, in one pass over them."""
     lists = _record_lists(raw.schema)
-    others = [c for c in raw.columns if c not in ("items", "data", CORRUPT)]
+    place = ("_file", "_block")
+    others = [c for c in raw.columns if c not in ("items", "data", CORRUPT, *place)]
     if not lists:
-        keep = raw.select(*others, CORRUPT, _origin(F.lit(0)).alias(ORIGIN))
-        return keep
+        return raw.select(*others, CORRUPT, _origin(F.lit(0)).alias(ORIGIN))
     items = {name: raw.schema[name].dataType.elementType for name in lists}
     holds = [F.col(n).isNotNull() for n in lists]
     is_envelope = holds[0]
     for h in holds[1:]:
         is_envelope = is_envelope | h
     # Each list is wrapped in a struct of lists, so that one explode serves both.
-    wrapped = [F.transform(F.col(n), lambda x, n=n: F.struct(*[(x if m == n else F.lit(None).cast(items[m])).alias(m) for m in lists])) for n in lists]
-    single = F.array(F.struct(*[F.lit(None).cast(items[m]).alias(m) for m in lists]))
+    def slot(name: str | None) -> Callable[[Column], Column]:
+        return lambda x: F.struct(*[(x if m == name else F.lit(None).cast(items[m])).alias(m) for m in lists])
+
+    wrapped = [F.transform(F.col(n), slot(n)) for n in lists]
+    single = F.array(slot(None)(F.lit(None)))
     rows = raw.select(
         *others,
         CORRUPT,
-        F.col("_metadata"),
+        *place,
         is_envelope.alias("_is_envelope"),
         F.posexplode(F.coalesce(*wrapped, single)).alias("_item_position", "_item"),
     )
@@ -91,8 +101,8 @@ def records_of(raw: DataFrame) -> DataFrame:
 def load_csv(spark: SparkSession, paths: Sequence[str], schema: T.StructType | None = None) -> DataFrame:
     reader = spark.read.option("header", True).option("pathGlobFilter", "*.{csv,CSV}").option("ignoreMissingFiles", True)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    df = reader.csv(list(paths))
-    return df.select(*df.columns, _origin(F.lit(0)).alias(ORIGIN))
+    df = located(reader.csv(list(paths)))
+    return df.select(*[c for c in df.columns if c not in ("_file", "_block")], _origin(F.lit(0)).alias(ORIGIN))
 
 
 def load_records(
@@ -103,10 +113,10 @@ def load_records(
 ) -> DataFrame:
     """Records of files, folders or globs, by suffix. Missing paths and other suffixes are
     skipped; it is an error when nothing is left to load."""
-    found = [p for p in paths if path_exists(spark, p)]
     parts = []
     for suffix, load in (("json", load_json), ("csv", load_csv)):
-        chosen = [p for p in found if suffix in suffixes and _may_hold(spark, p, suffix)]
+        endings = (f".{suffix}", f".{suffix.upper()}")
+        chosen = [p for p in paths if suffix in suffixes and holds_files(spark, p, endings)]
         if chosen:
             parts.append(load(spark, chosen, schema))
     if not parts:
@@ -115,22 +125,10 @@ def load_records(
     return out if CORRUPT in out.columns else out.withColumn(CORRUPT, F.lit(None).cast("string"))
 
 
-def _may_hold(spark: SparkSession, path: str, suffix: str) -> bool:
-    """A file of the suffix, or a folder or glob with such a file in it."""
-    endings = (suffix, suffix.upper())
-    last = path.rstrip("/").rsplit("/", 1)[-1]
-    if last.endswith(tuple(f".{e}" for e in endings)):
-        return True
-    glob = f"*.{{{','.join(endings)}}}"
-    return path_exists(spark, f"{path.rstrip('/')}/{glob}") or (
-        any(ch in last for ch in "*?[{") and path_exists(spark, f"{path.rstrip('/')}/{glob}")
-    )
-
-
 def good_and_corrupt(loaded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Readable records, and ``(_origin, _corrupt_record)`` of the documents that were not."""
+    """Readable records, and the rows of documents that could not be read."""
     bad = F.col(CORRUPT).isNotNull()
-    return loaded.filter(~bad).drop(CORRUPT), loaded.filter(bad).select(ORIGIN, CORRUPT)
+    return loaded.filter(~bad).drop(CORRUPT), loaded.filter(bad)
 
 
 def _common(types: Sequence[T.DataType]) -> T.DataType:

@@ -12,7 +12,7 @@ from sheaf import schema as S
 from sheaf.operators.embedding import EmbedFn
 from sheaf.plans.ingest import load_into
 from sheaf.session import prepare
-from sheaf.sources.files import CORRUPT, records_of
+from sheaf.sources.files import CORRUPT, located, records_of
 
 
 def run_incremental(
@@ -52,7 +52,7 @@ def run_incremental(
     def merge(batch: DataFrame, batch_id: int) -> None:
         load_into(
             batch.sparkSession,
-            batch,
+            records_of(batch),
             records_path,
             embeddings_path,
             as_of,
@@ -64,7 +64,7 @@ def run_incremental(
         )
 
     query = (
-        records_of(stream)
+        located(stream)
         .writeStream.foreachBatch(merge)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -1 +1,167 @@
+"""Upserts, stored merges, constraint splits and whole loads."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sheaf.functions import text as X
+from sheaf.operators import merge as M
+from sheaf.operators.analytics import coverage
+from sheaf.operators.filters import split_valid
+from sheaf.plans.ingest import normalize, run_load
+from sheaf.session import scratch_dir
+from sheaf.sources import files as S
+from sheaf.streaming.incremental import run_incremental
+from workload import bindings as B
+from workload.registry import query
+from workload.tables import plain_times, raw_orders
+
+
+def _settled(spark, sf_dir):
+    return B.orders_records(spark, sf_dir).filter(F.col("status") != "P").drop("custkey")
+
+
+def _shipped(spark, sf_dir):
+    """What line items say about their orders: new amounts, a later time."""
+    lines = B.table(spark, sf_dir, "lineitem")
+    return lines.groupBy(F.col("l_orderkey").alias("id")).agg(
+        F.lit("shipped").alias("type"),
+        F.max("l_linestatus").alias("status"),
+        F.count(F.lit(1)).cast("double").alias("amount_numeric"),
+        F.max("l_shipdate").alias("created_at"),
+    )
+
+
+_UPSERTED = """
+  WITH t AS (SELECT * FROM orders WHERE o_orderstatus <> 'P'),
+  s AS (SELECT l_orderkey, max(l_linestatus) AS status, count(*)::DOUBLE AS amount, max(l_shipdate) AS created FROM lineitem GROUP BY 1)
+  SELECT coalesce(o_orderkey, l_orderkey) AS id, CASE WHEN l_orderkey IS NULL THEN o_orderpriority ELSE 'shipped' END AS type,
+    CASE WHEN l_orderkey IS NULL THEN o_orderstatus ELSE status END AS status,
+    CASE WHEN l_orderkey IS NULL THEN o_totalprice ELSE amount END AS amount_numeric, coalesce(o_orderdate, created) AS created_at
+  FROM t FULL JOIN s ON o_orderkey = l_orderkey"""
+
+
+@query("upsert", _UPSERTED)
+def upsert(spark, sf_dir):
+    return M.upsert(_settled(spark, sf_dir), _shipped(spark, sf_dir))
+
+
+@query("stored_merge", _UPSERTED)
+def stored_merge(spark, sf_dir):
+    """The same upsert into a table on disk, of which only touched buckets are rewritten."""
+    path = scratch_dir(spark, "merged")
+    M.merge_table(spark, path, _settled(spark, sf_dir), buckets=16)
+    M.merge_table(spark, path, _shipped(spark, sf_dir), buckets=16)
+    M.merge_table(spark, path, _shipped(spark, sf_dir), buckets=16)
+    return M.read_table(spark, path)
+
+
+@query(
+    "append_new",
+    "SELECT o_orderkey AS id, CASE WHEN o_orderpriority = '5-LOW' THEN 'pending' ELSE o_orderstatus END AS status FROM orders WHERE o_orderstatus = 'P'",
+)
+def append_new(spark, sf_dir):
+    target = _settled(spark, sf_dir)
+    fresh = B.orders_records(spark, sf_dir).filter(F.col("status") == "P")
+    fresh = fresh.withColumn("status", F.when(F.col("type") != "5-LOW", F.col("status")))
+    return M.append_new(fresh, target).select("id", "status")
+
+
+@query(
+    "fill_missing",
+    "SELECT page_id AS id, CASE WHEN t = '' THEN url ELSE t END AS doc_text FROM (SELECT *, regexp_extract(html, '<h2>([^<]*)</h2>', 1) AS t FROM pages)",
+)
+def fill_missing(spark, sf_dir):
+    pages = B.table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("id"), "url", F.regexp_extract("html", "<h2>([^<]*)</h2>", 1).alias("doc_text")
+    )
+    return M.fill_missing(pages, "doc_text", F.col("url")).select("id", "doc_text")
+
+
+@query(
+    "constraint_split",
+    """SELECT doc_id AS id, CASE WHEN lang NOT IN ('en', 'fr') THEN 'network not allowed' WHEN quality IS NULL THEN 'created_at is null' END AS reason
+    FROM documents LEFT JOIN labels USING (doc_id)""",
+)
+def constraint_split(spark, sf_dir):
+    labels = B.table(spark, sf_dir, "labels").select("doc_id", "quality")
+    docs = B.table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select(
+        F.col("doc_id").alias("id"),
+        F.col("lang").alias("network"),
+        F.col("source").alias("type"),
+        F.when(F.col("quality").isNotNull(), F.lit(B.AS_OF)).alias("created_at"),
+    )
+    ok, refused = split_valid(docs, ["en", "fr"])
+    return B.union_all(ok.withColumn("reason", F.lit(None).cast("string")), refused).select("id", "reason")
+
+
+@query(
+    "rejected_loads",
+    "SELECT 'network not allowed' AS reason, count(*) AS n FROM orders WHERE o_orderstatus = 'O'",
+)
+def rejected_loads(spark, sf_dir):
+    rows = normalize(raw_orders(spark, sf_dir), B.AS_OF)
+    return split_valid(rows, ["polkadot"])[1].groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+_LOADED = """
+  SELECT doc_id::VARCHAR AS id, lang AS network, source AS type, n_chars::DOUBLE AS amount_numeric, 'pending' AS status,
+    TIMESTAMP '2025-01-01' AS created_at, length(text)::INTEGER AS n FROM documents
+    WHERE trim(text) <> ''"""
+
+
+def _landed(spark, sf_dir):
+    path = scratch_dir(spark, "inbox")
+    docs = B.table(spark, sf_dir, "documents").select(
+        F.col("lang").alias("network"),
+        F.col("source").alias("type"),
+        F.col("doc_id").cast("string").alias("id"),
+        F.substring_index("text", "\n", 1).alias("title"),
+        F.col("text").alias("content"),
+        F.col("n_chars").cast("string").alias("amount"),
+        F.col("doc_id").alias("position"),
+    )
+    S.land(docs.withColumn("unit", F.col("network")), path, ["network", "unit"], "position", B.AS_OF, chunk=200)
+    return path
+
+
+def _shown(df):
+    rows = df.select("id", "network", "type", "amount_numeric", "status", "created_at", F.length("description").alias("n"))
+    return plain_times(rows)
+
+
+@query("whole_load", _LOADED.replace("length(text)", "length(trim(text, chr(9)||chr(10)||chr(13)||' '))"))
+def whole_load(spark, sf_dir):
+    """Landed files to the stored record and embedding tables."""
+    inbox, records, vectors = _landed(spark, sf_dir), scratch_dir(spark, "records"), scratch_dir(spark, "vectors")
+    langs = ["en", "fr", "de", "es"]
+    run_load(spark, [f"{inbox}/*"], records, vectors, B.AS_OF, networks=langs, buckets=8)
+    return _shown(M.read_table(spark, records))
+
+
+@query(
+    "incremental_load",
+    "SELECT count(*) AS total, count(*) AS embedded, 0::BIGINT AS missing FROM documents",
+)
+def incremental_load(spark, sf_dir):
+    """The same load as a file stream, run twice; the second run finds nothing new."""
+    inbox, records, vectors = _landed(spark, sf_dir), scratch_dir(spark, "records"), scratch_dir(spark, "vectors")
+    checkpoint = scratch_dir(spark, "stream")
+    langs = ["en", "fr", "de", "es"]
+    for _ in range(2):
+        run_incremental(spark, inbox, records, vectors, checkpoint, B.AS_OF, networks=langs, max_files=100, buckets=8)
+    found = coverage(M.read_table(spark, records), M.read_table(spark, vectors))
+    return found.select("total", "embedded", "missing")
+
+
+@query(
+    "refreshed_texts",
+    rf"""SELECT doc_id AS id, CASE WHEN lang = 'en' THEN 'kept' ELSE substring(trim(regexp_replace(regexp_replace(regexp_replace(trim(text, chr(9)||chr(10)||chr(13)||' '),
+      '[\x00-\x1f\x7f-\x{{9f}}]', ' ', 'g'), '[\s\x{{a0}}]+', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')), 1, 1000) END AS doc_text FROM documents""",
+)
+def refreshed_texts(spark, sf_dir):
+    docs = B.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.col("text").alias("description"), F.when(F.col("lang") == "en", "kept").otherwise("").alias("doc_text")
+    )
+    text = X.clean_doc_text(F.lit(None).cast("string"), F.col("description"))
+    return M.fill_missing(docs, "doc_text", text).select("id", "doc_text")
