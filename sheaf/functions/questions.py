@@ -74,48 +74,66 @@ COUNT_QUESTION = "count|how many|total|number of"
 def mentions(c: Column, phrases: Sequence[str], word_boundary: bool = False) -> Column:
     """Any phrase occurs in the text. By default inside words too, as in ``market`` for
     ``mar``; with ``word_boundary`` only as whole words."""
+    if len(phrases) == 1 and not word_boundary:
+        return F.contains(c, F.lit(phrases[0]))
     pattern = "|".join(re.escape(p) for p in dict.fromkeys(phrases))
     if word_boundary:
         pattern = rf"(?U)(?<!\w)(?:{pattern})(?!\w)"
     return c.rlike(pattern)
 
 
-def _first_mention(c: Column, table: Sequence[tuple[str, object]], word_boundary: bool) -> Column:
-    """Value of the first table row whose word occurs in the text."""
+def network_in(text: Column, word_boundary: bool = False) -> Column:
+    """Network of the first known word, in table order, that a lower-case text holds."""
     out = None
-    for word, value in table:
-        hit = mentions(c, [word], word_boundary) if word_boundary else F.contains(c, F.lit(word))
-        out = F.when(hit, F.lit(value)) if out is None else out.when(hit, F.lit(value))
+    for word, network in NETWORK_WORDS:
+        hit = mentions(text, [word], word_boundary)
+        out = F.when(hit, F.lit(network)) if out is None else out.when(hit, F.lit(network))
     return out
 
 
 def network_of(question: Column, word_boundary: bool = False) -> Column:
     """Network named in a question, null if none."""
-    return _first_mention(F.lower(question), NETWORK_WORDS, word_boundary)
+    return network_in(F.lower(question), word_boundary)
 
 
-def month_window(question: Column, word_boundary: bool = False) -> Column:
-    """``struct(from_ts, to_ts, valid)`` of the month a question names, null if it names none.
+def month_of(text: Column, word_boundary: bool = False) -> Column:
+    """Number of the first month, in calendar order, that a lower-case text names."""
+    names: dict[int, list[str]] = {}
+    for name, number in MONTHS:
+        names.setdefault(number, []).append(name)
+    found = []
+    for number, spellings in names.items():
+        # Without word boundaries the shortest spelling occurs wherever a longer one does.
+        tried = spellings if word_boundary else [min(spellings, key=len)]
+        found.append(F.when(mentions(text, tried, word_boundary), F.lit(number)))
+    return F.least(*found)
+
+
+def first_of_month(text: Column, word_boundary: bool = False) -> Column:
+    """``YYYY-MM-01`` of the month a lower-case text names, as text, null if it names none.
 
     A month name counts with the first four digits anywhere in the text; without a month name,
-    ``YYYY-MM`` is taken. ``valid`` is false for a month that does not exist.
+    ``YYYY-MM`` is taken. The month need not exist.
     """
-    text = F.lower(question)
-    month = _first_mention(text, MONTHS, word_boundary)
-    year = F.nullif(F.regexp_extract(text, r"(\d{4})", 1), F.lit(""))
-    dash_year = F.nullif(F.regexp_extract(text, r"(\d{4})-(\d{2})", 1), F.lit(""))
-    dash_month = F.nullif(F.regexp_extract(text, r"(\d{4})-(\d{2})", 2), F.lit(""))
-    named = month.isNotNull() & year.isNotNull()
-    chosen = F.when(named, F.format_string("%s-%02d-01", year, month)).when(
-        dash_year.isNotNull(), F.concat_ws("-", dash_year, dash_month, F.lit("01"))
-    )
-    start = F.when(F.substring(chosen, 1, 4) != "0000", chosen.try_cast("date"))
-    window = F.struct(
-        start.cast("timestamp").alias("from_ts"),
-        F.add_months(start, 1).cast("timestamp").alias("to_ts"),
-        start.isNotNull().alias("valid"),
+    year = F.regexp_substr(text, F.lit(r"\d{4}"))
+    month = F.lpad(month_of(text, word_boundary).cast("string"), 2, "0")
+    numbers = F.regexp_substr(text, F.lit(r"\d{4}-\d{2}"))
+    return F.coalesce(
+        F.concat(year, F.lit("-"), month, F.lit("-01")), F.concat(numbers, F.lit("-01"))
     )
-    return F.when(chosen.isNotNull(), window)
+
+
+def month_start(first: Column) -> Column:
+    """Date of :func:`first_of_month`, null for a month that does not exist."""
+    return F.when(~first.startswith("0000"), first.try_cast("date"))
+
+
+def month_window(question: Column, word_boundary: bool = False) -> Column:
+    """``struct(from_ts, to_ts)`` of the month a question names, null if it names none."""
+    first = first_of_month(F.lower(question), word_boundary)
+    start = month_start(first)
+    window = F.struct(start.cast("timestamp").alias("from_ts"), F.add_months(start, 1).cast("timestamp").alias("to_ts"))
+    return F.when(first.isNotNull(), window)
 
 
 def is_exact_lookup(question: Column) -> Column:

@@ -38,47 +38,46 @@ def plan_questions(questions: DataFrame, word_boundary: bool = False) -> DataFra
     ``op`` is ``count``, ``newest`` or ``sample``, or ``invalid`` for a month that does not
     exist. Null filters do not restrict.
     """
-    text = F.lower("query")
+    text = F.col("_text")
 
     def has(word: str) -> Column:
         return F.contains(text, F.lit(word))
 
-    counting = has("how many") & has("proposals")
-    recent = has("show") & has("recent")
-    treasury = (counting | (~recent & has("show"))) & has("treasury")
-    base = questions.withColumn("_window", Q.month_window(F.col("query"), word_boundary)).withColumn(
-        "network", Q.network_of(F.col("query"), word_boundary)
+    counting, recent = F.col("_counting"), F.col("_recent")
+    treasury = (counting | (~recent & has("show"))) & F.col("_treasury")
+    # Each step is a column of its own: an expression used several times is computed once.
+    base = (
+        questions.withColumn("_text", F.lower("query"))
+        .withColumn("_first", Q.first_of_month(text, word_boundary))
+        .withColumn("_start", Q.month_start(F.col("_first")))
+        .withColumn("_network", Q.network_in(text, word_boundary))
+        .withColumn("_counting", has("how many") & has("proposals"))
+        .withColumn("_recent", has("show") & has("recent"))
+        .withColumn("_treasury", has("treasury"))
     )
     op = F.when(counting, F.lit("count")).when(recent, F.lit("newest")).otherwise(F.lit("sample"))
-    bad = F.col("_window").isNotNull() & ~F.col("_window.valid")
+    bad = F.col("_first").isNotNull() & F.col("_start").isNull()
     label = (
-        F.when(counting & has("treasury"), F.lit("Count treasury proposals"))
+        F.when(counting & F.col("_treasury"), F.lit("Count treasury proposals"))
         .when(counting, F.lit("Count all proposals"))
         .when(recent, F.lit("Get recent proposals"))
         .when(treasury, F.lit("Get treasury proposals"))
         .otherwise(F.lit("Get sample proposals"))
     )
 
-    def day(c: str) -> Column:
-        return F.date_format(F.col(c), "yyyy-MM-dd")
-
-    period = F.format_string(
-        "in created_at >= '%s' AND created_at < '%s'", day("_window.from_ts"), day("_window.to_ts")
+    end = F.add_months("_start", 1)
+    period = F.concat(
+        F.lit("in created_at >= '"), F.col("_start").cast("string"), F.lit("' AND created_at < '"), end.cast("string"), F.lit("'")
     )
     return base.select(
         *questions.columns,
         F.when(bad, F.lit("invalid")).otherwise(op).alias("op"),
         F.when(treasury, F.lit(TREASURY)).alias("type"),
-        "network",
-        F.col("_window.from_ts").alias("from_ts"),
-        F.col("_window.to_ts").alias("to_ts"),
+        F.col("_network").alias("network"),
+        F.col("_start").cast("timestamp").alias("from_ts"),
+        end.cast("timestamp").alias("to_ts"),
         F.when(~counting, F.lit(S.EXAMPLES)).alias("limit"),
-        F.concat_ws(
-            " ",
-            label,
-            F.concat(F.lit("for "), F.col("network")),
-            F.when(F.col("_window.valid"), period),
-        ).alias("plan_text"),
+        F.concat_ws(" ", label, F.concat(F.lit("for "), F.col("_network")), period).alias("plan_text"),
     )
 
 
@@ -116,7 +115,7 @@ def answer_questions(
     keyed = keyed.withColumn("_newest", F.col("op").isin("count", "newest"))
     # Few distinct plans stand behind many questions. Only the orders they ask for are ranked,
     # and their examples are sent to the record scan if there are provably few.
-    used = keyed.filter(F.col("op") != "invalid").select("_example_key", "_newest").distinct()
+    used = keyed.select("_example_key", "_newest").distinct()
     needs = used.agg(F.count(F.lit(1)), F.max("_newest"), F.min("_newest")).first()
     lists = []
     if needs[1] is not False:
