@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sheaf.functions.normalize import strip
+from sheaf.functions.text import shorten
 
 # Hosts and path segments of the outside pages of a record.
 SITES = ["polkassembly", "subsquare", "subscan"]
@@ -18,25 +19,28 @@ TYPE_PATHS = [
 ]
 DEFAULT_PATH = "/referenda"
 
-# Repairs of a description, applied in this order.
-DESCRIPTION_REPAIRS = [
-    (r"x20", " "),
-    (r"&#x20;", " "),
-    (r"&amp;", "&"),
-    (r"&lt;", "<"),
-    (r"&gt;", ">"),
-    (r"httpsdocs\.google\.com", "https://docs.google.com"),
-    (r"httpsforms\.gle", "https://forms.gle"),
-    (r"httpst\.co", "https://t.co"),
-    (r"httpsdrive\.google\.com", "https://drive.google.com"),
+# Repairs of a description, applied in this order: plain texts, then patterns,
+# then (once the whole is wrapped in a paragraph) the last patterns.
+TEXT_REPAIRS = [
+    ("x20", " "),
+    ("&#x20;", " "),
+    ("&amp;", "&"),
+    ("&lt;", "<"),
+    ("&gt;", ">"),
+    ("httpsdocs.google.com", "https://docs.google.com"),
+    ("httpsforms.gle", "https://forms.gle"),
+    ("httpst.co", "https://t.co"),
+    ("httpsdrive.google.com", "https://drive.google.com"),
+]
+MARKUP_REPAIRS = [
     (r"\*\*(.*?)\*\*", "<strong>$1</strong>"),
     (r"\*(.*?)\*", "<em>$1</em>"),
     (r"\* (.*?)(?=\n|\z)", "<li>$1</li>"),
     (r"\d+\. (.*?)(?=\n|\z)", "<li>$1</li>"),
     (r"\n\n+", "</p><p>"),
     (r"\n", "<br>"),
-    (r"\A", "<p>"),
-    (r"\z", "</p>"),
+]
+SPACING_REPAIRS = [
     (r"(?U)\s+", " "),
     (r"\s*<br>\s*", "<br>"),
     (r"\s*</p>\s*<p>\s*", "</p><p>"),
@@ -73,9 +77,7 @@ def display_text(c: Column) -> Column:
 
 
 def display_first_sentence(c: Column, n: int = 100) -> Column:
-    sentence = F.substring_index(display_text(c), ".", 1)
-    cut = F.concat(F.substring(sentence, 1, n), F.lit("..."))
-    return F.when(_missing(c), F.lit("-")).when(F.char_length(sentence) > n, cut).otherwise(sentence)
+    return shorten(F.substring_index(display_text(c), ".", 1), n)
 
 
 def display_amount(amount: Column, currency: Column) -> Column:
@@ -105,7 +107,11 @@ def first_line_without_tags(c: Column) -> Column:
 
 
 def repair_description(c: Column) -> Column:
-    return F.when(_missing(c), F.lit("")).otherwise(_replace_all(c, DESCRIPTION_REPAIRS))
+    text = c
+    for broken, whole in TEXT_REPAIRS:
+        text = F.replace(text, F.lit(broken), F.lit(whole))
+    text = F.concat(F.lit("<p>"), _replace_all(text, MARKUP_REPAIRS), F.lit("</p>"))
+    return F.when(_missing(c), F.lit("")).otherwise(_replace_all(text, SPACING_REPAIRS))
 
 
 def external_links(network: Column, type: Column, id: Column, simple: bool = False) -> Column:

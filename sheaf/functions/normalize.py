@@ -33,17 +33,20 @@ _AMOUNT_SHAPE = (
     r"|^[+-]?(?i:inf|infinity|nan)$"
 )
 _TIME_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{1,2}:\d{1,2}(\.\d{1,6})?Z?)?$"
+# Other time formats, each with the shape a text must have to be tried with it.
+_ZONE = r"(Z|[+-]\d{2}:\d{2})"
+_CLOCK = r"( \d{1,2}:\d{1,2}:\d{1,2})?"
 _LENIENT_FORMATS = [
-    "yyyy-M-d'T'H:mXXX",
-    "yyyy-M-d'T'H:m:s[.SSSSSS]XXX",
-    "yyyy-M-d H:m:s[.SSSSSS]XXX",
-    "yyyy-M-d[' ']['T']H:m",
-    "yyyy/M/d[ H:m:s]",
-    "M/d/yyyy[ H:m:s]",
-    "MMM d, yyyy[ H:m:s]",
-    "MMMM d, yyyy[ H:m:s]",
-    "d MMM yyyy[ H:m:s]",
-    "d MMMM yyyy[ H:m:s]",
+    ("yyyy-M-d'T'H:m:s[.SSSSSS]XXX", rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}T\d{{1,2}}:\d{{1,2}}:\d{{1,2}}(\.\d{{1,6}})?{_ZONE}$"),
+    ("yyyy-M-d H:m:s[.SSSSSS]XXX", rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}} \d{{1,2}}:\d{{1,2}}:\d{{1,2}}(\.\d{{1,6}})?{_ZONE}$"),
+    ("yyyy-M-d'T'H:mXXX", rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}T\d{{1,2}}:\d{{1,2}}{_ZONE}$"),
+    ("yyyy-M-d[' ']['T']H:m", r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}$"),
+    ("yyyy/M/d[ H:m:s]", rf"^\d{{4}}/\d{{1,2}}/\d{{1,2}}{_CLOCK}$"),
+    ("M/d/yyyy[ H:m:s]", rf"^\d{{1,2}}/\d{{1,2}}/\d{{4}}{_CLOCK}$"),
+    ("MMM d, yyyy[ H:m:s]", rf"^[A-Z][a-z]{{2}} \d{{1,2}}, \d{{4}}{_CLOCK}$"),
+    ("MMMM d, yyyy[ H:m:s]", rf"^[A-Z][a-z]{{3,}} \d{{1,2}}, \d{{4}}{_CLOCK}$"),
+    ("d MMM yyyy[ H:m:s]", rf"^\d{{1,2}} [A-Z][a-z]{{2}} \d{{4}}{_CLOCK}$"),
+    ("d MMMM yyyy[ H:m:s]", rf"^\d{{1,2}} [A-Z][a-z]{{3,}} \d{{4}}{_CLOCK}$"),
 ]
 
 
@@ -103,7 +106,8 @@ def normalize_created_at(c: Column, as_of: datetime) -> Column:
     """Text to timestamp (UTC). What no format fits becomes ``as_of``."""
     text = strip(c)
     usual = F.when(text.rlike(_TIME_SHAPE), text.try_cast("timestamp"))
-    lenient = [F.try_to_timestamp(text, F.lit(f)) for f in _LENIENT_FORMATS]
+    # A parse that fails is far dearer than a look at the shape.
+    lenient = [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(f))) for f, shape in _LENIENT_FORMATS]
     return F.coalesce(usual, *lenient, F.lit(as_of).cast("timestamp"))
 
 

@@ -110,8 +110,9 @@ def clean_doc_text(title: Column, description: Column) -> Column:
 
 
 def shorten(c: Column, n: int) -> Column:
-    """At most ``n`` characters, with dots where something was cut."""
-    return F.when(F.char_length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
+    """At most ``n`` characters, with dots where something was cut. The text is named once, so
+    a costly text is not computed again for its length."""
+    return F.regexp_replace(c, rf"(?s)^(.{{{n}}}).+$", "$1...")
 
 
 def embedding_text(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -218,16 +219,22 @@ def plane(table: int, bit: int, axis: int) -> int:
     return (x * x // 97) % 1009 - 504
 
 
-def signatures(c: Column, dim: int, tables: int, bits: int) -> Column:
-    """One bucket number per table: on which side of each hyperplane a vector lies."""
-    numbers = []
-    for t in range(tables):
-        number = F.lit(0)
-        for b in range(bits):
-            normal = F.lit([float(plane(t, b, a)) for a in range(dim)])
-            number = number + F.when(V.dot(c, normal) > 0, F.lit(1 << b)).otherwise(F.lit(0))
-        numbers.append(number)
-    return F.array(*numbers)
+def signatures(df: DataFrame, vector: str, dim: int, tables: int, bits: int) -> DataFrame:
+    """Adds ``_sig``, one bucket number per table: the side of each hyperplane a vector is on."""
+    planes = np.array(
+        [[plane(t, b, a) for a in range(dim)] for t in range(tables) for b in range(bits)], dtype=np.float64
+    )
+    weights = 1 << np.arange(bits)
+
+    @F.pandas_udf("array<int>")
+    def sides(column: pd.Series) -> pd.Series:
+        if column.empty:
+            return pd.Series([], dtype=object)
+        above = np.stack(column.to_list()).astype(np.float64) @ planes.T > 0
+        numbers = above.reshape(len(column), tables, bits) @ weights
+        return pd.Series(list(numbers.astype(np.int32)), index=column.index)
+
+    return df.withColumn("_sig", sides(F.col(vector)))
 
 
 def approx_search(
@@ -251,15 +258,15 @@ def approx_search(
     known = apply_filters(docs, filters).select(F.col("id").alias("_known"))
     records = _searchable(embeddings, dim).join(known, F.col("proposal_id") == F.col("_known"), "left_semi")
 
-    def spread(df: DataFrame, key: str, vector: str, salt: Column) -> DataFrame:
-        sides = df.withColumn("_sig", signatures(F.col(vector), dim, tables, bits))
-        return sides.select("*", salt.alias("_salt")).select("*", F.posexplode("_sig").alias("_table", "_bucket"))
+    def spread(df: DataFrame, vector: str, salt: Column) -> DataFrame:
+        signed = signatures(df, vector, dim, tables, bits)
+        return signed.select("*", salt.alias("_salt")).select("*", F.posexplode("_sig").alias("_table", "_bucket"))
 
     own_part = F.pmod(F.xxhash64("proposal_id"), F.lit(salts)).cast("int")
-    left = spread(records, "proposal_id", "embedding", own_part)
+    left = spread(records, "embedding", own_part)
     usable = queries.filter(V.is_usable(F.col("vector")) & (F.size("vector") == dim))
     every_part = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    right = spread(usable.select("query_id", "vector"), "query_id", "vector", every_part)
+    right = spread(usable.select("query_id", "vector"), "vector", every_part)
     right = right.withColumnRenamed("_sig", "_query_sig")
     pairs = left.join(right, ["_table", "_bucket", "_salt"])
     agrees = F.zip_with("_sig", "_query_sig", lambda a, b: a == b)

@@ -92,12 +92,14 @@ def answer_questions(
     n: int = S.EXAMPLES,
     examples_ignore_type: bool = False,
 ) -> DataFrame:
-    """Adds ``count`` and ``examples`` (array of structs) to the plans of :func:`plan_questions`.
+    """Adds ``count``, ``examples`` (array of structs) and ``answer`` (text) to the plans of
+    :func:`plan_questions`.
 
     A plan restricts network, type and calendar month, each or not at all. So the records are
     read once and summed up per (network, type, month); the eight ways of leaving a restriction
     out are formed from those sums, and plans are joined to them by equality. The cost of the
-    records does not grow with the number of questions, and no question meets a record.
+    records does not grow with the number of questions, and no question meets a record. Equal
+    plans are answered once.
 
     The examples of a count are its newest records, in short form (id, title, type, time).
     ``examples_ignore_type`` drops the type restriction there.
@@ -107,36 +109,37 @@ def answer_questions(
     rows = proposals.select("network", "type", month.alias("month"), "id", "created_at")
     counts = _rolled_up(rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))).groupBy("_key").agg(F.sum("n").alias("n"))
 
-    is_count = F.col("op") == "count"
+    keyed = plans.withColumn("_key", _plan_key(F.col("type")))
     any_type = _plan_key(F.lit(None).cast("string"))
-    keyed = plans.withColumn("_key", _plan_key(F.col("type"))).withColumn(
-        "_example_key", F.when(is_count & F.lit(examples_ignore_type), any_type).otherwise(F.col("_key"))
-    )
-    keyed = keyed.withColumn("_newest", F.col("op").isin("count", "newest"))
+    of_examples = F.when((F.col("op") == "count") & F.lit(examples_ignore_type), any_type).otherwise(F.col("_key"))
+    keyed = keyed.withColumn("_example_key", of_examples)
     # Few distinct plans stand behind many questions. Only the orders they ask for are ranked,
     # and their examples are sent to the record scan if there are provably few.
-    used = keyed.select("_example_key", "_newest").distinct()
-    needs = used.agg(F.count(F.lit(1)), F.max("_newest"), F.min("_newest")).first()
+    distinct = keyed.select("op", "_key", "_example_key").distinct()
+    distinct = distinct.withColumn("_newest", F.col("op").isin("count", "newest"))
+    needs = distinct.agg(F.count(F.lit(1)), F.max("_newest"), F.min("_newest")).first()
+    few = needs[0] <= FEW_PLANS
     lists = []
     if needs[1] is not False:
         lists.append(_best(rows, newest_first(), n).withColumn("_newest", F.lit(True)))
     if needs[2] is not True:
         lists.append(_best(rows, [F.col("id").asc()], n).withColumn("_newest", F.lit(False)))
     ranked = union_all(*lists).withColumnRenamed("_key", "_example_key").withColumnRenamed("id", "_id")
-    chosen = broadcast_if(used.join(ranked, ["_example_key", "_newest"]), needs[0] <= FEW_PLANS)
+    used = distinct.select("_example_key", "_newest").distinct()
+    chosen = broadcast_if(used.join(ranked, ["_example_key", "_newest"]), few)
     wide = proposals.select(*_EXAMPLE).join(chosen, F.col("id") == F.col("_id"))
     example = F.struct("position", *_EXAMPLE)
     collected = wide.groupBy("_example_key", "_newest").agg(F.sort_array(F.collect_list(example)).alias("examples"))
 
-    out = keyed.join(counts, "_key", "left").join(collected, ["_example_key", "_newest"], "left")
+    found = distinct.join(counts, "_key", "left").join(collected, ["_example_key", "_newest"], "left")
     valid = F.col("op") != "invalid"
-    found = F.when(valid, F.coalesce("n", F.lit(0))).otherwise(F.lit(0))
+    number = F.when(valid, F.coalesce("n", F.lit(0))).otherwise(F.lit(0))
     shown = F.coalesce(F.when(valid, F.col("examples")), F.array().cast(collected.schema["examples"].dataType))
-    return out.select(
-        *plans.columns,
-        F.when(F.col("op") == "count", found).otherwise(F.size(shown).cast("long")).alias("count"),
-        shown.alias("examples"),
-    )
+    answered = found.select("op", "_key", shown.alias("examples"), number.alias("_number"))
+    count = F.when(F.col("op") == "count", F.col("_number")).otherwise(F.size("examples").cast("long"))
+    answered = compose(answered.withColumn("count", count)).withColumnRenamed("op", "_op").withColumnRenamed("_key", "_spec")
+    same = (F.col("op") == F.col("_op")) & (F.col("_key") == F.col("_spec"))
+    return keyed.join(broadcast_if(answered, few), same).select(*plans.columns, "count", "examples", "answer")
 
 
 def _key(network: Column, type: Column, month: Column) -> Column:
@@ -212,7 +215,7 @@ def _section(number: Column, row: Column, amount: Column, brief: Column) -> Colu
 
 
 def compose(answers: DataFrame) -> DataFrame:
-    """Adds ``answer`` to rows of :func:`answer_questions`."""
+    """Adds ``answer``, the text shown for ``op``, ``count`` and ``examples``."""
     brief = F.col("op") == "count"
     sections = F.transform(
         F.slice("examples", 1, S.EXAMPLES), lambda x: _section(x["position"], x, x["amount_numeric"], brief)
@@ -265,7 +268,7 @@ def stage_events(
 ) -> DataFrame:
     """``(query_id, seq, stage, payload)``: what happened to each question, in order.
 
-    ``routed`` has ``query_id, query, route``; ``answers`` comes from :func:`compose`, ``hits``
+    ``routed`` has ``query_id, query, route``; ``answers`` comes from :func:`answer_questions`, ``hits``
     from :func:`compose_hits`. Payloads are JSON texts.
     """
 

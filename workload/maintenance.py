@@ -9,6 +9,7 @@ from sheaf.operators import merge as M
 from sheaf.operators.analytics import coverage
 from sheaf.operators.filters import split_valid
 from sheaf.plans.ingest import normalize, run_load
+from sheaf.schema import ENVELOPE_SCHEMA
 from sheaf.session import scratch_dir
 from sheaf.sources import files as S
 from sheaf.streaming.incremental import run_incremental
@@ -135,7 +136,7 @@ def whole_load(spark, sf_dir):
     """Landed files to the stored record and embedding tables."""
     inbox, records, vectors = _landed(spark, sf_dir), scratch_dir(spark, "records"), scratch_dir(spark, "vectors")
     langs = ["en", "fr", "de", "es"]
-    run_load(spark, [f"{inbox}/*"], records, vectors, B.AS_OF, networks=langs, buckets=8)
+    run_load(spark, [f"{inbox}/*"], records, vectors, B.AS_OF, ENVELOPE_SCHEMA, networks=langs, buckets=8)
     return _shown(M.read_table(spark, records))
 
 

@@ -180,7 +180,7 @@ _TEXTS = f"""{_ANSWERS},
 
 
 def _answered(spark, sf_dir):
-    return P.compose(P.answer_questions(P.plan_questions(B.chain_questions(spark, sf_dir)), B.chain_records(spark, sf_dir)))
+    return P.answer_questions(P.plan_questions(B.chain_questions(spark, sf_dir)), B.chain_records(spark, sf_dir))
 
 
 @query("answer_texts", f"WITH {_TEXTS} SELECT query_id, answer FROM answers")
