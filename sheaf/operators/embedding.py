@@ -71,7 +71,8 @@ def embed(
                         result[i] = (values / length if normalise else values).astype(np.float32)
             yield pd.Series(result, index=texts.index, dtype=object)
 
-    return df.withColumn(output, run(F.col(text_col)))
+    # Marked nondeterministic, so that a later filter on the vector does not call the model again.
+    return df.withColumn(output, run.asNondeterministic()(F.col(text_col)))
 
 
 def texts_to_embed(records: DataFrame, style: str = "structured") -> DataFrame:

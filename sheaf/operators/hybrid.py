@@ -58,7 +58,8 @@ def _scored_by(scorer: Scorer) -> Callable[[Column, Column], Column]:
                 continue
         return out
 
-    return run
+    # Nondeterministic: the optimizer must not call a scorer twice for one row.
+    return run.asNondeterministic()
 
 
 def rerank(

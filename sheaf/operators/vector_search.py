@@ -234,7 +234,7 @@ def signatures(df: DataFrame, vector: str, dim: int, tables: int, bits: int) ->
         numbers = above.reshape(len(column), tables, bits) @ weights
         return pd.Series(list(numbers.astype(np.int32)), index=column.index)
 
-    return df.withColumn("_sig", sides(F.col(vector)))
+    return df.withColumn("_sig", sides.asNondeterministic()(F.col(vector)))
 
 
 def approx_search(

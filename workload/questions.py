@@ -150,16 +150,12 @@ def answers(spark, sf_dir):
     return found.select("query_id", "count", F.explode_outer("examples").alias("e")).select("query_id", "count", "e.position", "e.id")
 
 
-@query(
-    "answers_ignoring_type",
-    f"""WITH {_PLANS}, r AS ({B.CHAIN_SQL}), p AS (SELECT DISTINCT network, from_ts, to_ts FROM plans WHERE op = 'count'),
-    hit AS (SELECT p.network AS net, p.from_ts, r.id, row_number() OVER (PARTITION BY p.network, p.from_ts ORDER BY r.created_at DESC, r.id)::INTEGER AS position
-      FROM p JOIN r ON (p.network IS NULL OR r.network = p.network) AND (p.from_ts IS NULL OR (r.created_at >= p.from_ts AND r.created_at < p.to_ts)))
-    SELECT query_id, position, id FROM plans JOIN hit ON plans.network IS NOT DISTINCT FROM hit.net AND plans.from_ts IS NOT DISTINCT FROM hit.from_ts
-    WHERE op = 'count' AND position <= 5""",
-)
+_ANY_TYPE = _ANSWERS.replace("(p.type IS NULL OR r.type = p.type)", "(p.type IS NULL OR p.op = 'count' OR r.type = p.type)")
+
+
+@query("answers_ignoring_type", f"WITH {_ANY_TYPE} SELECT query_id, position::INTEGER AS position, id FROM joined WHERE position IS NOT NULL")
 def answers_ignoring_type(spark, sf_dir):
-    plans = P.plan_questions(B.chain_questions(spark, sf_dir)).filter(F.col("op") == "count")
+    plans = P.plan_questions(B.chain_questions(spark, sf_dir))
     found = P.answer_questions(plans, B.chain_records(spark, sf_dir), examples_ignore_type=True)
     return found.select("query_id", F.explode("examples").alias("e")).select("query_id", "e.position", "e.id")
 
