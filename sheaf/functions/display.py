@@ -83,7 +83,7 @@ def display_first_sentence(c: Column, n: int = 100) -> Column:
 def display_amount(amount: Column, currency: Column) -> Column:
     # Half-even rounding of the built-in formatter would turn 0.125 into 0.12.
     text = F.format_number(F.round(amount.cast("decimal(38,10)"), 2), 2)
-    shown = F.when(_missing(currency), text).otherwise(F.concat_ws(" ", text, currency))
+    shown = F.when(_missing(currency), text).otherwise(F.concat(text, F.lit(" "), currency))
     return F.coalesce(shown, F.lit("-"))
 
 
