@@ -11,11 +11,11 @@ from sheaf.plans import questions as P
 
 ROUTES = [
     ("highest amount in Aug 2025", "sql_agent"),
-    ("clarys proposal", "retrieval_agent"),
+    ("subsquare proposal", "retrieval_agent"),
     ("hello world", "composer"),
     ("Find Kusama proposals", "sql_agent"),
     ("What treasury proposals exist?", "sql_agent"),
-    ("Tell me about clarys proposal", "retrieval_agent"),
+    ("Tell me about subsquare proposal", "retrieval_agent"),
     ("proposal 123456", "sql_agent"),
     ("give me the details", "sql_agent"),
     ("on 1/2/2023", "sql_agent"),
@@ -148,7 +148,7 @@ def test_answer_text_reads_back_as_rows(spark):
 
 
 def test_events_and_responses(spark):
-    asked = frame(spark, ["How many proposals are there?", "clarys proposal", "hello world"])
+    asked = frame(spark, ["How many proposals are there?", "subsquare proposal", "hello world"])
     routed = P.route(asked)
     answers = P.answer_questions(P.plan_questions(asked), records(spark))
     hits = spark.createDataFrame(
