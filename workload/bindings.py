@@ -76,7 +76,7 @@ CHAIN_SQL = """
 
 def chain_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One question per order, worded after its priority and date."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     p, d = F.col("o_orderpriority"), F.col("o_orderdate")
     text = (
         F.when(p == "1-URGENT", F.concat(F.lit("How many treasury proposals on Polkadot in "), F.date_format(d, "MMMM yyyy"), F.lit("?")))
