@@ -16,7 +16,7 @@ from sheaf.operators.embedding import EmbedFn, embed, texts_to_embed
 from sheaf.operators.filters import split_valid
 from sheaf.operators.joins import existing
 from sheaf.operators.merge import fill_missing, first_per_key, merge_table, read_table
-from sheaf.session import prepare
+from sheaf.session import prepare, scratch_dir
 from sheaf.sources.files import CORRUPT, ORIGIN, good_and_corrupt, load_records
 
 # Fields that become table columns; all others go into metadata.
@@ -140,12 +140,15 @@ def load_into(
 ) -> None:
     """Merge loaded records into the tables: records first, then vectors of what was loaded.
 
-    Each step reads what the step before has written, so a lost executor only costs the tasks
-    it held, and running the load again leaves the same tables.
+    A merge reads its batch several times. So the normalised records, and then the fresh
+    vectors, are written once below the shared scratch folder: raw files are parsed once and the
+    model sees each text once. Each step reads what the step before has written, so a lost
+    executor only costs the tasks it held, and running the load again leaves the same tables.
     """
     prepare(spark)
     good, _ = good_and_corrupt(loaded) if CORRUPT in loaded.columns else (loaded, None)
-    records, refused = valid_and_rejected(good, as_of, networks)
+    unique = first_per_key(normalize(good, as_of)).drop(ORIGIN)
+    records, refused = split_valid(_staged(spark, unique, "records"), networks)
     if rejects_path is not None:
         refused.write.mode("overwrite").parquet(rejects_path)
     merge_table(spark, records_path, records, "id", ("created_at",), buckets)
@@ -154,7 +157,14 @@ def load_into(
     stored = existing(records, read_table(spark, records_path).select("id"))
     fresh = embed(texts_to_embed(stored), "text", embed_fn, dim)
     fresh = fresh.filter(F.col("embedding").isNotNull()).select("proposal_id", "embedding")
-    merge_table(spark, embeddings_path, fresh, "proposal_id", (), buckets)
+    merge_table(spark, embeddings_path, _staged(spark, fresh, "vectors"), "proposal_id", (), buckets)
+
+
+def _staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """The rows of a frame, written once and read back."""
+    path = scratch_dir(spark, f"staged-{name}")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def run_load(

@@ -139,7 +139,8 @@ def answer_questions(
     count = F.when(F.col("op") == "count", F.col("_number")).otherwise(F.size("examples").cast("long"))
     answered = compose(answered.withColumn("count", count)).withColumnRenamed("op", "_op").withColumnRenamed("_key", "_spec")
     same = (F.col("op") == F.col("_op")) & (F.col("_key") == F.col("_spec"))
-    return keyed.join(broadcast_if(answered, few), same).select(*plans.columns, "count", "examples", "answer")
+    # No broadcast here: answers are few, but the texts in them have no size limit.
+    return keyed.join(answered, same).select(*plans.columns, "count", "examples", "answer")
 
 
 def _key(network: Column, type: Column, month: Column) -> Column:

@@ -121,7 +121,14 @@ def test_incremental_runs_merge_each_file_once(spark, tmp_path):
 def test_load_twice_changes_nothing(spark, tmp_path):
     write(tmp_path / "a.json", {"items": [{"id": str(i), "network": "dot", "title": f"t {i}"} for i in range(20)]})
     records, vectors = str(tmp_path / "r"), str(tmp_path / "v")
-    for _ in range(2):
-        run_load(spark, [str(tmp_path / "a.json")], records, vectors, AS_OF, S.ENVELOPE_SCHEMA, buckets=4)
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(texts):
+        calls.add(len(texts))
+        return [[float(len(t)), 1.0] for t in texts]
+
+    for n in (1, 2):
+        run_load(spark, [str(tmp_path / "a.json")], records, vectors, AS_OF, S.ENVELOPE_SCHEMA, embed_fn=model, buckets=4)
+        assert calls.value == 20 * n
     assert read_table(spark, records).count() == 20
     assert read_table(spark, vectors).count() == 20
