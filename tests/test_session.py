@@ -43,3 +43,20 @@ def test_spread_leaves_large_inputs(spark):
 def test_union_all_fills_missing_columns(spark):
     a, b = spark.createDataFrame([(1,)], "x int"), spark.createDataFrame([(2, "y")], "x int, z string")
     assert sorted(union_all(a, b, allow_missing=True).collect(), key=lambda r: r.x) == [(1, None), (2, "y")]
+
+
+def test_task_functions_travel_with_their_code():
+    """A process without this package on its path can load and run what is sent to tasks."""
+    import base64
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from sheaf.operators.embedding import hashed_words
+
+    sent = base64.b64encode(cloudpickle.dumps(hashed_words(4))).decode()
+    code = f"import base64, pyspark.cloudpickle as c; print(c.loads(base64.b64decode('{sent}'))(['a b'])[0])"
+    out = subprocess.run([sys.executable, "-I", "-c", code], capture_output=True, text=True, cwd="/", timeout=60)
+    assert out.returncode == 0, out.stderr
+    assert sum(map(float, out.stdout.strip("[]\n ").split(","))) == 2.0
