@@ -79,7 +79,7 @@ def prepare(spark: SparkSession) -> SparkSession:
 
     Times are read and shown in UTC. Spark 4.1 takes over the partitioning of a union's inputs
     and then leaves out shuffles above it; on 4.1.2 this loses rows of later joins and
-    aggregations (``tests/test_session.py`` shows it), so it is switched off.
+    aggregations, so it is switched off.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
