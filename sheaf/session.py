@@ -32,11 +32,13 @@ def local_session(cores: int | str = "*", app: str = "sheaf", conf: dict | None
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder name under the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where it is unset, as in tests,
-    a folder of this machine is used.
+    ``spark.checkpoint.dir`` is read from the session. Only a local session without it, as in
+    tests, uses a folder of this machine; on a cluster that would scatter the rows over machines.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="sheaf-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
