@@ -69,3 +69,28 @@ def op10(spark, sf_dir) -> DataFrame:
     judged = url_verdicts(table(spark, sf_dir, "pages"))
     site = F.when(F.col("rank") == SITE_RANK, F.col("rule"))
     return judged.select("page_id", "host", "path", site.alias("rule"), "verdict", F.col("rule").alias("matched_rule"))
+
+
+@query("op4_prefix_filtered_windows")
+def op4(spark, sf_dir) -> DataFrame:
+    from sheaf.llm.decontaminate import contamination
+
+    judged = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return judged.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
+@query("op8_piece_lattice_language")
+def op8(spark, sf_dir) -> DataFrame:
+    from sheaf.llm.language import identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, learn(docs))
+
+
+@query("op1_byte_convolutions")
+def op1(spark, sf_dir) -> DataFrame:
+    from sheaf.llm.quality_model import learn, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, learn(docs, table(spark, sf_dir, "labels")))
