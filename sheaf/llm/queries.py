@@ -94,3 +94,10 @@ def op1(spark, sf_dir) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op2_odd_sketch_near_dedup")
+def op2(spark, sf_dir) -> DataFrame:
+    from sheaf.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
