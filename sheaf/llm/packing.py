@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import zlib
-from functools import cache
 from itertools import islice
 
 import numpy as np
@@ -57,18 +56,26 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@cache
-def encoders(bpe_json: str, bpe_ranks: str):
-    """The tokenizer of the vocabulary file and the same vocabulary as a rank encoder."""
-    import public_tokenizers
-    import tiktoken
-    from tokenizers import Tokenizer
+class Encoder:
+    """Token ids of texts: the tokenizer of the vocabulary file, and the same vocabulary as ranks."""
+
+    def __init__(self, bpe_json: str, bpe_ranks: str):
+        import public_tokenizers
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        with open(bpe_ranks, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.exact = Tokenizer.from_file(bpe_json)
+        self.fast = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
 
-    with open(bpe_ranks, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    slow = Tokenizer.from_file(bpe_json)
-    fast = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return slow, fast, [t.content for t in slow.get_added_tokens_decoder().values()]
+    def __call__(self, text: str) -> list[int]:
+        if any(s in text for s in self.special):
+            return self.exact.encode(text, add_special_tokens=False).ids
+        if len(text) <= SLICE_CHARS:
+            return self.fast.encode_ordinary(text)
+        return [i for part in slices(text) for i in self.fast.encode_ordinary(part)]
 
 
 def slices(text: str, size: int = SLICE_CHARS):
@@ -83,15 +90,6 @@ def slices(text: str, size: int = SLICE_CHARS):
     yield text[at:]
 
 
-def encode(text: str, bpe_json: str, bpe_ranks: str) -> list[int]:
-    slow, fast, special = encoders(bpe_json, bpe_ranks)
-    if any(s in text for s in special):
-        return slow.encode(text, add_special_tokens=False).ids
-    if len(text) <= SLICE_CHARS:
-        return fast.encode_ordinary(text)
-    return [i for part in slices(text) for i in fast.encode_ordinary(part)]
-
-
 def piece_lengths(n: int, longest: int = MAX_TOKENS) -> list[int]:
     """Lengths of a document's pieces: whole sequences, then the rest in binary."""
     rest = n % longest
@@ -107,8 +105,8 @@ def pack(docs: DataFrame, bpe_json: str | None = None, bpe_ranks: str | None = N
     schema = T.StructType([docs.schema["doc_id"], *columns])
     arrow = to_arrow_schema(schema)
 
-    def cut(doc_ids: list, texts: list[str | None]) -> pa.RecordBatch:
-        coded = [np.array([*encode(t or "", bpe_json, bpe_ranks), END_ID], "<u4") for t in texts]
+    def cut(encode: Encoder, doc_ids: list, texts: list[str | None]) -> pa.RecordBatch:
+        coded = [np.array([*encode(t or ""), END_ID], "<u4") for t in texts]
         lengths = [piece_lengths(len(c)) for c in coded]
         counts = np.array([len(x) for x in lengths])
         length = np.concatenate(lengths)
@@ -132,10 +130,11 @@ def pack(docs: DataFrame, bpe_json: str | None = None, bpe_ranks: str | None = N
         return as_batch(out, arrow)
 
     def run(batches):
+        encode = Encoder(bpe_json, bpe_ranks)
         for batch in batches:
             rows = zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
             while some := [(i, t.as_py()) for i, t in islice(rows, DOCS_AT_ONCE)]:
-                yield cut(*map(list, zip(*some, strict=True)))
+                yield cut(encode, *map(list, zip(*some, strict=True)))
 
     pieces = docs.select("doc_id", "text").mapInArrow(run, schema)
     number = F.shiftleft(F.col("bucket").cast("bigint"), 58) + F.monotonically_increasing_id()

@@ -13,8 +13,7 @@ through :func:`quality_filter`, whatever their names.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,9 +56,8 @@ SCHEMA = fields(
 )
 
 
-@cache
-def _packer() -> zstandard.ZstdCompressor:
-    return zstandard.ZstdCompressor(level=LEVEL)
+def packer() -> Callable[[bytes], bytes]:
+    return zstandard.ZstdCompressor(level=LEVEL).compress
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -101,12 +99,11 @@ def within_band(size: int, packed: int) -> bool:
     return size == 0 or low <= packed / size <= high
 
 
-def bands(text: bytes) -> tuple[float, float, bool]:
+def bands(text: bytes, pack: Callable[[bytes], bytes]) -> tuple[float, float, bool]:
     """Ratio of the whole, share of bytes in chunks outside their band, and the verdict."""
     n = len(text)
     if not n:
         return 1.0, 0.0, True
-    pack = _packer().compress
     whole = len(pack(text))
     bad = 0
     for at in range(0, n, CHUNK_BYTES) if n > CHUNK_BYTES else ():
@@ -120,7 +117,7 @@ def bands(text: bytes) -> tuple[float, float, bool]:
     return whole / n, bad / n, within_band(n, whole) and bad < BAD_SHARE * n
 
 
-def judge(text: bytes) -> tuple:
+def judge(text: bytes, pack: Callable[[bytes], bytes]) -> tuple:
     """One text's row of :data:`SCHEMA`."""
     words = text.split()
     n = len(words)
@@ -131,7 +128,7 @@ def judge(text: bytes) -> tuple:
     symbols = len(text) - len(text.translate(None, SYMBOLS))
     repeated = repeat_words(words)
     failed = n < MIN_WORDS or 100 * repeated > 50 * n
-    ratio, share, fine = bands(text)
+    ratio, share, fine = bands(text, pack)
     return n, word_chars, symbols, dup_lines(text), repeated, failed, ratio, share, fine and not failed
 
 
@@ -140,7 +137,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     schema = T.StructType([docs.schema["doc_id"], *SCHEMA.fields])
 
     def run(batch: pa.RecordBatch) -> dict:
-        rows = list(zip(*map(judge, as_bytes(batch.column(1))), strict=True))
+        pack = packer()
+        rows = list(zip(*[judge(t, pack) for t in as_bytes(batch.column(1))], strict=True))
         return {"doc_id": batch.column(0)} | dict(zip(SCHEMA.names, rows, strict=True))
 
     return per_batch(docs.select("doc_id", "text"), run, schema)
@@ -152,8 +150,9 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     arrow = to_arrow_schema(docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = packer()
         for batch in batches:
-            keep = pa.array([judge(x)[-1] for x in as_bytes(batch.column(place))], pa.bool_())
+            keep = pa.array([judge(x, pack)[-1] for x in as_bytes(batch.column(place))], pa.bool_())
             yield pa.RecordBatch.from_arrays(batch.filter(keep).columns, schema=arrow)
 
     return docs.mapInArrow(run, docs.schema)

@@ -101,3 +101,10 @@ def op2(spark, sf_dir) -> DataFrame:
     from sheaf.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_suffix_array_repeats")
+def op3(spark, sf_dir) -> DataFrame:
+    from sheaf.llm.suffix_dedup import repeated_bytes
+
+    return repeated_bytes(table(spark, sf_dir, "documents"))
