@@ -16,7 +16,8 @@ probing found are verified. Documents are keyed by a hash of id and text; as eac
 with the document's own words, a collision costs time and changes nothing.
 
 A null or empty text has no words and hits nothing; an item without words has no windows. Repeated
-rows are judged alike, repeated item ids count once. Extra columns pass through the filter.
+rows are judged alike, repeated item ids count once; an item without an id hits words but is not
+named. Extra columns pass through the filter.
 """
 
 from __future__ import annotations
@@ -101,7 +102,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """doc_id, n_words, n_hit, n_items, items (sorted as strings), contaminated for every document."""
     found = _with_hits(docs.select("doc_id", "text"), benchmark, window)
     places = F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["size"] - 1)))
-    items = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"].cast("string"))))
+    items = F.array_sort(F.array_distinct(F.array_compact(F.transform("hits", lambda h: h["item_id"].cast("string")))))
     counted = found.select(
         F.col("_row.doc_id").alias("doc_id"),
         "n_words",

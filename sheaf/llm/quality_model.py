@@ -20,11 +20,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheaf.llm.common import as_bytes, learning_split, per_batch
+from sheaf.session import union_all
 
 CHUNK, WIDTH, STRIDE = 512, 8, 2
 HALF = CHUNK // 2
@@ -201,8 +202,8 @@ def learning_sample(docs: DataFrame, labels: DataFrame, per_label: int, max_byte
     known = labels.select(F.col("doc_id").alias("_of"), F.col("quality").cast("int").alias("quality"))
     known = known.filter(F.col("quality").isin(0, 1) & ~learning_split(F.col("_of")))
     draw = F.xxhash64(F.lit(seed), "_of")
-    ranked = known.withColumn("_place", F.row_number().over(Window.partitionBy("quality").orderBy(draw, "_of")))
-    chosen = ranked.filter(F.col("_place") <= per_label)
+    each = [known.filter(F.col("quality") == q).orderBy(draw, "_of").limit(per_label) for q in (0, 1)]
+    chosen = union_all(*each)
     own = docs.select("doc_id", "text").filter(F.octet_length("text") <= max_bytes)
     return own.join(F.broadcast(chosen), F.col("doc_id") == F.col("_of")).select("doc_id", "text", "quality")
 
