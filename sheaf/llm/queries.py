@@ -3,11 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.llm import chat
 from sheaf.llm.common import table
+from sheaf.llm.decontaminate import contamination
+from sheaf.llm.language import identify
+from sheaf.llm.language import learn as learn_languages
+from sheaf.llm.near_dedup import near_duplicates
+from sheaf.llm.packing import pack
+from sheaf.llm.quality_model import learn as learn_quality
+from sheaf.llm.quality_model import score_quality
+from sheaf.llm.quality_rules import quality_rules
+from sheaf.llm.sharding import shards
+from sheaf.llm.suffix_dedup import repeated_bytes
+from sheaf.llm.url_filter import SITE_RANK, url_verdicts
+from sheaf.session import prepare
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -15,33 +29,31 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(fn):
-        QUERIES[name] = fn
+        @wraps(fn)
+        def run(spark, sf_dir: str) -> DataFrame:
+            return fn(prepare(spark), sf_dir)
+
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = sql
-        return fn
+        return run
 
     return register
 
 
 @query("op5_chat_prefix_targets")
 def op5(spark, sf_dir) -> DataFrame:
-    from sheaf.llm import chat
-
     turns = chat.with_probe(table(spark, sf_dir, "conversations"), spark)
     return chat.read_back(chat.format_conversations(turns))
 
 
 @query("op6_pack_powers_of_two")
 def op6(spark, sf_dir) -> DataFrame:
-    from sheaf.llm.packing import pack
-
     return pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
 @query("op7_feistel_shards")
 def op7(spark, sf_dir) -> DataFrame:
-    from sheaf.llm.sharding import shards
-
     placed = shards(table(spark, sf_dir, "documents"), 16)
     return placed.select(
         "doc_id",
@@ -57,15 +69,11 @@ def op7(spark, sf_dir) -> DataFrame:
 
 @query("op9_compression_bands")
 def op9(spark, sf_dir) -> DataFrame:
-    from sheaf.llm.quality_rules import quality_rules
-
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
 @query("op10_url_token_rules")
 def op10(spark, sf_dir) -> DataFrame:
-    from sheaf.llm.url_filter import SITE_RANK, url_verdicts
-
     judged = url_verdicts(table(spark, sf_dir, "pages"))
     site = F.when(F.col("rank") == SITE_RANK, F.col("rule"))
     return judged.select("page_id", "host", "path", site.alias("rule"), "verdict", F.col("rule").alias("matched_rule"))
@@ -73,8 +81,6 @@ def op10(spark, sf_dir) -> DataFrame:
 
 @query("op4_prefix_filtered_windows")
 def op4(spark, sf_dir) -> DataFrame:
-    from sheaf.llm.decontaminate import contamination
-
     judged = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
     return judged.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
@@ -82,29 +88,21 @@ def op4(spark, sf_dir) -> DataFrame:
 
 @query("op8_piece_lattice_language")
 def op8(spark, sf_dir) -> DataFrame:
-    from sheaf.llm.language import identify, learn
-
     docs = table(spark, sf_dir, "documents")
-    return identify(docs, learn(docs))
+    return identify(docs, learn_languages(docs))
 
 
 @query("op1_byte_convolutions")
 def op1(spark, sf_dir) -> DataFrame:
-    from sheaf.llm.quality_model import learn, score_quality
-
     docs = table(spark, sf_dir, "documents")
-    return score_quality(docs, learn(docs, table(spark, sf_dir, "labels")))
+    return score_quality(docs, learn_quality(docs, table(spark, sf_dir, "labels")))
 
 
 @query("op2_odd_sketch_near_dedup")
 def op2(spark, sf_dir) -> DataFrame:
-    from sheaf.llm.near_dedup import near_duplicates
-
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 @query("op3_suffix_array_repeats")
 def op3(spark, sf_dir) -> DataFrame:
-    from sheaf.llm.suffix_dedup import repeated_bytes
-
     return repeated_bytes(table(spark, sf_dir, "documents"))

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sheaf.llm import packing
+from sheaf.llm.common import table
+from sheaf.llm.decontaminate import drop_contaminated
+from sheaf.llm.near_dedup import drop_near_copies
 from sheaf.llm.quality_rules import quality_filter
+from sheaf.llm.suffix_dedup import cut_repeats
+from sheaf.session import prepare
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,23 +20,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of every group of near copies."""
-    from sheaf.llm.near_dedup import drop_near_copies
-
+    prepare(spark)
     return drop_near_copies(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages out of texts that an earlier document holds."""
-    from sheaf.llm.suffix_dedup import cut_repeats
-
+    prepare(spark)
     return cut_repeats(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark window."""
-    from sheaf.llm.decontaminate import drop_contaminated
-
-    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
