@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions.vectors import from_text, to_text
-from sheaf.session import path_exists, union_all
-
-BUCKET = "id_bucket"
+from sheaf.session import union_all
 
 
 def first_per_key(df: DataFrame, key: str = "id", order: Sequence[str | Column] = ("_origin",)) -> DataFrame:
@@ -79,8 +77,8 @@ def append_new(df: DataFrame, target: DataFrame, key: str = "id") -> DataFrame:
         out = out.withColumn("status", F.coalesce("status", F.lit("pending")))
     else:
         out = out.withColumn("status", F.lit("pending"))
-    checked = F.when(bad, F.raise_error(message).cast(df.schema[key].dataType)).otherwise(F.col(key))
-    return out.withColumn(key, checked).drop("_repeats", "_taken")
+    # in a filter, so that no choice of columns leaves the check out
+    return out.filter(F.when(bad, F.raise_error(message).cast("boolean")).otherwise(True)).drop("_repeats", "_taken")
 
 
 def fill_missing(df: DataFrame, column: str, value: Column) -> DataFrame:
@@ -89,65 +87,6 @@ def fill_missing(df: DataFrame, column: str, value: Column) -> DataFrame:
     return df.withColumn(column, F.when(current.isNull() | (current == ""), value).otherwise(current))
 
 
-# --- the stored table: Parquet partitioned by a hash of the key --------------------------------
-
-
-def bucket_of(key: str, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-
-
-def write_table(df: DataFrame, path: str, key: str = "id", buckets: int = 64) -> None:
-    """Write a keyed table so that later merges can rewrite single buckets.
-
-    The rebalance hint gathers each bucket, and lets Spark split a bucket that outgrows the
-    advisory partition size into several files.
-    """
-    (
-        df.withColumn(BUCKET, bucket_of(key, buckets))
-        .hint("rebalance", F.col(BUCKET))
-        .write.mode("overwrite")
-        .partitionBy(BUCKET)
-        .parquet(path)
-    )
-
-
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop(BUCKET)
-
-
-def merge_table(
-    spark: SparkSession,
-    path: str,
-    source: DataFrame,
-    key: str = "id",
-    keep: Sequence[str] = ("created_at",),
-    buckets: int = 64,
-) -> None:
-    """Upsert a batch of unique keys into the table at ``path``.
-
-    Only buckets the batch touches are read and rewritten; the others keep their files. Bucket
-    numbers (at most ``buckets`` integers) are all that reaches the driver. A rerun after a
-    failure gives the same table, because an upsert of the same batch changes nothing.
-    """
-    if not path_exists(spark, f"{path}/{BUCKET}=*"):
-        write_table(source, path, key, buckets)
-        return
-    batch = source.withColumn(BUCKET, bucket_of(key, buckets))
-    touched = [row[0] for row in batch.select(BUCKET).distinct().collect()]
-    if not touched:
-        return
-    current = spark.read.parquet(path).filter(F.col(BUCKET).isin(touched))
-    merged = upsert(current.drop(BUCKET), source, key, keep)
-    (
-        merged.withColumn(BUCKET, bucket_of(key, buckets))
-        .hint("rebalance", F.col(BUCKET))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(BUCKET)
-        .parquet(path)
-    )
-
-
 # --- vectors: audit, text backup, restore ------------------------------------------------------
 
 

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
+from contextlib import ExitStack
+from dataclasses import dataclass
+from dataclasses import fields as dataclass_fields
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,9 +19,9 @@ from sheaf.functions import normalize as N
 from sheaf.functions import text as X
 from sheaf.operators.embedding import EmbedFn, embed, texts_to_embed
 from sheaf.operators.filters import split_valid
-from sheaf.operators.joins import existing
-from sheaf.operators.merge import fill_missing, first_per_key, merge_table, read_table
-from sheaf.session import prepare, scratch_dir
+from sheaf.operators.merge import fill_missing, first_per_key
+from sheaf.operators.stored_table import merge_table
+from sheaf.session import prepare, staged, union_all
 from sheaf.sources.files import CORRUPT, ORIGIN, good_and_corrupt, load_records
 
 # Fields that become table columns; all others go into metadata.
@@ -126,6 +131,34 @@ def refresh_texts(records: DataFrame) -> DataFrame:
     return fill_missing(records, "doc_text", X.clean_doc_text(F.col("title"), F.col("description")))
 
 
+@dataclass
+class LoadMetrics:
+    """What a load has done, counted from what it has written."""
+
+    records: int = 0
+    unreadable: int = 0
+    deduplicated: int = 0
+    upserted: int = 0
+    refused: int = 0
+    embedded: int = 0
+    seconds: float = 0.0
+
+    def __add__(self, other: LoadMetrics) -> LoadMetrics:
+        return LoadMetrics(**{f.name: getattr(self, f.name) + getattr(other, f.name) for f in dataclass_fields(self)})
+
+
+def _rejects(refused: DataFrame, corrupt: DataFrame | None) -> DataFrame:
+    """Refused records with their reason, and unreadable documents with their file and text."""
+    null = F.lit(None).cast("string")
+    out = refused.select("*", null.alias("file"), null.alias("raw"))
+    if corrupt is None:
+        return out
+    unread = corrupt.select(
+        F.lit("unreadable").alias("reason"), F.col(f"{ORIGIN}.file").alias("file"), F.col(CORRUPT).alias("raw")
+    )
+    return union_all(out, unread, allow_missing=True)
+
+
 def load_into(
     spark: SparkSession,
     loaded: DataFrame,
@@ -136,35 +169,43 @@ def load_into(
     rejects_path: str | None = None,
     networks: Sequence[str] = tuple(S.NETWORKS),
     dim: int = 64,
-    buckets: int = 64,
-) -> None:
+    buckets: int | None = None,
+    load_id: str | None = None,
+) -> LoadMetrics:
     """Merge loaded records into the tables: records first, then vectors of what was loaded.
 
-    A merge reads its batch several times. So the normalised records, and then the fresh
-    vectors, are written once below the shared scratch folder: raw files are parsed once and the
-    model sees each text once. Each step reads what the step before has written, so a lost
-    executor only costs the tasks it held, and running the load again leaves the same tables.
+    The normalised records, and then the fresh vectors, are written once below the shared scratch
+    folder, which is cleared afterwards: raw files are parsed once and the model sees each text once.
+    Each step reads what the step before has written, so a lost executor only costs the tasks it
+    held, and running the load again leaves the same tables. Refused records and unreadable
+    documents go below ``rejects_path/load=<load_id>``, beside those of other loads; a load that is
+    run again under its id replaces its own.
     """
     prepare(spark)
-    good, _ = good_and_corrupt(loaded) if CORRUPT in loaded.columns else (loaded, None)
-    unique = first_per_key(normalize(good, as_of)).drop(ORIGIN)
-    records, refused = split_valid(_staged(spark, unique, "records"), networks)
-    if rejects_path is not None:
-        refused.write.mode("overwrite").parquet(rejects_path)
-    merge_table(spark, records_path, records, "id", ("created_at",), buckets)
-    if embeddings_path is None:
-        return
-    stored = existing(records, read_table(spark, records_path).select("id"))
-    fresh = embed(texts_to_embed(stored), "text", embed_fn, dim)
-    fresh = fresh.filter(F.col("embedding").isNotNull()).select("proposal_id", "embedding")
-    merge_table(spark, embeddings_path, _staged(spark, fresh, "vectors"), "proposal_id", (), buckets)
-
-
-def _staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """The rows of a frame, written once and read back."""
-    path = scratch_dir(spark, f"staged-{name}")
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    began = time.monotonic()
+    metrics = LoadMetrics()
+    good, corrupt = good_and_corrupt(loaded) if CORRUPT in loaded.columns else (loaded, None)
+    with staged(spark, normalize(good, as_of), "normalized") as rows, ExitStack() as stack:
+        metrics.records = rows.count()
+        unique = stack.enter_context(staged(spark, first_per_key(rows).drop(ORIGIN), "records"))
+        metrics.deduplicated = unique.count()
+        records, refused = split_valid(unique, networks)
+        metrics.upserted = records.count()
+        metrics.refused = metrics.deduplicated - metrics.upserted
+        if corrupt is not None:
+            corrupt = stack.enter_context(staged(spark, corrupt.select(ORIGIN, CORRUPT), "unreadable"))
+            metrics.unreadable = corrupt.count()
+        if rejects_path is not None:
+            _rejects(refused, corrupt).write.mode("overwrite").parquet(f"{rejects_path}/load={load_id or uuid.uuid4().hex}")
+        merge_table(spark, records_path, records, "id", ("created_at",), buckets)
+        if embeddings_path is not None:
+            fresh = embed(texts_to_embed(records), "text", embed_fn, dim)
+            fresh = fresh.filter(F.col("embedding").isNotNull()).select("proposal_id", "embedding")
+            vectors = stack.enter_context(staged(spark, fresh, "vectors"))
+            metrics.embedded = vectors.count()
+            merge_table(spark, embeddings_path, vectors, "proposal_id", (), buckets)
+    metrics.seconds = time.monotonic() - began
+    return metrics
 
 
 def run_load(
@@ -173,8 +214,9 @@ def run_load(
     records_path: str,
     embeddings_path: str | None,
     as_of: datetime,
-    schema: T.StructType | None = None,
+    schema: T.StructType | None = S.ENVELOPE_SCHEMA,
     **options,
-) -> None:
-    """Load files and merge them into the tables."""
-    load_into(spark, load_records(spark, paths, schema), records_path, embeddings_path, as_of, **options)
+) -> LoadMetrics:
+    """Load files and merge them into the tables. ``schema=None`` infers one from all files."""
+    prepare(spark)
+    return load_into(spark, load_records(spark, paths, schema), records_path, embeddings_path, as_of, **options)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,11 +44,15 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point ``DataFrame.checkpoint`` at the shared folder if nothing has set it yet."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(scratch_dir(spark, "checkpoints"))
+@contextmanager
+def staged(spark: SparkSession, df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """The rows of a frame, written once to the shared scratch folder, which is removed after use."""
+    path = scratch_dir(spark, f"staged-{name}")
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        remove_path(spark, path)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -76,6 +81,54 @@ def _matches(spark: SparkSession, path: str):
     return fs, list(fs.globStatus(hadoop_path) or [])
 
 
+def _file(spark: SparkSession, path: str):
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+
+
+def list_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none if it does not exist."""
+    fs, path = _file(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    fs, hadoop_path = _file(spark, path)
+    fs.delete(hadoop_path, True)
+
+
+def folder_bytes(spark: SparkSession, paths: Sequence[str]) -> int:
+    """Bytes of files or folders."""
+    total = 0
+    for path in paths:
+        fs, hadoop_path = _file(spark, path)
+        total += fs.getContentSummary(hadoop_path).getLength()
+    return total
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, hadoop_path = _file(spark, path)
+    stream = fs.open(hadoop_path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_new_text(spark: SparkSession, path: str, text: str) -> None:
+    """Create a small file in one step; an error if it exists. A reader sees all of it or nothing:
+    it is written beside its place and renamed."""
+    fs, hadoop_path = _file(spark, path)
+    temporary = spark._jvm.org.apache.hadoop.fs.Path(f"{hadoop_path.getParent().getParent()}/.{uuid.uuid4().hex}")
+    stream = fs.create(temporary, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    fs.mkdirs(hadoop_path.getParent())
+    if fs.exists(hadoop_path) or not fs.rename(temporary, hadoop_path):
+        fs.delete(temporary, False)
+        raise FileExistsError(path)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings that results depend on; all can be changed while a session runs.
 
@@ -89,23 +142,20 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def union_all(*frames: DataFrame, allow_missing: bool = False) -> DataFrame:
-    """Union by column name. Every union of this package goes through here, so that the
-    setting described in :func:`prepare` holds whichever session the caller made."""
+    """Union by column name. Refuses a session without the setting that :func:`prepare` makes,
+    as joins and aggregations above a union could then lose rows."""
     out = frames[0]
-    out.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    if out.sparkSession.conf.get("spark.sql.unionOutputPartitioning", "true") != "false":
+        raise ValueError("call sheaf.session.prepare(spark) first: spark.sql.unionOutputPartitioning must be false")
     for frame in frames[1:]:
         out = out.unionByName(frame, allowMissingColumns=allow_missing)
     return out
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Hand rows out to all cores when the files give fewer splits than there are cores.
-
-    Meant for costly per-row work on small inputs. A large input has more splits than cores
-    and is left as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal rows out to a number of partitions, for costly work on an input of few splits. Without a
+    number the rows stay where they are."""
+    return df.repartition(partitions) if partitions else df
 
 
 def at_most(df: DataFrame, rows: int) -> bool:

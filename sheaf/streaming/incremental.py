@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from sheaf import schema as S
 from sheaf.operators.embedding import EmbedFn
-from sheaf.plans.ingest import load_into
+from sheaf.plans.ingest import LoadMetrics, load_into
 from sheaf.session import prepare
 from sheaf.sources.files import CORRUPT, located, records_of
 
@@ -28,13 +28,14 @@ def run_incremental(
     rejects_path: str | None = None,
     networks: Sequence[str] = tuple(S.NETWORKS),
     dim: int = 64,
-    buckets: int = 64,
-) -> None:
+    buckets: int | None = None,
+) -> LoadMetrics:
     """Merge the JSON files that have landed since the last run, then stop.
 
     The stream's checkpoint remembers which files are done. A batch that is repeated after a
     failure gives the same tables, because its merge overwrites with equal values and the first
-    ``created_at`` of a record stays. Late files are ordinary merges.
+    ``created_at`` of a record stays. Late files are ordinary merges. Rejects are kept by batch.
+    Returns the metrics of all batches together.
     """
     prepare(spark)
     fields = [f for f in schema.fields if f.name != CORRUPT]
@@ -49,19 +50,23 @@ def run_incremental(
         .json(directory)
     )
 
+    done: list[LoadMetrics] = []
+
     def merge(batch: DataFrame, batch_id: int) -> None:
-        load_into(
+        metrics = load_into(
             batch.sparkSession,
             records_of(batch),
             records_path,
             embeddings_path,
             as_of,
             embed_fn,
-            f"{rejects_path}/batch={batch_id}" if rejects_path else None,
+            rejects_path,
             networks,
             dim,
             buckets,
+            f"batch-{batch_id}",
         )
+        done.append(metrics)
 
     query = (
         located(stream)
@@ -71,3 +76,4 @@ def run_incremental(
         .start()
     )
     query.awaitTermination()
+    return sum(done, LoadMetrics())

@@ -29,17 +29,6 @@ def test_upsert_keeps_first_time_and_takes_nulls(spark):
     assert rows(M.upsert(merged, source), "id") == expected
 
 
-def test_merge_table_rewrites_touched_buckets_only(spark, tmp_path):
-    path = tmp_path / "t"
-    M.merge_table(spark, str(path), table(spark, [(str(i), "x", D1) for i in range(200)]), buckets=8)
-    before = {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
-    M.merge_table(spark, str(path), table(spark, [("7", "y", D2)]), buckets=8)
-    after = {f for f in path.rglob("*.parquet")}
-    assert len(set(before) - after) == 1
-    result = {r.id: r.title for r in M.read_table(spark, str(path)).collect()}
-    assert len(result) == 200 and result["7"] == "y" and result["8"] == "x"
-
-
 def test_first_per_key_with_a_hot_key(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("id"), F.col("id").alias("n"))
     kept = M.first_per_key(df, "id", ["n"])
@@ -57,6 +46,8 @@ def test_append_new(spark):
         M.append_new(table(spark, [("a", "x", D1)]), target).collect()
     with pytest.raises(Exception, match="duplicate key: z"):
         M.append_new(table(spark, [("z", "x", D1), ("z", "x", D1)]), target).collect()
+    with pytest.raises(Exception, match="duplicate key: a"):  # whatever columns are asked for
+        M.append_new(table(spark, [("a", "x", D1)]), target).select("status").collect()
 
 
 def test_vectors_survive_text(spark):

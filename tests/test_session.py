@@ -1,20 +1,30 @@
+import pytest
 from pyspark.sql import functions as F
 
 from sheaf.operators.text_search import postings
-from sheaf.session import at_most, scratch_dir, spread, union_all
+from sheaf.session import (
+    at_most,
+    list_names,
+    path_exists,
+    prepare,
+    read_text,
+    scratch_dir,
+    spread,
+    staged,
+    union_all,
+    write_new_text,
+)
 
 
 def test_union_keeps_rows_of_a_join_above_it(spark):
     """Words of two columns, kept where wanted, counted, then joined again by both keys.
 
-    The outcome must not depend on the setting that lets unions hand on their partitioning."""
+    Needs the setting that keeps unions from handing on their partitioning."""
     docs = spark.range(300).select(
         F.col("id"), F.concat_ws(" ", F.lit("w"), (F.col("id") % 17).cast("string")).alias("title"),
         F.concat_ws(" ", (F.col("id") % 5).cast("string"), (F.col("id") % 7).cast("string")).alias("description"),
     )
-    spark.conf.set("spark.sql.unionOutputPartitioning", "true")
     rows = postings(docs)
-    assert spark.conf.get("spark.sql.unionOutputPartitioning") == "false"
     direct = {}
     for r in docs.collect():
         for word in f"{r.title} {r.description}".split():
@@ -34,10 +44,45 @@ def test_at_most(spark):
     assert at_most(spark.range(5), 5) and not at_most(spark.range(6), 5)
 
 
-def test_spread_leaves_large_inputs(spark):
-    wide = spark.range(0, 100, 1, 32)
-    assert spread(wide) is wide
-    assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+def test_spread_deals_rows_out_only_when_asked(spark):
+    df = spark.range(0, 100, 1, 3)
+    assert spread(df) is df and spread(df, 7).rdd.getNumPartitions() == 7
+
+
+def test_union_refuses_an_unprepared_session(spark):
+    spark.conf.set("spark.sql.unionOutputPartitioning", "true")
+    try:
+        with pytest.raises(ValueError, match="prepare"):
+            union_all(spark.range(1), spark.range(1))
+        assert spark.conf.get("spark.sql.unionOutputPartitioning") == "true"
+    finally:
+        prepare(spark)
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = Context
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(Session, "x")
+
+
+def test_staged_rows_are_removed_after_use(spark):
+    with staged(spark, spark.range(5), "five") as rows:
+        folder = rows.inputFiles()[0].rpartition("/")[0]
+        assert rows.count() == 5 and path_exists(spark, folder)
+    assert not path_exists(spark, folder)
+
+
+def test_small_files_are_created_once(spark, tmp_path):
+    write_new_text(spark, f"{tmp_path}/a/m/1.json", "é")
+    assert read_text(spark, f"{tmp_path}/a/m/1.json") == "é" and list_names(spark, f"{tmp_path}/a/m") == ["1.json"]
+    with pytest.raises(FileExistsError):
+        write_new_text(spark, f"{tmp_path}/a/m/1.json", "x")
 
 
 def test_union_all_fills_missing_columns(spark):

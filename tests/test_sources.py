@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheaf import schema as S
-from sheaf.operators.merge import read_table
+from sheaf.operators.stored_table import read_table
 from sheaf.plans.ingest import run_load
 from sheaf.sources.files import CORRUPT, good_and_corrupt, land, load_records, union_relaxed
 from sheaf.sources.paged import fetch_pages, fetch_plan, parse_items

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import text as X
 from sheaf.operators import merge as M
+from sheaf.operators import stored_table as ST
 from sheaf.operators.analytics import coverage
 from sheaf.operators.filters import split_valid
 from sheaf.plans.ingest import normalize, run_load
@@ -51,10 +52,10 @@ def upsert(spark, sf_dir):
 def stored_merge(spark, sf_dir):
     """The same upsert into a table on disk, of which only touched buckets are rewritten."""
     path = scratch_dir(spark, "merged")
-    M.merge_table(spark, path, _settled(spark, sf_dir), buckets=16)
-    M.merge_table(spark, path, _shipped(spark, sf_dir), buckets=16)
-    M.merge_table(spark, path, _shipped(spark, sf_dir), buckets=16)
-    return M.read_table(spark, path)
+    ST.merge_table(spark, path, _settled(spark, sf_dir), buckets=16)
+    for _ in range(2):
+        ST.merge_table(spark, path, _shipped(spark, sf_dir))
+    return ST.read_table(spark, path)
 
 
 @query(
@@ -137,7 +138,7 @@ def whole_load(spark, sf_dir):
     inbox, records, vectors = _landed(spark, sf_dir), scratch_dir(spark, "records"), scratch_dir(spark, "vectors")
     langs = ["en", "fr", "de", "es"]
     run_load(spark, [f"{inbox}/*"], records, vectors, B.AS_OF, ENVELOPE_SCHEMA, networks=langs, buckets=8)
-    return _shown(M.read_table(spark, records))
+    return _shown(ST.read_table(spark, records))
 
 
 @query(
@@ -151,7 +152,7 @@ def incremental_load(spark, sf_dir):
     langs = ["en", "fr", "de", "es"]
     for _ in range(2):
         run_incremental(spark, inbox, records, vectors, checkpoint, B.AS_OF, networks=langs, max_files=100, buckets=8)
-    found = coverage(M.read_table(spark, records), M.read_table(spark, vectors))
+    found = coverage(ST.read_table(spark, records), ST.read_table(spark, vectors))
     return found.select("total", "embedded", "missing")
 
 

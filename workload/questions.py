@@ -55,7 +55,7 @@ def route_questions(spark, sf_dir):
 )
 def intent_flags(spark, sf_dir):
     text = F.col("text")
-    return B.spread(B.table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    return B.spread(B.table(spark, sf_dir, "documents").select("doc_id", "text"), B.PARTS).select(
         "doc_id",
         Q.is_mixed(text).alias("mixed"),
         Q.is_analytical(text).alias("analytical"),

@@ -135,7 +135,7 @@ def fetch_units(spark, sf_dir):
 
 def raw_orders(spark, sf_dir):
     """Orders as dirty items: odd spellings, symbols in amounts, several time formats."""
-    o = B.spread(B.table(spark, sf_dir, "orders"))
+    o = B.spread(B.table(spark, sf_dir, "orders"), B.PARTS)
     p, s, d = F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("o_orderdate")
     price = F.format_number("o_totalprice", 2)
     return o.select(

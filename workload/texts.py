@@ -210,8 +210,8 @@ def _repair_sql(c: str) -> str:
     f"UNION ALL SELECT 'p' || page_id, md5({_repair_sql('html')}) FROM pages",
 )
 def repair_description(spark, sf_dir):
-    docs = B.spread(B.table(spark, sf_dir, "documents")).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("t"))
-    pages = B.spread(B.table(spark, sf_dir, "pages")).select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.col("html").alias("t"))
+    docs = B.spread(B.table(spark, sf_dir, "documents"), B.PARTS).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("t"))
+    pages = B.spread(B.table(spark, sf_dir, "pages"), B.PARTS).select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.col("html").alias("t"))
     return B.union_all(docs, pages).select("id", F.md5(D.repair_description(F.col("t"))).alias("html"))
 
 
