@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,10 +15,7 @@ from sheaf.operators.filters import cut_scores
 from sheaf.operators.text_search import lexical_search, lexical_search_one
 from sheaf.operators.vector_search import vector_search, vector_search_one
 from sheaf.schema import SearchFilters
-from sheaf.session import at_most, broadcast_if, union_all
-
-# Up to so many queries, their ranked ids are sent to the scan that adds the wide columns.
-FEW_QUERIES = 1000
+from sheaf.session import union_all
 
 Scorer = Callable[[str, list[str]], list[float]]
 
@@ -74,19 +72,29 @@ def rerank(
     """
     if scorer is None:
         return ranked.withColumn("rerank_score", F.lit(None).cast("double"))
+    return reorder(scored(ranked, scorer, head), head, cut)
+
+
+def scored(ranked: DataFrame, scorer: Scorer | str, head: int = S.RERANK_HEAD) -> DataFrame:
+    """Adds ``rerank_score`` to the first ``head`` rows of each query, from their texts."""
     title = F.coalesce(F.col("title"), F.lit(""))
     description = F.coalesce(F.col("description"), F.lit(""))
     document = X.embedding_text("plain", title, description)
     score = overlap_score if scorer == "overlap" else _scored_by(scorer)
     top = ranked.filter(F.col("rank") <= head).withColumn("rerank_score", score(F.col("query"), document))
     tail = ranked.filter(F.col("rank") > head).withColumn("rerank_score", F.lit(None).cast("double"))
-    failed = F.max(F.col("rerank_score").isNull()).over(Window.partitionBy("query_id"))
-    top = top.withColumn("_failed", failed).filter(F.col("_failed") | (F.col("rerank_score") >= cut))
-    joined = union_all(top, tail.withColumn("_failed", F.lit(None).cast("boolean")))
-    segment = F.when(F.col("rank") <= head, 0).otherwise(1)
+    return union_all(top, tail)
+
+
+def reorder(rows: DataFrame, head: int = S.RERANK_HEAD, cut: float = S.RERANK_CUT) -> DataFrame:
+    """The order that ``rerank_score`` gives. Needs no text: ids, ranks and scores are enough."""
+    in_head = F.col("rank") <= head
+    failed = F.max(in_head & F.col("rerank_score").isNull()).over(Window.partitionBy("query_id"))
+    marked = rows.withColumn("_failed", failed).filter(~in_head | F.col("_failed") | (F.col("rerank_score") >= cut))
+    segment = F.when(in_head, 0).otherwise(1)
     by_score = F.when(F.col("_failed") | (segment == 1), F.lit(None)).otherwise(-F.col("rerank_score"))
     order = Window.partitionBy("query_id").orderBy(segment.asc(), by_score.asc(), F.col("rank").asc())
-    return joined.withColumn("_new", F.row_number().over(order)).drop("rank", "_failed").withColumnRenamed("_new", "rank")
+    return marked.withColumn("_new", F.row_number().over(order)).drop("rank", "_failed").withColumnRenamed("_new", "rank")
 
 
 def cut_results(
@@ -116,6 +124,16 @@ def result_columns(rows: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Fusion:
+    """How two ranked lists become one: their lengths, the rank constant and the vector weight."""
+
+    lexical_limit: int = S.LEXICAL_LIMIT
+    vector_limit: int = S.VECTOR_LIMIT
+    k: int = S.RRF_K
+    vector_weight: float = S.VECTOR_WEIGHT
+
+
 def hybrid_search(
     queries: DataFrame,
     docs: DataFrame,
@@ -126,6 +144,7 @@ def hybrid_search(
     min_score: float = S.RRF_CUT,
     cap: int = S.MAX_RESULTS,
     index: DataFrame | None = None,
+    fusion: Fusion = Fusion(),
 ) -> DataFrame:
     """Search a table ``(query_id, query, vector)``; blank queries give no rows.
 
@@ -135,10 +154,9 @@ def hybrid_search(
     if top_k <= 0:
         raise ValueError("top_k must be positive")
     asked = queries.filter(F.coalesce(F.trim("query") != "", F.lit(False)))
-    lexical = lexical_search(asked, docs, filters, S.LEXICAL_LIMIT, index)
-    vector = vector_search(asked, docs, embeddings, filters, S.VECTOR_LIMIT)
-    few = at_most(asked.select("query_id"), FEW_QUERIES)
-    return _finish(asked.select("query_id", "query"), lexical, vector, docs, top_k, scorer, min_score, cap, few)
+    lexical = lexical_search(asked, docs, filters, fusion.lexical_limit, index)
+    vector = vector_search(asked, docs, embeddings, filters, fusion.vector_limit)
+    return _finish(asked.select("query_id", "query"), lexical, vector, docs, top_k, scorer, min_score, cap, fusion)
 
 
 def hybrid_search_one(
@@ -151,6 +169,7 @@ def hybrid_search_one(
     scorer: Scorer | str | None = None,
     min_score: float = S.RRF_CUT,
     cap: int = S.MAX_RESULTS,
+    fusion: Fusion = Fusion(),
 ) -> DataFrame:
     """Search with one literal query; filters and terms reach the scan as constants."""
     if top_k <= 0:
@@ -159,9 +178,9 @@ def hybrid_search_one(
     asked = spark.range(1).select(F.lit(0).alias("query_id"), F.lit(query).alias("query"))
     if not query or not query.strip():
         docs = docs.filter(F.lit(False))
-    lexical = lexical_search_one(query, docs, filters).withColumn("query_id", F.lit(0))
-    near = vector_search_one(vector, docs, embeddings, filters).withColumn("query_id", F.lit(0))
-    return _finish(asked, lexical, near, docs, top_k, scorer, min_score, cap, few=True)
+    lexical = lexical_search_one(query, docs, filters, fusion.lexical_limit).withColumn("query_id", F.lit(0))
+    near = vector_search_one(vector, docs, embeddings, filters, fusion.vector_limit).withColumn("query_id", F.lit(0))
+    return _finish(asked, lexical, near, docs, top_k, scorer, min_score, cap, fusion)
 
 
 def _finish(
@@ -173,22 +192,19 @@ def _finish(
     scorer: Scorer | str | None,
     min_score: float,
     cap: int,
-    few: bool,
+    fusion: Fusion,
 ) -> DataFrame:
-    """``few`` says that the ranked ids, at most 80 per query, have a proven bound."""
-    ranked = fuse_rrf(lexical, vector, S.RRF_K, S.VECTOR_WEIGHT)
-    if scorer is None:
-        # Nothing will reorder the rows: cut them before the wide columns are read.
-        return result_columns(_with_columns(cut_results(ranked, top_k, min_score, cap), docs, few))
-    # Rows past the head keep their order, so those past head + top_k can no longer be returned.
-    ranked = ranked.filter(F.col("rank") <= S.RERANK_HEAD + top_k)
-    wide = _with_columns(ranked, docs, few).join(asked, "query_id")
-    return result_columns(cut_results(rerank(wide, scorer), top_k, min_score, cap))
-
-
-def _with_columns(ranked: DataFrame, docs: DataFrame, few: bool) -> DataFrame:
-    ids = broadcast_if(ranked.withColumnRenamed("id", "_id"), few)
+    """Rows are ranked and cut by ids and scores; wide columns are joined to those that are left. How
+    is left to adaptive execution, which sees how few they are."""
+    ranked = fuse_rrf(lexical, vector, fusion.k, fusion.vector_weight)
+    if scorer is not None:
+        # Rows past the head keep their order, so those past head + top_k can no longer be returned.
+        ranked = ranked.filter(F.col("rank") <= S.RERANK_HEAD + top_k)
+        texts = docs.select(F.col("id").alias("_id"), "title", "description")
+        with_texts = ranked.join(texts, F.col("id") == F.col("_id")).join(asked, "query_id")
+        ranked = reorder(scored(with_texts, scorer).select(*ranked.columns, "rerank_score"))
+    ids = cut_results(ranked, top_k, min_score, cap).withColumnRenamed("id", "_id")
     wide = docs.select(
         "id", "network", "type", "title", "description", "proposer", "amount_numeric", "status", "created_at"
     )
-    return wide.join(ids, F.col("id") == F.col("_id")).drop("_id")
+    return result_columns(wide.join(ids, F.col("id") == F.col("_id")).drop("_id"))

@@ -13,13 +13,10 @@ from sheaf.functions import questions as Q
 from sheaf.functions.normalize import strip
 from sheaf.operators.analytics import newest_first
 from sheaf.operators.filters import cut_scores
-from sheaf.session import broadcast_if, union_all
+from sheaf.session import union_all
 
 TREASURY = "TreasuryProposal"
 
-# Up to so many distinct plans, the ids of their examples are sent to the record scan.
-FEW_PLANS = 2000
-
 # The texts of an answer.
 NOTHING_FOUND = "No proposals found matching your criteria."
 NOTHING_RELEVANT = "I couldn't find any relevant information for your query."
@@ -93,13 +90,18 @@ def answer_questions(
     examples_ignore_type: bool = False,
 ) -> DataFrame:
     """Adds ``count``, ``examples`` (array of structs) and ``answer`` (text) to the plans of
-    :func:`plan_questions`.
+    :func:`plan_questions`. See :func:`answer_plans`; equal plans are answered once."""
+    answered = answer_plans(plans, proposals, n, examples_ignore_type)
+    return _to_questions(plans, answered).select(*plans.columns, "count", "examples", "answer")
+
+
+def answer_plans(plans: DataFrame, proposals: DataFrame, n: int = S.EXAMPLES, examples_ignore_type: bool = False) -> DataFrame:
+    """One row per distinct plan: ``_op, _spec, _plan, count, examples, answer``.
 
     A plan restricts network, type and calendar month, each or not at all. So the records are
     read once and summed up per (network, type, month); the eight ways of leaving a restriction
     out are formed from those sums, and plans are joined to them by equality. The cost of the
-    records does not grow with the number of questions, and no question meets a record. Equal
-    plans are answered once.
+    records does not grow with the number of questions, and no question meets a record.
 
     The examples of a count are its newest records, in short form (id, title, type, time).
     ``examples_ignore_type`` drops the type restriction there.
@@ -109,38 +111,39 @@ def answer_questions(
     rows = proposals.select("network", "type", month.alias("month"), "id", "created_at")
     counts = _rolled_up(rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))).groupBy("_key").agg(F.sum("n").alias("n"))
 
-    keyed = plans.withColumn("_key", _plan_key(F.col("type")))
-    any_type = _plan_key(F.lit(None).cast("string"))
-    of_examples = F.when((F.col("op") == "count") & F.lit(examples_ignore_type), any_type).otherwise(F.col("_key"))
-    keyed = keyed.withColumn("_example_key", of_examples)
-    # Few distinct plans stand behind many questions. Only the orders they ask for are ranked,
-    # and their examples are sent to the record scan if there are provably few.
-    distinct = keyed.select("op", "_key", "_example_key").distinct()
-    distinct = distinct.withColumn("_newest", F.col("op").isin("count", "newest"))
-    needs = distinct.agg(F.count(F.lit(1)), F.max("_newest"), F.min("_newest")).first()
-    few = needs[0] <= FEW_PLANS
-    lists = []
-    if needs[1] is not False:
-        lists.append(_best(rows, newest_first(), n).withColumn("_newest", F.lit(True)))
-    if needs[2] is not True:
-        lists.append(_best(rows, [F.col("id").asc()], n).withColumn("_newest", F.lit(False)))
+    key, any_type = _plan_key(F.col("type")), _plan_key(F.lit(None).cast("string"))
+    of_examples = F.when((F.col("op") == "count") & F.lit(examples_ignore_type), any_type).otherwise(key)
+    distinct = plans.select(
+        F.col("op").alias("_op"), key.alias("_spec"), F.col("plan_text").alias("_plan"), of_examples.alias("_example_key")
+    ).distinct()
+    # Few distinct plans stand behind many questions. Only what they ask for is looked up.
+    distinct = distinct.withColumn("_newest", F.col("_op").isin("count", "newest"))
+    lists = [
+        _best(rows, newest_first(), n).withColumn("_newest", F.lit(True)),
+        _best(rows, [F.col("id").asc()], n).withColumn("_newest", F.lit(False)),
+    ]
     ranked = union_all(*lists).withColumnRenamed("_key", "_example_key").withColumnRenamed("id", "_id")
-    used = distinct.select("_example_key", "_newest").distinct()
-    chosen = broadcast_if(used.join(ranked, ["_example_key", "_newest"]), few)
+    used = distinct.filter(F.col("_op") != "invalid").select("_example_key", "_newest").distinct()
+    chosen = used.join(ranked, ["_example_key", "_newest"])
     wide = proposals.select(*_EXAMPLE).join(chosen, F.col("id") == F.col("_id"))
     example = F.struct("position", *_EXAMPLE)
     collected = wide.groupBy("_example_key", "_newest").agg(F.sort_array(F.collect_list(example)).alias("examples"))
 
-    found = distinct.join(counts, "_key", "left").join(collected, ["_example_key", "_newest"], "left")
-    valid = F.col("op") != "invalid"
+    found = distinct.join(counts, F.col("_spec") == F.col("_key"), "left").join(collected, ["_example_key", "_newest"], "left")
+    valid = F.col("_op") != "invalid"
     number = F.when(valid, F.coalesce("n", F.lit(0))).otherwise(F.lit(0))
     shown = F.coalesce(F.when(valid, F.col("examples")), F.array().cast(collected.schema["examples"].dataType))
-    answered = found.select("op", "_key", shown.alias("examples"), number.alias("_number"))
-    count = F.when(F.col("op") == "count", F.col("_number")).otherwise(F.size("examples").cast("long"))
-    answered = compose(answered.withColumn("count", count)).withColumnRenamed("op", "_op").withColumnRenamed("_key", "_spec")
-    same = (F.col("op") == F.col("_op")) & (F.col("_key") == F.col("_spec"))
-    # No broadcast here: answers are few, but the texts in them have no size limit.
-    return keyed.join(answered, same).select(*plans.columns, "count", "examples", "answer")
+    answered = found.select("_op", "_spec", "_plan", shown.alias("examples"), number.alias("_number"))
+    count = F.when(F.col("_op") == "count", F.col("_number")).otherwise(F.size("examples").cast("long"))
+    answered = compose(answered.withColumn("count", count).withColumnRenamed("_op", "op"), n)
+    return answered.select(F.col("op").alias("_op"), "_spec", "_plan", "count", "examples", "answer")
+
+
+def _to_questions(plans: DataFrame, by_plan: DataFrame) -> DataFrame:
+    """Rows of distinct plans joined to the questions that ask for them. A plan behind very many
+    questions is a skewed join key, which adaptive execution splits; the plans' side is small."""
+    same = (F.col("op") == F.col("_op")) & (_plan_key(F.col("type")) == F.col("_spec")) & F.col("plan_text").eqNullSafe(F.col("_plan"))
+    return plans.join(by_plan, same)
 
 
 def _key(network: Column, type: Column, month: Column) -> Column:
@@ -178,9 +181,18 @@ def _best(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
 
 
 def plain_number(c: Column) -> Column:
-    """A double in plain digits with at least one decimal: ``10000.0``, ``0.25``."""
-    text = F.regexp_replace(F.format_string("%.6f", c), "0+$", "")
-    return F.when(c.isNotNull(), F.when(text.endswith("."), F.concat(text, F.lit("0"))).otherwise(text))
+    """A double in as few digits as name it, as ``10000.0``, ``0.25`` or ``1e-07``: plain from 1e-4
+    up to 1e16, with an exponent of at least two digits beyond."""
+    size = F.abs(c)
+    digits = F.regexp_replace(F.when((size < 1e16), c).try_cast("decimal(38,21)").cast("string"), "0+$", "")
+    plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+    text = c.cast("string")
+    base = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
+    power = F.substring_index(text, "E", -1).try_cast("int")
+    sign = F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+"))
+    scientific = F.concat(base, sign, F.lpad(F.abs(power).cast("string"), 2, "0"))
+    inside = (size == 0) | ((size >= 1e-4) & (size < 1e16))
+    return F.when(inside, plain).otherwise(F.when(F.contains(text, F.lit("E")), scientific).otherwise(F.lower(text)))
 
 
 def _time_text(c: Column) -> Column:
@@ -188,8 +200,9 @@ def _time_text(c: Column) -> Column:
     return F.when(c == F.date_trunc("second", c), whole).otherwise(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSSxxx"))
 
 
-def _section(number: Column, row: Column, amount: Column, brief: Column) -> Column:
-    """One numbered record of an answer. ``brief`` rows show no more than id, title, type, time."""
+def _section(number: Column, row: Column, amount: Column, brief: Column, chars: int | None) -> Column:
+    """One numbered record of an answer. ``brief`` rows show no more than id, title, type, time.
+    Descriptions are cut after ``chars`` characters, or not at all."""
 
     def shown(name: str, default: str) -> Column:
         return F.coalesce(F.nullif(row[name], F.lit("")), F.lit(default))
@@ -198,8 +211,8 @@ def _section(number: Column, row: Column, amount: Column, brief: Column) -> Colu
         return F.when(brief, F.lit(default)).otherwise(shown(name, default))
 
     description = full("description", NO_DESCRIPTION)
-    cut = F.substring(description, 1, S.ANSWER_DESCRIPTION_CHARS)
-    dots = F.when(F.char_length(description) > S.ANSWER_DESCRIPTION_CHARS, F.lit("...")).otherwise(F.lit(""))
+    cut = description if chars is None else F.substring(description, 1, chars)
+    dots = F.lit("") if chars is None else F.when(F.char_length(description) > chars, F.lit("...")).otherwise(F.lit(""))
     created = row["created_at"].cast("timestamp")
     lines = [
         F.concat(F.lit("## Proposal "), number.cast("string"), F.lit(": "), shown("title", "Untitled")),
@@ -215,11 +228,12 @@ def _section(number: Column, row: Column, amount: Column, brief: Column) -> Colu
     return F.concat_ws("\n", *lines)
 
 
-def compose(answers: DataFrame) -> DataFrame:
-    """Adds ``answer``, the text shown for ``op``, ``count`` and ``examples``."""
+def compose(answers: DataFrame, n: int | None = None, chars: int | None = S.ANSWER_DESCRIPTION_CHARS) -> DataFrame:
+    """Adds ``answer``, the text shown for ``op``, ``count`` and the first ``n`` or all ``examples``."""
     brief = F.col("op") == "count"
     sections = F.transform(
-        F.slice("examples", 1, S.EXAMPLES), lambda x: _section(x["position"], x, x["amount_numeric"], brief)
+        F.col("examples") if n is None else F.slice("examples", 1, n),
+        lambda x: _section(x["position"], x, x["amount_numeric"], brief, chars),
     )
     head = F.concat(F.lit("Found "), F.col("count").cast("string"), F.lit(" proposals"))
     body = F.when(
@@ -239,11 +253,11 @@ def displayed_hits(hits: DataFrame) -> DataFrame:
 _HIT = ["id", "title", "network", "type", "amount", "created_at", "snippet", "score", "description", "proposer", "status"]
 
 
-def compose_hits(questions: DataFrame, hits: DataFrame) -> DataFrame:
+def compose_hits(questions: DataFrame, hits: DataFrame, chars: int | None = S.ANSWER_DESCRIPTION_CHARS) -> DataFrame:
     """``(query_id, query, count, hits, answer)`` from search results, one row per question."""
     shown = displayed_hits(hits)
     section = _section(
-        F.col("position"), F.struct(*[F.col(c) for c in _HIT]), F.col("amount").cast("double"), F.lit(False)
+        F.col("position"), F.struct(*[F.col(c) for c in _HIT]), F.col("amount").cast("double"), F.lit(False), chars
     )
     grouped = shown.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("count"),
@@ -264,43 +278,61 @@ def compose_hits(questions: DataFrame, hits: DataFrame) -> DataFrame:
 # --- events ------------------------------------------------------------------------------------
 
 
+ANSWERED, SEARCHED = "sql_agent", "retrieval_agent"
+FAILED = "Failed to process query"
+
+
+def _json(**fields: Column) -> Column:
+    return F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]), {"ignoreNullFields": "false"})
+
+
+def _event(seq: int, stage: str, payload: Column) -> Column:
+    return F.struct(F.lit(seq).alias("seq"), F.lit(stage).alias("stage"), payload.alias("payload"))
+
+
+def _final(answer: Column, route: str) -> Column:
+    return _event(3, "final_answer", _json(answer=answer, metadata=F.struct(F.lit(route).alias("processing_type"))))
+
+
 def stage_events(
-    routed: DataFrame, answers: DataFrame | None = None, hits: DataFrame | None = None
+    routed: DataFrame, proposals: DataFrame, hits: DataFrame, n: int = S.EXAMPLES, word_boundary: bool = False
 ) -> DataFrame:
     """``(query_id, seq, stage, payload)``: what happened to each question, in order.
 
-    ``routed`` has ``query_id, query, route``; ``answers`` comes from :func:`answer_questions`, ``hits``
-    from :func:`compose_hits`. Payloads are JSON texts.
+    ``routed`` comes from :func:`route`; questions to be answered are planned and answered over
+    ``proposals``, those to be searched take their results from ``hits`` (of :func:`compose_hits`).
+    Payloads are JSON texts. What a plan yields is put into text once and then joined to all
+    questions that ask for it. A month that does not exist and a question without search results
+    of its own end in an ``error`` event.
     """
+    decision = _event(1, "router_decision", _json(decision=F.col("route")))
+
+    def failed(why: Column) -> Column:
+        return F.array(_event(3, "error", _json(error=why, message=F.lit(FAILED))))
+
+    plans = plan_questions(routed.filter(F.col("route") == ANSWERED).select("query_id", "query", "route"), word_boundary)
+    result = _event(2, "sql_result", _json(plan=F.col("_plan"), count=F.col("count"), examples=F.col("examples")))
+    done = F.array(result, _final(F.col("answer"), ANSWERED))
+    outcome = F.when(F.col("_op") == "invalid", failed(F.lit("no such month"))).otherwise(done)
+    by_plan = answer_plans(plans, proposals, n).select("_op", "_spec", "_plan", outcome.alias("outcome"))
+    answered = _to_questions(plans, by_plan).select("query_id", "route", "outcome")
+
+    asked = routed.filter(F.col("route") == SEARCHED).select("query_id", "route")
+    found = asked.join(hits.select("query_id", "count", "hits", "answer"), "query_id", "left")
+    shown = [_event(k, stage, _json(proposals=F.col("hits"))) for k, stage in ((4, "proposal_descriptions"), (5, "proposals_data"))]
+    always = F.array(_event(2, "retrieval_hits", _json(hits=F.col("hits"), count=F.col("count"))), _final(F.col("answer"), SEARCHED))
+    outcome = (
+        F.when(F.col("count").isNull(), failed(F.lit("no search results")))
+        .when(F.col("count") > 0, F.concat(always, F.array(*shown)))
+        .otherwise(always)
+    )
+    searched = found.select("query_id", "route", outcome.alias("outcome"))
 
-    def json(**fields: Column) -> Column:
-        return F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]), {"ignoreNullFields": "false"})
-
-    def event(seq: int, stage: str, payload: Column) -> Column:
-        return F.struct(F.lit(seq).alias("seq"), F.lit(stage).alias("stage"), payload.alias("payload"))
-
-    decision = event(1, "router_decision", json(decision=F.col("route")))
-    meta = F.struct(F.col("route").alias("processing_type"))
-    parts = []
-    if answers is not None:
-        rows = routed.filter(F.col("route") == "sql_agent").select("query_id", "route")
-        rows = rows.join(answers.select("query_id", "plan_text", "count", "examples", "answer"), "query_id")
-        result = event(2, "sql_result", json(plan=F.col("plan_text"), count=F.col("count"), examples=F.col("examples")))
-        final = event(3, "final_answer", json(answer=F.col("answer"), metadata=meta))
-        parts.append(rows.select("query_id", F.explode(F.array(decision, result, final)).alias("e")))
-    if hits is not None:
-        rows = routed.filter(F.col("route") == "retrieval_agent").select("query_id", "route")
-        rows = rows.join(hits.select("query_id", "count", "hits", "answer"), "query_id")
-        found = event(2, "retrieval_hits", json(hits=F.col("hits"), count=F.col("count")))
-        final = event(3, "final_answer", json(answer=F.col("answer"), metadata=meta))
-        shown = [event(n, stage, json(proposals=F.col("hits"))) for n, stage in ((4, "proposal_descriptions"), (5, "proposals_data"))]
-        always = F.array(decision, found, final)
-        events = F.when(F.col("count") > 0, F.concat(always, F.array(*shown))).otherwise(always)
-        parts.append(rows.select("query_id", F.explode(events).alias("e")))
-    rest = routed.filter(F.col("route") == "composer").select("query_id", "route")
-    final = event(3, "final_answer", json(answer=F.lit(NOTHING_RELEVANT), metadata=meta))
-    parts.append(rest.select("query_id", F.explode(F.array(decision, final)).alias("e")))
-    return union_all(*parts).select("query_id", "e.seq", "e.stage", "e.payload")
+    rest = routed.filter(~F.col("route").isin(ANSWERED, SEARCHED)).select("query_id", "route")
+    composed = rest.select("query_id", "route", F.array(_final(F.lit(NOTHING_RELEVANT), "composer")).alias("outcome"))
+    every = union_all(answered, searched, composed)
+    each = every.select("query_id", F.explode(F.concat(F.array(decision), F.col("outcome"))).alias("e"))
+    return each.select("query_id", "e.seq", "e.stage", "e.payload")
 
 
 def collapse_events(events: DataFrame) -> DataFrame:
@@ -310,11 +342,16 @@ def collapse_events(events: DataFrame) -> DataFrame:
         return F.max(F.when(F.col("stage") == stage, F.col("payload")))
 
     grouped = events.groupBy("query_id").agg(
-        payload("final_answer").alias("_final"), payload("sql_result").alias("_sql"), payload("retrieval_hits").alias("_hits")
+        payload("final_answer").alias("_final"),
+        payload("sql_result").alias("_sql"),
+        payload("retrieval_hits").alias("_hits"),
+        payload("error").alias("_error"),
     )
     return grouped.select(
         "query_id",
-        F.coalesce(F.get_json_object("_final", "$.answer"), F.lit("No response generated")).alias("response"),
+        F.coalesce(
+            F.get_json_object("_final", "$.answer"), F.get_json_object("_error", "$.message"), F.lit("No response generated")
+        ).alias("response"),
         F.get_json_object("_sql", "$.plan").alias("plan"),
         F.get_json_object("_hits", "$.hits").alias("results"),
         F.coalesce(F.get_json_object("_hits", "$.count").cast("long"), F.lit(0)).alias("count"),

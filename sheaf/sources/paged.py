@@ -43,15 +43,16 @@ def fetch_pages(
     plan: DataFrame,
     fetcher: Fetcher,
     limit: int = 50,
-    max_items: int = 1000,
+    max_items: int | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
     """Items of every unit, as JSON texts, one row each.
 
     ``fetcher(network, type, origin, limit, page)`` returns a page ``{items, totalCount}``; it
     runs inside the tasks, and ``partitions`` bounds how many units are fetched at once. Paging
-    stops at an empty page, at a page without ``items``, or at the smaller of ``max_items`` and
-    ``totalCount``. A unit that fails gives one row with ``error`` set after the items it had.
+    stops at an empty page, at a page without ``items``, or at ``totalCount``. A unit that fails
+    gives one row with ``error`` set after the items it had. So does a unit that a caller's
+    ``max_items`` cuts short; without it nothing is cut.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,8 +66,11 @@ def fetch_pages(
             return pd.DataFrame([(*head, *row) for row in rows], columns=columns)
 
         columns = ["network", "type", "origin", "page", "position", "item", "error"]
-        taken, wanted, number = 0, max_items, 1
-        while taken < wanted:
+        taken, wanted, number = 0, None, 1
+        while wanted is None or taken < wanted:
+            if max_items is not None and taken >= max_items:
+                yield frame(number, [(None, None, f"cut after {taken} items")])
+                return
             try:
                 reply = fetcher(network, type, origin, limit, number) or {}
                 items = reply.get("items") or []
@@ -75,12 +79,16 @@ def fetch_pages(
                 return
             if not items:
                 return
-            if reply.get("totalCount"):
-                wanted = min(max_items, reply["totalCount"])
-            items = items[: wanted - taken]
+            wanted = reply.get("totalCount") or wanted
+            most = min(len(items), *[n - taken for n in (wanted, max_items) if n is not None], len(items))
+            short = max_items is not None and taken + most == max_items and most < len(items)
+            items = items[:most]
             yield frame(number, [(taken + i, json.dumps(x, ensure_ascii=False), None) for i, x in enumerate(items)])
             taken += len(items)
             number += 1
+            if short and (wanted is None or taken < wanted):
+                yield frame(number, [(None, None, f"cut after {taken} items")])
+                return
 
     parts = partitions or plan.sparkSession.sparkContext.defaultParallelism
     return plan.repartition(parts, "network", "type", "origin").mapInPandas(run, PAGE_SCHEMA)

@@ -148,23 +148,41 @@ def test_answer_text_reads_back_as_rows(spark):
 
 
 def test_events_and_responses(spark):
-    asked = frame(spark, ["How many proposals are there?", "subsquare proposal", "hello world"])
+    asked = frame(spark, ["How many proposals are there?", "subsquare proposal", "hello world", "How many proposals in 2024-13?", "subsquare docs"])
     routed = P.route(asked)
-    answers = P.answer_questions(P.plan_questions(asked), records(spark))
     hits = spark.createDataFrame(
-        [(1, 1, "7", "Title", "kusama", "Tip", 3.0, datetime(2025, 1, 1), "Title", 0.05, "text", "p", "Executed")],
+        [(1, 1, "7", "Title", "kusama", "Tip", 0.1234567891, datetime(2025, 1, 1), "Title", 0.05, "text", "p", "Executed")],
         "query_id int, rank int, id string, title string, network string, type string, amount double, created_at timestamp, "
         "snippet string, score double, description string, proposer string, status string",
     )
-    events = P.stage_events(routed, answers, P.compose_hits(asked, hits)).cache()
-    stages = {q: [r.stage for r in events.filter(F.col("query_id") == q).orderBy("seq").collect()] for q in range(3)}
+    found_hits = P.compose_hits(asked.filter("query_id < 4"), hits)
+    events = P.stage_events(routed, records(spark), found_hits).cache()
+    stages = {q: [r.stage for r in events.filter(F.col("query_id") == q).orderBy("seq").collect()] for q in range(5)}
     assert stages[0] == ["router_decision", "sql_result", "final_answer"]
     assert stages[1] == ["router_decision", "retrieval_hits", "final_answer", "proposal_descriptions", "proposals_data"]
     assert stages[2] == ["router_decision", "final_answer"]
+    assert stages[3] == ["router_decision", "error"]
+    assert stages[4] == ["router_decision", "error"]
     found = {r.query_id: r for r in P.collapse_events(events).collect()}
     assert found[1]["count"] == 1 and json.loads(found[1].results)[0]["id"] == "7"
     assert found[1].response.startswith("Found 1 relevant proposals:\n\n## Proposal 1: Title\n")
+    assert "**Amount:** 0.1234567891\n" in found[1].response
     assert found[2].response == P.NOTHING_RELEVANT and found[0].processing_type == "sql_agent"
+    assert found[3].response == P.FAILED
+
+
+def test_amounts_are_shown_in_full(spark):
+    values = [0.0, -0.0, 0.1234567891, 1e-7, 0.0001, 0.00012345, 10000.0, 1234567.0, 123456789.125, 9999999999999998.0, 1e16, 1e22, -3.25, 1e-12, 3e-5, 0.1, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r[0] for r in df.select(P.plain_number(F.col("v"))).collect()] == [None if v is None else repr(v or 0.0) for v in values]
+
+
+def test_more_examples_and_whole_descriptions(spark):
+    plans = P.plan_questions(frame(spark, ["Show me treasury proposals"]))
+    row = P.answer_questions(plans, records(spark), n=7).first()
+    assert row.answer.count("## Proposal ") == len(row.examples) == 7
+    whole = P.compose(P.answer_questions(plans, records(spark)), chars=None).first().answer
+    assert max(len(r.description) for r in records(spark).collect()) > 200 and "d" * 201 in whole
 
 
 def test_model_replies(spark):

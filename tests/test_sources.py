@@ -1,5 +1,6 @@
 import json
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ AS_OF = datetime(2025, 1, 1)
 
 
 def write(path, value):
+    path.parent.mkdir(exist_ok=True)
     path.write_text(value if isinstance(value, str) else json.dumps(value, indent=1), encoding="utf-8")
 
 
@@ -93,7 +95,32 @@ def test_fetch_pages(spark):
     assert [(r.unit_type, r.position) for r in items] == [("Bounty", i) for i in range(6)] + [("Tip", i) for i in range(5)]
     assert items[0].id == "polkadot-0"
     errors = pages.filter("error is not null").collect()
-    assert sorted(r.type for r in errors) == ["Bounty", "Empty", "Tip"] and errors[0].error == "OSError: down"
+    down = [r for r in errors if r.network == "broken"]
+    assert sorted(r.type for r in down) == ["Bounty", "Empty", "Tip"] and down[0].error == "OSError: down"
+    assert [(r.type, r.error) for r in errors if r.network != "broken"] == [("Bounty", "cut after 6 items")]
+    whole = parse_items(fetch_pages(plan, fetcher, limit=3)).groupBy("unit_type").count().collect()
+    assert {r[0]: r[1] for r in whole} == {"Bounty": 7, "Tip": 5}
+
+
+def test_paging_goes_as_far_as_the_total(spark):
+    plan = fetch_plan(spark, ["polkadot"], ["Tip"])
+    fetcher = lambda n, t, o, limit, page: {"items": [{"id": str(i)} for i in range((page - 1) * limit, min(page * limit, 2345))], "totalCount": 2345}
+    assert fetch_pages(plan, fetcher, limit=50).count() == 2345
+
+
+def test_unreadable_files_are_kept_as_rejects(spark, tmp_path):
+    write(tmp_path / "in" / "good.json", {"items": [{"id": "a", "network": "dot", "title": "one"}, {"id": "c", "network": "else"}]})
+    (tmp_path / "in" / "bad.json").write_text('{"items": [{"id": "b", ')
+    paths = [str(tmp_path / n) for n in ("records", "vectors", "rejects")]
+    for name in ("first", "second", "second"):
+        done = run_load(spark, [str(tmp_path / "in")], *paths[:2], AS_OF, rejects_path=paths[2], load_id=name)
+        assert (done.records, done.unreadable, done.deduplicated, done.upserted, done.refused, done.embedded) == (2, 1, 2, 1, 1, 1)
+    rejects = spark.read.parquet(paths[2]).collect()
+    assert sorted((r["load"], r.reason) for r in rejects) == sorted((n, x) for n in ("first", "second") for x in ("network not allowed", "unreadable"))
+    bad = next(r for r in rejects if r.reason == "unreadable")
+    assert bad.file.endswith("bad.json") and bad.raw.startswith('{"items"')
+    scratch = Path(spark.conf.get("spark.checkpoint.dir"))
+    assert not list(scratch.glob("staged-*"))
 
 
 def test_incremental_runs_merge_each_file_once(spark, tmp_path):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sheaf.functions import questions as Q
@@ -9,6 +10,7 @@ from sheaf.operators.hybrid import hybrid_search
 from sheaf.plans import questions as P
 from workload import bindings as B
 from workload.registry import query
+from workload.search import HYBRID_SQL
 
 
 def _any(phrases) -> str:
@@ -160,15 +162,14 @@ def answers_ignoring_type(spark, sf_dir):
     return found.select("query_id", F.explode("examples").alias("e")).select("query_id", "e.position", "e.id")
 
 
-_NUMBER = "CASE WHEN ends_with({c}, '.') THEN {c} || '0' ELSE {c} END"
 _TEXTS = f"""{_ANSWERS},
-  t AS (SELECT *, regexp_replace(printf('%.6f', amount_numeric), '0+$', '') AS a FROM joined),
+  t AS (SELECT *, amount_numeric::VARCHAR AS a FROM joined),
   s AS (SELECT query_id, op, position, total, '## Proposal ' || position || ': ' || title || chr(10) || '**ID:** ' || id || chr(10) ||
       '**Type:** ' || record_type || chr(10) || '**Network:** ' || CASE op WHEN 'count' THEN 'Unknown' ELSE record_network END || chr(10) ||
       '**Proposer:** ' || CASE op WHEN 'count' THEN 'Unknown' ELSE proposer END || chr(10) ||
       '**Status:** ' || CASE op WHEN 'count' THEN 'Unknown' ELSE status END || chr(10) ||
       '**Created:** ' || strftime(created_at, '%Y-%m-%d %H:%M:%S') || '+00:00' || chr(10) ||
-      CASE WHEN op <> 'count' AND amount_numeric <> 0 THEN '**Amount:** ' || {_NUMBER.format(c='a')} || chr(10) ELSE '' END ||
+      CASE WHEN op <> 'count' AND amount_numeric <> 0 THEN '**Amount:** ' || a || chr(10) ELSE '' END ||
       '**Description:** ' || CASE op WHEN 'count' THEN 'No description available' ELSE description END || chr(10) || chr(10) AS section FROM t),
   answers AS (SELECT query_id, CASE WHEN count(position) = 0 THEN 'No proposals found matching your criteria.' ELSE
       'Found ' || max(CASE WHEN op = 'count' THEN total ELSE position END) || ' proposals. Here are some examples:' || chr(10) || chr(10) || string_agg(section, '' ORDER BY position) END AS answer
@@ -197,46 +198,101 @@ def markdown_rows(spark, sf_dir):
     return rows.select("query_id", "position", "id", "title", "type", "network", "status", "amount_numeric", "currency")
 
 
-@query("hit_answers")
+def _sections_sql(rows: str, keys: str) -> str:
+    """Numbered sections of result rows, as text."""
+    return f"""SELECT {keys}, position, '## Proposal ' || position || ': ' || CASE WHEN title = '' THEN 'Untitled' ELSE title END || chr(10) || '**ID:** ' || id || chr(10) ||
+      '**Type:** ' || type || chr(10) || '**Network:** ' || network || chr(10) || '**Proposer:** ' || coalesce(proposer, 'Unknown') || chr(10) ||
+      '**Status:** ' || coalesce(status, 'Unknown') || chr(10) || '**Created:** ' || coalesce(strftime(created_at, '%Y-%m-%d %H:%M:%S') || '+00:00', 'Unknown') || chr(10) ||
+      CASE WHEN amount <> 0 THEN '**Amount:** ' || amount::VARCHAR || chr(10) ELSE '' END || '**Description:** ' ||
+      (CASE WHEN length(description) > 200 THEN substring(description, 1, 200) || '...' WHEN description = '' THEN 'No description available' ELSE description END) || chr(10) || chr(10) AS section
+    FROM {rows}"""
+
+
+_NOTHING = "I couldn''t find any relevant information for your query."
+
+
+@query(
+    "hit_answers",
+    f"""WITH found AS ({HYBRID_SQL}),
+    kept AS (SELECT query_id, id, title, network, type, NULL::DOUBLE AS amount, NULL::VARCHAR AS proposer, NULL::VARCHAR AS status, NULL::TIMESTAMP AS created_at, description,
+        row_number() OVER (PARTITION BY query_id ORDER BY rank)::INTEGER AS position FROM found WHERE score >= 0.015),
+    sections AS ({_sections_sql("kept", "query_id")}),
+    texts AS (SELECT query_id, count(*) AS count, string_agg(section, '' ORDER BY position) AS body FROM sections GROUP BY query_id)
+    SELECT item_id AS query_id, text AS query, coalesce(count, 0) AS count,
+      CASE WHEN count IS NULL THEN '{_NOTHING}' ELSE 'Found ' || count || ' relevant proposals:' || chr(10) || chr(10) || body END AS answer
+    FROM benchmark JOIN embeddings ON item_id = vec_id LEFT JOIN texts ON item_id = query_id""",
+)
 def hit_answers(spark, sf_dir):
-    """Search results as answer texts; the same results are checked by ``hybrid_search``."""
+    """Search results as answer texts."""
     asked = B.benchmark_queries(spark, sf_dir)
     found = hybrid_search(asked, B.document_records(spark, sf_dir), B.document_embeddings(spark, sf_dir))
-    return P.compose_hits(asked.select("query_id", "query"), found).select("query_id", "count", "answer")
+    return P.compose_hits(asked.select("query_id", "query"), found).select("query_id", "query", "count", "answer")
+
+
+def _searched(spark, sf_dir, routed):
+    """Results for the questions about customers: the customer's orders, newest first."""
+    o = B.chain_records(spark, sf_dir).withColumn("customer", F.col("proposer"))
+    number = F.translate(F.regexp_extract("query", "customer ([a-j]+)$", 1), "abcdefghij", "0123456789")
+    asked = routed.filter(F.col("route") == P.SEARCHED).select("query_id", "query", F.concat(F.lit("c"), number).alias("customer"))
+    order = Window.partitionBy("customer").orderBy(F.col("created_at").desc(), "id")
+    best = o.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 10)
+    hits = asked.select("query_id", "customer").join(best, "customer").select(
+        "query_id", "rank", "id", "title", "network", "type", F.col("amount_numeric").alias("amount"), "created_at",
+        F.col("title").alias("snippet"), (F.lit(0.02) - F.col("rank") * 0.001).alias("score"), "description", "proposer", "status",
+    )
+    return P.compose_hits(asked.select("query_id", "query"), hits)
+
+
+_SEARCHED = f"""
+  i AS (SELECT query_id, {_INTENT} AS intent FROM (SELECT query_id, query AS q, lower(query) AS l FROM q)),
+  rt AS (SELECT query_id, {_ROUTE} AS route FROM i),
+  best AS (SELECT *, row_number() OVER (PARTITION BY proposer ORDER BY created_at DESC, id)::INTEGER AS position FROM r QUALIFY position <= 5),
+  asked AS (SELECT query_id, 'c' || o_custkey AS proposer FROM rt JOIN orders ON query_id = o_orderkey WHERE route = 'retrieval_agent'),
+  hits AS (SELECT query_id, position, id, title, network, type, amount_numeric AS amount, created_at, description, proposer, status FROM asked JOIN best USING (proposer)),
+  hit_sections AS ({_sections_sql("hits", "query_id, id")}),
+  searched AS (SELECT query_id, count(*) AS count, 'Found ' || count(*) || ' relevant proposals:' || chr(10) || chr(10) || string_agg(section, '' ORDER BY position) AS answer,
+      string_agg(id::VARCHAR, ',' ORDER BY position) AS ids FROM hit_sections GROUP BY query_id),
+  n AS (SELECT query_id, any_value(op) AS op, coalesce(max(CASE WHEN op = 'count' THEN total ELSE position END), 0) AS n FROM joined GROUP BY query_id)"""
 
 
 @query(
     "stage_events",
-    f"""WITH {_TEXTS}, i AS (SELECT query_id, {_INTENT} AS intent FROM (SELECT query_id, query AS q, lower(query) AS l FROM q)),
-    rt AS (SELECT query_id, {_ROUTE} AS route FROM i),
-    n AS (SELECT query_id, any_value(op) AS op, coalesce(max(CASE WHEN op = 'count' THEN total ELSE position END), 0) AS n FROM joined GROUP BY query_id)
-    SELECT query_id, 1 AS seq, 'router_decision' AS stage, '{{"decision":"' || route || '"}}' AS payload, NULL::BIGINT AS count FROM rt WHERE route <> 'retrieval_agent'
+    f"""WITH {_TEXTS}, {_SEARCHED}
+    SELECT query_id, 1 AS seq, 'router_decision' AS stage, '{{"decision":"' || route || '"}}' AS payload, NULL::BIGINT AS count FROM rt
     UNION ALL SELECT query_id, 2, 'sql_result', plan_text, n FROM rt JOIN plans USING (query_id) JOIN n USING (query_id) WHERE route = 'sql_agent'
     UNION ALL SELECT query_id, 3, 'final_answer', md5(answer), NULL FROM rt JOIN answers USING (query_id) WHERE route = 'sql_agent'
-    UNION ALL SELECT query_id, 3, 'final_answer', md5('I couldn''t find any relevant information for your query.'), NULL FROM rt WHERE route = 'composer'""",
+    UNION ALL SELECT query_id, 3, 'final_answer', md5('{_NOTHING}'), NULL FROM rt WHERE route = 'composer'
+    UNION ALL SELECT query_id, 2, 'retrieval_hits', ids, count FROM searched
+    UNION ALL SELECT query_id, 3, 'final_answer', md5(answer), NULL FROM searched
+    UNION ALL SELECT query_id, seq, stage, ids, NULL FROM searched, (VALUES (4, 'proposal_descriptions'), (5, 'proposals_data')) s(seq, stage)""",
 )
 def stage_events(spark, sf_dir):
+    """All events of all questions; of results and proposals, the ids are compared."""
     routed = P.route(B.chain_questions(spark, sf_dir))
-    events = P.stage_events(routed, _answered(spark, sf_dir))
+    events = P.stage_events(routed, B.chain_records(spark, sf_dir), _searched(spark, sf_dir, routed))
+    rows = F.from_json("payload", "hits array<struct<id:string>>, proposals array<struct<id:string>>")
+    ids = F.array_join(F.transform(F.coalesce(rows["hits"], rows["proposals"]), lambda x: x["id"]), ",")
     payload = (
         F.when(F.col("stage") == "sql_result", F.get_json_object("payload", "$.plan"))
         .when(F.col("stage") == "final_answer", F.md5(F.get_json_object("payload", "$.answer")))
-        .otherwise(F.col("payload"))
+        .when(F.col("stage") == "router_decision", F.col("payload"))
+        .otherwise(ids)
     )
     return events.select("query_id", "seq", "stage", payload.alias("payload"), F.get_json_object("payload", "$.count").cast("long").alias("count"))
 
 
 @query(
     "responses",
-    f"""WITH {_TEXTS}, i AS (SELECT query_id, {_INTENT} AS intent FROM (SELECT query_id, query AS q, lower(query) AS l FROM q)),
-    rt AS (SELECT query_id, {_ROUTE} AS route FROM i)
-    SELECT query_id, CASE route WHEN 'sql_agent' THEN answer ELSE 'I couldn''t find any relevant information for your query.' END AS response,
-      CASE route WHEN 'sql_agent' THEN plan_text END AS plan, NULL::VARCHAR AS results, 0::BIGINT AS count, route AS processing_type
-    FROM rt JOIN answers USING (query_id) JOIN plans USING (query_id) WHERE route <> 'retrieval_agent'""",
+    f"""WITH {_TEXTS}, {_SEARCHED}
+    SELECT query_id, CASE route WHEN 'sql_agent' THEN a.answer WHEN 'retrieval_agent' THEN s.answer ELSE '{_NOTHING}' END AS response,
+      CASE route WHEN 'sql_agent' THEN plan_text END AS plan, s.ids AS results, coalesce(s.count, 0) AS count, route AS processing_type
+    FROM rt LEFT JOIN answers a USING (query_id) LEFT JOIN plans USING (query_id) LEFT JOIN searched s USING (query_id)""",
 )
 def responses(spark, sf_dir):
     routed = P.route(B.chain_questions(spark, sf_dir))
-    return P.collapse_events(P.stage_events(routed, _answered(spark, sf_dir)))
+    events = P.stage_events(routed, B.chain_records(spark, sf_dir), _searched(spark, sf_dir, routed))
+    ids = F.array_join(F.transform(F.from_json("results", "array<struct<id:string>>"), lambda x: x["id"]), ",")
+    return P.collapse_events(events).withColumn("results", ids)
 
 
 @query(
