@@ -76,10 +76,6 @@ def refilter(
     return df
 
 
-def has_vector(c: str = "embedding") -> Column:
-    return F.col(c).isNotNull()
-
-
 def has_text(*columns: str) -> Column:
     """At least one of the columns holds more than white space."""
     return reduce(lambda a, b: a | b, [F.coalesce(F.trim(F.col(c)) != "", F.lit(False)) for c in columns])

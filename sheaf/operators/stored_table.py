@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheaf.operators.merge import last_per_key, upsert
-from sheaf.session import folder_bytes, list_names, path_exists, read_text, remove_path, staged, union_all, write_new_text
+from sheaf.session import folder_bytes, list_names, path_exists, read_text, remove_path, staged, write_new_text
 
 BUCKET = "id_bucket"
 #: Bytes of Parquet that a bucket is meant to hold.
@@ -195,8 +195,3 @@ def vacuum(spark: SparkSession, path: str) -> int:
         if name != f"{manifest.version:012d}.json":
             remove_path(spark, f"{path}/manifest/{name}")
     return gone
-
-
-def appended(table: DataFrame, rows: DataFrame) -> DataFrame:
-    """What a table shows once the rows are added, without storing anything."""
-    return union_all(table, rows.select(*table.columns))

@@ -278,7 +278,7 @@ def compose_hits(questions: DataFrame, hits: DataFrame, chars: int | None = S.AN
 # --- events ------------------------------------------------------------------------------------
 
 
-ANSWERED, SEARCHED = "sql_agent", "retrieval_agent"
+ANSWERED, SEARCHED, COMPOSED = "sql_agent", "retrieval_agent", "composer"
 FAILED = "Failed to process query"
 
 
@@ -305,19 +305,22 @@ def stage_events(
     questions that ask for it. A month that does not exist and a question without search results
     of its own end in an ``error`` event.
     """
-    decision = _event(1, "router_decision", _json(decision=F.col("route")))
+
+    def with_decision(route: str, outcome: Column) -> Column:
+        # the route by name: its expression is needed in the filter only
+        return F.concat(F.array(_event(1, "router_decision", _json(decision=F.lit(route)))), outcome).alias("events")
 
     def failed(why: Column) -> Column:
         return F.array(_event(3, "error", _json(error=why, message=F.lit(FAILED))))
 
-    plans = plan_questions(routed.filter(F.col("route") == ANSWERED).select("query_id", "query", "route"), word_boundary)
+    plans = plan_questions(routed.filter(F.col("route") == ANSWERED).select("query_id", "query"), word_boundary)
     result = _event(2, "sql_result", _json(plan=F.col("_plan"), count=F.col("count"), examples=F.col("examples")))
     done = F.array(result, _final(F.col("answer"), ANSWERED))
     outcome = F.when(F.col("_op") == "invalid", failed(F.lit("no such month"))).otherwise(done)
     by_plan = answer_plans(plans, proposals, n).select("_op", "_spec", "_plan", outcome.alias("outcome"))
-    answered = _to_questions(plans, by_plan).select("query_id", "route", "outcome")
+    answered = _to_questions(plans, by_plan).select("query_id", with_decision(ANSWERED, F.col("outcome")))
 
-    asked = routed.filter(F.col("route") == SEARCHED).select("query_id", "route")
+    asked = routed.filter(F.col("route") == SEARCHED).select("query_id")
     found = asked.join(hits.select("query_id", "count", "hits", "answer"), "query_id", "left")
     shown = [_event(k, stage, _json(proposals=F.col("hits"))) for k, stage in ((4, "proposal_descriptions"), (5, "proposals_data"))]
     always = F.array(_event(2, "retrieval_hits", _json(hits=F.col("hits"), count=F.col("count"))), _final(F.col("answer"), SEARCHED))
@@ -326,13 +329,12 @@ def stage_events(
         .when(F.col("count") > 0, F.concat(always, F.array(*shown)))
         .otherwise(always)
     )
-    searched = found.select("query_id", "route", outcome.alias("outcome"))
+    searched = found.select("query_id", with_decision(SEARCHED, outcome))
 
-    rest = routed.filter(~F.col("route").isin(ANSWERED, SEARCHED)).select("query_id", "route")
-    composed = rest.select("query_id", "route", F.array(_final(F.lit(NOTHING_RELEVANT), "composer")).alias("outcome"))
+    rest = routed.filter(~F.col("route").isin(ANSWERED, SEARCHED)).select("query_id")
+    composed = rest.select("query_id", with_decision(COMPOSED, F.array(_final(F.lit(NOTHING_RELEVANT), COMPOSED))))
     every = union_all(answered, searched, composed)
-    each = every.select("query_id", F.explode(F.concat(F.array(decision), F.col("outcome"))).alias("e"))
-    return each.select("query_id", "e.seq", "e.stage", "e.payload")
+    return every.select("query_id", F.explode("events").alias("e")).select("query_id", "e.seq", "e.stage", "e.payload")
 
 
 def collapse_events(events: DataFrame) -> DataFrame:

@@ -7,31 +7,6 @@ from datetime import datetime
 
 from pyspark.sql import types as T
 
-RECORD_SCHEMA = T.StructType(
-    [
-        T.StructField("id", T.StringType(), False),
-        T.StructField("network", T.StringType(), False),
-        T.StructField("type", T.StringType(), False),
-        T.StructField("title", T.StringType()),
-        T.StructField("description", T.StringType()),
-        T.StructField("proposer", T.StringType()),
-        T.StructField("amount_numeric", T.DoubleType()),
-        T.StructField("currency", T.StringType()),
-        T.StructField("status", T.StringType()),
-        T.StructField("created_at", T.TimestampType(), False),
-        T.StructField("updated_at", T.TimestampType()),
-        T.StructField("metadata", T.StringType()),
-        T.StructField("doc_text", T.StringType()),
-    ]
-)
-
-EMBEDDING_SCHEMA = T.StructType(
-    [
-        T.StructField("proposal_id", T.StringType(), False),
-        T.StructField("embedding", T.ArrayType(T.FloatType(), False)),
-    ]
-)
-
 # One landed item. Declared, so that streams and repeated loads need no inference pass.
 RAW_ITEM_SCHEMA = T.StructType(
     [

@@ -97,6 +97,12 @@ def remove_path(spark: SparkSession, path: str) -> None:
     fs.delete(hadoop_path, True)
 
 
+def rename_path(spark: SparkSession, old: str, new: str) -> None:
+    fs, source = _file(spark, old)
+    if not fs.rename(source, _file(spark, new)[1]):
+        raise OSError(f"cannot rename {old}")
+
+
 def folder_bytes(spark: SparkSession, paths: Sequence[str]) -> int:
     """Bytes of files or folders."""
     total = 0

@@ -3,10 +3,9 @@
 import pytest
 
 import __spark_entry__ as entry_points
+from workload import ORACLES, QUERIES
 from workload.check import compare, connect
 
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def con(sf):
@@ -19,5 +18,9 @@ def test_query_agrees_with_sql(spark, con, sf, name):
     assert ok, note
 
 
+def test_all_are_entry_points():
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLES) <= set(entry_points.oracle_sql())
+
+
 def test_entry(spark):
     assert entry_points.entry(spark).limit(1).count() == 1

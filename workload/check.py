@@ -46,7 +46,7 @@ def compare(spark, con, sf_dir: str, name: str, fn, sql: str | None) -> tuple[bo
     got = df.collect()
     took = time.time() - start
     if sql is None:
-        return True, f"{len(got)} rows, {took:.1f}s, no SQL"
+        return False, f"{len(got)} rows, {took:.1f}s, but no SQL to compare with"
     start = time.time()
     result = con.execute(sql)
     columns = [d[0] for d in result.description]

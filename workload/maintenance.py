@@ -4,19 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sheaf.functions import text as X
 from sheaf.operators import merge as M
 from sheaf.operators import stored_table as ST
-from sheaf.operators.analytics import coverage
 from sheaf.operators.filters import split_valid
-from sheaf.plans.ingest import normalize, run_load
+from sheaf.plans.ingest import normalize, refresh_texts, run_load
 from sheaf.schema import ENVELOPE_SCHEMA
 from sheaf.session import scratch_dir
 from sheaf.sources import files as S
 from sheaf.streaming.incremental import run_incremental
 from workload import bindings as B
 from workload.registry import query
-from workload.tables import plain_times, raw_orders
+from workload.tables import HASHED_SQL, checksum, plain_times, raw_orders
 
 
 def _settled(spark, sf_dir):
@@ -60,13 +58,16 @@ def stored_merge(spark, sf_dir):
 
 @query(
     "append_new",
-    "SELECT o_orderkey AS id, CASE WHEN o_orderpriority = '5-LOW' THEN 'pending' ELSE o_orderstatus END AS status FROM orders WHERE o_orderstatus = 'P'",
+    "SELECT o_orderkey AS id, CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'P' THEN 'pending' ELSE o_orderstatus END AS status FROM orders",
 )
 def append_new(spark, sf_dir):
-    target = _settled(spark, sf_dir)
+    """Open orders appended to a stored table of the others."""
+    path = scratch_dir(spark, "appended")
+    ST.append_table(spark, path, _settled(spark, sf_dir), buckets=4)
     fresh = B.orders_records(spark, sf_dir).filter(F.col("status") == "P")
     fresh = fresh.withColumn("status", F.when(F.col("type") != "5-LOW", F.col("status")))
-    return M.append_new(fresh, target).select("id", "status")
+    ST.append_table(spark, path, M.append_new(fresh, ST.read_table(spark, path)))
+    return ST.read_table(spark, path).select("id", "status")
 
 
 @query(
@@ -106,12 +107,6 @@ def rejected_loads(spark, sf_dir):
     return split_valid(rows, ["polkadot"])[1].groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-_LOADED = """
-  SELECT doc_id::VARCHAR AS id, lang AS network, source AS type, n_chars::DOUBLE AS amount_numeric, 'pending' AS status,
-    TIMESTAMP '2025-01-01' AS created_at, length(text)::INTEGER AS n FROM documents
-    WHERE trim(text) <> ''"""
-
-
 def _landed(spark, sf_dir):
     path = scratch_dir(spark, "inbox")
     docs = B.table(spark, sf_dir, "documents").select(
@@ -127,24 +122,44 @@ def _landed(spark, sf_dir):
     return path
 
 
-def _shown(df):
-    rows = df.select("id", "network", "type", "amount_numeric", "status", "created_at", F.length("description").alias("n"))
+_BLANK = "chr(9)||chr(10)||chr(13)||' '"
+_LOADED = f"""
+  d AS (SELECT doc_id::VARCHAR AS id, lang, source, n_chars, trim(split_part(text, chr(10), 1), {_BLANK}) AS title, trim(text, {_BLANK}) AS description FROM documents),
+  x AS (SELECT id, trim(concat_ws(chr(10), CASE WHEN title <> '' THEN 'Title: ' || title END, 'Network: ' || lang, 'Type: ' || source,
+      CASE WHEN description <> '' THEN 'Description: ' || (CASE WHEN length(description) > 2000 THEN substring(description, 1, 2000) || '...' ELSE description END) END), {_BLANK}) AS text FROM d)"""
+_WHOLE = (
+    "WITH "
+    + _LOADED
+    + ","
+    + HASHED_SQL.replace("{texts}", "SELECT id, text FROM x")
+    + r""",
+  c AS (SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(concat_ws(' ', nullif(title, ''), nullif(description, '')),
+      '[\x00-\x1f\x7f-\x{9f}]', ' ', 'g'), '[\s\x{a0}]+', ' ', 'g'), '[^\p{L}\p{N}_\s]', ' ', 'g')) AS t FROM d)
+  SELECT d.id, lang AS network, source AS type, n_chars::DOUBLE AS amount_numeric, 'pending' AS status, TIMESTAMP '2025-01-01' AS created_at,
+    length(description)::INTEGER AS n, md5(title) AS title, round(checksum, 3) AS vector, md5(substring(t, 1, 1000)) AS doc_text
+  FROM d JOIN c USING (id) LEFT JOIN h USING (id)"""
+)
+
+
+def _shown(records, vectors):
+    v = vectors.select(F.col("proposal_id").alias("_id"), F.round(checksum("embedding"), 3).alias("vector"))
+    rows = records.join(v, F.col("id") == F.col("_id"), "left").select(
+        "id", "network", "type", "amount_numeric", "status", "created_at", F.length("description").alias("n"),
+        F.md5("title").alias("title"), "vector", F.md5("doc_text").alias("doc_text"),
+    )
     return plain_times(rows)
 
 
-@query("whole_load", _LOADED.replace("length(text)", "length(trim(text, chr(9)||chr(10)||chr(13)||' '))"))
+@query("whole_load", _WHOLE)
 def whole_load(spark, sf_dir):
     """Landed files to the stored record and embedding tables."""
     inbox, records, vectors = _landed(spark, sf_dir), scratch_dir(spark, "records"), scratch_dir(spark, "vectors")
     langs = ["en", "fr", "de", "es"]
     run_load(spark, [f"{inbox}/*"], records, vectors, B.AS_OF, ENVELOPE_SCHEMA, networks=langs, buckets=8)
-    return _shown(ST.read_table(spark, records))
+    return _shown(ST.read_table(spark, records), ST.read_table(spark, vectors))
 
 
-@query(
-    "incremental_load",
-    "SELECT count(*) AS total, count(*) AS embedded, 0::BIGINT AS missing FROM documents",
-)
+@query("incremental_load", _WHOLE)
 def incremental_load(spark, sf_dir):
     """The same load as a file stream, run twice; the second run finds nothing new."""
     inbox, records, vectors = _landed(spark, sf_dir), scratch_dir(spark, "records"), scratch_dir(spark, "vectors")
@@ -152,8 +167,7 @@ def incremental_load(spark, sf_dir):
     langs = ["en", "fr", "de", "es"]
     for _ in range(2):
         run_incremental(spark, inbox, records, vectors, checkpoint, B.AS_OF, networks=langs, max_files=100, buckets=8)
-    found = coverage(ST.read_table(spark, records), ST.read_table(spark, vectors))
-    return found.select("total", "embedded", "missing")
+    return _shown(ST.read_table(spark, records), ST.read_table(spark, vectors))
 
 
 @query(
@@ -165,5 +179,4 @@ def refreshed_texts(spark, sf_dir):
     docs = B.table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"), F.col("text").alias("description"), F.when(F.col("lang") == "en", "kept").otherwise("").alias("doc_text")
     )
-    text = X.clean_doc_text(F.lit(None).cast("string"), F.col("description"))
-    return M.fill_missing(docs, "doc_text", text).select("id", "doc_text")
+    return refresh_texts(docs.withColumn("title", F.lit(None).cast("string"))).select("id", "doc_text")

@@ -11,10 +11,11 @@ from sheaf.operators import embedding as E
 from sheaf.operators import joins as J
 from sheaf.operators import merge as M
 from sheaf.operators.analytics import coverage
-from sheaf.plans.ingest import normalize
-from sheaf.session import scratch_dir
+from sheaf.operators.stored_table import read_table
+from sheaf.plans.ingest import normalize, run_load
+from sheaf.session import list_names, rename_path, scratch_dir
 from sheaf.sources import files as S
-from sheaf.sources.paged import expand_units
+from sheaf.sources.paged import expand_units, fetch_pages, parse_items
 from workload import bindings as B
 from workload.registry import query
 from workload.texts import WS
@@ -103,20 +104,49 @@ def mixed_files(spark, sf_dir):
 
 @query(
     "corrupt_files",
-    "SELECT count(*) FILTER (lang = 'en') AS good, count(*) FILTER (lang <> 'en') AS corrupt FROM documents",
+    """SELECT 'record' AS kind, doc_id::VARCHAR AS id, md5(text) AS content FROM documents WHERE lang = 'en'
+    UNION ALL SELECT 'unreadable', NULL, lang || source FROM (SELECT DISTINCT lang, source FROM documents WHERE lang <> 'en')""",
 )
 def corrupt_files(spark, sf_dir):
-    """Documents that are not English are landed as broken JSON; the rest must still load."""
-    path = scratch_dir(spark, "corrupt")
+    """A load of good envelopes and of broken files, one for each language and source but English:
+    the good records are stored, the broken files are among the rejects."""
+    inbox, records, rejects = (scratch_dir(spark, n) for n in ("corrupt", "records", "rejects"))
+    docs = B.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("network"), F.col("source").alias("type"), F.col("text").alias("content"),
+        F.substring_index("text", "\n", 1).alias("title"), F.col("doc_id").alias("position"),
+    )
+    S.land(docs.filter(F.col("network") == "en"), f"{inbox}/good", ["network"], "position", B.AS_OF, chunk=200)
+    groups = docs.filter(F.col("network") != "en").select("network", "type").distinct()
+    broken = groups.select(F.concat(F.lit('{"name": "'), "network", "type", F.lit('", "items": [{"id": 1, "tit')).alias("value"))
+    broken.write.option("maxRecordsPerFile", 1).text(f"{inbox}/broken")
+    for name in list_names(spark, f"{inbox}/broken"):
+        if name.endswith(".txt"):  # Spark's text files, under a name that the load reads
+            rename_path(spark, f"{inbox}/broken/{name}", f"{inbox}/broken/{name[:-4]}.json")
+    run_load(spark, [f"{inbox}/good", f"{inbox}/broken"], records, None, B.AS_OF, rejects_path=rejects, networks=["en"], load_id="one")
+    good = read_table(spark, records).select(F.lit("record").alias("kind"), "id", F.md5("description").alias("content"))
+    bad = spark.read.parquet(rejects).filter(F.col("reason") == "unreadable")
+    name = F.regexp_extract("raw", '"name": "(\\w+)"', 1)
+    return B.union_all(good, bad.select(F.lit("unreadable").alias("kind"), F.lit(None).cast("string").alias("id"), name.alias("content")))
+
+
+def _paged(network: str, type: str, origin: str, limit: int, page: int) -> dict:
+    """A remote source that has as many items as ``origin`` says."""
+    total = int(origin)
+    ids = range((page - 1) * limit, min(page * limit, total))
+    return {"items": [{"id": f"{network}-{type}-{i}", "title": f"item {i}"} for i in ids], "totalCount": total}
+
+
+@query(
+    "paged_items",
+    """SELECT lang AS unit_network, source AS unit_type, (row_number() OVER (PARTITION BY lang, source) - 1)::BIGINT AS position,
+      lang || '-' || source || '-' || (row_number() OVER (PARTITION BY lang, source) - 1) AS id FROM documents""",
+)
+def paged_items(spark, sf_dir):
+    """A unit for each language and source, with as many items to page over as it has documents."""
     docs = B.table(spark, sf_dir, "documents")
-    whole = F.to_json(F.struct(F.col("doc_id").alias("id"), F.col("text").alias("title")))
-    broken = F.concat(F.lit('{"id": '), F.col("doc_id").cast("string"), F.lit(', "title'))
-    # One object per file would be a file per document; a line per object reads the same.
-    docs.select(F.when(F.col("lang") == "en", whole).otherwise(broken).alias("value")).write.text(path)
-    lines = spark.read.option("columnNameOfCorruptRecord", S.CORRUPT).schema(f"id long, title string, {S.CORRUPT} string").json(path)
-    good, bad = S.good_and_corrupt(S.records_of(S.located(lines)))
-    counted = B.union_all(good.select("title", F.lit(1).alias("g")), bad.select("title", F.lit(0).alias("g")))
-    return counted.agg(F.count(F.when((F.col("g") == 1) & F.col("title").isNotNull(), 1)).alias("good"), F.count(F.when(F.col("g") == 0, 1)).alias("corrupt"))
+    units = docs.groupBy(F.col("lang").alias("network"), F.col("source").alias("type")).agg(F.count(F.lit(1)).cast("string").alias("origin"))
+    pages = fetch_pages(units, _paged, limit=7, partitions=B.PARTS)
+    return parse_items(pages).select("unit_network", "unit_type", "position", "id")
 
 
 @query(
@@ -324,13 +354,13 @@ def zero_vectors(spark, sf_dir):
     return kept.select("proposal_id", F.col("embedding").isNotNull().alias("usable"))
 
 
-def _checksum(c: str):
+def checksum(c: str):
     """One number per vector in which every place counts differently."""
     products = F.transform(c, lambda x, i: x.cast("double") * (i + 1))
     return F.aggregate(products, F.lit(0.0), lambda a, x: a + x)
 
 
-_HASHED_SQL = """
+HASHED_SQL = """
   t AS ({texts}),
   w AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM t),
   b AS (SELECT id, ('0x' || substr(md5(w), 1, 7))::BIGINT % 64 AS b, count(*) AS n FROM w GROUP BY ALL),
@@ -340,11 +370,11 @@ _HASHED_SQL = """
 
 @query(
     "embed_texts",
-    "WITH " + _HASHED_SQL.replace("{texts}", "SELECT doc_id AS id, text FROM documents") + " SELECT id, round(checksum, 3) AS checksum FROM h",
+    "WITH " + HASHED_SQL.replace("{texts}", "SELECT doc_id AS id, text FROM documents") + " SELECT id, round(checksum, 3) AS checksum FROM h",
 )
 def embed_texts(spark, sf_dir):
     docs = B.document_records(spark, sf_dir).select("id", F.col("description").alias("text"))
-    return E.embed(docs, "text").select("id", F.round(_checksum("embedding"), 3).alias("checksum"))
+    return E.embed(docs, "text").select("id", F.round(checksum("embedding"), 3).alias("checksum"))
 
 
 _MISSING_TEXTS = f"""SELECT id, CASE WHEN length(x) > 6000 THEN substring(x, 1, 6000) || '...' ELSE x END AS text FROM (
@@ -354,7 +384,7 @@ _MISSING_TEXTS = f"""SELECT id, CASE WHEN length(x) > 6000 THEN substring(x, 1,
 
 @query(
     "embedding_backfill",
-    "WITH " + _HASHED_SQL.replace("{texts}", _MISSING_TEXTS) + """
+    "WITH " + HASHED_SQL.replace("{texts}", _MISSING_TEXTS) + """
     SELECT id::VARCHAR AS proposal_id, round(checksum, 3) AS checksum FROM h
     UNION ALL SELECT vec_id::VARCHAR, round(list_sum(list_transform(embedding::DOUBLE[], lambda x, i: x * i)), 3) FROM embeddings""",
 )
@@ -362,7 +392,7 @@ def embedding_backfill(spark, sf_dir):
     docs = B.document_records(spark, sf_dir).withColumn("id", F.col("id").cast("string"))
     vectors = B.document_embeddings(spark, sf_dir).withColumn("proposal_id", F.col("proposal_id").cast("string"))
     filled = E.backfill(docs, vectors)
-    return filled.select("proposal_id", F.round(_checksum("embedding"), 3).alias("checksum"))
+    return filled.select("proposal_id", F.round(checksum("embedding"), 3).alias("checksum"))
 
 
 @query(
