@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm import chat
+from sheaf.llm import chat, oracles
 from sheaf.llm.common import table
 from sheaf.llm.decontaminate import contamination
 from sheaf.llm.language import identify
@@ -41,7 +41,7 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("op5_chat_prefix_targets")
+@query("op5_chat_prefix_targets", oracles.CHAT)
 def op5(spark, sf_dir) -> DataFrame:
     turns = chat.with_probe(table(spark, sf_dir, "conversations"), spark)
     return chat.read_back(chat.format_conversations(turns))
@@ -72,14 +72,14 @@ def op9(spark, sf_dir) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-@query("op10_url_token_rules")
+@query("op10_url_token_rules", oracles.URLS)
 def op10(spark, sf_dir) -> DataFrame:
     judged = url_verdicts(table(spark, sf_dir, "pages"))
     site = F.when(F.col("rank") == SITE_RANK, F.col("rule"))
     return judged.select("page_id", "host", "path", site.alias("rule"), "verdict", F.col("rule").alias("matched_rule"))
 
 
-@query("op4_prefix_filtered_windows")
+@query("op4_prefix_filtered_windows", oracles.DECONTAMINATION)
 def op4(spark, sf_dir) -> DataFrame:
     judged = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
@@ -98,11 +98,11 @@ def op1(spark, sf_dir) -> DataFrame:
     return score_quality(docs, learn_quality(docs, table(spark, sf_dir, "labels")))
 
 
-@query("op2_odd_sketch_near_dedup")
+@query("op2_odd_sketch_near_dedup", oracles.NEAR_DEDUP)
 def op2(spark, sf_dir) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@query("op3_suffix_array_repeats")
+@query("op3_suffix_array_repeats", oracles.SUFFIX_ARRAY)
 def op3(spark, sf_dir) -> DataFrame:
     return repeated_bytes(table(spark, sf_dir, "documents"))
