@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sheaf.llm.common import TASK_BYTES, as_batch, as_bytes, fields, fold_values, parts_for, stored, text_bytes
+from sheaf.llm.common import as_batch, as_bytes, fields, fold_values, parts_for, stored, text_bytes
 from sheaf.llm.suffix_array import common_prefixes, laid_out, suffix_array
 from sheaf.session import union_all
 
@@ -48,9 +48,11 @@ GRAM = 20
 GRAMS = LENGTH - GRAM + 1
 LEFT, RIGHT = GRAMS - 1, GRAM + GRAMS - 1
 #: Bytes scanned at once, and what a slice of a long text sees of its neighbours.
-SCAN, MARGIN = 1 << 19, 128
+SCAN, MARGIN = 1 << 18, 128
 #: Anchors a bucket and surroundings a shard are meant to hold.
-BUCKET_ANCHORS, SHARD_ANCHORS = 800_000, 25_000
+BUCKET_ANCHORS, SHARD_ANCHORS = 600_000, 12_000
+#: Documents whose anchors are packed together, and bytes of text in a chunk.
+DOCS_AT_ONCE, CHUNK_BYTES = 2048, 8 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _VALUES = np.random.default_rng(3).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -193,13 +195,14 @@ def packed_anchors(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches):
         up, down = powers()
-        for batch in batches:
+        for batch in (b.slice(at, DOCS_AT_ONCE) for b in batches for at in range(0, b.num_rows, DOCS_AT_ONCE)):
             found = list(anchors_of(as_bytes(batch.column(1)), up, down))
             if not found:
                 continue
             number, place, gram, around = (np.concatenate(x) for x in zip(*found, strict=True))
             doc, tag, chunk = (batch.column(k).to_numpy() for k in (0, 2, 3))
-            bucket = (gram >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(gram), np.int64)
+            # anchors are smallest hashes, so their own leading bits are mostly zero: mixed once more
+            bucket = (fold_values(gram) >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(gram), np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
             for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True):
@@ -504,7 +507,7 @@ def removed(left: pa.Table, right: pa.Table) -> tuple[Chunk, np.ndarray]:
         hi = np.where(anchor, np.minimum(begin + RIGHT, chunk.size[at]), end)
         np.add.at(change, chunk.begin[at] + lo, 1)
         np.add.at(change, chunk.begin[at] + hi, -1)
-    return chunk, np.cumsum(change[:-1]) > 0
+    return chunk, np.cumsum(change[:-1], out=change[:-1]) > 0
 
 
 def _keyed(docs: DataFrame, chunks: int) -> DataFrame:
@@ -522,7 +525,7 @@ def _keyed(docs: DataFrame, chunks: int) -> DataFrame:
 def _located(docs: DataFrame, shard_anchors: int) -> tuple[DataFrame, DataFrame]:
     """Keyed documents and the ranges to remove, by chunk."""
     size = text_bytes(docs)
-    chunks = parts_for(size, TASK_BYTES)
+    chunks = parts_for(size, CHUNK_BYTES)
     buckets = parts_for(size * 2 // (GRAMS + 1), BUCKET_ANCHORS)
     keyed = _keyed(docs, chunks)
     ordered = keyed.filter("_doc is not null").select("_doc", "_text", "_tag", "_chunk")
