@@ -92,20 +92,31 @@ def fuzzy_search_one(
 # --- postings ----------------------------------------------------------------------------------
 
 
-def _words(docs: DataFrame, repeats: bool) -> DataFrame:
-    """``(token, id, in_title)`` of every word, or of every distinct word of a field.
+def _tokens(column: str) -> Column:
+    return F.coalesce(X.tokens(F.col(column)), F.array().cast("array<string>"))
 
-    The two fields are read by two narrow scans, and each word is a row of generated code.
-    """
+
+def _words(docs: DataFrame) -> DataFrame:
+    """``(token, id, in_title)`` of every word. The two fields are read by two narrow scans, and each
+    word is a row of generated code."""
 
     def side(column: str, in_title: bool) -> DataFrame:
-        words = X.tokens(F.col(column))
-        each = words if repeats else F.array_distinct(words)
-        return docs.select(F.explode(each).alias("token"), "id", F.lit(in_title).alias("in_title"))
+        return docs.select(F.explode(X.tokens(F.col(column))).alias("token"), "id", F.lit(in_title).alias("in_title"))
 
     return union_all(side("title", True), side("description", False))
 
 
+def _distinct_words(docs: DataFrame) -> DataFrame:
+    """``(token, id, in_title)`` of every distinct word of a record, from one scan."""
+    title = F.array_distinct(_tokens("title"))
+    rest = F.array_except(_tokens("description"), title)
+    flagged = F.concat(
+        F.transform(title, lambda t: F.struct(t.alias("token"), F.lit(True).alias("in_title"))),
+        F.transform(rest, lambda t: F.struct(t.alias("token"), F.lit(False).alias("in_title"))),
+    )
+    return docs.select("id", F.explode(flagged).alias("_w")).select("_w.token", "id", "_w.in_title")
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """``(token, id, tf, in_title, in_description)``: one row per distinct word of a record.
 
@@ -114,7 +125,7 @@ def postings(docs: DataFrame) -> DataFrame:
     Records bucketed by id are counted without any shuffle.
     """
     return (
-        _words(docs, repeats=True)
+        _words(docs)
         .groupBy("token", "id")
         .agg(
             F.count(F.lit(1)).alias("tf"),
@@ -152,7 +163,7 @@ def lexical_search(
     queries use it, and cut to ``limit`` records before anything is combined.
     """
     if index is None:
-        rows = _words(apply_filters(docs, filters), repeats=False)
+        rows = _distinct_words(apply_filters(docs, filters))
     else:
         rows = _in_scope(index.select("token", "id", "in_title"), docs, filters)
     query_terms = queries.select("query_id", F.explode(X.key_terms(F.col("query"))).alias("term"))
@@ -212,7 +223,8 @@ def _fulltext(
     needed = words.select("query_id", F.size("_words").alias("_n"), F.explode("_words").alias("token"))
     wanted = needed.select("token").distinct()
     if index is None:
-        every = _words(apply_filters(docs, filters), repeats=True).select("token", "id")
+        words = F.explode(F.concat(_tokens("title"), _tokens("description"))).alias("token")
+        every = apply_filters(docs, filters).select(words, "id")
         counted = every.join(wanted, "token", "left_semi").groupBy("token", "id")
         used = counted.agg(F.count(F.lit(1)).alias("tf"))
     else:
