@@ -9,10 +9,10 @@ which the sets differ, so its population count estimates a high similarity close
 2. Classes that share a band key are candidates. Each is first paired with the smallest class of
    its bucket alone, pairs whose sketches put them well below the threshold are dropped, and the
    rest is confirmed on the full sets.
-3. Buckets whose classes are not all connected by then are compared once more, now every pair of
-   unconnected classes, by sketch, in blocks of bounded size; what the sketches let through is
-   confirmed as well. So no pair that shares a band is passed over, while a group of near copies
-   costs one pair a member, not the square of its size.
+3. Buckets whose classes are not all connected by then are gone through once more, in blocks of
+   bounded size: unconnected classes that the sketches let through are confirmed within the task,
+   which gives out links only. So no pair that shares a band is passed over, while a group of near
+   copies that are linked costs one pair a member, not the square of its size.
 4. Confirmed links give components, whose smallest doc_id is every member's component_id.
 
 A pair of similarity 0.75 shares none of the 30 bands of 5 with probability 0.0003, and most groups are
@@ -47,8 +47,8 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 #: Estimated similarity below which a candidate is not confirmed.
 SKETCH_FLOOR = 0.6
-#: Classes of a bucket that are compared in one block.
-BLOCK = 2048
+#: Classes of a bucket, and shingles of them, that are compared in one block.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 #: Words whose hashes a worker remembers.
 CACHE_WORDS = 1 << 20
 
@@ -178,49 +178,79 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return per_batch(both, run, schema)
 
 
-def unconnected_pairs(buckets: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of classes that share a bucket, are not connected by ``found`` (node, root) and look alike
-    by sketch. ``buckets``: key, node. Buckets meet in blocks of bounded size."""
+def unconnected_links(buckets: DataFrame, classes: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
+    """Links (a, b) between classes that share a bucket and are not connected by ``found`` (node, root).
+
+    ``buckets``: key, node. Buckets meet in blocks of bounded rows and bytes. Within a block a pair is
+    looked at if its roots differ, its sizes and sketches allow the threshold and this is the first
+    bucket that both share; it is confirmed on the full sets right there, and what is linked counts as
+    connected from then on. So a task gives links, never candidates."""
     rooted = buckets.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_keys = rooted.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    open_keys = open_keys.filter("lo < hi and size > 2").select("key", "size")
-    rows = rooted.join(open_keys, "key").join(classes.select("node", "n", "sketch"), "node")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    rows = rows.select("key", "node", "root", "n", "sketch", blocks.alias("blocks"), own.alias("own"))
-    rows = rows.select("key", "node", "root", "n", "sketch", "own", F.explode(other).alias("other"))
+    known = classes.select("node", "n", "sketch", "bands")
+    sized = rooted.join(known.select("node", "n"), "node")
+    open_keys = sized.groupBy("key").agg(
+        F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("root").alias("lo"), F.max("root").alias("hi")
+    )
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    open_keys = open_keys.filter("lo < hi and size > 2").select("key", blocks.alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = rooted.join(open_keys, "key").select("key", "node", "root", own.alias("own"), "blocks")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = rows.select("key", "node", "root", "own", other).join(known, "node").join(texts, "node")
     rows = rows.select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n", "sketch"
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n", "sketch", "bands", "text"
     )
     node = classes.schema["node"].dataType
     schema = fields(("a", node), ("b", node))
     arrow = to_arrow_schema(schema)
 
-    def compare(group: pa.Table) -> pa.RecordBatch | None:
+    def compare(group: pa.Table, shingler: Shingler) -> pa.RecordBatch | None:
         node, root, n, own = (group[c].to_numpy() for c in ("node", "root", "n", "own"))
         bits = np.array(group["sketch"].to_pylist(), np.int64).view(np.uint64)
-        same_block = group["i"][0].as_py() == group["j"][0].as_py()
-        out_a, out_b = [], []
+        bands = np.array(group["bands"].to_pylist(), np.int64)
+        band = int(np.argmax(bands[0] == group["key"][0].as_py()))
+        i, j = group["i"][0].as_py(), group["j"][0].as_py()
+        texts = as_bytes(group["text"].combine_chunks())
+        sets: dict[int, np.ndarray] = {}
+        root = root.copy()
+        links = []
+
+        def shingles(row: int) -> np.ndarray:
+            if row not in sets:
+                sets[row] = shingler(texts[row])
+            return sets[row]
+
         for at in range(len(node)):
-            if same_block:
+            if i == j:
                 cut = np.arange(at + 1, len(node))
-            elif own[at] == group["i"][0].as_py():
-                cut = np.flatnonzero(own != own[at])
+            elif own[at] == i:
+                cut = np.flatnonzero(own == j)
             else:
                 continue
             cut = cut[root[cut] != root[at]]
             cut = cut[100 * np.minimum(n[cut], n[at]) >= THRESHOLD_PERCENT * np.maximum(n[cut], n[at])]
-            if len(cut):
-                differ = np.bitwise_count(bits[cut] ^ bits[at]).sum(axis=1)
-                cut = cut[differ <= MOST_BITS]
-                out_a.append(np.minimum(node[cut], node[at]))
-                out_b.append(np.maximum(node[cut], node[at]))
-        if out_a:
-            return as_batch({"a": np.concatenate(out_a), "b": np.concatenate(out_b)}, arrow)
+            cut = cut[np.bitwise_count(bits[cut] ^ bits[at]).sum(axis=1) <= MOST_BITS]
+            cut = cut[(bands[cut] == bands[at]).argmax(axis=1) == band]
+            for lo in range(0, len(cut), 256):
+                some = cut[lo : lo + 256]
+                some = some[root[some] != root[at]]
+                if not len(some):
+                    continue
+                mine, theirs = shingles(at), [shingles(x) for x in some.tolist()]
+                laid = np.concatenate(theirs)
+                met = mine[np.minimum(np.searchsorted(mine, laid), len(mine) - 1)] == laid
+                size = np.array([len(x) for x in theirs])
+                shared = np.add.reduceat(met, np.cumsum(size) - size, dtype=np.int64)
+                for x in some[100 * shared >= THRESHOLD_PERCENT * (len(mine) + size - shared)].tolist():
+                    links.append((min(node[at], node[x]), max(node[at], node[x])))
+                    root[root == root[x]] = root[at]
+        if links:
+            a, b = zip(*links, strict=True)
+            return as_batch({"a": a, "b": b}, arrow)
         return None
 
     def run(batches):
+        shingler = Shingler()
         waiting: list[pa.Table] = []
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -229,11 +259,11 @@ def unconnected_pairs(buckets: DataFrame, classes: DataFrame, found: DataFrame)
             for lo, hi in zip([0, *ends], [*ends, len(marks)], strict=True):
                 piece = table.slice(lo, hi - lo)
                 if waiting and any(waiting[-1][c][0] != piece[c][0] for c in ("key", "i", "j")):
-                    if (out := compare(pa.concat_tables(waiting))) is not None:
+                    if (out := compare(pa.concat_tables(waiting), shingler)) is not None:
                         yield out
                     waiting = []
                 waiting.append(piece)
-        if waiting and (out := compare(pa.concat_tables(waiting))) is not None:
+        if waiting and (out := compare(pa.concat_tables(waiting), shingler)) is not None:
             yield out
 
     met = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -265,9 +295,7 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     again = _same_document(signed, classes)
     found = components(union_all(links, again))
 
-    rest = unconnected_pairs(buckets.select("key", "node"), classes, found)
-    rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = stored(confirmed(rest, texts), "links")
+    more = stored(unconnected_links(buckets.select("key", "node"), classes, texts, found), "links")
     if not more.isEmpty():
         found = components(union_all(links, more, again))
     of = classes.select("k1", "k2", F.col("node").alias("first_id"))
