@@ -78,7 +78,7 @@ CHAIN_SQL = """
 
 def chain_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One question per order, worded after its priority and date."""
-    o = spread(table(spark, sf_dir, "orders"), PARTS)
+    o = table(spark, sf_dir, "orders")
     p, d = F.col("o_orderpriority"), F.col("o_orderdate")
     text = (
         F.when(p == "1-URGENT", F.concat(F.lit("How many treasury proposals on Polkadot in "), F.date_format(d, "MMMM yyyy"), F.lit("?")))
@@ -87,7 +87,7 @@ def chain_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(p == "4-NOT SPECIFIED", F.concat(F.lit("Tell me about customer "), F.translate(F.col("o_custkey").cast("string"), "0123456789", "abcdefghij")))
         .otherwise(F.lit("How many proposals exist and show some examples?"))
     )
-    return o.select(F.col("o_orderkey").alias("query_id"), text.alias("query"))
+    return spread(o.select(F.col("o_orderkey").alias("query_id"), text.alias("query")), PARTS)
 
 
 CHAIN_QUESTIONS_SQL = """
