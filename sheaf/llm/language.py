@@ -215,10 +215,14 @@ def learning_sample(docs: DataFrame, per_language: int, max_chars: int, seed: in
     usable = docs.select("doc_id", "text", "lang").filter(
         ~learning_split(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") <= max_chars)
     )
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a language
+    if not counts:
+        return usable.select("text", "lang").limit(0)
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
-    # a thinned set first, so that few texts are ranked
-    thin = usable.join(counts, "lang").filter(draw * F.col("n") < F.lit(float(1 << 30)) * per_language * 2)
+    # a thinned set first, so that about twice the sample is ranked and no more
+    share = [(r.lang, int(min(1.0, 2 * per_language / r.n) * (1 << 30))) for r in counts]
+    below = F.create_map(*[F.lit(x) for pair in share for x in pair])[F.col("lang")]
+    thin = usable.filter(draw < below)
     ranked = thin.withColumn("_place", F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id", "text")))
     return ranked.filter(F.col("_place") <= per_language).select("text", "lang")
 
