@@ -85,17 +85,23 @@ def _with_hits(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     found = found.filter(F.col("pos") >= F.col("at") - F.element_at("starts", -1))
     candidate = F.struct("pos", "item_id", "item_words", "size", "at", "starts")
     by_doc = found.groupBy("_key").agg(F.collect_set(candidate).alias("_found"))
-    both = keyed.join(by_doc, "_key", "left").select("_row", words_of(F.col("_text")).alias("_words"), "_found")
+    both = keyed.join(by_doc, "_key", "left").select("_row", "_text", "_found")
 
-    def held(c: Column) -> Column:
+    def held(c: Column, words: Column) -> Column:
         begin = lambda s: c["pos"] - c["at"] + s
-        fits = lambda s: (begin(s) >= 0) & (begin(s) + c["size"] <= F.size("_words"))
-        equal = lambda s: F.slice("_words", F.greatest(begin(s), F.lit(0)) + 1, c["size"]) == F.slice(c["item_words"], s + 1, c["size"])
+        fits = lambda s: (begin(s) >= 0) & (begin(s) + c["size"] <= F.size(words))
+        equal = lambda s: F.slice(words, F.greatest(begin(s), F.lit(0)) + 1, c["size"]) == F.slice(c["item_words"], s + 1, c["size"])
         kept = F.filter(c["starts"], lambda s: fits(s) & equal(s))
         return F.transform(kept, lambda s: F.struct(begin(s).alias("at"), c["size"].alias("size"), c["item_id"].alias("item_id")))
 
-    hits = F.when(F.col("_found").isNotNull(), F.flatten(F.transform("_found", held)))
-    return both.select("_row", F.size("_words").cast("bigint").alias("n_words"), hits.alias("hits"))
+    def judged(words: Column) -> Column:
+        hits = F.when(F.col("_found").isNotNull(), F.flatten(F.transform("_found", lambda c: held(c, words))))
+        return F.struct(F.size(words).cast("bigint").alias("n_words"), hits.alias("hits"))
+
+    # words are bound to a lambda's variable: an expression put in their place by the optimizer
+    # would split the text again for every candidate
+    checked = F.get(F.transform(F.array(words_of(F.col("_text"))), judged), F.lit(0))
+    return both.select("_row", checked.alias("_checked")).select("_row", "_checked.n_words", "_checked.hits")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
