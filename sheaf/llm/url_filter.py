@@ -1,9 +1,9 @@
 """URL rules found by their rarest literal token, in DataFrame functions only.
 
 A rule is a regular expression over host + path together with the literal tokens that every
-matching URL holds. Rules are indexed by the one of their tokens that fewest URLs hold. A URL's own
-tokens fetch the rules that can match it; only those run their expression. Among the rules that
-match, the one of highest rank wins, then the longest, then the first by name.
+matching URL holds, or with several of which every matching URL holds one. Rules are indexed by the
+one of their tokens, or by all of such a set, that fewest URLs hold. A URL's own tokens fetch the
+rules that can match it; only those run their expression. Among the rules that match, the one of highest rank wins, then the longest, then the first by name.
 
 Verdicts are made once per distinct URL and joined back, so a URL held by a third of all rows costs
 one evaluation. The rule index is broadcast behind a check of its size (:data:`MAX_BROADCAST_RULES`);
@@ -28,16 +28,19 @@ SITE_RANK, PATTERN_RANK = 2, 1
 
 @dataclass(frozen=True)
 class UrlRule:
-    """``pattern`` is matched against host + path; ``tokens`` are lower-case literals it implies."""
+    """``pattern`` is matched against host + path; ``tokens`` are lower-case literals it implies, of
+    ``one_of`` it implies at least one. Both are whole tokens: what the pattern lets run on into
+    other letters or digits is none."""
 
     name: str
     verdict: str
     pattern: str
     tokens: tuple[str, ...]
     rank: int = PATTERN_RANK
+    one_of: tuple[str, ...] = ()
 
     def __post_init__(self):
-        if not self.tokens or self.verdict not in ("allow", "block"):
+        if not (self.tokens or self.one_of) or self.verdict not in ("allow", "block"):
             raise ValueError(f"rule {self.name}: a literal token and a verdict are needed")
         re.compile(self.pattern)
 
@@ -73,7 +76,7 @@ PATTERN_RULES = (
     host_word("cheap-pills"),
     host_word("free-casino"),
     host_word("adult-cams"),
-    UrlRule("pharmacy offers", "block", r"(?i)(?:^|[./-])(?:buy|cheap|discount)-[a-z]*-?pills(?:[./-]|$)", ("pills",)),
+    UrlRule("pharmacy offers", "block", r"(?i)(?:^|[./-])(?:buy|cheap|discount)-[a-z]*-?pills(?:[./-]|$)", (), one_of=("buy", "cheap", "discount")),
     UrlRule("casino hosts", "block", r"^(?:[^/]*[.-])?casino[.-][^/]*(?:/|$)", ("casino",)),
     UrlRule("porn hosts", "block", r"^(?:[^/]*[.-])?porn[.-][^/]*(?:/|$)", ("porn",)),
     UrlRule("warez paths", "block", r"(?i)/(?:[^/]*-)?warez(?:[/.-]|$)", ("warez",)),
@@ -92,23 +95,24 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def rule_frame(spark: SparkSession, rules: Sequence[UrlRule]) -> DataFrame:
-    rows = [(r.name, r.verdict, r.pattern, list(dict.fromkeys(r.tokens)), r.rank) for r in rules]
-    return spark.createDataFrame(rows, "rule string, rule_verdict string, pattern string, tokens array<string>, rank int")
+    """Rules with their ``choices``: sets of tokens, of each of which a matching URL holds one."""
+    choices = [[[t] for t in dict.fromkeys(r.tokens)] + ([list(dict.fromkeys(r.one_of))] if r.one_of else []) for r in rules]
+    rows = [(r.name, r.verdict, r.pattern, c, r.rank) for r, c in zip(rules, choices, strict=True)]
+    return spark.createDataFrame(rows, "rule string, rule_verdict string, pattern string, choices array<array<string>>, rank int")
 
 
 def rule_index(rules: DataFrame, url_tokens: DataFrame, small: bool) -> DataFrame:
-    """Each rule under its rarest token. ``url_tokens``: one row per distinct URL and token.
+    """Each rule under the tokens of its rarest choice. ``url_tokens``: one row per distinct URL and token.
 
     A token that no URL holds is rarest of all; its rules are never fetched.
     """
-    each = rules.select("*", F.explode("tokens").alias("token"))
+    rule = ["rule", "rule_verdict", "pattern", "rank"]
+    each = rules.select(*rule, F.explode("choices").alias("choice")).select("*", F.explode("choice").alias("token"))
     wanted = each.select("token").distinct()
     held = url_tokens.join(F.broadcast(wanted) if small else wanted, "token").groupBy("token").agg(F.count("*").alias("urls"))
-    ranked = each.join(held, "token", "left").select(
-        "rule", "rule_verdict", "pattern", "rank", F.struct(F.coalesce("urls", F.lit(0)).alias("urls"), "token").alias("by")
-    )
-    rarest = ranked.groupBy("rule", "rule_verdict", "pattern", "rank").agg(F.min("by").alias("by"))
-    return rarest.select("rule", "rule_verdict", "pattern", "rank", F.col("by.token").alias("token"))
+    counted = each.join(held, "token", "left").groupBy(*rule, "choice").agg(F.sum(F.coalesce("urls", F.lit(0))).alias("urls"))
+    rarest = counted.groupBy(*rule).agg(F.min(F.struct("urls", "choice")).alias("by"))
+    return rarest.select(*rule, F.explode("by.choice").alias("token"))
 
 
 def url_verdicts(pages: DataFrame, rules: Sequence[UrlRule] = SITE_RULES + PATTERN_RULES) -> DataFrame:

@@ -175,6 +175,40 @@ def test_url_rules(spark, sf, monkeypatch, broadcast):
     assert U.url_verdicts(pages.limit(0)).count() == 0
 
 
+#: URLs that a pattern rule matches, among them those where a literal runs on into other letters.
+MATCHING = {
+    "spam-farm": ["http://spam-farm.net/", "http://a.spam-farm.net"],
+    "cheap-pills": ["http://cheap-pills.net/"],
+    "free-casino": ["http://free-casino.net/"],
+    "adult-cams": ["http://adult-cams.net/x"],
+    "pharmacy offers": [
+        "http://www.buy-dietpills.net/offer", "http://buy-diet-pills.net/", "http://x.net/discount-pills", "http://x.net/Buy-DietPILLS/1",
+        "http://cheap-sleepingpills.net/", "http://cheap--pills.net/",
+    ],
+    "casino hosts": ["http://my-casino.net/", "http://casino-royal.net/x"],
+    "porn hosts": ["http://a.porn.net/", "http://porn-x.net"],
+    "warez paths": ["http://x.net/warez", "http://x.net/free-WAREZ.html"],
+    "log-in pages": ["http://x.net/a/wp-login.php", "http://x.net/WP-Login.PHP"],
+}
+NEAR_MISSES = ["http://buy-dietpillsx.net/", "http://xbuy-dietpills.net/", "http://buy-diet2pills.net/", "http://dietpills.net/buy"]
+
+
+@pytest.mark.parametrize("broadcast", [U.MAX_BROADCAST_RULES, 0])
+def test_every_match_is_fetched(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(U, "MAX_BROADCAST_RULES", broadcast)
+    assert set(MATCHING) == {r.name for r in U.PATTERN_RULES}
+    urls = [*[u for own in MATCHING.values() for u in own], *NEAR_MISSES]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    got = {r.url: r.verdict for r in U.url_verdicts(pages, U.PATTERN_RULES).collect()}
+    assert got == {u: "allow" if u in NEAR_MISSES else "block" for u in urls}
+    for rule in U.PATTERN_RULES:
+        for url in MATCHING[rule.name]:
+            host, path = plain_site(url)[:2]
+            tokens = set(U.tokens_of(host + path))
+            assert re.search(rule.pattern, host + path) and tokens >= set(rule.tokens), url
+            assert not rule.one_of or tokens & set(rule.one_of), url
+
+
 def test_rule_tokens_must_be_whole():
     assert U.site_rule("block", "example.org", "/en/1").tokens == ("example", "org", "en")
     assert U.site_rule("block", "com", "/de/").tokens == ("com", "de")
