@@ -5,6 +5,12 @@ prose repeats itself; text that hardly shrinks is noise or encoded data. What co
 or too little depends on the length, as short texts shrink less. Counted rules on words come
 first; a text that fails them is out whatever its ratios.
 
+Base64 cannot pack below 6/8 and is told from prose by its ratio. Hex and random letters have small
+alphabets and pack into prose's range; what tells them is that nothing repeats, so they pack no
+better than coding each byte by its own frequency would (:func:`floor_bytes`), plus the frame and
+its table. From :data:`FLOOR_FROM` bytes on, a text or chunk that packs so badly is out, whatever its
+alphabet. Below that prose repeats too little to be told from hex or random letters, which stay.
+
 Every text is judged alone in the task that reads it, so nothing is shuffled. A null text counts
 as empty: no words, hence failed. Repeated rows get equal verdicts. All columns of the input pass
 through :func:`quality_filter`, whatever their names.
@@ -28,14 +34,24 @@ from sheaf.llm.common import as_bytes, fields, per_batch
 #: (bytes up to, lowest ratio kept, highest ratio kept); ratio is packed size by size.
 BANDS = (
     (256, 0.35, 1.20),
-    (1024, 0.30, 0.90),
-    (4096, 0.25, 0.80),
-    (16384, 0.20, 0.72),
-    (None, 0.15, 0.70),
+    (320, 0.30, 0.86),
+    (384, 0.30, 0.83),
+    (512, 0.30, 0.79),
+    (768, 0.30, 0.755),
+    (1024, 0.30, 0.72),
+    (1536, 0.25, 0.70),
+    (2048, 0.25, 0.68),
+    (4096, 0.25, 0.66),
+    (16384, 0.20, 0.65),
+    (None, 0.15, 0.65),
 )
 CHUNK_BYTES = 4096
 #: Lowest and highest ratio of a whole chunk; a shorter last chunk is held to its length's band.
-CHUNK_BAND = (0.12, 0.72)
+CHUNK_BAND = (0.12, 0.65)
+#: Bytes from which packed size is held against the floor, and bytes above it that are still noise.
+#: Noise needs 38 or more for its table; prose of 2 KB measured 30 at most, and less as it grows.
+FLOOR_FROM, FRAME_BYTES = 2048, 35
+_COUNTED = 1 << 20
 #: A text goes if chunks outside their band hold at least this share of its bytes.
 BAD_SHARE = 0.5
 LEVEL = 3
@@ -93,10 +109,26 @@ def dup_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def within_band(size: int, packed: int) -> bool:
-    """Whether a ratio lies within the band of the text's length; no bytes are within any."""
-    _, low, high = BANDS[bisect_right([b[0] for b in BANDS[:-1]], size)]
-    return size == 0 or low <= packed / size <= high
+def floor_bytes(text: bytes) -> float:
+    """Size of a text if each byte were coded by its frequency alone."""
+    codes = np.frombuffer(text, np.uint8)
+    counts = np.zeros(256, np.int64)
+    for at in range(0, len(codes), _COUNTED):
+        counts += np.bincount(codes[at : at + _COUNTED], minlength=256)
+    counts = counts[counts > 0]
+    return float((counts * np.log2(len(text) / counts)).sum()) / 8
+
+
+def within(text: bytes, packed: int, low: float, high: float) -> bool:
+    """Whether a ratio lies in a band and, from :data:`FLOOR_FROM` bytes on, packing found repeats."""
+    n = len(text)
+    return low <= packed / n <= high and (n < FLOOR_FROM or packed < floor_bytes(text) + FRAME_BYTES)
+
+
+def within_band(text: bytes, packed: int) -> bool:
+    """:func:`within` for the band of the text's length; no bytes are within any."""
+    _, low, high = BANDS[bisect_right([b[0] for b in BANDS[:-1]], len(text))]
+    return not text or within(text, packed, low, high)
 
 
 def bands(text: bytes, pack: Callable[[bytes], bytes]) -> tuple[float, float, bool]:
@@ -109,12 +141,9 @@ def bands(text: bytes, pack: Callable[[bytes], bytes]) -> tuple[float, float, bo
     for at in range(0, n, CHUNK_BYTES) if n > CHUNK_BYTES else ():
         piece = text[at : at + CHUNK_BYTES]
         packed = len(pack(piece))
-        if len(piece) == CHUNK_BYTES:
-            fine = CHUNK_BAND[0] <= packed / CHUNK_BYTES <= CHUNK_BAND[1]
-        else:
-            fine = within_band(len(piece), packed)
+        fine = within(piece, packed, *CHUNK_BAND) if len(piece) == CHUNK_BYTES else within_band(piece, packed)
         bad += 0 if fine else len(piece)
-    return whole / n, bad / n, within_band(n, whole) and bad < BAD_SHARE * n
+    return whole / n, bad / n, within_band(text, whole) and bad < BAD_SHARE * n
 
 
 def judge(text: bytes, pack: Callable[[bytes], bytes]) -> tuple:

@@ -1,6 +1,10 @@
+import base64
+import random
 import re
+import string
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import zstandard
 
@@ -57,6 +61,52 @@ def test_compression_bands():
     assert R.bands(mixed, pack)[:2] == (len(zstandard.ZstdCompressor(level=R.LEVEL).compress(mixed)) / len(mixed), 0.25)
 
 
+def noise(kind, n, seed):
+    """``n`` bytes of base64, hex or random letters in tokens, 50 or more of them."""
+    rng = random.Random(seed)
+    if kind == "letters":
+        return " ".join("".join(rng.choices(string.ascii_lowercase, k=rng.randint(2, 10))) for _ in range(n // 2))[:n].encode()
+    raw = rng.randbytes(n)
+    coded = base64.b64encode(raw).decode() if kind == "base64" else raw.hex()
+    longest = 5 if n < 512 else 8 if n < 1024 else 16 if n < 8000 else 76
+    out, at = [], 0
+    while at < n:
+        size = rng.randint(4, longest)
+        out.append(coded[at : at + size])
+        at += size
+    return " ".join(out)[:n].encode()
+
+
+SIZES = [300, 330, 400, 511, 512, 767, 1000, 1024, 1535, 2047, 2048, 2500, 3071, 4095, 4096, 4097, 8000, 16_384, 20_000, 50_000, 100_000]
+
+
+@pytest.mark.parametrize("size", SIZES)
+@pytest.mark.parametrize("kind", ["base64", "hex", "letters"])
+def test_noise_is_rejected(kind, size):
+    if kind != "base64" and size < R.FLOOR_FROM:
+        pytest.skip("packs into the range of prose of this length")
+    for seed in range(5):
+        text = noise(kind, size, seed)
+        assert len(text) == size and len(text.split()) >= 50
+        assert not R.bands(text, R.packer())[2], (kind, size, seed)
+
+
+@pytest.mark.parametrize("size", SIZES)
+def test_prose_of_every_language_is_kept(size):
+    """Documents of the larger table, which are prose but for those that repeat themselves."""
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["lang", "text"])
+    prose: dict[str, list[bytes]] = {}
+    for lang, text in zip(table["lang"].to_pylist(), table["text"].to_pylist(), strict=True):
+        if text and not R.judge(text.encode(), R.packer())[5]:
+            prose.setdefault(lang, []).append(" ".join(text.split()).encode())
+    assert len(prose) >= 4
+    for lang, texts in prose.items():
+        laid = b" ".join(texts)
+        for at in range(0, min(len(laid) - size, 20 * size) + 1, size):
+            text = laid[at : at + size]
+            assert R.bands(text, R.packer())[2], (lang, size, at, R.bands(text, R.packer()))
+
+
 def test_quality_rules_of_an_empty_table(spark):
     assert R.quality_rules(cases.frame(spark, []).limit(0)).count() == 0
 
