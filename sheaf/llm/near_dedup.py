@@ -20,7 +20,8 @@ tied by more than one pair. The sketch cut at :data:`SKETCH_FLOOR` is four stand
 threshold. Band rows are (key, id), both numbers; full texts are fetched for candidates only.
 
 A document without words has an empty set and is linked with nothing. Fewer than five words are one
-shingle. Rows that repeat a doc_id are one document: a link of one is a link of all. A null doc_id is
+shingle. Rows that repeat a doc_id are one document: a link of one is a link of all. As such rows may
+belong to several classes, a class is known by its smallest doc_id and that row's text (``tag``). A null doc_id is
 linked with nothing, has no component and is kept. Extra columns pass through the filter.
 """
 
@@ -59,6 +60,7 @@ _PLACE = fold_values(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 SIGNATURE = fields(
+    ("tag", T.LongType()),
     ("n_shingles", T.LongType()),
     ("k1", T.LongType()),
     ("k2", T.LongType()),
@@ -116,7 +118,8 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id and the columns of :data:`SIGNATURE`; an empty set has no bands and no sketch."""
+    """doc_id and the columns of :data:`SIGNATURE`; an empty set has no bands and no sketch. ``tag``
+    tells the texts of one doc_id apart."""
     schema = T.StructType([docs.schema["doc_id"], *SIGNATURE.fields])
     shinglers: list[Shingler] = []
 
@@ -135,9 +138,13 @@ def signatures(docs: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
         done: dict = {}
         rows = [one(t, done) for t in as_bytes(batch.column(1))]
-        return {"doc_id": batch.column(0)} | dict(zip(SIGNATURE.names, zip(*rows, strict=True), strict=True))
+        return {"doc_id": batch.column(0), "tag": batch.column(2)} | dict(zip(SIGNATURE.names[1:], zip(*rows, strict=True), strict=True))
 
-    return per_batch(docs.select("doc_id", "text"), run, schema)
+    return per_batch(docs.select("doc_id", "text", _tag()), run, schema)
+
+
+def _tag() -> Column:
+    return F.xxhash64("text").alias("tag")
 
 
 def likely(n: Column, sketch: Column, other_n: Column, other_sketch: Column) -> Column:
@@ -150,10 +157,11 @@ def likely(n: Column, sketch: Column, other_n: Column, other_sketch: Column) ->
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold. ``texts``: node, text."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    """The pairs of classes (a, tag_a, b, tag_b) whose full sets reach the threshold, as links (a, b).
+    ``texts``: node, tag, text."""
+    left = texts.select(F.col("node").alias("a"), F.col("tag").alias("tag_a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("node").alias("b"), F.col("tag").alias("tag_b"), F.col("text").alias("text_b"))
+    both = pairs.join(left, ["a", "tag_a"]).join(right, ["b", "tag_b"]).select("a", "b", "text_a", "text_b")
     schema = fields(("a", pairs.schema["a"].dataType), ("b", pairs.schema["b"].dataType))
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -181,24 +189,24 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def unconnected_links(buckets: DataFrame, classes: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
     """Links (a, b) between classes that share a bucket and are not connected by ``found`` (node, root).
 
-    ``buckets``: key, node. Buckets meet in blocks of bounded rows and bytes. Within a block a pair is
+    ``buckets``: key, band, node, tag. Buckets meet in blocks of bounded rows and bytes. Within a block a pair is
     looked at if its roots differ, its sizes and sketches allow the threshold and this is the first
     bucket that both share; it is confirmed on the full sets right there, and what is linked counts as
     connected from then on. So a task gives links, never candidates."""
-    rooted = buckets.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    known = classes.select("node", "n", "sketch", "bands")
-    sized = rooted.join(known.select("node", "n"), "node")
+    rooted = buckets.join(found, "node", "left").select("key", "band", "node", "tag", F.coalesce("root", "node").alias("root"))
+    known = classes.select("node", "tag", "n", "sketch", "bands")
+    sized = rooted.join(known.select("node", "tag", "n"), ["node", "tag"])
     open_keys = sized.groupBy("key").agg(
         F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("root").alias("lo"), F.max("root").alias("hi")
     )
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     open_keys = open_keys.filter("lo < hi and size > 2").select("key", blocks.alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = rooted.join(open_keys, "key").select("key", "node", "root", own.alias("own"), "blocks")
+    own = F.pmod(F.xxhash64("node", "tag"), F.col("blocks")).cast("int")
+    rows = rooted.join(open_keys, "key").select("key", "band", "node", "tag", "root", own.alias("own"), "blocks")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("key", "node", "root", "own", other).join(known, "node").join(texts, "node")
+    rows = rows.select("key", "band", "node", "tag", "root", "own", other).join(known, ["node", "tag"]).join(texts, ["node", "tag"])
     rows = rows.select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n", "sketch", "bands", "text"
+        "key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n", "sketch", "bands", "text"
     )
     node = classes.schema["node"].dataType
     schema = fields(("a", node), ("b", node))
@@ -208,7 +216,7 @@ def unconnected_links(buckets: DataFrame, classes: DataFrame, texts: DataFrame,
         node, root, n, own = (group[c].to_numpy() for c in ("node", "root", "n", "own"))
         bits = np.array(group["sketch"].to_pylist(), np.int64).view(np.uint64)
         bands = np.array(group["bands"].to_pylist(), np.int64)
-        band = int(np.argmax(bands[0] == group["key"][0].as_py()))
+        band = group["band"][0].as_py()
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
         texts = as_bytes(group["text"].combine_chunks())
         sets: dict[int, np.ndarray] = {}
@@ -277,25 +285,31 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     signed = stored(signatures(docs), "signatures")
     named = signed.filter("doc_id is not null and n_shingles > 0")
     classes = named.groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+        F.min(F.struct("doc_id", "tag")).alias("of"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+    )
+    classes = stored(classes.select("k1", "k2", F.col("of.doc_id").alias("node"), "of.tag", "n", "bands", "sketch"), "classes")
+    members = classes.select("node", "tag", F.posexplode("bands").alias("band", "key"))
+    shared = members.groupBy("key").agg(F.min(F.struct("node", "tag")).alias("first"), F.max("node").alias("last")).filter("first.node < last")
+    buckets = stored(members.join(shared.select("key", "first"), "key"), "buckets")
+
+    a, b = (
+        classes.select(F.col("node").alias(x), F.col("tag").alias(f"tag_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+        for x in ("a", "b")
+    )
+    star = buckets.filter("first.node < node").select(
+        F.col("first.node").alias("a"), F.col("first.tag").alias("tag_a"), F.col("node").alias("b"), F.col("tag").alias("tag_b")
     )
-    classes = stored(classes, "classes")
-    members = classes.select("node", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last")
-    buckets = stored(members.join(shared.select("key", "first"), "key").distinct(), "buckets")
-
-    a = classes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
-    b = classes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    star = buckets.filter("first < node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    looked = star.join(a, "a").join(b, "b")
-    tried = stored(looked.filter(likely(F.col("n_a"), F.col("sketch_a"), F.col("n_b"), F.col("sketch_b"))).select("a", "b").distinct(), "pairs")
-    candidates = buckets.select(F.col("node").alias("doc_id")).distinct()
-    texts = stored(docs.join(candidates, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text").distinct(), "texts")
+    looked = star.distinct().join(a, ["a", "tag_a"]).join(b, ["b", "tag_b"])
+    near = likely(F.col("n_a"), F.col("sketch_a"), F.col("n_b"), F.col("sketch_b"))
+    tried = stored(looked.filter(near).select("a", "tag_a", "b", "tag_b"), "pairs")
+    candidates = buckets.select(F.col("node").alias("doc_id"), "tag").distinct()
+    texts = docs.select("doc_id", "text", _tag()).join(candidates, ["doc_id", "tag"], "left_semi")
+    texts = stored(texts.select(F.col("doc_id").alias("node"), "tag", "text").distinct(), "texts")
     links = stored(confirmed(tried, texts), "links")
     again = _same_document(signed, classes)
     found = components(union_all(links, again))
 
-    more = stored(unconnected_links(buckets.select("key", "node"), classes, texts, found), "links")
+    more = stored(unconnected_links(buckets.select("key", "band", "node", "tag"), classes, texts, found), "links")
     if not more.isEmpty():
         found = components(union_all(links, more, again))
     of = classes.select("k1", "k2", F.col("node").alias("first_id"))

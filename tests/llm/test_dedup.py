@@ -135,3 +135,30 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: p for x, p in parent.items() if x != p}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_copies_beside_a_doc_id_of_unlike_texts(spark, monkeypatch):
+    """Texts of one family share all bands but the first, which none share. Each of its documents also
+    holds other texts, whose rows must not be taken for the family's."""
+    base = cases.words(120, 1).split()
+    chain, words = [" ".join(base)], list(base)
+    for step in range(8):
+        for k in range(3):
+            words[(step * 11 + k * 41 + 5) % 120] = f"edit{step}x{k}"
+        chain.append(" ".join(words))
+    plain, shingler = N.bands_of, N.Shingler()
+    family = [N.samples_of(shingler(t.encode())) for t in chain]
+
+    def bands(samples):
+        own = plain(samples)
+        if max(int((samples == f).sum()) for f in family) == N.SAMPLES:
+            own[1:] = np.arange(1, N.BANDS)
+            own[0] = samples.view(np.int64).sum()
+        return own
+
+    monkeypatch.setattr(N, "bands_of", bands)
+    assert {root for _, root in cases.near(list(enumerate(chain))).values()} == {0}
+    assert cases.near([(0, chain[0]), (8, chain[8])])[8][1] == 8
+    rows = [(i, t) for i, family_text in enumerate(chain) for t in (family_text, *[cases.words(60 + k, 40 + 5 * i + k) for k in range(5)])]
+    got = near_rows(cases.frame(spark, rows))
+    assert len(got) == len(rows) and {r.component_id for r in got} == {0}
