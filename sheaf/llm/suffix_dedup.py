@@ -7,7 +7,7 @@ document of smaller doc_id; strings are judged on the input and never reach over
    anchor, so equal windows have equal anchors at equal places. Each task packs its anchors by hash
    bucket: the gram's hash, a hash of the anchor's surroundings (all windows that can hold it), place
    and document. An anchor whose gram no other document has needs no further look.
-2. Pre-aggregation. Anchors with equal surroundings differ in nothing that matters; all but those of
+2. Collapsing, after the shuffle by bucket: all anchors of a gram meet in one task. Anchors with equal surroundings differ in nothing that matters; all but those of
    the smallest doc_id are covered whole. What is left are first occurrences of grams that stand in
    unlike surroundings: where shared passages begin, end or were edited.
 3. Suffix arrays. The surroundings of those anchors are dealt to shards by gram. Each shard sorts its
