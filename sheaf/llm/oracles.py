@@ -87,3 +87,52 @@ WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN split_part(split_
   r AS (SELECT page_id, host, path, {_case(SITE_RULES, "rule")} AS rule, {_case(SITE_RULES, "verdict")} AS own,
       {_case(PATTERN_RULES, "rule")} AS pattern, {_case(PATTERN_RULES, "verdict")} AS other FROM s)
 SELECT page_id, host, path, rule, coalesce(own, other, 'allow') AS verdict, coalesce(rule, pattern) AS matched_rule FROM r"""
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+WARC = f"""
+WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS b FROM pages),
+  d AS (SELECT page_id, url, octet_length(b) AS n, sha1(b) AS h,
+      row_number() OVER (PARTITION BY b ORDER BY page_id DESC NULLS LAST, url) AS place, first(page_id) OVER (PARTITION BY b ORDER BY page_id DESC NULLS LAST) AS lead FROM p)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('{_BASE32}', 1 + ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31), 1)), '') AS payload_digest,
+  CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN lead END AS refers_to
+FROM d"""
+
+_TERMS = rf"regexp_extract_all({_lowered('text')}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANKED = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+  n AS (SELECT r, doc_id, len(w) AS n, w FROM d WHERE len(w) > 0),
+  c AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM n),
+  q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark),
+  v AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS t FROM n) WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+  f AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM v, c GROUP BY t, n_docs),
+  m AS (SELECT r, doc_id, 100 - 90 + (90 * n * n_docs) // n_terms AS m FROM n, c),
+  s AS (SELECT item_id, r, any_value(doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+    FROM q JOIN v USING (t) JOIN f USING (t) JOIN m USING (r) GROUP BY item_id, r)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY rank <= 10"""
+
+# the checksum bit by bit: a byte is put in, then eight steps shift it through
+_CRC32 = """xor(4294967295, list_reduce(flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) ELSE xor(a >> 1, (a & 1) * 3988292384) END, 4294967295::BIGINT))"""
+
+PREFIX_TRIE = f"""
+WITH t AS (SELECT conv_id, turn, strlen(coalesce(text, '')) AS b, md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS k
+    FROM conversations WHERE conv_id IS NOT NULL),
+  o AS (SELECT conv_id, list({{'k': k, 'b': b}} ORDER BY turn NULLS FIRST, k, b) AS c FROM t GROUP BY conv_id),
+  g AS (SELECT conv_id, c, conv_id - conv_id % 5 AS base, {_CRC32} % 9 AS h FROM o),
+  r AS (SELECT g.conv_id, list_concat(coalesce(o.c[1:h], []), g.c[h+1:]) AS c FROM g LEFT JOIN o ON o.conv_id = g.base),
+  p AS (SELECT conv_id, c, unnest(range(0, len(c) + 1)) AS depth FROM r),
+  x AS (SELECT conv_id, depth, depth = len(c) AS ends, CASE WHEN depth > 0 THEN c[depth].b ELSE 0 END AS b,
+      md5(array_to_string(list_transform(c[1:depth], lambda e: e.k || ':' || e.b), ',')) AS node,
+      CASE WHEN depth > 0 THEN md5(array_to_string(list_transform(c[1:depth-1], lambda e: e.k || ':' || e.b), ',')) END AS parent FROM p),
+  n AS (SELECT node, parent, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(b) AS b,
+      sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM x GROUP BY node, parent, depth),
+  k AS (SELECT parent AS node, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+  l AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (node)),
+  a AS (SELECT DISTINCT x.node AS top, y.node FROM x JOIN x y ON x.conv_id = y.conv_id AND x.depth <= y.depth),
+  s AS (SELECT a.top AS node, sum((l.n_children = 0)::INTEGER)::BIGINT AS n_leaves, sum((l.n_convs - 1) * l.b)::BIGINT AS saved_tokens FROM a JOIN l USING (node) GROUP BY a.top)
+SELECT l.conv_id, l.depth, u.conv_id AS parent_conv_id, l.n_convs, l.n_children, s.n_leaves, s.saved_tokens, l.ends_sha256
+FROM l JOIN s USING (node) LEFT JOIN l u ON u.node = l.parent"""

@@ -13,14 +13,17 @@ from sheaf.llm.common import table
 from sheaf.llm.decontaminate import contamination
 from sheaf.llm.language import identify
 from sheaf.llm.language import learn as learn_languages
+from sheaf.llm.lexical_tree import ranked_search
 from sheaf.llm.near_dedup import near_duplicates
 from sheaf.llm.packing import pack
+from sheaf.llm.prefix_trie import coded, prefix_trie, rebuilt
 from sheaf.llm.quality_model import learn as learn_quality
 from sheaf.llm.quality_model import score_quality
 from sheaf.llm.quality_rules import quality_rules
 from sheaf.llm.sharding import shards
 from sheaf.llm.suffix_dedup import repeated_bytes
 from sheaf.llm.url_filter import SITE_RANK, url_verdicts
+from sheaf.llm.warc import read_records, write_warc
 from sheaf.session import prepare
 
 QUERIES: dict[str, Callable] = {}
@@ -106,3 +109,20 @@ def op2(spark, sf_dir) -> DataFrame:
 @query("op3_suffix_array_repeats", oracles.SUFFIX_ARRAY)
 def op3(spark, sf_dir) -> DataFrame:
     return repeated_bytes(table(spark, sf_dir, "documents"))
+
+
+@query("op11_indexed_warc", oracles.WARC)
+def op11(spark, sf_dir) -> DataFrame:
+    index, folder = write_warc(table(spark, sf_dir, "pages"))
+    read = read_records(index, folder, payloads=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op12_document_tree_search", oracles.RANKED)
+def op12(spark, sf_dir) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_ternary_prefix_trie", oracles.PREFIX_TRIE)
+def op13(spark, sf_dir) -> DataFrame:
+    return prefix_trie(rebuilt(coded(table(spark, sf_dir, "conversations"))))
