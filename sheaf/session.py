@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -123,16 +124,21 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 def write_new_text(spark: SparkSession, path: str, text: str) -> None:
     """Create a small file in one step; an error if it exists. A reader sees all of it or nothing:
-    it is written beside its place and renamed."""
+    it is written beside its place and then linked (on a POSIX folder) or renamed, both of which refuse a
+    place that is taken. HDFS renames so; a store whose rename replaces or copies gives no such promise."""
     fs, hadoop_path = _file(spark, path)
     temporary = spark._jvm.org.apache.hadoop.fs.Path(f"{hadoop_path.getParent().getParent()}/.{uuid.uuid4().hex}")
     stream = fs.create(temporary, False)
     stream.write(bytearray(text.encode()))
     stream.close()
     fs.mkdirs(hadoop_path.getParent())
-    if fs.exists(hadoop_path) or not fs.rename(temporary, hadoop_path):
+    try:
+        if fs.getUri().getScheme() == "file":
+            os.link(temporary.toUri().getPath(), hadoop_path.toUri().getPath())
+        elif fs.exists(hadoop_path) or not fs.rename(temporary, hadoop_path):
+            raise FileExistsError(path)
+    finally:
         fs.delete(temporary, False)
-        raise FileExistsError(path)
 
 
 def prepare(spark: SparkSession) -> SparkSession:

@@ -1,6 +1,7 @@
 """The stored table: merges, appends, failures in between, growth and clean-up."""
 
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 
@@ -32,7 +33,7 @@ def path(tmp_path):
 def test_merge_rewrites_touched_buckets_only(spark, path):
     first = ST.merge_table(spark, path, many(spark, 200), buckets=8)
     second = ST.merge_table(spark, path, batch(spark, [("7", "y", D2), ("new", "z", D2)]))
-    changed = [b for b in first.folders if first.folders[b] != second.folders[b]]
+    changed = [b for b in first.main.files if first.main.files[b] != second.main.files[b]]
     assert 1 <= len(changed) <= 2
     found = content(spark, path)
     assert len(found) == 201 and found["7"] == ("y", D1) and found["8"] == ("x", D1) and found["new"] == ("z", D2)
@@ -103,10 +104,10 @@ def test_append(spark, path):
 
 def test_buckets_grow_with_the_table(spark, path, monkeypatch):
     small = ST.merge_table(spark, path, many(spark, 300))
-    assert small.buckets == 1
+    assert small.main.buckets == 1
     monkeypatch.setattr(ST, "BUCKET_BYTES", 1 << 10)
     grown = ST.merge_table(spark, path, batch(spark, [("7", "y", D2)]))
-    assert grown.buckets > 1 and len(content(spark, path)) == 300 and content(spark, path)["7"] == ("y", D1)
+    assert grown.main.buckets > 1 and len(content(spark, path)) == 300 and content(spark, path)["7"] == ("y", D1)
 
 
 def test_vacuum_and_empty_batches(spark, path):
@@ -118,3 +119,106 @@ def test_vacuum_and_empty_batches(spark, path):
     assert set(content(spark, path).values()) == {("z", D1)}
     with pytest.raises(ValueError):
         ST.read_table(spark, path + "-absent")
+
+
+def numbered(spark, ids, title="x", kind="long"):
+    return spark.createDataFrame([(i, title) for i in ids], "id long, title string").selectExpr(f"cast(id as {kind}) as id", "title")
+
+
+@pytest.mark.parametrize("kind", ["int", "smallint", "string", "decimal(12,0)", "double"])
+def test_keys_of_another_type_are_cast_before_they_are_hashed(spark, path, kind):
+    ST.merge_table(spark, path, numbered(spark, range(1000)), buckets=16)
+    ST.merge_table(spark, path, numbered(spark, [3, 500, 2000], "y").selectExpr(f"cast(id as {kind}) as id", "title"))
+    found = {r.id: r.title for r in ST.read_table(spark, path).collect()}
+    assert ST.read_table(spark, path).count() == len(found) == 1001
+    assert [found[i] for i in (3, 500, 2000, 4)] == ["y", "y", "y", "x"]
+    with pytest.raises(ST.DuplicateKeys):
+        ST.append_table(spark, path + "-a", numbered(spark, [1, 1]))
+    ST.append_table(spark, path + "-a", numbered(spark, range(50)), buckets=4)
+    with pytest.raises(ST.DuplicateKeys):
+        ST.append_table(spark, path + "-a", numbered(spark, [7]).selectExpr(f"cast(id as {kind}) as id", "title"))
+    ST.append_table(spark, path + "-a", numbered(spark, [70]).selectExpr(f"cast(id as {kind}) as id", "title"))
+    assert ST.read_table(spark, path + "-a").select("id").distinct().count() == 51
+
+
+@pytest.mark.parametrize("value", ["1.5D", "'x'", "'007'", "9223372036854775807BD + 1"])
+def test_a_cast_that_loses_something_is_refused(spark, path, value):
+    ST.merge_table(spark, path, numbered(spark, range(10)), buckets=2)
+    with pytest.raises(ST.LossyCast):
+        ST.merge_table(spark, path, spark.range(1).selectExpr(f"{value} as id", "'y' as title"))
+    assert {r.title for r in ST.read_table(spark, path).collect()} == {"x"}
+
+
+def test_few_keys_of_a_million_rewrite_few_files(spark, path, monkeypatch):
+    monkeypatch.setattr(ST, "FILE_ROWS", 5000)
+    rows = spark.range(1_000_000).selectExpr("id * 3 as id", "'x' as title")
+    first = ST.merge_table(spark, path, rows, buckets=16)
+    files = {f.path for f in first.main.listed()}
+    assert len(files) >= 200
+    keys = [3 * (i * 99_991 % 1_000_000) for i in range(10)]
+    second = ST.merge_table(spark, path, numbered(spark, keys, "y"))
+    gone = files - {f.path for f in second.main.listed()}
+    assert 1 <= len(gone) <= 10
+    fresh = ST.merge_table(spark, path, numbered(spark, [3 * i + 1 for i in range(0, 1000, 100)], "new"))
+    assert len({f.path for f in second.main.listed()} - {f.path for f in fresh.main.listed()}) <= 3  # only false alarms
+    titles = {r.title: r["count"] for r in ST.read_table(spark, path).groupBy("title").count().collect()}
+    assert titles == {"x": 999_990, "y": 10, "new": 10}
+
+
+def test_loose_buckets_are_put_together(spark, path, monkeypatch):
+    monkeypatch.setattr(ST, "LOOSE_FILES", 3)
+    for i in range(8):
+        last = ST.merge_table(spark, path, numbered(spark, sorted({i, 0}), f"t{i}"), buckets=1 if not i else None)
+    assert len(last.main.listed()) <= 5
+    assert {r.id: r.title for r in ST.read_table(spark, path).collect()} == {i: f"t{i}" if i else "t7" for i in range(8)}
+
+
+def pair(spark, path):
+    ST.merge_table(spark, path, numbered(spark, range(100)), buckets=4, name="records")
+    vectors = spark.range(100).selectExpr("id as proposal_id", "array(cast(id as float), 1f) as embedding")
+    return ST.merge_table(spark, path, vectors, "proposal_id", (), 2, name="vectors")
+
+
+def test_deletion_cascades_in_one_commit(spark, path, monkeypatch):
+    pair(spark, path)
+    keys = spark.createDataFrame([(5,), (5,), (None,), (17,), (4000,)], "gone int")
+    seen = []
+    switched = ST.switch
+
+    def look(spark, where, manifest):
+        seen.append(tuple(ST.read_table(spark, path, n).count() for n in ("records", "vectors")))
+        switched(spark, where, manifest)
+        seen.append(tuple(ST.read_table(spark, path, n).count() for n in ("records", "vectors")))
+
+    with monkeypatch.context() as m:
+        m.setattr(ST, "switch", look)
+        ST.delete_keys(spark, path, keys)
+    assert seen == [(100, 100), (98, 98)]
+    left = {r.id for r in ST.read_table(spark, path, "records").collect()}
+    assert left == {r.proposal_id for r in ST.read_table(spark, path, "vectors").collect()} == set(range(100)) - {5, 17}
+    ST.delete_keys(spark, path, spark.createDataFrame([(9000,)], "id long"))
+    ST.delete_keys(spark, path, ST.read_table(spark, path, "records").select("id"), {"vectors": "proposal_id"})
+    assert [ST.read_table(spark, path, n).count() for n in ("records", "vectors")] == [98, 0]
+    with pytest.raises(ValueError):
+        ST.delete_keys(spark, path, keys, {"absent": "id"})
+
+
+def test_an_older_version_is_read_checked_and_restored(spark, path):
+    good = pair(spark, path).version
+    worse = spark.range(50).selectExpr("id as proposal_id", "array(cast(id as float)) as embedding")
+    bad = ST.merge_table(spark, path, worse, "proposal_id", (), name="vectors").version
+    ST.delete_keys(spark, path, spark.range(10).toDF("id"))
+    fits = ST.vectors_fit("embedding", 2)
+    with pytest.raises(ST.DamagedSnapshot):
+        ST.restore(spark, path, bad, lambda t: fits(t["vectors"]))
+    assert ST.read_table(spark, path, "records").count() == 90  # nothing has changed
+    assert ST.read_table(spark, path, "vectors", good).filter("size(embedding) = 2").count() == 100
+    back = ST.restore(spark, path, good, lambda t: fits(t["vectors"]))
+    assert back.version == bad + 2 and ST.read_table(spark, path, "vectors").filter("size(embedding) = 2").count() == 100
+    assert ST.vacuum(spark, path, keep=2) >= 0 and len(ST.versions(spark, path)) == 2
+    with pytest.raises(ValueError):
+        ST.read_table(spark, path, "records", good)
+    for f in ST.manifest_of(spark, path, back.version).tables["records"].listed()[:1]:
+        Path(path, f.path).write_bytes(b"PAR1")
+    with pytest.raises(ST.DamagedSnapshot):
+        ST.restore(spark, path, back.version)

@@ -56,6 +56,72 @@ def stored_merge(spark, sf_dir):
     return ST.read_table(spark, path)
 
 
+def _narrow(df):
+    """The batch as another system may give it: a narrower key, a wider amount."""
+    return df.withColumn("id", F.col("id").cast("int")).withColumn("amount_numeric", F.col("amount_numeric").cast("decimal(20,4)"))
+
+
+@query("stored_merge_narrow", _UPSERTED)
+def stored_merge_narrow(spark, sf_dir):
+    """The upsert with a batch whose key and amount have other types than the table's."""
+    path = scratch_dir(spark, "merged-narrow")
+    ST.merge_table(spark, path, _settled(spark, sf_dir), buckets=16)
+    ST.merge_table(spark, path, _narrow(_shipped(spark, sf_dir)))
+    return ST.read_table(spark, path)
+
+
+def _records_and_vectors(spark, sf_dir, path):
+    docs = B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", F.md5("text").alias("text"))
+    ST.merge_table(spark, path, docs, "id", (), 8, name="records")
+    ST.merge_table(spark, path, B.document_embeddings(spark, sf_dir), "proposal_id", (), 4, name="vectors")
+
+
+@query(
+    "cascading_delete",
+    """SELECT doc_id AS id, lang, md5(text) AS text, embedding[1]::DOUBLE AS first FROM documents LEFT JOIN embeddings ON doc_id = vec_id
+    WHERE lang IS DISTINCT FROM 'de'""",
+)
+def cascading_delete(spark, sf_dir):
+    """Records and vectors in one manifest; German records go together with their vectors."""
+    path = scratch_dir(spark, "cascade")
+    _records_and_vectors(spark, sf_dir, path)
+    ST.delete_keys(spark, path, B.table(spark, sf_dir, "documents").filter("lang = 'de'").select("doc_id"))
+    vectors = ST.read_table(spark, path, "vectors").select(
+        F.col("proposal_id").alias("id"), F.element_at("embedding", 1).cast("double").alias("first")
+    )
+    left = ST.read_table(spark, path, "records").join(vectors, "id", "full")  # a vector without a record would show
+    return left.select("id", "lang", "text", "first")
+
+
+@query(
+    "restored_version",
+    """SELECT doc_id AS id, md5(text) AS text, embedding[1]::DOUBLE AS first, len(embedding)::INTEGER AS n, 'refused' AS cut
+    FROM documents LEFT JOIN embeddings ON doc_id = vec_id""",
+)
+def restored_version(spark, sf_dir):
+    """Vectors cut by a bad merge: that version is refused, the one before it is checked and restored."""
+    path = scratch_dir(spark, "restored")
+    _records_and_vectors(spark, sf_dir, path)
+    good = ST.current(spark, path).version
+    vectors = B.document_embeddings(spark, sf_dir)
+    size = vectors.agg(F.max(F.size("embedding"))).first()[0]
+    cut = vectors.withColumn("embedding", F.slice("embedding", 1, 3))
+    bad = ST.merge_table(spark, path, cut, "proposal_id", (), name="vectors").version
+    fits = ST.vectors_fit("embedding", size)
+    try:
+        ST.restore(spark, path, bad, lambda t: fits(t["vectors"]))
+        verdict = "taken"
+    except ST.DamagedSnapshot:
+        verdict = "refused"
+    ST.restore(spark, path, good, lambda t: fits(t["vectors"]))
+    back = ST.read_table(spark, path, "vectors").select(
+        F.col("proposal_id").alias("id"),
+        F.element_at("embedding", 1).cast("double").alias("first"),
+        F.size("embedding").alias("n"),
+    )
+    return ST.read_table(spark, path, "records").join(back, "id", "left").select("id", "text", "first", "n", F.lit(verdict).alias("cut"))
+
+
 @query(
     "append_new",
     "SELECT o_orderkey AS id, CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'P' THEN 'pending' ELSE o_orderstatus END AS status FROM orders",
