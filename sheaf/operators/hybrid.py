@@ -15,7 +15,6 @@ from sheaf.operators.filters import cut_scores
 from sheaf.operators.text_search import lexical_search, lexical_search_one
 from sheaf.operators.vector_search import vector_search, vector_search_one
 from sheaf.schema import SearchFilters
-from sheaf.session import union_all
 
 Scorer = Callable[[str, list[str]], list[float]]
 
@@ -49,7 +48,7 @@ def _scored_by(scorer: Scorer) -> Callable[[Column, Column], Column]:
     @F.pandas_udf("double")
     def run(query: pd.Series, document: pd.Series) -> pd.Series:
         out = pd.Series([None] * len(query), index=query.index, dtype="float64")
-        for text, rows in document.groupby(query, sort=False):
+        for text, rows in document.dropna().groupby(query, sort=False):  # past the head there is no text
             try:
                 out.loc[rows.index] = [float(s) for s in scorer(text, list(rows))]
             except Exception:  # a scorer that fails leaves its query unscored
@@ -80,10 +79,12 @@ def scored(ranked: DataFrame, scorer: Scorer | str, head: int = S.RERANK_HEAD) -
     title = F.coalesce(F.col("title"), F.lit(""))
     description = F.coalesce(F.col("description"), F.lit(""))
     document = X.embedding_text("plain", title, description)
-    score = overlap_score if scorer == "overlap" else _scored_by(scorer)
-    top = ranked.filter(F.col("rank") <= head).withColumn("rerank_score", score(F.col("query"), document))
-    tail = ranked.filter(F.col("rank") > head).withColumn("rerank_score", F.lit(None).cast("double"))
-    return union_all(top, tail)
+    in_head = F.col("rank") <= head
+    if scorer == "overlap":
+        score = F.when(in_head, overlap_score(F.col("query"), document))
+    else:
+        score = _scored_by(scorer)(F.col("query"), F.when(in_head, document))
+    return ranked.withColumn("rerank_score", score)
 
 
 def reorder(rows: DataFrame, head: int = S.RERANK_HEAD, cut: float = S.RERANK_CUT) -> DataFrame:
@@ -197,14 +198,14 @@ def _finish(
     """Rows are ranked and cut by ids and scores; wide columns are joined to those that are left. How
     is left to adaptive execution, which sees how few they are."""
     ranked = fuse_rrf(lexical, vector, fusion.k, fusion.vector_weight)
-    if scorer is not None:
-        # Rows past the head keep their order, so those past head + top_k can no longer be returned.
-        ranked = ranked.filter(F.col("rank") <= S.RERANK_HEAD + top_k)
-        texts = docs.select(F.col("id").alias("_id"), "title", "description")
-        with_texts = ranked.join(texts, F.col("id") == F.col("_id")).join(asked, "query_id")
-        ranked = reorder(scored(with_texts, scorer).select(*ranked.columns, "rerank_score"))
-    ids = cut_results(ranked, top_k, min_score, cap).withColumnRenamed("id", "_id")
     wide = docs.select(
         "id", "network", "type", "title", "description", "proposer", "amount_numeric", "status", "created_at"
     )
-    return result_columns(wide.join(ids, F.col("id") == F.col("_id")).drop("_id"))
+    if scorer is None:
+        ids = cut_results(ranked, top_k, min_score, cap).withColumnRenamed("id", "_id")
+        return result_columns(wide.join(ids, F.col("id") == F.col("_id")).drop("_id"))
+    # Rows past the head keep their order, so those past head + top_k can no longer be returned. The few
+    # that are left take their texts along, so that records are read once more and not twice.
+    ranked = ranked.filter(F.col("rank") <= S.RERANK_HEAD + top_k).withColumnRenamed("id", "_id")
+    with_texts = wide.join(ranked, F.col("id") == F.col("_id")).drop("_id").join(asked, "query_id")
+    return result_columns(cut_results(reorder(scored(with_texts, scorer)), top_k, min_score, cap))

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +20,10 @@ from sheaf.operators.filters import apply_filters
 from sheaf.schema import SearchFilters
 from sheaf.session import union_all
 
+#: Distinct query words that are sent to the tasks. Beyond it, words and records are joined.
+MAX_WORDS = 50_000
+
+
 def _top(df: DataFrame, score: str, limit: int) -> DataFrame:
     """Best rows of one query: a distributed top-k, then numbers for ``limit`` rows."""
     order = [F.col(score).desc(), F.col("id").asc()]
@@ -155,42 +166,98 @@ def lexical_search(
     """``(query_id, id, rank_score, position)`` for a table ``(query_id, query)``.
 
     A term has no characters that end a word, so a text contains it exactly when one of its
-    words does. Terms are therefore matched against the distinct words, found through a shared
-    three-letter window, and records are reached from words by equality.
+    words does. Up to :data:`MAX_WORDS` distinct terms (checked) are sent to the tasks, which look for
+    all of them at once in each text; more terms, or those of an ``index``, are joined by word.
 
     A record's score is that of its best term, so the best ``limit`` records of a query are
     among the best ``limit`` of each of its terms. Each term is ranked once, however many
     queries use it, and cut to ``limit`` records before anything is combined.
     """
+    terms = F.when((F.size(X.key_terms(F.col("query"))) == 0) & (F.size(X.tokens(F.col("query"))) > 0), F.array(F.lit("")))
+    asked = queries.select("query_id", F.explode(F.coalesce(terms, X.key_terms(F.col("query")))).alias("term"))
+    known = None if index is not None else _bounded(asked.select("term"))
+    query_terms = asked.filter("term <> ''")
+    if known is not None:
+        near = _holders(apply_filters(docs, filters), [t for t in known if t], limit)
+    else:
+        near = _joined(query_terms, docs, filters, limit, index)
+    score = F.when(F.max("in_title"), F.lit(S.TITLE_SCORE)).otherwise(F.lit(S.DESCRIPTION_SCORE))
+    per_term = near.groupBy("term", "id").agg(score.alias("rank_score"))
+    best = _top_per_query(per_term, "rank_score", limit, "term").drop("position")
+    scored = query_terms.join(best, "term").groupBy("query_id", "id").agg(F.max("rank_score").alias("rank_score"))
+    if known is None or "" in known:  # a query of short and stop words only has nothing but its full-text rank
+        plain = queries.filter((F.size(X.key_terms(F.col("query"))) == 0) & (F.size(X.tokens(F.col("query"))) > 0))
+        found = _fulltext(plain, docs, filters, index, limit)
+        scored = union_all(scored, found.select("query_id", "id", F.col("rank").alias("rank_score")))
+    return _top_per_query(scored, "rank_score", limit)
+
+
+def _bounded(words: DataFrame) -> list[str] | None:
+    """The distinct words, if there are no more than :data:`MAX_WORDS` of them."""
+    found = words.distinct().limit(MAX_WORDS + 1).collect()
+    return None if len(found) > MAX_WORDS else sorted(r[0] for r in found)
+
+
+def _ranked_cut(rows: pa.Table, group: str, order: list[tuple[str, str]], limit: int) -> pa.Table:
+    """The first ``limit`` rows of each group, as Spark orders them: null ids first."""
+    by = pc.sort_indices(rows, sort_keys=[(group, "ascending"), *order], null_placement="at_start")
+    rows = rows.take(by)
+    groups = rows.column(group).to_numpy()
+    starts = np.flatnonzero(np.diff(groups, prepend=-1))
+    place = np.arange(len(groups)) - np.repeat(starts, np.diff([*starts, len(groups)]))
+    return rows.filter(pa.array(place < limit))
+
+
+def _holders(rows: DataFrame, terms: list[str], limit: int) -> DataFrame:
+    """``(term, id, in_title)`` of the best ``limit`` records of each term in each task.
+
+    All terms are looked for at once, by one automaton over the lower-cased texts, so a text is read once
+    and what leaves a task is bounded by the terms, however many records it holds.
+    """
+    id_type = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ahocorasick.Automaton()
+        for i, term in enumerate(terms):
+            found.add_word(term, i)
+        found.make_automaton()
+        best = None
+        for batch in batches:
+            hit, row, titled = [], [], []
+            pairs = zip(batch.column("title").to_pylist(), batch.column("description").to_pylist(), strict=True)
+            for r, (title, text) in enumerate(pairs):
+                in_title = {i for _, i in found.iter(title)}
+                rest = {i for _, i in found.iter(text)} - in_title
+                hit += [*in_title, *rest]
+                row += [r] * (len(in_title) + len(rest))
+                titled += [1] * len(in_title) + [0] * len(rest)
+            ids = batch.column("id").take(pa.array(row, pa.int64()))
+            held = pa.table({"term": pa.array(hit, pa.int32()), "titled": pa.array(titled, pa.int8()), "id": ids})
+            held = pa.concat_tables([best, held]) if best is not None else held
+            best = _ranked_cut(held, "term", [("titled", "descending"), ("id", "ascending")], limit)
+        if best is not None and best.num_rows:
+            names = pa.array(terms).take(best.column("term").combine_chunks())
+            yield from pa.table({"term": names, "id": best.column("id"), "in_title": pc.equal(best.column("titled"), 1)}).to_batches()
+
+    if not terms:
+        return rows.sparkSession.createDataFrame([], f"term string, id {id_type}, in_title boolean")
+    lowered = rows.select("id", *[F.coalesce(F.lower(c), F.lit("")).alias(c) for c in ("title", "description")])
+    return lowered.mapInArrow(run, f"term string, id {id_type}, in_title boolean")
+
+
+def _joined(query_terms: DataFrame, docs: DataFrame, filters: SearchFilters | None, limit: int, index: DataFrame | None) -> DataFrame:
+    """The same from a stored index, or for more terms than are sent to tasks: terms are matched against
+    the distinct words, found through a shared three-letter window, and records are reached from words."""
     if index is None:
         rows = _distinct_words(apply_filters(docs, filters))
     else:
         rows = _in_scope(index.select("token", "id", "in_title"), docs, filters)
-    query_terms = queries.select("query_id", F.explode(X.key_terms(F.col("query"))).alias("term"))
     matches = _term_tokens(query_terms.select("term").distinct(), rows.select("token").distinct())
     hits = rows.select("token", "id", "in_title").join(matches, "token")
     # A record may hold several words with the same term, in the title or not: two different
     # ranks at most, so 2 * limit ranks hold the best limit records.
     by_rank = Window.partitionBy("term").orderBy(F.col("in_title").desc(), F.col("id").asc())
-    near = hits.withColumn("_rank", F.dense_rank().over(by_rank)).filter(F.col("_rank") <= 2 * limit)
-    score = F.when(F.max("in_title"), F.lit(S.TITLE_SCORE)).otherwise(F.lit(S.DESCRIPTION_SCORE))
-    per_term = near.groupBy("term", "id").agg(score.alias("rank_score"))
-    best = _top_per_query(per_term, "rank_score", limit, "term").drop("position")
-    scored = query_terms.join(best, "term").groupBy("query_id", "id").agg(F.max("rank_score").alias("rank_score"))
-    return _top_per_query(union_all(scored, _termless(queries, docs, filters, index)), "rank_score", limit)
-
-
-def _termless(
-    queries: DataFrame, docs: DataFrame, filters: SearchFilters | None, index: DataFrame | None
-) -> DataFrame:
-    """Scores of queries made of short and stop words only: nothing but the full-text rank."""
-    words = F.size(X.tokens(F.col("query"))) > 0
-    plain = queries.filter(words & (F.size(X.key_terms(F.col("query"))) == 0))
-    if plain.isEmpty():
-        query_type, id_type = (d.schema[c].dataType.simpleString() for d, c in ((queries, "query_id"), (docs, "id")))
-        return docs.sparkSession.createDataFrame([], f"query_id {query_type}, id {id_type}, rank_score double")
-    found = _fulltext(plain, docs, filters, index)
-    return found.select("query_id", "id", F.col("rank").alias("rank_score"))
+    return hits.withColumn("_rank", F.dense_rank().over(by_rank)).filter(F.col("_rank") <= 2 * limit)
 
 
 def _term_tokens(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -212,12 +279,63 @@ def fulltext_search(
     index: DataFrame | None = None,
 ) -> DataFrame:
     """``(query_id, id, rank, position)``: records holding every word of the query."""
-    return _top_per_query(_fulltext(queries, docs, filters, index), "rank", limit)
+    return _top_per_query(_fulltext(queries, docs, filters, index, limit), "rank", limit)
 
 
 def _fulltext(
-    queries: DataFrame, docs: DataFrame, filters: SearchFilters | None, index: DataFrame | None
+    queries: DataFrame, docs: DataFrame, filters: SearchFilters | None, index: DataFrame | None, limit: int
 ) -> DataFrame:
+    """``(query_id, id, rank)``, at least the best ``limit`` of each query. Queries of few words in all
+    are sent to the tasks, others and those of an ``index`` are joined."""
+    if index is None:
+        asked = queries.select("query_id", F.array_distinct(X.tokens(F.col("query"))).alias("words")).filter("size(words) > 0")
+        found = asked.limit(MAX_WORDS + 1).collect()
+        if sum(len(r.words) for r in found) <= MAX_WORDS:
+            return _holding_all(apply_filters(docs, filters), queries.schema["query_id"].dataType.simpleString(), found, limit)
+    return _fulltext_joined(queries, docs, filters, index)
+
+
+def _holding_all(rows: DataFrame, query_type: str, asked: list, limit: int) -> DataFrame:
+    """Best records of each query in each task. A record is compared with the queries whose rarest word
+    (in its batch) it holds; the other words only confirm."""
+    id_type = rows.schema["id"].dataType.simpleString()
+    schema = f"query int, id {id_type}, hits long"
+    wanted = [frozenset(r.words) for r in asked]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word, vocabulary, best = regex.compile(X.WORD), frozenset().union(*wanted), None
+        for batch in batches:
+            counts = [Counter(word.findall(t)) for t in batch.column("text").to_pylist()]
+            held = [vocabulary.intersection(c) for c in counts]
+            df = Counter(w for h in held for w in h)
+            by_rarest: dict[str, list[int]] = {}
+            for q, words in enumerate(wanted):
+                by_rarest.setdefault(min(words, key=lambda w: (df[w], w)), []).append(q)
+            query, row, hits = [], [], []
+            for r, (own, count) in enumerate(zip(held, counts, strict=True)):
+                for w in own.intersection(by_rarest):
+                    for q in by_rarest[w]:
+                        if wanted[q] <= own:
+                            query.append(q)
+                            row.append(r)
+                            hits.append(sum(count[x] for x in wanted[q]))
+            ids = batch.column("id").take(pa.array(row, pa.int64()))
+            more = pa.table({"query": pa.array(query, pa.int32()), "id": ids, "hits": pa.array(hits, pa.int64())})
+            more = pa.concat_tables([best, more]) if best is not None else more
+            best = _ranked_cut(more, "query", [("hits", "descending"), ("id", "ascending")], limit)
+        if best is not None:
+            yield from best.to_batches()
+
+    spark = rows.sparkSession
+    names = spark.createDataFrame([(i, r.query_id) for i, r in enumerate(asked)], f"query int, query_id {query_type}")
+    if not asked:
+        return spark.createDataFrame([], f"query_id {query_type}, id {id_type}, rank double")
+    text = F.lower(X.document(F.col("title"), F.col("description"))).alias("text")
+    found = rows.select("id", text).mapInArrow(run, schema).join(names, "query")
+    return found.select("query_id", "id", X.fulltext_rank(F.col("hits")).alias("rank"))
+
+
+def _fulltext_joined(queries: DataFrame, docs: DataFrame, filters: SearchFilters | None, index: DataFrame | None) -> DataFrame:
     """Candidates come from the query's rarest word alone; the other words only confirm them."""
     words = queries.select("query_id", F.array_distinct(X.tokens(F.col("query"))).alias("_words"))
     needed = words.select("query_id", F.size("_words").alias("_n"), F.explode("_words").alias("token"))

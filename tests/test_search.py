@@ -229,3 +229,31 @@ def test_hybrid_batch_of_one_equals_single(spark, docs, vectors):
     assert H.hybrid_search_one(" ", vectors[3].tolist(), docs, e).count() == 0
     with pytest.raises(ValueError):
         H.hybrid_search(q, docs, e, top_k=0)
+
+
+def many_records(spark, n=3000):
+    words = ["alpha", "alphabet", "beta", "gamma", "delta", "the", "of", "x", "été", "zz9"]
+    rows = [(i, words[i % 7], " ".join(words[(i * k + k) % 10] for k in range(1, 6))) for i in range(n)]
+    return spark.createDataFrame([*rows, (n, None, None), (n + 1, "", "")], "id long, title string, description string").repartition(3)
+
+
+@pytest.mark.parametrize("batch", [10_000, 50])
+def test_words_sent_to_tasks_and_words_joined_agree(spark, monkeypatch, batch):
+    docs = many_records(spark)
+    queries = spark.createDataFrame(
+        [(1, "alpha"), (2, "the of"), (3, "Beta gamma"), (4, "nowhere"), (5, ""), (6, None), (7, "été zz9 x"), (8, "alph")], "query_id int, query string"
+    )
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        sent = [sorted(map(tuple, f(queries, docs, limit=7).collect())) for f in (T.lexical_search, T.fulltext_search)]
+        monkeypatch.setattr(T, "MAX_WORDS", 1)
+        joined = [sorted(map(tuple, f(queries, docs, limit=7).collect())) for f in (T.lexical_search, T.fulltext_search)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sent[0] == joined[0] and len(sent[0]) == 7 * 5  # queries 1, 2, 3, 7, 8
+    assert [(q, i, round(r, 9), p) for q, i, r, p in sent[1]] == [(q, i, round(r, 9), p) for q, i, r, p in joined[1]]
+    none = queries.limit(0)
+    monkeypatch.undo()
+    assert T.lexical_search(none, docs).count() == T.fulltext_search(none, docs).count() == 0
+    assert T.lexical_search(queries, docs.limit(0)).count() == T.fulltext_search(queries, docs.limit(0)).count() == 0
