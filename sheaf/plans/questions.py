@@ -13,7 +13,7 @@ from sheaf.functions import questions as Q
 from sheaf.functions.normalize import strip
 from sheaf.operators.analytics import newest_first
 from sheaf.operators.filters import cut_scores
-from sheaf.session import union_all
+from sheaf.session import union_all, written
 
 TREASURY = "TreasuryProposal"
 
@@ -91,7 +91,8 @@ def answer_questions(
 ) -> DataFrame:
     """Adds ``count``, ``examples`` (array of structs) and ``answer`` (text) to the plans of
     :func:`plan_questions`. See :func:`answer_plans`; equal plans are answered once."""
-    answered = answer_plans(plans, proposals, n, examples_ignore_type)
+    plans = written(plans, "question-plans")
+    answered = written(answer_plans(plans, proposals, n, examples_ignore_type), "plan-answers")
     return _to_questions(plans, answered).select(*plans.columns, "count", "examples", "answer")
 
 
@@ -117,7 +118,7 @@ def answer_plans(plans: DataFrame, proposals: DataFrame, n: int = S.EXAMPLES, ex
         F.col("op").alias("_op"), key.alias("_spec"), F.col("plan_text").alias("_plan"), of_examples.alias("_example_key")
     ).distinct()
     # Few distinct plans stand behind many questions. Only what they ask for is looked up.
-    distinct = distinct.withColumn("_newest", F.col("_op").isin("count", "newest"))
+    distinct = written(distinct.withColumn("_newest", F.col("_op").isin("count", "newest")), "distinct-plans")
     lists = [
         _best(rows, newest_first(), n).withColumn("_newest", F.lit(True)),
         _best(rows, [F.col("id").asc()], n).withColumn("_newest", F.lit(False)),
@@ -313,11 +314,13 @@ def stage_events(
     def failed(why: Column) -> Column:
         return F.array(_event(3, "error", _json(error=why, message=F.lit(FAILED))))
 
-    plans = plan_questions(routed.filter(F.col("route") == ANSWERED).select("query_id", "query"), word_boundary)
+    # what the questions mean is worked out once, and not again in each branch
+    routed = written(routed.select("query_id", "query", "route"), "routed")
+    plans = written(plan_questions(routed.filter(F.col("route") == ANSWERED).select("query_id", "query"), word_boundary), "question-plans")
     result = _event(2, "sql_result", _json(plan=F.col("_plan"), count=F.col("count"), examples=F.col("examples")))
     done = F.array(result, _final(F.col("answer"), ANSWERED))
     outcome = F.when(F.col("_op") == "invalid", failed(F.lit("no such month"))).otherwise(done)
-    by_plan = answer_plans(plans, proposals, n).select("_op", "_spec", "_plan", outcome.alias("outcome"))
+    by_plan = written(answer_plans(plans, proposals, n).select("_op", "_spec", "_plan", outcome.alias("outcome")), "plan-events")
     answered = _to_questions(plans, by_plan).select("query_id", with_decision(ANSWERED, F.col("outcome")))
 
     asked = routed.filter(F.col("route") == SEARCHED).select("query_id")

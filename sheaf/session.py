@@ -42,7 +42,34 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="sheaf-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _blocks:
+        _blocks[-1].append(path)
+    return path
+
+
+#: Folders named within each open :func:`scratch` block, innermost last.
+_blocks: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, every scratch folder that was named within. Results that are still to be read
+    from such folders have to be written before: ``with scratch(spark): answers.write.parquet(path)``."""
+    _blocks.append([])
+    try:
+        yield
+    finally:
+        for path in _blocks.pop():
+            remove_path(spark, path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of a frame, written once to the shared scratch folder and read back. What follows neither
+    repeats their work nor carries their plan. :func:`scratch` clears the folder."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sheaf.functions import questions as Q
 from sheaf.operators.hybrid import hybrid_search
 from sheaf.plans import questions as P
+from sheaf.session import written
 from workload import bindings as B
 from workload.registry import query
 from workload.search import HYBRID_SQL
@@ -268,7 +269,7 @@ _SEARCHED = f"""
 )
 def stage_events(spark, sf_dir):
     """All events of all questions; of results and proposals, the ids are compared."""
-    routed = P.route(B.chain_questions(spark, sf_dir))
+    routed = written(P.route(B.chain_questions(spark, sf_dir)), "routed")
     events = P.stage_events(routed, B.chain_records(spark, sf_dir), _searched(spark, sf_dir, routed))
     rows = F.from_json("payload", "hits array<struct<id:string>>, proposals array<struct<id:string>>")
     ids = F.array_join(F.transform(F.coalesce(rows["hits"], rows["proposals"]), lambda x: x["id"]), ",")
@@ -281,6 +282,53 @@ def stage_events(spark, sf_dir):
     return events.select("query_id", "seq", "stage", payload.alias("payload"), F.get_json_object("payload", "$.count").cast("long").alias("count"))
 
 
+_SEARCH_EVENTS = f"""
+  WITH q AS (SELECT item_id AS query_id, item_id % 4 = 0 AS dated, item_id % 4 <> 1 AS searched, text,
+      CASE WHEN item_id % 4 = 0 THEN 'Show recent kusama proposals from 2021-' || CASE WHEN item_id % 8 = 0 THEN '13' ELSE '03' END
+        ELSE 'Explain ' || text END AS query FROM benchmark JOIN embeddings ON item_id = vec_id),
+  l AS (SELECT query_id, dated, searched, query AS q, lower(query) AS l FROM q),
+  i AS (SELECT query_id, dated, searched, l, {_INTENT} AS intent FROM l),
+  rt AS (SELECT query_id, dated, searched, l, {_ROUTE} AS route FROM i),
+  found AS ({HYBRID_SQL}),
+  kept AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INTEGER AS position FROM found WHERE score >= 0.015),
+  hits AS (SELECT query_id, string_agg(id::VARCHAR, ',' ORDER BY position) AS ids, count(*) AS n FROM kept GROUP BY query_id),
+  s AS (SELECT rt.query_id, searched, coalesce(n, 0) AS n, coalesce(ids, '') AS ids FROM rt LEFT JOIN hits USING (query_id) WHERE route = 'retrieval_agent')
+  SELECT query_id, 1 AS seq, 'router_decision' AS stage, route AS payload FROM rt
+  UNION ALL SELECT query_id, 3, 'error', 'no such month' FROM rt WHERE route = 'sql_agent' AND query_id % 8 = 0
+  UNION ALL SELECT query_id, 2, 'sql_result', NULL FROM rt WHERE route = 'sql_agent' AND query_id % 8 <> 0
+  UNION ALL SELECT query_id, 3, 'final_answer', NULL FROM rt WHERE route = 'sql_agent' AND query_id % 8 <> 0
+  UNION ALL SELECT query_id, 3, 'final_answer', NULL FROM rt WHERE route = 'composer'
+  UNION ALL SELECT query_id, 3, 'error', 'no search results' FROM s WHERE NOT searched
+  UNION ALL SELECT query_id, 2, 'retrieval_hits', n || ':' || ids FROM s WHERE searched
+  UNION ALL SELECT query_id, 3, 'final_answer', NULL FROM s WHERE searched
+  UNION ALL SELECT query_id, seq, stage, ids FROM s, (VALUES (4, 'proposal_descriptions'), (5, 'proposals_data')) v(seq, stage) WHERE searched AND n > 0"""
+
+
+@query("search_events", _SEARCH_EVENTS)
+def search_events(spark, sf_dir):
+    """Events of a hybrid search, of months that do not exist, and of questions nothing was searched for."""
+    b = B.benchmark_queries(spark, sf_dir)
+    month = F.when(F.col("query_id") % 8 == 0, "13").otherwise("03")
+    dated = F.concat(F.lit("Show recent kusama proposals from 2021-"), month)
+    text = F.when(F.col("query_id") % 4 == 0, dated).otherwise(F.concat(F.lit("Explain "), F.col("query")))
+    routed = written(P.route(b.select("query_id", text.alias("query"))), "routed")
+    asked = routed.filter((F.col("route") == P.SEARCHED) & (F.col("query_id") % 4 != 1)).select("query_id")
+    wanted = b.join(asked, "query_id", "left_semi")
+    found = hybrid_search(wanted, B.document_records(spark, sf_dir), B.document_embeddings(spark, sf_dir))
+    hits = P.compose_hits(wanted.select("query_id", "query"), found)
+    records = B.document_records(spark, sf_dir).withColumn("created_at", F.lit(B.AS_OF))
+    events = P.stage_events(routed, records, hits)
+    rows = F.from_json("payload", "hits array<struct<id:string>>, proposals array<struct<id:string>>")
+    ids = F.array_join(F.transform(F.coalesce(rows["hits"], rows["proposals"]), lambda x: x["id"]), ",")
+    payload = (
+        F.when(F.col("stage") == "router_decision", F.get_json_object("payload", "$.decision"))
+        .when(F.col("stage") == "error", F.get_json_object("payload", "$.error"))
+        .when(F.col("stage") == "retrieval_hits", F.concat_ws(":", F.get_json_object("payload", "$.count"), ids))
+        .when(F.col("stage").isin("proposal_descriptions", "proposals_data"), ids)
+    )
+    return events.select("query_id", "seq", "stage", payload.alias("payload"))
+
+
 @query(
     "responses",
     f"""WITH {_TEXTS}, {_SEARCHED}
@@ -289,7 +337,7 @@ def stage_events(spark, sf_dir):
     FROM rt LEFT JOIN answers a USING (query_id) LEFT JOIN plans USING (query_id) LEFT JOIN searched s USING (query_id)""",
 )
 def responses(spark, sf_dir):
-    routed = P.route(B.chain_questions(spark, sf_dir))
+    routed = written(P.route(B.chain_questions(spark, sf_dir)), "routed")
     events = P.stage_events(routed, B.chain_records(spark, sf_dir), _searched(spark, sf_dir, routed))
     ids = F.array_join(F.transform(F.from_json("results", "array<struct<id:string>>"), lambda x: x["id"]), ",")
     return P.collapse_events(events).withColumn("results", ids)
