@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sheaf import schema as S
 from sheaf.functions import vectors as V
 from sheaf.operators.filters import apply_filters
 from sheaf.schema import SearchFilters
+from sheaf.session import scratch_dir, task_storage
 
-# Most queries sent to the tasks as they are. With 1536 doubles each, a block is 12 MB.
-QUERY_BLOCK = 1024
+# Queries in a file that tasks read: with 1536 doubles each, 12 MB. Vectors compared with it at a time.
+QUERY_BLOCK, SLICE = 1024, 8192
 
 # Digits kept of a distance, so that equal vectors tie whatever batch they came in.
 DIGITS = 12
@@ -83,11 +88,11 @@ def vector_search(
 ) -> DataFrame:
     """``(query_id, id, distance, position)``: the ``limit`` nearest records per query.
 
-    ``queries`` has ``query_id`` and ``vector``. Up to ``block`` queries (checked here) are sent
-    to the tasks, and the vectors are read where they lie, without a shuffle. Beyond that,
-    records and queries are both hashed into parts of bounded size and every part meets every
-    block in a task of its own. Either way a task multiplies two matrices and hands on only its
-    ``limit`` best per query, so pairs never reach a shuffle.
+    ``queries`` has ``query_id`` and ``vector``, of any number and with ids of any type. They are written once to
+    the shared scratch folder, ``block`` of them a file. The vectors are read where they lie: each task takes
+    up to ``part_rows`` of them at a time, multiplies them with one file of queries after the other, and
+    hands on only the ``limit`` best per query. So vectors are neither copied nor shuffled, and no
+    query goes through the driver.
     """
     known = apply_filters(docs, filters).select(F.col("id").alias("_known"))
     records = embeddings.select("proposal_id", "embedding").join(
@@ -95,119 +100,105 @@ def vector_search(
     )
     records = records.filter(V.is_usable(F.col("embedding")))
     wanted = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
-    wanted = wanted.filter(V.is_usable(F.col("vector")))
-    out = _TopSchema(queries, embeddings)
-    head = wanted.limit(block + 1).collect()
-    if len(head) <= block:
-        best = _few_queries(head, records, out, limit)
-    else:
-        best = _many_queries(wanted, records, out, limit, block, part_rows)
+    folder = scratch_dir(queries.sparkSession, "query-blocks")
+    wanted.filter(V.is_usable(F.col("vector"))).write.option("maxRecordsPerFile", block).parquet(folder)
+    schema = nearest_schema(queries, embeddings)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, held = None, []
+        for batch in batches:
+            files = files if files is not None else _QueryFiles(folder)
+            for part in _slices(batch, part_rows):
+                if sum(b.num_rows for b in held) + part.num_rows > part_rows and held:
+                    yield from nearest_of(pa.Table.from_batches(held), files, limit, arrow)
+                    held = []
+                held.append(part)
+        if held:
+            yield from nearest_of(pa.Table.from_batches(held), files, limit, arrow)
+
+    best = records.mapInArrow(run, schema)
     window = Window.partitionBy("query_id").orderBy("distance", "id")
     return best.withColumn("position", F.row_number().over(window)).filter(F.col("position") <= limit)
 
 
-class _TopSchema:
-    """Output columns of the matrix step, typed like the caller's keys."""
+def nearest_schema(queries: DataFrame, embeddings: DataFrame) -> T.StructType:
+    """``query_id, id, distance``, typed like the caller's keys."""
+    kinds = (("query_id", queries.schema["query_id"]), ("id", embeddings.schema["proposal_id"]))
+    return T.StructType([*[T.StructField(n, f.dataType) for n, f in kinds], T.StructField("distance", T.DoubleType())])
 
-    def __init__(self, queries: DataFrame, embeddings: DataFrame) -> None:
-        query_id = queries.schema["query_id"].dataType.simpleString()
-        id = embeddings.schema["proposal_id"].dataType.simpleString()
-        self.ddl = f"query_id {query_id}, id {id}, distance double"
-        kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
-        self.arrow = pa.schema([("query_id", kinds[query_id]), ("id", kinds[id]), ("distance", pa.float64())])
 
-    def table(self, query_ids: Sequence, ids: np.ndarray, distance: np.ndarray) -> pa.Table:
-        repeated = [q for q in query_ids for _ in range(distance.shape[1])]
-        columns = {"query_id": repeated, "id": list(ids.ravel()), "distance": distance.ravel()}
-        return pa.Table.from_pydict(columns, schema=self.arrow)
+class _QueryFiles:
+    """Files of queries in shared storage. A few are kept once read, others are read again."""
 
+    KEPT = 4
 
-def _few_queries(head: list, records: DataFrame, out: _TopSchema, limit: int) -> DataFrame:
-    by_dim: dict[int, list] = {}
-    for row in head:
-        by_dim.setdefault(len(row["vector"]), []).append(row)
-    blocks = {
-        dim: ([r["query_id"] for r in rows], _unit(np.asarray([r["vector"] for r in rows], dtype=np.float64)))
-        for dim, rows in by_dim.items()
-    }
+    def __init__(self, folder: str) -> None:
+        self.fs, root = task_storage(folder)
+        found = self.fs.get_file_info(pafs.FileSelector(root))
+        self.paths = sorted(f.path for f in found if f.path.endswith(".parquet"))
+        self.known: dict[str, pa.Table] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = {dim: (np.empty((len(q[0]), 0)), np.empty((len(q[0]), 0), dtype=object)) for dim, q in blocks.items()}
-        for batch in batches:
-            for dim, ids, vectors in _by_dimension(batch):
-                if dim in blocks:
-                    best[dim] = _merge_top(best[dim], blocks[dim][1], ids, vectors, limit)
-        for dim, (distance, ids) in best.items():
-            yield from out.table(blocks[dim][0], ids, distance).to_batches()
+    def __iter__(self) -> Iterator[pa.Table]:
+        for path in self.paths:
+            table = self.known.get(path)
+            if table is None:
+                with self.fs.open_input_file(path) as file:
+                    table = pq.read_table(file)
+                if len(self.known) < self.KEPT:
+                    self.known[path] = table
+            yield table
 
-    return records.mapInArrow(run, out.ddl)
 
+def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    for a in range(0, batch.num_rows, rows):
+        yield batch.slice(a, rows)
+
+
+def nearest_of(records: pa.Table, blocks: Iterable[pa.Table], limit: int, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The best of some records for each query of some blocks, as batches. Lengths of vectors have to agree."""
+    parts = dict((dim, (ids, matrix)) for dim, ids, matrix in by_dimension(records, "proposal_id", "embedding"))
+    for block in blocks:
+        for dim, query_ids, vectors in by_dimension(block, "query_id", "vector"):
+            if dim in parts:
+                ids, matrix = parts[dim]
+                rows, columns, distance = nearest(vectors, matrix, limit)
+                columns = [query_ids.take(pa.array(rows)), ids.take(pa.array(columns)), pa.array(distance)]
+                cast = [c.cast(f.type) for c, f in zip(columns, arrow, strict=True)]
+                yield from pa.Table.from_arrays(cast, schema=arrow).to_batches()
 
-def _many_queries(
-    wanted: DataFrame, records: DataFrame, out: _TopSchema, limit: int, block: int, part_rows: int
-) -> DataFrame:
-    blocks = -(-wanted.count() // block)
-    parts = max(1, -(-records.count() // part_rows))
-    left = records.select(
-        "*",
-        F.pmod(F.xxhash64("proposal_id"), F.lit(parts)).alias("_part"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"),
-    )
-    right = wanted.select(
-        "*",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("_part"),
-        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("_block"),
-    )
 
-    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        done = []
-        for batch in queries.combine_chunks().to_batches():
-            for dim, query_ids, rows in _by_dimension(batch, "query_id", "vector"):
-                best = (np.empty((len(query_ids), 0)), np.empty((len(query_ids), 0), dtype=object))
-                for chunk in vectors.to_batches(max_chunksize=8192):
-                    for size, ids, matrix in _by_dimension(chunk):
-                        if size == dim:
-                            best = _merge_top(best, rows, ids, matrix, limit)
-                done.append(out.table(query_ids, best[1], best[0]))
-        return pa.concat_tables(done) if done else out.arrow.empty_table()
-
-    keys = ["_part", "_block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, out.ddl)
-
-
-def _by_dimension(
-    batch: pa.RecordBatch, key: str = "proposal_id", vector: str = "embedding"
-) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """A batch split by vector length: ids in order, and their unit vectors as a matrix."""
-    if not batch.num_rows:
-        return
-    lengths = pc.list_value_length(batch.column(vector)).to_numpy(zero_copy_only=False)
+def by_dimension(table: pa.Table, key: str, vector: str) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """Rows split by vector length: ids in their order, and the unit vectors as a matrix in that order."""
+    table = table.take(pc.sort_indices(table, sort_keys=[(key, "ascending")], null_placement="at_start"))
+    lengths = pc.list_value_length(table.column(vector)).to_numpy()
     for dim in np.unique(lengths):
-        part = batch.filter(pa.array(lengths == dim))
-        ids = np.asarray(part.column(key).to_pylist(), dtype=object)
-        yield int(dim), ids, _matrix(part.column(vector), int(dim))
-
-
-def _merge_top(
-    best: tuple[np.ndarray, np.ndarray], queries: np.ndarray, ids: np.ndarray, matrix: np.ndarray, limit: int
-) -> tuple[np.ndarray, np.ndarray]:
-    distance = np.round(1.0 - queries @ matrix.T, DIGITS)
-    all_d = np.concatenate([best[0], distance], axis=1)
-    all_id = np.concatenate([best[1], np.broadcast_to(ids, distance.shape)], axis=1)
-    return _cut(all_d, all_id, limit) if all_d.shape[1] > limit else (all_d, all_id)
-
-
-def _cut(distance: np.ndarray, ids: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``limit`` smallest per row. Every distance tied with the last one is weighed by id."""
-    edge = np.partition(distance, limit - 1, axis=1)[:, limit - 1 : limit]
-    if int((distance <= edge).sum(axis=1).max()) == limit:
-        order = np.argpartition(distance, limit - 1, axis=1)[:, :limit]
-    else:
-        order = np.empty((len(distance), limit), dtype=np.int64)
-        for i, row in enumerate(distance):
-            near = np.flatnonzero(row <= edge[i, 0])
-            order[i] = near[sorted(range(len(near)), key=lambda j: (row[near[j]], ids[i, near[j]]))[:limit]]
-    return np.take_along_axis(distance, order, axis=1), np.take_along_axis(ids, order, axis=1)
+        part = table.filter(pa.array(lengths == dim)).combine_chunks()
+        yield int(dim), _whole(part.column(key)), _matrix(_whole(part.column(vector)), int(dim))
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    joined = column.combine_chunks()
+    return joined if isinstance(joined, pa.Array) else pa.concat_arrays(joined.chunks)
+
+
+def nearest(queries: np.ndarray, matrix: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and distance of the ``limit`` smallest distances of each query; equal ones in order of
+    the columns. Only a slice of all distances is in memory at a time."""
+    rows, columns, best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    for a in range(0, len(matrix), SLICE):
+        distance = np.round(1.0 - queries @ matrix[a : a + SLICE].T, DIGITS)
+        edge = np.inf
+        if distance.shape[1] > limit:  # everything that ties with the last one is weighed
+            edge = np.partition(distance, limit - 1, axis=1)[:, limit - 1 : limit]
+        r, c = np.nonzero(distance <= edge)
+        rows, columns, best = np.concatenate([rows, r]), np.concatenate([columns, c + a]), np.concatenate([best, distance[r, c]])
+        order = np.lexsort((columns, best, rows))
+        rows, columns, best = rows[order], columns[order], best[order]
+        starts = np.flatnonzero(np.diff(rows, prepend=-1))
+        place = np.arange(len(rows)) - np.repeat(starts, np.diff([*starts, len(rows)]))
+        rows, columns, best = rows[place < limit], columns[place < limit], best[place < limit]
+    return rows, columns, best
 
 
 # --- approximate: records that share a signature with the query --------------------------------

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +85,14 @@ def staged(spark: SparkSession, df: DataFrame, name: str) -> Iterator[DataFrame]
         remove_path(spark, path)
 
 
+def task_storage(path: str) -> tuple[pafs.FileSystem, str]:
+    """The Arrow file system of a path or URI, and the path on it: for tasks that read shared files. Knows
+    local and mounted folders, hdfs, s3, gs and abfs."""
+    if "://" not in path:
+        return pafs.LocalFileSystem(), path.removeprefix("file:")
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """True if a path or glob matches anything on the file system it belongs to."""
     return bool(_matches(spark, path)[1])

@@ -3,6 +3,8 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sheaf import schema as S
@@ -10,6 +12,7 @@ from sheaf.functions import text as X
 from sheaf.functions.vectors import cosine_distance, unit
 from sheaf.operators import hybrid as H
 from sheaf.operators import text_search as T
+from sheaf.operators import vector_index as VI
 from sheaf.operators import vector_search as V
 from sheaf.operators.filters import cut_scores
 from sheaf.schema import SearchFilters
@@ -257,3 +260,59 @@ def test_words_sent_to_tasks_and_words_joined_agree(spark, monkeypatch, batch):
     monkeypatch.undo()
     assert T.lexical_search(none, docs).count() == T.fulltext_search(none, docs).count() == 0
     assert T.lexical_search(queries, docs.limit(0)).count() == T.fulltext_search(queries, docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["smallint", "string", "date", "decimal(9,2)", "binary"])
+def test_ids_of_any_type_are_searched(spark, kind):
+    rows = spark.range(40).selectExpr("cast(id as int) as n", "array(cast(id % 7 + 1 as float), 1f) as embedding")
+    made = {"date": "date_add(date'2020-01-01', n)", "binary": "cast(lpad(n, 3, '0') as binary)", "string": "lpad(n, 3, '0')"}.get(kind, f"cast(n as {kind})")
+    rows = rows.selectExpr("n", f"{made} as proposal_id", "embedding")
+    q = rows.filter("n < 5").select(F.col("proposal_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = V.vector_search(q, rows.select(F.col("proposal_id").alias("id")), rows, limit=3, block=2, part_rows=7)
+    assert found.schema["id"].dataType == rows.schema["proposal_id"].dataType
+    place = {r.proposal_id if kind != "binary" else bytes(r.proposal_id): r.n for r in rows.collect()}
+    key = (lambda x: bytes(x)) if kind == "binary" else (lambda x: x)
+    got = sorted((place[key(r.query_id)], r.position, place[key(r.id)]) for r in found.collect())
+    assert got == [(q, p + 1, q + 7 * p) for q in range(5) for p in range(3)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.floats(-3, 3, allow_nan=False), min_size=1, max_size=7), st.integers(1, 40))
+def test_crossings_come_in_order_of_their_margins(margins, probes):
+    m = np.array(margins)
+    found = VI.crossings(m, probes)
+    cost = lambda mask: sum(x * x for i, x in enumerate(margins) if mask >> i & 1)
+    every = sorted(cost(mask) for mask in range(1 << len(margins)))
+    assert len(found) == len(set(found)) == min(probes, 1 << len(margins)) and found[0] == 0
+    assert np.allclose([cost(x) for x in found], every[: len(found)])
+
+
+def test_probed_search_finds_nine_of_ten(spark, tmp_path):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("proposal_id"), "embedding")
+    index = VI.build_signatures(e, str(tmp_path / "sig"), 64)
+    assert VI.open_signatures(spark, index.path) == index and index.rows == e.filter("size(embedding) = 64").count()
+    docs = e.select(F.col("proposal_id").alias("id"))
+    q = e.filter("proposal_id % 20 = 0").select(F.col("proposal_id").alias("query_id"), F.col("embedding").alias("vector"))
+    exact = V.vector_search(q, docs, e, limit=50).cache()
+    found = VI.probed_search(q, docs, index, limit=50).cache()
+    assert VI.recall(found, exact) >= 0.9
+    near = found.join(exact.select("query_id", "id", F.col("distance").alias("d")), ["query_id", "id"])
+    assert near.filter(F.abs(F.col("d") - F.col("distance")) > 1e-9).count() == 0
+    assert found.filter("query_id = id AND position = 1").count() == q.count()
+    one = VI.recall(VI.probed_search(q, docs, index, limit=50, probes=1), exact)
+    assert one < VI.recall(found, exact)
+
+
+@pytest.mark.parametrize("rows,asked", [(50_000, 4096), (20, 5)])
+def test_probed_search_in_parts_and_without_rows(spark, tmp_path, monkeypatch, docs, vectors, rows, asked):
+    monkeypatch.setattr(VI, "PART_ROWS", rows)
+    monkeypatch.setattr(VI, "PART_QUERIES", asked)
+    e = embedding_table(spark, vectors)
+    index = VI.build_signatures(e, str(tmp_path / "sig"), 8, bits=3)
+    q = spark.createDataFrame([(i, vectors[i].tolist()) for i in range(40)], "query_id int, vector array<float>")
+    every = VI.probed_search(q, docs, index, limit=9, probes=8)  # all eight buckets
+    exact = V.vector_search(q, docs, e, limit=9)
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, exact.collect()))
+    assert VI.probed_search(q.limit(0), docs, index).count() == VI.probed_search(q, docs.limit(0), index).count() == 0
+    empty = VI.build_signatures(e.limit(0), str(tmp_path / "none"), 8)
+    assert empty.rows == 0 and VI.probed_search(q, docs, empty).count() == 0

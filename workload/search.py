@@ -8,9 +8,11 @@ from sheaf.functions import text as X
 from sheaf.functions.vectors import cosine_distance
 from sheaf.operators import hybrid as H
 from sheaf.operators import text_search as T
+from sheaf.operators import vector_index as VI
 from sheaf.operators import vector_search as V
 from sheaf.operators.embedding import hashed_words
 from sheaf.schema import SearchFilters
+from sheaf.session import scratch_dir
 from workload import bindings as B
 from workload.registry import query
 
@@ -245,6 +247,16 @@ def approx_search(spark, sf_dir):
     return found.withColumn("distance", F.abs(F.round("distance", 6)))
 
 
+@query("probed_search")
+def probed_search(spark, sf_dir):
+    """Neighbours of every twentieth vector from stored signatures; tests measure what is found."""
+    vectors = B.document_embeddings(spark, sf_dir)
+    dim = vectors.agg(F.max(F.size("embedding"))).first()[0]
+    index = VI.build_signatures(vectors, scratch_dir(spark, "signatures"), dim)
+    asked = vectors.filter("proposal_id % 20 = 0").select(F.col("proposal_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return VI.probed_search(asked, vectors.select(F.col("proposal_id").alias("id")), index, limit=10)
+
+
 # --- fusion, reranking, hybrid -----------------------------------------------------------------
 
 _FUSED = f"""{_LEXICAL}, {_VECTOR.format(q=B.BENCHMARK_SQL, e=_EMBEDDED)},
