@@ -7,19 +7,24 @@ document of smaller doc_id; strings are judged on the input and never reach over
    anchor, so equal windows have equal anchors at equal places. Each task packs its anchors by hash
    bucket: the gram's hash, a hash of the anchor's surroundings (all windows that can hold it), place
    and document. An anchor whose gram no other document has needs no further look.
-2. Collapsing, after the shuffle by bucket: all anchors of a gram meet in one task. Anchors with equal surroundings differ in nothing that matters; all but those of
-   the smallest doc_id are covered whole. What is left are first occurrences of grams that stand in
+2. Collapsing. Anchors with equal surroundings differ in nothing that matters; all but those of the
+   smallest doc_id are covered whole. A gram's anchors meet in one bucket for that, unless the gram is
+   frequent: frequent grams are collapsed within each batch first, and what is left is dealt out by
+   gram and surroundings, so that a line that a third of all documents hold is spread over as many
+   tasks as its anchors need. What is left are first occurrences of grams that stand in
    unlike surroundings: where shared passages begin, end or were edited.
 3. Suffix arrays. The surroundings of those anchors are dealt to shards by gram. Each shard sorts its
    suffixes by Larsson-Sadakane refinement and takes common prefixes by Kasai's observation; runs
    with LENGTH or more in common are equal windows, of which all but the smallest doc_id's go.
 4. Merging. A gram with more surroundings than a shard may hold is spread over several shards. Each
    gives its sorted distinct windows with their smallest doc_id; these are merged by binary search,
-   and a window whose doc_id is beaten elsewhere goes too.
+   in as many cuts as the gram's surroundings ask for, and a window whose doc_id is beaten elsewhere goes too.
 5. Each chunk of documents joins its covered places and cuts them out.
 
-Anchors are compared by 32 bits of gram hash beyond the bucket's and 32 bits of surroundings; a false
-agreement of both needs about 2^70 pairs at this size and 2^86 at 100 TB, where there are more buckets.
+Which grams are frequent is estimated from one of :data:`SAMPLE_SHARE` documents, and only decides where
+anchors meet, never what is removed. There are at most :data:`HOT_GRAMS` of them, which bounds what is sent to tasks.
+Anchors are compared by 32 bits of gram hash beyond the bucket's and 48 bits of surroundings; those of
+frequent grams by the gram itself and 64 bits.
 Texts are shuffled once, by chunk of documents; both passes over them share that exchange.
 
 Null and short texts keep all bytes. Rows that repeat a doc_id never remove each other's bytes. A
@@ -30,6 +35,7 @@ through :func:`cut_repeats`.
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sheaf.llm.common import as_batch, as_bytes, fields, fold_values, parts_for, stored, text_bytes
+from sheaf.llm.common import as_batch, as_bytes, fields, fold_values, parts_for, stored
 from sheaf.llm.suffix_array import common_prefixes, laid_out, suffix_array
 from sheaf.session import union_all
 
@@ -51,6 +57,12 @@ LEFT, RIGHT = GRAMS - 1, GRAM + GRAMS - 1
 SCAN, MARGIN = 1 << 18, 128
 #: Anchors a bucket and surroundings a shard are meant to hold.
 BUCKET_ANCHORS, SHARD_ANCHORS = 600_000, 12_000
+#: One of so many documents, but SAMPLE_DOCS at least, is searched for frequent grams. Frequent is a gram
+#: with HOT_ANCHORS anchors or more, and more than one of HOT_GRAMS of all anchors.
+SAMPLE_SHARE, SAMPLE_DOCS = 1024, 8192
+HOT_ANCHORS, HOT_GRAMS = 150_000, 1_000_000
+#: Bits of a part's number; above them is the logarithm of the number of cuts.
+PART_BITS, BUCKET_PARTS = 26, 1 << 12
 #: Documents whose anchors are packed together, and bytes of text in a chunk.
 DOCS_AT_ONCE, CHUNK_BYTES = 2048, 8 << 20
 
@@ -188,12 +200,59 @@ def anchors_of(texts: list[bytes], up: np.ndarray, down: np.ndarray):
         yield scan(block)
 
 
-def packed_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """Anchors of ``docs`` (doc_id, text, _tag, _chunk), a row per input batch and bucket."""
+class Frequent(NamedTuple):
+    """Frequent grams in order, the logarithm of the cuts of each, and the buckets they are dealt to."""
+
+    grams: np.ndarray
+    cuts: np.ndarray
+    spread: int
+
+    def of(self, gram: np.ndarray) -> np.ndarray:
+        """The number of each gram, -1 if it is not frequent."""
+        at = np.searchsorted(self.grams, gram)
+        at[at == len(self.grams)] = 0
+        return np.where(self.grams[at] == gram, at, -1) if len(self.grams) else np.full(len(gram), -1)
+
+
+def _cuts(surroundings: int, shard_anchors: int) -> int:
+    return parts_for(surroundings, shard_anchors, 2).bit_length() - 1
+
+
+def frequent_grams(docs: DataFrame, rows: int, anchors_in_all: int, shard_anchors: int) -> Frequent:
+    """Grams of which a sample of ``docs`` (doc_id, text, _tag, _chunk) promises very many anchors."""
+    share = min(1.0, max(1 / SAMPLE_SHARE, SAMPLE_DOCS / max(1, rows)))
+    schema = fields(("gram", T.LongType()))
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        up, down = powers()
+        for batch in (b.slice(at, DOCS_AT_ONCE) for b in batches for at in range(0, b.num_rows, DOCS_AT_ONCE)):
+            for _, _, gram, _ in anchors_of(as_bytes(batch.column(0)), up, down):
+                yield as_batch({"gram": gram.view(np.int64)}, arrow)
+
+    drawn = docs.filter(F.pmod(F.xxhash64(F.lit(11), "_doc", "_tag"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    least = max(HOT_ANCHORS, anchors_in_all // HOT_GRAMS) * share
+    counts = drawn.select("_text").mapInArrow(run, schema).groupBy("gram").count().filter(F.col("count") >= least)
+    found = counts.collect()  # HOT_GRAMS at most, give or take the sample's error
+    grams = np.array([r["gram"] for r in found], np.int64).view(np.uint64)
+    number = np.array([int(r["count"] / share) for r in found], np.int64)
+    order = np.argsort(grams)
+    cuts = np.array([_cuts(int(n), shard_anchors) for n in number[order]], np.int64)
+    spread = min(parts_for(int(number.sum()), BUCKET_ANCHORS), (1 << PART_BITS) // BUCKET_PARTS // 2)
+    return Frequent(grams[order], cuts, spread)
+
+
+def packed_anchors(docs: DataFrame, buckets: int, frequent: Frequent) -> DataFrame:
+    """Anchors of ``docs`` (doc_id, text, _tag, _chunk), a row per input batch and bucket.
+
+    Buckets from ``buckets`` on are those of frequent grams, whose rows hold the gram's number for its
+    hash. Negative ones hold anchors that are covered by another one of their batch."""
     arrow = to_arrow_schema(PACKED)
     shift = np.uint64(64 - max(buckets.bit_length() - 1, 1))
+    shipped = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
+        hot = shipped.value
         up, down = powers()
         for batch in (b.slice(at, DOCS_AT_ONCE) for b in batches for at in range(0, b.num_rows, DOCS_AT_ONCE)):
             found = list(anchors_of(as_bytes(batch.column(1)), up, down))
@@ -203,20 +262,31 @@ def packed_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             doc, tag, chunk = (batch.column(k).to_numpy() for k in (0, 2, 3))
             # anchors are smallest hashes, so their own leading bits are mostly zero: mixed once more
             bucket = (fold_values(gram) >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(gram), np.int64)
+            which = hot.of(gram)
+            if (own := np.flatnonzero(which >= 0)).size:
+                own = own[np.lexsort((doc[number[own]], around[own], which[own]))]
+                new = (np.diff(which[own], prepend=-1) != 0) | (np.diff(around[own], prepend=np.uint64(0)) != 0)
+                new[0] = True
+                first = doc[number[own]][np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))]
+                dealt = fold_values(around ^ gram)[own] % np.uint64(hot.spread)
+                covered = doc[number[own]] > first
+                bucket[own] = np.where(covered, -1 - dealt.astype(np.int64), buckets + dealt.astype(np.int64))
             order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            cuts = np.flatnonzero(np.diff(bucket[order], prepend=bucket[order[0]] - 1))
             for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True):
                 own = order[lo:hi]
                 texts = number[own]
                 first = np.flatnonzero(np.diff(texts, prepend=-1))
+                b = int(bucket[own[0]])
+                shown = which[own] if b >= buckets else gram[own] & np.uint64(0xFFFFFFFF)
                 row = {
-                    "bucket": [bucket[own[0]]],
+                    "bucket": [b],
                     "docs": [planes(doc[texts[first]], "<i8")],
                     "tags": [planes(tag[texts[first]], "<i4")],
                     "chunks": [planes(chunk[texts[first]], "<i4")],
                     "counts": [planes(np.diff([*first, len(own)]), "<u4")],
-                    "grams": [(gram[own] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()],
-                    "around": [(around[own] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()],
+                    "grams": [b"" if b < 0 else shown.astype("<u4").tobytes()],
+                    "around": [b"" if b < 0 else around[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 8 if b >= buckets else 6].tobytes()],
                     "places": [planes(place[own], "<u4")],
                 }
                 yield as_batch(row, arrow)
@@ -224,6 +294,13 @@ def packed_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, PACKED)
 
 
+def _wide(data: bytes, width: int) -> np.ndarray:
+    """Numbers of ``width`` bytes, the lowest first."""
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
 def _answers(kind: int, chunk, doc, tag, begin, end, shard=None, part=None) -> dict:
     """Rows of ANSWER, one for each chunk, shard and part."""
     shard = np.zeros(len(doc), np.int64) if shard is None else shard
@@ -246,36 +323,40 @@ def _answers(kind: int, chunk, doc, tag, begin, end, shard=None, part=None) -> d
     }
 
 
-def shared_anchors(packed: DataFrame, shard_anchors: int = SHARD_ANCHORS) -> DataFrame:
+def shared_anchors(packed: DataFrame, buckets: int, frequent: Frequent, shard_anchors: int = SHARD_ANCHORS) -> DataFrame:
     """For each bucket: anchors that are covered whole (kind 0) and those for the shards (kind 1)."""
     arrow = to_arrow_schema(ANSWER)
+    shipped = packed.sparkSession.sparkContext.broadcast(frequent)
 
     def run(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
+        bucket = rows[0]["bucket"]
+        hot = bucket >= buckets
         count = np.concatenate([unplanes(r["counts"], "<u4") for r in rows])
         doc, tag, chunk = (
             np.repeat(np.concatenate([unplanes(r[c], k) for r in rows]), count)
             for c, k in (("docs", "<i8"), ("tags", "<i4"), ("chunks", "<i4"))
         )
-        gram = np.concatenate([np.frombuffer(r["grams"], "<u4") for r in rows])
-        around = np.concatenate([np.frombuffer(r["around"], "<u4") for r in rows])
         place = np.concatenate([unplanes(r["places"], "<u4") for r in rows]).astype(np.int64)
-        bucket = rows[0]["bucket"]
+        if bucket < 0:  # known to be covered
+            return pa.Table.from_batches([as_batch(_answers(0, chunk, doc, tag, place, place), arrow)], arrow)
+        gram = np.concatenate([np.frombuffer(r["grams"], "<u4") for r in rows])
+        around = np.concatenate([_wide(r["around"], 8 if hot else 6) for r in rows])
         del rows
-        # only grams of two documents or more
         order = np.argsort(gram, kind="stable")
-        starts = np.flatnonzero(np.diff(gram[order].astype(np.int64), prepend=-1))
-        sizes = np.diff([*starts, len(order)])
-        ranked = doc[order]
-        several = np.minimum.reduceat(ranked, starts) < np.maximum.reduceat(ranked, starts)
-        order = order[np.repeat(several, sizes)]
+        if not hot:  # only grams of two documents or more
+            starts = np.flatnonzero(np.diff(gram[order].astype(np.int64), prepend=-1))
+            sizes = np.diff([*starts, len(order)])
+            ranked = doc[order]
+            several = np.minimum.reduceat(ranked, starts) < np.maximum.reduceat(ranked, starts)
+            order = order[np.repeat(several, sizes)]
         if not len(order):
             return arrow.empty_table()
-        both = gram[order].astype(np.uint64) << np.uint64(32) | around[order]
-        order = order[np.lexsort((doc[order], both))]
+        order = order[np.lexsort((doc[order], around[order], gram[order]))]
         g, a, d = gram[order], around[order], doc[order]
         new_gram = np.diff(g.astype(np.int64), prepend=-1) != 0
-        new = new_gram | (np.diff(a.astype(np.int64), prepend=-1) != 0)
+        new = new_gram.copy()
+        new[1:] |= a[1:] != a[:-1]
         first = d[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
         covered = d > first
         group_of = np.cumsum(new_gram) - 1
@@ -289,18 +370,24 @@ def shared_anchors(packed: DataFrame, shard_anchors: int = SHARD_ANCHORS) -> Dat
 
         if covered.any():
             put(covered, 0)
-        edge = ~covered & unlike
+        edge = ~covered & (unlike | hot)  # other buckets hold more surroundings of a frequent gram
         if edge.any():
             own_group = group_of[edge]
             at = np.flatnonzero(np.diff(own_group, prepend=-1))
             size = np.diff([*at, len(own_group)])
-            hot = size > shard_anchors
-            # small groups share shards in turn, a hot one has a shard of its own in several parts
-            fill = np.cumsum(np.where(hot, 0, size)) // shard_anchors
-            shard = np.where(hot, (1 << 30) + np.arange(len(size)), fill)
             inside = np.arange(len(own_group)) - np.repeat(at, size)
-            part = np.where(np.repeat(hot, size), 1 + inside // shard_anchors, 0).astype(np.int32)
-            put(edge, 1, (bucket << 32) + np.repeat(shard, size), part)
+            if hot:
+                which = g[edge][at].astype(np.int64)
+                number = 1 + (bucket - buckets) * BUCKET_PARTS + inside // max(shard_anchors, -(-int(size.max()) // (BUCKET_PARTS - 1)))
+                put(edge, 1, np.repeat(-1 - which, size), (np.repeat(shipped.value.cuts[which], size) << PART_BITS | number).astype(np.int32))
+            else:
+                large = size > shard_anchors
+                # small groups share shards in turn, a large one has a shard of its own in several parts
+                fill = np.cumsum(np.where(large, 0, size)) // shard_anchors
+                shard = np.where(large, (1 << 30) + np.arange(len(size)), fill)
+                cuts = np.array([_cuts(int(n), shard_anchors) for n in size]) if large.any() else np.zeros(len(size), np.int64)
+                part = np.where(np.repeat(large, size), np.repeat(cuts, size) << PART_BITS | 1 + inside // shard_anchors, 0)
+                put(edge, 1, (bucket << 32) + np.repeat(shard, size), part.astype(np.int32))
         return pa.Table.from_batches(out, arrow)
 
     return packed.groupBy("bucket").applyInArrow(run, ANSWER)
@@ -434,7 +521,7 @@ def shard_repeats(texts: DataFrame) -> DataFrame:
             windows = (shard.symbols[at[:, None] + np.arange(LENGTH)] - 1).astype(np.uint8)
             owner, place = shard.places(rest)
             # cut by the windows' own hash, so that equal windows of all parts meet
-            cut = _window_cut(windows)
+            cut = _window_cut(windows, 1 << (part >> PART_BITS))
             for c in np.unique(cut):
                 own = cut == c
                 o = owner[own]
@@ -449,15 +536,11 @@ def shard_repeats(texts: DataFrame) -> DataFrame:
     return texts.groupBy("shard", "part").applyInArrow(run, schema)
 
 
-#: Cuts of the windows of one hot gram; each cut is merged by a task of its own.
-CUTS = 16
-
-
-def _window_cut(windows: np.ndarray) -> np.ndarray:
+def _window_cut(windows: np.ndarray, cuts: int) -> np.ndarray:
     mixed = np.zeros(len(windows), np.uint64)
     for i in range(0, LENGTH, 5):
         mixed = fold_values(mixed + _VALUES[windows[:, i]])
-    return (mixed % np.uint64(CUTS)).astype(np.int64)
+    return (mixed % np.uint64(cuts)).astype(np.int64)
 
 
 def merged_repeats(runs: DataFrame) -> DataFrame:
@@ -524,12 +607,14 @@ def _keyed(docs: DataFrame, chunks: int) -> DataFrame:
 
 def _located(docs: DataFrame, shard_anchors: int) -> tuple[DataFrame, DataFrame]:
     """Keyed documents and the ranges to remove, by chunk."""
-    size = text_bytes(docs)
+    rows, size = docs.agg(F.count("doc_id"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     chunks = parts_for(size, CHUNK_BYTES)
-    buckets = parts_for(size * 2 // (GRAMS + 1), BUCKET_ANCHORS)
+    in_all = size * 2 // (GRAMS + 1)
+    buckets = parts_for(in_all, BUCKET_ANCHORS)
     keyed = _keyed(docs, chunks)
     ordered = keyed.filter("_doc is not null").select("_doc", "_text", "_tag", "_chunk")
-    answers = stored(shared_anchors(packed_anchors(ordered, buckets), shard_anchors), "anchors")
+    frequent = frequent_grams(ordered, rows, in_all, shard_anchors)
+    answers = stored(shared_anchors(packed_anchors(ordered, buckets, frequent), buckets, frequent, shard_anchors), "anchors")
     texts = surroundings(keyed, answers)
     found = shard_repeats(texts)
     found = stored(found, "repeats")

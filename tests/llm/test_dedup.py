@@ -26,11 +26,53 @@ def test_repeats_of_awkward_documents(spark, shard_anchors):
     agree(cases.DOCS, repeat_rows(cases.frame(spark, extra=True), shard_anchors=shard_anchors))
 
 
-def test_repeats_of_the_table(spark, sf):
+@pytest.mark.parametrize("hot", [None, 3])
+def test_repeats_of_the_table(spark, sf, monkeypatch, hot):
+    """Also with every gram of three documents or more taken for frequent and dealt out."""
+    if hot:
+        for name, value in (("HOT_ANCHORS", hot), ("HOT_GRAMS", 1 << 40), ("BUCKET_ANCHORS", 3000)):
+            monkeypatch.setattr(S, name, value)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     agree([(r.doc_id, r.text) for r in docs.collect()], repeat_rows(docs))
 
 
+def test_frequent_grams_of_awkward_documents(spark, monkeypatch):
+    for name, value in (("HOT_ANCHORS", 2), ("HOT_GRAMS", 1 << 40), ("BUCKET_ANCHORS", 500), ("DOCS_AT_ONCE", 3)):
+        monkeypatch.setattr(S, name, value)
+    agree(cases.DOCS, repeat_rows(cases.frame(spark, extra=True), shard_anchors=5))
+
+
+def test_a_line_in_a_third_of_all_documents_is_spread(spark, monkeypatch):
+    """One line between unlike texts: no bucket, shard or cut holds more than a few times its bound."""
+    for name, value in (("HOT_ANCHORS", 300), ("HOT_GRAMS", 1 << 40), ("BUCKET_ANCHORS", 4000)):
+        monkeypatch.setattr(S, name, value)
+    rng = np.random.default_rng(1)
+    noise = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    line = "this very line stands in a third of all documents, between texts that are unlike"
+    rows = [(i, noise(60) + "\n" + line + "\n" + noise(60) if i % 3 == 0 else noise(120)) for i in range(10_000)]
+    docs = S._keyed(cases.frame(spark, rows), 4).filter("_doc is not null").select("_doc", "_text", "_tag", "_chunk")
+    size = sum(len(t) for _, t in rows)
+    in_all = size * 2 // (S.GRAMS + 1)
+    buckets = S.parts_for(in_all, S.BUCKET_ANCHORS)
+    frequent = S.frequent_grams(docs, len(rows), in_all, 200)
+    assert 1 <= len(frequent.grams) <= 30
+    held = {}
+    packed = S.packed_anchors(docs, buckets, frequent)
+    for r in packed.collect():
+        held[r.bucket] = held.get(r.bucket, 0) + int(S.unplanes(bytes(r.counts), "<u4").sum())
+    assert max(held.values()) <= 2 * S.BUCKET_ANCHORS
+    answers = S.shared_anchors(packed, buckets, frequent, 200).collect()
+    parts = {}
+    for r in answers:
+        if r.kind == 1:
+            parts[r.shard, r.part] = parts.get((r.shard, r.part), 0) + len(r.docs) // 8
+    assert len(parts) > 10 and max(parts.values()) <= 200
+    got = repeat_rows(cases.frame(spark, rows), shard_anchors=200)
+    first = min(i for i, _ in rows if i % 3 == 0)
+    assert {d for d, r in got if r[1] >= len(line)} == {i for i, _ in rows if i % 3 == 0 and i != first}
+    assert all(not r[1] for d, r in got if d % 3)
+
+
 def test_repeats_of_equal_ids_and_empty_tables(spark):
     rows = [(1, "x" * 60), (1, cases.words(40, 9)), (2, cases.words(40, 9)), (2, "y" * 70), (2, "short")]
     agree(rows, repeat_rows(cases.frame(spark, rows)))
