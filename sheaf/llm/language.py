@@ -211,19 +211,25 @@ def _scaled(numbers: dict, size: int, p: np.ndarray, places, key, other):
 
 
 def learning_sample(docs: DataFrame, per_language: int, max_chars: int, seed: int = 7) -> DataFrame:
-    """text and lang of at most ``per_language`` documents a language, by a hash of the id."""
+    """text and lang of at most ``per_language`` documents a language, by a hash of id and text.
+
+    Of a longer text a piece of ``max_chars`` characters is taken, from a place that the hash gives, so that a
+    language of long texts only is learned too. The text that its language's smallest hash belongs to is
+    always drawn, so no language is left out, however its rows repeat ids or texts."""
+    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30))
+    begin = F.col("_draw") % F.greatest(F.lit(1), F.length("text") - max_chars + 1) + 1
     usable = docs.select("doc_id", "text", "lang").filter(
-        ~learning_split(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") <= max_chars)
+        ~learning_split(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a language
+    usable = usable.withColumn("_draw", draw)
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"), F.min("_draw").alias("least")).collect()  # a row a language
     if not counts:
         return usable.select("text", "lang").limit(0)
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
     # a thinned set first, so that about twice the sample is ranked and no more
-    share = [(r.lang, int(min(1.0, 2 * per_language / r.n) * (1 << 30))) for r in counts]
+    share = [(r.lang, max(int(min(1.0, 2 * per_language / r.n) * (1 << 30)), r.least + 1)) for r in counts]
     below = F.create_map(*[F.lit(x) for pair in share for x in pair])[F.col("lang")]
-    thin = usable.filter(draw < below)
-    ranked = thin.withColumn("_place", F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id", "text")))
+    thin = usable.filter(F.col("_draw") < below).withColumn("text", F.substring(F.col("text"), begin.cast("int"), F.lit(max_chars)))
+    ranked = thin.withColumn("_place", F.row_number().over(Window.partitionBy("lang").orderBy("_draw", "doc_id", "text")))
     return ranked.filter(F.col("_place") <= per_language).select("text", "lang")
 
 

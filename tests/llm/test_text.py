@@ -1,7 +1,9 @@
 import base64
+import math
 import random
 import re
 import string
+import zlib
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -33,6 +35,32 @@ def base_counts(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(hit), failed
 
 
+#: The bands again: bytes up to, lowest and highest ratio.
+LIMITS = [(256, 0.35, 1.2), (320, 0.3, 0.86), (384, 0.3, 0.83), (512, 0.3, 0.79), (768, 0.3, 0.755), (1024, 0.3, 0.72),
+          (1536, 0.25, 0.7), (2048, 0.25, 0.68), (4096, 0.25, 0.66), (16384, 0.2, 0.65), (1 << 60, 0.15, 0.65)]
+
+
+def in_band(data, whole_chunk=False):
+    low, high = (0.12, 0.65) if whole_chunk else next((a, b) for n, a, b in LIMITS if len(data) < n)
+    packed = len(zstandard.ZstdCompressor(level=3).compress(data))
+    if not low <= packed / len(data) <= high:
+        return False
+    counts = {b: data.count(bytes([b])) for b in set(data)}
+    by_frequency = sum(k * math.log2(len(data) / k) for k in counts.values()) / 8
+    return len(data) < 2048 or packed < by_frequency + 35
+
+
+def plain_verdict(text):
+    """ratio, bad_share and kept of a text, chunk by chunk."""
+    data = (text or "").encode()
+    if not data:
+        return 1.0, 0.0, False
+    ratio = len(zstandard.ZstdCompressor(level=3).compress(data)) / len(data)
+    pieces = [data[i : i + 4096] for i in range(0, len(data), 4096)] if len(data) > 4096 else []
+    bad = sum(len(p) for p in pieces if not in_band(p, len(p) == 4096))
+    return ratio, bad / len(data), not base_counts(text)[-1] and in_band(data) and 2 * bad < len(data)
+
+
 @pytest.mark.parametrize("source", ["cases", "table"])
 def test_quality_rules(spark, sf, source):
     docs = cases.frame(spark, extra=True) if source == "cases" else spark.read.parquet(f"{sf}/documents.parquet")
@@ -44,8 +72,14 @@ def test_quality_rules(spark, sf, source):
     assert len(got) == docs.count()
     for r in got:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) in want[r.doc_id]
+    verdicts = {}
+    for d, t in texts:
+        verdicts.setdefault(d, []).append(plain_verdict(t))
+    for r in got:
+        assert any(abs(r.ratio - a) < 1e-12 and abs(r.bad_share - b) < 1e-12 and r.kept == k for a, b, k in verdicts[r.doc_id])
     kept = R.quality_filter(docs)
-    assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got)
+    assert kept.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if r.kept)
 
 
 def test_compression_bands():
@@ -186,6 +220,46 @@ def test_language_identification(spark, sf):
     assert {r.lang_pred for r in L.identify(cases.frame(spark), empty).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    """Rows that share one id, rows that are equal, long texts only, and one row only."""
+    ids = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(ids[0], f"der die das {i}", "de") for i in range(3000)] + [(i, f"the of and {i}", "en") for i in ids[1:3000]]
+    rows += [(ids[3001], "le la les des", "fr")] * 2000 + [(i, "el los " * 6000 + str(i), "es") for i in ids[3002:3006]] + [(ids[3007], "il gli", "it")]
+    rows += [(None, "x", "nl"), (ids[3008], None, "pt"), (ids[3009], "no language", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    drawn = L.learning_sample(docs, 20, 500).collect()
+    counts = {n: sum(r.lang == n for r in drawn) for n in {r.lang for r in drawn}}
+    assert counts.keys() == {"de", "en", "fr", "es", "it", "nl"} and max(counts.values()) <= 20
+    assert counts["de"] == counts["en"] == counts["fr"] == 20 and max(len(r.text) for r in drawn) <= 500
+    assert sorted(map(tuple, drawn)) == sorted(map(tuple, L.learning_sample(docs.repartition(7), 20, 500).collect()))
+    model = L.learn(docs, 20, 500)
+    assert {"de", "en", "fr", "es", "it", "nl"} == set(model.languages)
+
+
+def naive_score(model, text):
+    """The network one window at a time."""
+    halves = max(1, -(-len(text) // Q.HALF))
+    padded = text + bytes(halves * Q.HALF + Q.WIDTH - len(text))
+    top = []
+    for h in range(halves):
+        responses = []
+        for at in range(h * Q.HALF, (h + 1) * Q.HALF, Q.STRIDE):
+            window = np.concatenate([model.embed[b] for b in padded[at : at + Q.WIDTH]]).astype(np.float64)
+            responses.append(window @ model.filters)
+        top.append(np.max(responses, axis=0))
+    chunks = [np.maximum(a, b) for a, b in zip(top, top[1:], strict=False)] or top
+    seen = [np.maximum(c + model.bias, 0) for c in chunks]
+    value = np.concatenate([np.mean(seen, axis=0), np.max(seen, axis=0)]) @ model.weights + model.offset
+    return 1 / (1 + np.exp(-value))
+
+
+def test_scores_are_those_of_a_plain_convolution():
+    model = Q.QualityModel.fresh(5)
+    model.bias = np.linspace(-0.5, 0.5, Q.FILTERS).astype(np.float32)
+    texts = [b"", b"x", cases.words(20, 1).encode(), cases.words(150, 2).encode(), "é\0".encode() * 300, b"a" * Q.HALF, b"a" * (Q.HALF + 1)]
+    assert np.allclose(model.score(texts), [naive_score(model, t) for t in texts], atol=1e-5)
+
+
 def test_quality_model(spark, sf):
     sf = sf.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
