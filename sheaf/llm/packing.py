@@ -5,8 +5,7 @@ its length in binary, longest first, after as many whole sequences as fit. Each
 of its own, and sequences of equal length share a bucket. So no sequence crosses documents, every
 token lies in exactly one piece and there is no padding at all.
 
-Documents are cut where they are read, without a shuffle; ``bucketed`` shuffles pieces by bucket
-for those who write training files. A sequence id is the bucket, the partition and a running number
+Documents are cut where they are read; :func:`bucketed` then shuffles the pieces by length. A sequence id is the bucket, the partition and a running number
 in it, so it is unique and the same when a lost partition is computed again from the same files.
 
 Token ids are those of the byte-level vocabulary file read by ``tokenizers``. The ids come from
@@ -141,6 +140,9 @@ def pack(docs: DataFrame, bpe_json: str | None = None, bpe_ranks: str | None = N
     return pieces.withColumn("sequence_id", number).withColumn("offset", F.lit(0).cast("bigint"))
 
 
-def bucketed(pieces: DataFrame, partitions: int) -> DataFrame:
-    """Pieces dealt so that equal lengths meet in the same partitions."""
-    return pieces.repartition(partitions, "bucket", F.pmod("sequence_id", F.lit(partitions)))
+def bucketed(pieces: DataFrame) -> DataFrame:
+    """Pieces dealt by length, equal lengths next to each other. The pieces of one length are spread by the
+    input partition they come from, so that the most frequent length does not meet in one task however
+    many there are."""
+    origin = F.shiftright(F.col("sequence_id").bitwiseAND(F.lit((1 << 58) - 1)), 33)
+    return pieces.repartition("bucket", origin).sortWithinPartitions("bucket", "sequence_id")

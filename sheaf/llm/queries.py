@@ -15,7 +15,7 @@ from sheaf.llm.language import identify
 from sheaf.llm.language import learn as learn_languages
 from sheaf.llm.lexical_tree import ranked_search
 from sheaf.llm.near_dedup import near_duplicates
-from sheaf.llm.packing import pack
+from sheaf.llm.packing import bucketed, pack
 from sheaf.llm.prefix_trie import coded, prefix_trie, rebuilt
 from sheaf.llm.quality_model import learn as learn_quality
 from sheaf.llm.quality_model import score_quality
@@ -52,7 +52,7 @@ def op5(spark, sf_dir) -> DataFrame:
 
 @query("op6_pack_powers_of_two")
 def op6(spark, sf_dir) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), with_ids=False)
+    return bucketed(pack(table(spark, sf_dir, "documents"), with_ids=False))
 
 
 @query("op7_feistel_shards")

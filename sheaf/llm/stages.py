@@ -36,5 +36,5 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut the rest into sequences of power-of-two length, with token ids."""
-    return packing.pack(docs)
+    """Cut the rest into sequences of power-of-two length, with token ids, equal lengths together."""
+    return packing.bucketed(packing.pack(docs))

@@ -102,6 +102,24 @@ def test_slices_encode_alike():
     assert list(packing.slices("x" * 500, 50)) == ["x" * 500]
 
 
+def test_equal_lengths_are_bucketed(spark):
+    docs = cases.frame(spark, extra=True)
+    pieces = packing.pack(docs, with_ids=False)
+    dealt = packing.bucketed(pieces).withColumn("_at", F.spark_partition_id())
+    key = lambda r: (str(r.doc_id), r.start, r.length, r.ids_crc32)
+    rows = dealt.collect()
+    assert sorted(map(key, rows)) == sorted(map(key, pieces.collect()))
+    assert len({r.sequence_id for r in rows}) == len(rows) and all(1 << r.bucket == r.length for r in rows)
+    for at in {r["_at"] for r in rows}:
+        lengths = [r.length for r in rows if r["_at"] == at]
+        assert lengths == sorted(lengths)
+    meets = {}
+    for r in rows:  # the pieces of a length from one input partition lie together
+        meets.setdefault((r.bucket, (r.sequence_id & ((1 << 58) - 1)) >> 33), set()).add(r["_at"])
+    assert all(len(p) == 1 for p in meets.values())
+    assert packing.bucketed(packing.pack(docs.limit(0))).count() == 0
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 1023, 1024, 1025, 4095])
 def test_piece_lengths(n):
     parts = packing.piece_lengths(n)
