@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf import schema as S
-from sheaf.session import union_all
+from sheaf.session import union_all, written
 
 
 def newest_first() -> list[Column]:
@@ -122,6 +122,27 @@ def page(df: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return df.orderBy(*newest_first()).offset(offset).limit(limit)
 
 
+def deep_page(df: DataFrame, limit: int, offset: int, partitions: int | None = None) -> DataFrame:
+    """:func:`page` for any offset, without bringing the rows before it into one task.
+
+    Rows are dealt to ranges of the listing's order and written; how many each range has tells which of them
+    hold the page, and only those are read and ordered.
+    """
+    spark = df.sparkSession
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *newest_first()).withColumn("_range", F.spark_partition_id())
+    ranges = written(dealt, "listing")
+    counts = sorted((r["_range"], r["count"]) for r in ranges.groupBy("_range").count().collect())  # a row a range
+    before, wanted, skipped = 0, [], None
+    for number, n in counts:
+        if before + n > offset and before < offset + limit:
+            skipped = before if skipped is None else skipped
+            wanted.append(number)
+        before += n
+    held = ranges.filter(F.col("_range").isin(wanted) if wanted else F.lit(False)).drop("_range")
+    return page(held, limit, offset - (skipped or 0) if wanted else 0)
+
+
 def top_by_amount(df: DataFrame, n: int, amount: str = "amount_numeric") -> DataFrame:
     """Largest amounts first, a missing amount counting as zero."""
     return df.orderBy(F.coalesce(F.col(amount), F.lit(0.0)).desc(), F.col("id").asc()).limit(n)

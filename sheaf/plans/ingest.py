@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from dataclasses import fields as dataclass_fields
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,7 @@ from sheaf import schema as S
 from sheaf.functions import normalize as N
 from sheaf.functions import text as X
 from sheaf.operators.embedding import EmbedFn, embed, texts_to_embed
-from sheaf.operators.filters import split_valid
+from sheaf.operators.filters import split_valid, violation
 from sheaf.operators.merge import fill_missing, first_per_key
 from sheaf.operators.stored_table import merge_table
 from sheaf.session import prepare, staged, union_all
@@ -185,24 +185,26 @@ def load_into(
     began = time.monotonic()
     metrics = LoadMetrics()
     good, corrupt = good_and_corrupt(loaded) if CORRUPT in loaded.columns else (loaded, None)
-    with staged(spark, normalize(good, as_of), "normalized") as rows, ExitStack() as stack:
-        metrics.records = rows.count()
-        unique = stack.enter_context(staged(spark, first_per_key(rows).drop(ORIGIN), "records"))
-        metrics.deduplicated = unique.count()
+    # rows are counted by the writes themselves, not by reading them again
+    seen, kept, read, embedded = (Observation() for _ in range(4))
+    every, valid = F.count(F.lit(1)).alias("n"), F.count_if(violation(networks).isNull()).alias("valid")
+    with staged(spark, normalize(good, as_of).observe(seen, every), "normalized") as rows, ExitStack() as stack:
+        metrics.records = seen.get.get("n", 0)
+        unique = stack.enter_context(staged(spark, first_per_key(rows).drop(ORIGIN).observe(kept, every, valid), "records"))
+        metrics.deduplicated, metrics.upserted = kept.get.get("n", 0), kept.get.get("valid", 0)
         records, refused = split_valid(unique, networks)
-        metrics.upserted = records.count()
         metrics.refused = metrics.deduplicated - metrics.upserted
         if corrupt is not None:
-            corrupt = stack.enter_context(staged(spark, corrupt.select(ORIGIN, CORRUPT), "unreadable"))
-            metrics.unreadable = corrupt.count()
+            corrupt = stack.enter_context(staged(spark, corrupt.select(ORIGIN, CORRUPT).observe(read, every), "unreadable"))
+            metrics.unreadable = read.get.get("n", 0)
         if rejects_path is not None:
             _rejects(refused, corrupt).write.mode("overwrite").parquet(f"{rejects_path}/load={load_id or uuid.uuid4().hex}")
         merge_table(spark, records_path, records, "id", ("created_at",), buckets)
         if embeddings_path is not None:
             fresh = embed(texts_to_embed(records), "text", embed_fn, dim)
             fresh = fresh.filter(F.col("embedding").isNotNull()).select("proposal_id", "embedding")
-            vectors = stack.enter_context(staged(spark, fresh, "vectors"))
-            metrics.embedded = vectors.count()
+            vectors = stack.enter_context(staged(spark, fresh.observe(embedded, every), "vectors"))
+            metrics.embedded = embedded.get.get("n", 0)
             merge_table(spark, embeddings_path, vectors, "proposal_id", (), buckets)
     metrics.seconds = time.monotonic() - began
     return metrics

@@ -182,7 +182,9 @@ def envelopes(items: DataFrame, unit: Sequence[str], position: str, as_of, chunk
     so no task gathers more than ``chunk`` items at a time.
     """
     fields = [c for c in items.columns if c != position and c not in unit[1:]]
-    packed = items.withColumn("_chunk", F.floor(F.col(position) / chunk))
+    # items without a position are numbered where they lie, so that they do not become one envelope
+    lost = -1 - F.floor(F.monotonically_increasing_id() / chunk)
+    packed = items.withColumn("_lost", lost).withColumn("_chunk", F.coalesce(F.floor(F.col(position) / chunk), F.col("_lost"))).drop("_lost")
     item = F.struct(F.col(position).alias("_p"), F.struct(*fields).alias("item"))
     grouped = packed.groupBy(*unit, "_chunk").agg(
         F.count(F.lit(1)).alias("total_items"), F.sort_array(F.collect_list(item)).alias("_items")

@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheaf import schema as S
+from sheaf.operators import analytics as A
 from sheaf.operators.stored_table import read_table
 from sheaf.plans.ingest import run_load
+from sheaf.sources import files
 from sheaf.sources.files import CORRUPT, good_and_corrupt, land, load_records, union_relaxed
 from sheaf.sources.paged import fetch_pages, fetch_plan, parse_items
 from sheaf.streaming.incremental import run_incremental
@@ -159,3 +161,16 @@ def test_load_twice_changes_nothing(spark, tmp_path):
         assert calls.value == 20 * n
     assert read_table(spark, records).count() == 20
     assert read_table(spark, vectors).count() == 20
+
+
+def test_items_without_a_position_become_several_envelopes(spark):
+    items = spark.range(100).selectExpr("'n' as network", "cast(null as long) as position", "id").coalesce(2)
+    sizes = [r.total_items for r in files.envelopes(items, ["network"], "position", AS_OF, chunk=10).collect()]
+    assert sum(sizes) == 100 and max(sizes) <= 10
+
+
+@pytest.mark.parametrize("offset", [0, 7, 95, 99, 100, 400])
+def test_deep_pages(spark, offset):
+    rows = spark.range(100).selectExpr("id", "if(id % 9 = 0, null, timestamp_seconds(id % 4)) as created_at").repartition(5)
+    want = [r.id for r in A.page(rows, 8, offset).collect()]
+    assert [r.id for r in A.deep_page(rows, 8, offset, 6).collect()] == want

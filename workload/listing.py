@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sheaf.operators import analytics as A
@@ -147,6 +148,11 @@ def listing_page(spark, sf_dir):
     return A.page(B.orders_records(spark, sf_dir), 20, 40).select(*RECORD)
 
 
+@query("deep_page", RECORD_SQL + " ORDER BY o_orderdate DESC NULLS FIRST, o_orderkey LIMIT 20 OFFSET 10000")
+def deep_page(spark, sf_dir):
+    return A.deep_page(B.orders_records(spark, sf_dir), 20, 10_000).select(*RECORD)
+
+
 @query("top_by_amount", RECORD_SQL + " ORDER BY coalesce(o_totalprice, 0) DESC, o_orderkey LIMIT 10")
 def top_by_amount(spark, sf_dir):
     return A.top_by_amount(B.orders_records(spark, sf_dir), 10).select(*RECORD)
@@ -211,6 +217,7 @@ def load_metrics(spark, sf_dir):
 )
 def display_cut(spark, sf_dir):
     rows = B.orders_records(spark, sf_dir).select(F.col("custkey").alias("query_id"), "id", F.col("amount_numeric"))
-    ranked = A.top_per_key(rows, [F.col("amount_numeric").desc(), F.col("id").asc()], 1_000_000, ["query_id"], "rank")
+    order = Window.partitionBy("query_id").orderBy(F.col("amount_numeric").desc(), F.col("id").asc())
+    ranked = rows.withColumn("rank", F.row_number().over(order))
     scored = ranked.withColumn("score", F.col("amount_numeric") / 500000.0)
     return C.cut_scores(scored, 0.9, 5, 2).select("query_id", "id", "rank")

@@ -104,29 +104,34 @@ def mixed_files(spark, sf_dir):
 
 @query(
     "corrupt_files",
-    """SELECT 'record' AS kind, doc_id::VARCHAR AS id, md5(text) AS content FROM documents WHERE lang = 'en'
-    UNION ALL SELECT 'unreadable', NULL, lang || source FROM (SELECT DISTINCT lang, source FROM documents WHERE lang <> 'en')""",
+    """SELECT 'record' AS kind, doc_id::VARCHAR AS id, md5(text) AS content FROM documents
+    UNION ALL SELECT 'unreadable', NULL, lang || doc_id // 100 || ':' || count(*) || ':' || md5(string_agg(md5(text), '' ORDER BY doc_id)) FROM documents GROUP BY lang, doc_id // 100""",
 )
 def corrupt_files(spark, sf_dir):
-    """A load of good envelopes and of broken files, one for each language and source but English:
-    the good records are stored, the broken files are among the rejects."""
+    """Every document lands twice: in a good envelope, and in one cut off before its end. The records of the
+    good ones are stored, the broken files are among the rejects with all their text."""
     inbox, records, rejects = (scratch_dir(spark, n) for n in ("corrupt", "records", "rejects"))
     docs = B.table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("network"), F.col("source").alias("type"), F.col("text").alias("content"),
         F.substring_index("text", "\n", 1).alias("title"), F.col("doc_id").alias("position"),
     )
-    S.land(docs.filter(F.col("network") == "en"), f"{inbox}/good", ["network"], "position", B.AS_OF, chunk=200)
-    groups = docs.filter(F.col("network") != "en").select("network", "type").distinct()
-    broken = groups.select(F.concat(F.lit('{"name": "'), "network", "type", F.lit('", "items": [{"id": 1, "tit')).alias("value"))
+    S.land(docs, f"{inbox}/good", ["network"], "position", B.AS_OF, chunk=200)
+    chunk = F.floor(F.col("position") / 100).cast("string")
+    item = F.struct("position", F.to_json(F.struct("id", F.md5("content").alias("sum"), "content")).alias("item"))
+    chunks = docs.groupBy(F.concat("network", chunk).alias("name")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    body = F.array_join(F.transform("items", lambda x: x["item"]), ",")
+    broken = chunks.select(F.concat(F.lit('{"name": "'), "name", F.lit('", "items": ['), body).alias("value"))
     broken.write.option("maxRecordsPerFile", 1).text(f"{inbox}/broken")
     for name in list_names(spark, f"{inbox}/broken"):
         if name.endswith(".txt"):  # Spark's text files, under a name that the load reads
             rename_path(spark, f"{inbox}/broken/{name}", f"{inbox}/broken/{name[:-4]}.json")
-    run_load(spark, [f"{inbox}/good", f"{inbox}/broken"], records, None, B.AS_OF, rejects_path=rejects, networks=["en"], load_id="one")
+    langs = ["en", "fr", "de", "es"]
+    run_load(spark, [f"{inbox}/good", f"{inbox}/broken"], records, None, B.AS_OF, rejects_path=rejects, networks=langs, load_id="one")
     good = read_table(spark, records).select(F.lit("record").alias("kind"), "id", F.md5("description").alias("content"))
     bad = spark.read.parquet(rejects).filter(F.col("reason") == "unreadable")
-    name = F.regexp_extract("raw", '"name": "(\\w+)"', 1)
-    return B.union_all(good, bad.select(F.lit("unreadable").alias("kind"), F.lit(None).cast("string").alias("id"), name.alias("content")))
+    sums = F.regexp_extract_all("raw", F.lit('"sum":"([0-9a-f]{32})"'), F.lit(1))
+    told = F.concat_ws(":", F.regexp_extract("raw", '"name": "(\\w+)"', 1), F.size(sums).cast("string"), F.md5(F.array_join(sums, "").cast("binary")))
+    return B.union_all(good, bad.select(F.lit("unreadable").alias("kind"), F.lit(None).cast("string").alias("id"), told.alias("content")))
 
 
 def _paged(network: str, type: str, origin: str, limit: int, page: int) -> dict:
