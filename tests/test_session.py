@@ -105,3 +105,19 @@ def test_task_functions_travel_with_their_code():
     out = subprocess.run([sys.executable, "-I", "-c", code], capture_output=True, text=True, cwd="/", timeout=60)
     assert out.returncode == 0, out.stderr
     assert sum(map(float, out.stdout.strip("[]\n ").split(","))) == 2.0
+
+
+def test_scratch_blocks_clear_what_was_named_within(spark):
+    from pathlib import Path
+
+    from sheaf.session import scratch, written
+
+    outer = written(spark.range(3), "outer")
+    with scratch(spark):
+        inner = written(spark.range(5), "inner")
+        assert inner.count() == 5
+        with scratch(spark):
+            deepest = written(spark.range(7), "deepest").inputFiles()[0]
+        assert not Path(deepest.removeprefix("file://")).exists() and inner.count() == 5
+        folder = Path(inner.inputFiles()[0].removeprefix("file://")).parent
+    assert not folder.exists() and outer.count() == 3
