@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sheaf.session import scratch_dir
+from sheaf.session import written
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -27,11 +27,9 @@ def ascii_lower(text: Column) -> Column:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame below the shared scratch folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = scratch_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write a frame below the shared scratch folder and read it back, which cuts its lineage.
+    ``sheaf.session.scratch`` clears the folder."""
+    return written(df, name)
 
 
 def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: T.StructType) -> DataFrame:
