@@ -78,7 +78,7 @@ def _records_and_vectors(spark, sf_dir, path):
 
 @query(
     "cascading_delete",
-    """SELECT doc_id AS id, lang, md5(text) AS text, embedding[1]::DOUBLE AS first FROM documents LEFT JOIN embeddings ON doc_id = vec_id
+    """SELECT coalesce(doc_id, vec_id) AS id, lang, md5(text) AS text, embedding[1]::DOUBLE AS first FROM documents FULL JOIN embeddings ON doc_id = vec_id
     WHERE lang IS DISTINCT FROM 'de'""",
 )
 def cascading_delete(spark, sf_dir):

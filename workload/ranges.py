@@ -44,7 +44,7 @@ def range_questions(spark, sf_dir):
         .when(p == "4-NOT SPECIFIED", F.concat(F.lit("Proposals above "), low, F.lit(".0 in "), F.year(d).cast("string")))
         .otherwise(F.concat(F.lit("How many proposals above $"), low, F.lit(" and below "), high))
     )
-    return o.select(F.col("o_orderkey").alias("query_id"), text.alias("query"))
+    return B.spread(o.select(F.col("o_orderkey").alias("query_id"), text.alias("query")), B.PARTS)
 
 
 @query("range_answers", _RANGES)
