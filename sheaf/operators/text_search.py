@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from typing import Protocol
 
 import ahocorasick
 import numpy as np
@@ -153,6 +154,14 @@ def _in_scope(rows: DataFrame, docs: DataFrame, filters: SearchFilters | None) -
     return rows.join(known, F.col("id") == F.col("_known"), "left_semi")
 
 
+class StoredPostings(Protocol):
+    """An index that looks words up itself, such as ``word_index.WordIndex``."""
+
+    def vocabulary(self) -> DataFrame: ...
+
+    def holding(self, words: DataFrame) -> DataFrame: ...
+
+
 # --- a table of queries ------------------------------------------------------------------------
 
 
@@ -161,7 +170,7 @@ def lexical_search(
     docs: DataFrame,
     filters: SearchFilters | None = None,
     limit: int = S.LEXICAL_LIMIT,
-    index: DataFrame | None = None,
+    index: DataFrame | StoredPostings | None = None,
 ) -> DataFrame:
     """``(query_id, id, rank_score, position)`` for a table ``(query_id, query)``.
 
@@ -245,15 +254,17 @@ def _holders(rows: DataFrame, terms: list[str], limit: int) -> DataFrame:
     return lowered.mapInArrow(run, f"term string, id {id_type}, in_title boolean")
 
 
-def _joined(query_terms: DataFrame, docs: DataFrame, filters: SearchFilters | None, limit: int, index: DataFrame | None) -> DataFrame:
+def _joined(query_terms: DataFrame, docs: DataFrame, filters: SearchFilters | None, limit: int, index: DataFrame | StoredPostings | None) -> DataFrame:
     """The same from a stored index, or for more terms than are sent to tasks: terms are matched against
     the distinct words, found through a shared three-letter window, and records are reached from words."""
-    if index is None:
-        rows = _distinct_words(apply_filters(docs, filters))
+    terms = query_terms.select("term").distinct()
+    if index is None or isinstance(index, DataFrame):
+        rows = _distinct_words(apply_filters(docs, filters)) if index is None else _in_scope(index, docs, filters)
+        matches = _term_tokens(terms, rows.select("token").distinct())
+        hits = rows.select("token", "id", "in_title").join(matches, "token")
     else:
-        rows = _in_scope(index.select("token", "id", "in_title"), docs, filters)
-    matches = _term_tokens(query_terms.select("term").distinct(), rows.select("token").distinct())
-    hits = rows.select("token", "id", "in_title").join(matches, "token")
+        hits = index.holding(_term_tokens(terms, index.vocabulary())).select("token", "id", "in_title", "term")
+        hits = _in_scope(hits, docs, filters)
     # A record may hold several words with the same term, in the title or not: two different
     # ranks at most, so 2 * limit ranks hold the best limit records.
     by_rank = Window.partitionBy("term").orderBy(F.col("in_title").desc(), F.col("id").asc())
@@ -276,14 +287,14 @@ def fulltext_search(
     docs: DataFrame,
     limit: int = S.TOP_K,
     filters: SearchFilters | None = None,
-    index: DataFrame | None = None,
+    index: DataFrame | StoredPostings | None = None,
 ) -> DataFrame:
     """``(query_id, id, rank, position)``: records holding every word of the query."""
     return _top_per_query(_fulltext(queries, docs, filters, index, limit), "rank", limit)
 
 
 def _fulltext(
-    queries: DataFrame, docs: DataFrame, filters: SearchFilters | None, index: DataFrame | None, limit: int
+    queries: DataFrame, docs: DataFrame, filters: SearchFilters | None, index: DataFrame | StoredPostings | None, limit: int
 ) -> DataFrame:
     """``(query_id, id, rank)``, at least the best ``limit`` of each query. Queries of few words in all
     are sent to the tasks, others and those of an ``index`` are joined."""
@@ -335,7 +346,9 @@ def _holding_all(rows: DataFrame, query_type: str, asked: list, limit: int) -> D
     return found.select("query_id", "id", X.fulltext_rank(F.col("hits")).alias("rank"))
 
 
-def _fulltext_joined(queries: DataFrame, docs: DataFrame, filters: SearchFilters | None, index: DataFrame | None) -> DataFrame:
+def _fulltext_joined(
+    queries: DataFrame, docs: DataFrame, filters: SearchFilters | None, index: DataFrame | StoredPostings | None
+) -> DataFrame:
     """Candidates come from the query's rarest word alone; the other words only confirm them."""
     words = queries.select("query_id", F.array_distinct(X.tokens(F.col("query"))).alias("_words"))
     needed = words.select("query_id", F.size("_words").alias("_n"), F.explode("_words").alias("token"))
@@ -346,7 +359,8 @@ def _fulltext_joined(queries: DataFrame, docs: DataFrame, filters: SearchFilters
         counted = every.join(wanted, "token", "left_semi").groupBy("token", "id")
         used = counted.agg(F.count(F.lit(1)).alias("tf"))
     else:
-        used = _in_scope(index.select("token", "id", "tf").join(wanted, "token", "left_semi"), docs, filters)
+        found = index.join(wanted, "token", "left_semi") if isinstance(index, DataFrame) else index.holding(wanted)
+        used = _in_scope(found.select("token", "id", "tf"), docs, filters)
     frequency = used.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
     # A word no record has leaves its query out of this join, and with it all candidates.
     known = needed.join(frequency, "token")
