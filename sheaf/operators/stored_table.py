@@ -326,11 +326,24 @@ def append_table(
     """Add rows with new keys, the status defaulting to ``pending``. A key that repeats or that the
     table has is an error, and then nothing is added. No stored row is rewritten, and only files that
     may hold one of the keys are looked into."""
+    status = F.coalesce("status", F.lit("pending")) if "status" in rows.columns else F.lit("pending")
+    return _append(spark, path, rows.withColumn("status", status), key, buckets, name, skip_known=False)
+
+
+def append_missing(
+    spark: SparkSession, path: str, rows: DataFrame, key: str = "id", buckets: int | None = None, name: str = MAIN
+) -> Manifest:
+    """Add the rows whose keys the table does not have; stored rows stay as they are. A key that repeats
+    among ``rows`` is an error, rows without a key are left out. Adding the same rows again changes nothing."""
+    return _append(spark, path, rows.filter(F.col(key).isNotNull()), key, buckets, name, skip_known=True)
+
+
+def _append(
+    spark: SparkSession, path: str, rows: DataFrame, key: str, buckets: int | None, name: str, skip_known: bool
+) -> Manifest:
     manifest = current(spark, path) or Manifest(-1)
     table = manifest.tables.get(name)
     _checked(table, key, buckets)
-    status = F.coalesce("status", F.lit("pending")) if "status" in rows.columns else F.lit("pending")
-    rows = rows.withColumn("status", status)
     if table is not None:
         rows = rows.select(*table.struct.names)
     with staged(spark, rows, "appended") as batch:
@@ -342,7 +355,10 @@ def append_table(
         if table is not None and not taken:
             hit = holding(spark, path, table, batch)
             old = _read(spark, path, [f for f in table.listed() if f.path in hit], table.struct).select(key)
-            taken = not old.join(batch.select(key), key, "left_semi").isEmpty()
+            if skip_known:
+                batch = batch.join(old, key, "left_anti").select(*table.struct.names)
+            else:
+                taken = not old.join(batch.select(key), key, "left_semi").isEmpty()
         if taken:
             raise DuplicateKeys("duplicate key")
         if table is None:

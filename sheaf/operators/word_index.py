@@ -126,7 +126,7 @@ def _write_segment(index: WordIndex, rows: DataFrame, version: int) -> Segment |
     """Postings dealt out and sorted by word and id: a common word fills no single task, and a word is looked
     for in few row groups."""
     name = uuid.uuid4().hex
-    schema = T._parse_datatype_string(POSTING.format(id=index.manifest.id_type))
+    schema = T.StructType.fromDDL(POSTING.format(id=index.manifest.id_type))
     rows = rows.withColumn("written", F.lit(version).cast("long")).select(*[F.col(f.name).cast(f.dataType) for f in schema])
     rows.repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.parquet(f"{index.path}/segments/{name}")
     written = index._rows("segments", [name], POSTING.format(id=index.manifest.id_type))
@@ -198,7 +198,7 @@ def update_index(
     version = held.version + 1 if held else 0
     manifest = replace(held, version=version, source=source) if held else IndexManifest(0, id_type, source)
     index = WordIndex(spark, path, manifest)
-    typed = T._parse_datatype_string(f"id {id_type}")
+    typed = T.StructType.fromDDL(f"id {id_type}")
     segments, dead = list(manifest.segments), list(manifest.dead)
     if deleted is not None and held:
         gone = conformed(deleted.select(F.col(deleted.columns[0]).alias("id")).filter("id is not null"), typed).distinct()

@@ -11,6 +11,7 @@ from sheaf.plans.ingest import normalize, refresh_texts, run_load
 from sheaf.schema import ENVELOPE_SCHEMA
 from sheaf.session import scratch_dir
 from sheaf.sources import files as S
+from sheaf.streaming.events import run_events
 from sheaf.streaming.incremental import run_incremental
 from workload import bindings as B
 from workload.registry import query
@@ -236,6 +237,21 @@ def incremental_load(spark, sf_dir):
     return _shown(ST.read_table(spark, records), ST.read_table(spark, vectors))
 
 
+@query("event_stream", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
+def event_stream(spark, sf_dir):
+    """The later half of all events is landed and streamed, then all of them: the earlier half comes behind
+    the watermark, the later half a second time."""
+    inbox, path, checkpoint = (scratch_dir(spark, n) for n in ("events", "stored-events", "events-stream"))
+    events = B.table(spark, sf_dir, "events")
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    middle = events.agg(F.percentile_approx("ts", 0.5)).first()[0]
+    for part in (events.filter(F.col("ts") >= F.lit(middle)), events):
+        landed = part.repartitionByRange(8, "ts").write.mode("append")
+        landed.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(inbox)
+        run_events(spark, inbox, path, checkpoint, events.schema, "event_id", "ts", "12 hours", buckets=4)
+    return plain_times(ST.read_table(spark, path))
+
+
 @query(
     "refreshed_texts",
     rf"""SELECT doc_id AS id, CASE WHEN lang = 'en' THEN 'kept' ELSE substring(trim(regexp_replace(regexp_replace(regexp_replace(trim(text, chr(9)||chr(10)||chr(13)||' '),
