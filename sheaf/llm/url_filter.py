@@ -9,6 +9,8 @@ Verdicts are made once per distinct URL and joined back, so a URL held by a thir
 one evaluation. The rule index is broadcast behind a check of its size (:data:`MAX_BROADCAST_RULES`);
 beyond it Spark joins by token. A null or unparsable URL has empty host and path, no tokens and
 hence no rule: it is allowed. Repeated rows are kept, extra columns are not read.
+
+Rules are given as a list, or as a table of any size (:func:`site_rule_table`, :func:`checked_rules`).
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.llm.common import ascii_lower
+from sheaf.session import at_most
 
 MAX_BROADCAST_RULES = 100_000
 SITE_RANK, PATTERN_RANK = 2, 1
@@ -101,6 +104,37 @@ def rule_frame(spark: SparkSession, rules: Sequence[UrlRule]) -> DataFrame:
     return spark.createDataFrame(rows, "rule string, rule_verdict string, pattern string, choices array<array<string>>, rank int")
 
 
+def checked_rules(rules: DataFrame) -> DataFrame:
+    """A table of rules with the columns of :func:`rule_frame`. A rule without a name, pattern, rank or verdict,
+    or without a set of tokens to fetch it by, is an error: no URL would ever meet it."""
+    rules = rules.select("rule", "rule_verdict", "pattern", F.col("choices").cast("array<array<string>>"), F.col("rank").cast("int"))
+    named = F.col("rule").isNotNull() & F.col("pattern").isNotNull() & F.col("rank").isNotNull()
+    fetched = (F.size("choices") > 0) & F.forall("choices", lambda c: (F.size(c) > 0) & F.forall(c, lambda t: t.rlike("^[a-z0-9]+$")))
+    fit = named & F.col("rule_verdict").isin("allow", "block") & fetched
+    bad = rules.filter(~F.coalesce(fit, F.lit(False))).select("rule").limit(3).collect()
+    if bad:
+        raise ValueError(f"rules without name, verdict, pattern, rank or tokens: {[r.rule for r in bad]}")
+    return rules
+
+
+def site_rule_table(sites: DataFrame) -> DataFrame:
+    """Rules from a table ``(host, path, verdict)``, such as a published block list: each fits its host and all
+    subdomains, for paths that start with ``path`` (null or empty: all). Of rules that repeat with
+    both verdicts ``allow`` wins. Extra columns are not read; a host without a letter or digit is refused by :func:`checked_rules`."""
+    host, path = ascii_lower(F.col("host")), F.coalesce("path", F.lit(""))
+    literal = lambda c: F.regexp_replace(c, r"([\\.\[\]{}()*+?^$|-])", r"\\$1")
+    # the end of a path may be a mere beginning of the URL's token
+    whole = F.concat_ws(" ", F.lower(host), F.regexp_replace(F.lower(path), "[a-z0-9]+$", ""))
+    tokens = F.array_distinct(F.filter(F.split(whole, "[^a-z0-9]+"), lambda t: t != ""))
+    return sites.select(
+        F.concat(host, path).alias("rule"),
+        F.col("verdict").alias("rule_verdict"),
+        F.concat(F.lit(r"^(?:[^/]*\.)?"), literal(host), F.lit("(?=/|$)"), literal(path)).alias("pattern"),
+        F.transform(tokens, lambda t: F.array(t)).alias("choices"),
+        F.lit(SITE_RANK).alias("rank"),
+    ).distinct()
+
+
 def rule_index(rules: DataFrame, url_tokens: DataFrame, small: bool) -> DataFrame:
     """Each rule under the tokens of its rarest choice. ``url_tokens``: one row per distinct URL and token.
 
@@ -115,9 +149,11 @@ def rule_index(rules: DataFrame, url_tokens: DataFrame, small: bool) -> DataFram
     return rarest.select(*rule, F.explode("by.choice").alias("token"))
 
 
-def url_verdicts(pages: DataFrame, rules: Sequence[UrlRule] = SITE_RULES + PATTERN_RULES) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules: Sequence[UrlRule] | DataFrame = SITE_RULES + PATTERN_RULES) -> DataFrame:
     """page_id, url, host, path, rule (the winning rule's name), rank, verdict of every page.
 
+    ``rules`` is a list of rules or a table with the columns of :func:`rule_frame`.
+
     ``rule`` and ``rank`` are null where no rule matches; such pages are allowed.
     """
     spark = pages.sparkSession
@@ -127,8 +163,12 @@ def url_verdicts(pages: DataFrame, rules: Sequence[UrlRule] = SITE_RULES + PATTE
     sites = urls.select("url", F.concat(host, path).alias("site"))
     pieces = F.array_distinct(F.split(F.lower("site"), "[^a-z0-9]+"))
     url_tokens = sites.select("url", "site", F.explode(pieces).alias("token"))
-    small = len(rules) <= MAX_BROADCAST_RULES
-    index = rule_index(rule_frame(spark, rules), url_tokens.select("token"), small)
+    if isinstance(rules, DataFrame):
+        table = checked_rules(rules)
+        small = at_most(table, MAX_BROADCAST_RULES)
+    else:
+        table, small = rule_frame(spark, rules), len(rules) <= MAX_BROADCAST_RULES
+    index = rule_index(table, url_tokens.select("token"), small)
     fetched = url_tokens.join(F.broadcast(index) if small else index, "token")
     fits = fetched.filter(F.expr("regexp_like(site, pattern)"))
     best = fits.groupBy("url").agg(

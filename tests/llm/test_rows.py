@@ -273,6 +273,48 @@ def test_every_match_is_fetched(spark, monkeypatch, broadcast):
             assert not rule.one_of or tokens & set(rule.one_of), url
 
 
+@pytest.mark.parametrize("broadcast", [U.MAX_BROADCAST_RULES, 1000])
+def test_a_hundred_thousand_rules_from_a_table(spark, monkeypatch, broadcast):
+    """Compared with a plain look-up of every host suffix and path beginning."""
+    monkeypatch.setattr(U, "MAX_BROADCAST_RULES", broadcast)
+    sites = spark.range(100_000).selectExpr(
+        "case when id % 10 = 0 then concat('S', id, '.Example.com') when id % 10 = 1 then concat('a-b', id, '.net') else concat('h', id, '.x', id % 50, '.org') end as host",
+        "case id % 4 when 0 then null when 1 then '/' when 2 then concat('/p(', id % 3, ')/') else concat('/v', id % 5) end as path",
+        "if(id % 3 = 0, 'allow', 'block') as verdict",
+        "id as rank",
+    )
+    rules = {}
+    for r in sites.collect():
+        rules.setdefault(r.host.lower(), []).append((r.path or "", r.verdict))
+    hosts = sorted(rules)[::97]
+    urls = [f"http://{sub}{h}{p}" for h in hosts for sub in ("", "www.", "not") for p in ("", "/", "/p(1)/a", "/p1/", "/v3x/b", "/V3")]
+    pages = spark.createDataFrame(list(enumerate([*urls, None, "no scheme"])), "page_id int, url string")
+    got = {r.page_id: r for r in U.url_verdicts(pages, U.site_rule_table(sites)).collect()}
+    assert len(got) == len(urls) + 2
+    hits = 0
+    for i, url in enumerate(urls):
+        host, path = plain_site(url)[:2]
+        labels = host.split(".")
+        above = [".".join(labels[k:]) for k in range(len(labels))]
+        fits = [(len(h + p), h + p, v) for h in above for p, v in rules.get(h, ()) if path.startswith(p)]
+        _, name, verdict = max(fits, default=(0, None, "allow"))
+        assert (got[i].rule, got[i].verdict) == (name, verdict), url
+        hits += bool(fits)
+    assert len(urls) // 4 < hits < len(urls)
+    assert {got[len(urls) + k].verdict for k in (0, 1)} == {"allow"}
+
+
+def test_rules_that_no_url_could_meet_are_refused(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/")], "page_id int, url string")
+    for host, verdict in (("é", "block"), (None, "block"), ("a.b", "deny"), ("a.b", None)):
+        sites = spark.createDataFrame([(host, "/", verdict), ("c.d", "/", "block")], "host string, path string, verdict string")
+        with pytest.raises(ValueError):
+            U.url_verdicts(pages, U.site_rule_table(sites))
+    both = spark.createDataFrame([("a.b", "", "block"), ("A.b", None, "allow")], "host string, path string, verdict string")
+    assert [r.verdict for r in U.url_verdicts(pages, U.site_rule_table(both)).collect()] == ["allow"]
+    assert U.url_verdicts(pages, U.site_rule_table(both.limit(0))).first().verdict == "allow"
+
+
 def test_rule_tokens_must_be_whole():
     assert U.site_rule("block", "example.org", "/en/1").tokens == ("example", "org", "en")
     assert U.site_rule("block", "com", "/de/").tokens == ("com", "de")
