@@ -27,6 +27,7 @@ linked with nothing, has no component and is kept. Extra columns pass through th
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import exp
 
 import numpy as np
@@ -191,8 +192,9 @@ def unconnected_links(buckets: DataFrame, classes: DataFrame, texts: DataFrame,
 
     ``buckets``: key, band, node, tag. Buckets meet in blocks of bounded rows and bytes. Within a block a pair is
     looked at if its roots differ, its sizes and sketches allow the threshold and this is the first
-    bucket that both share; it is confirmed on the full sets right there, and what is linked counts as
-    connected from then on. So a task gives links, never candidates."""
+    bucket that both share. A first pass over the blocks, without texts, keeps the classes that have such a
+    pair; only their texts are fetched. The second confirms on the full sets right in the block, and what is
+    linked counts as connected from then on. So a task gives classes or links, never candidates."""
     rooted = buckets.join(found, "node", "left").select("key", "band", "node", "tag", F.coalesce("root", "node").alias("root"))
     known = classes.select("node", "tag", "n", "sketch", "bands")
     sized = rooted.join(known.select("node", "tag", "n"), ["node", "tag"])
@@ -204,20 +206,45 @@ def unconnected_links(buckets: DataFrame, classes: DataFrame, texts: DataFrame,
     own = F.pmod(F.xxhash64("node", "tag"), F.col("blocks")).cast("int")
     rows = rooted.join(open_keys, "key").select("key", "band", "node", "tag", "root", own.alias("own"), "blocks")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("key", "band", "node", "tag", "root", "own", other).join(known, ["node", "tag"]).join(texts, ["node", "tag"])
+    rows = rows.select("key", "band", "node", "tag", "root", "own", other).join(known, ["node", "tag"])
     rows = rows.select(
-        "key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n", "sketch", "bands", "text"
+        "key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "tag", "root", "n", "sketch", "bands"
     )
     node = classes.schema["node"].dataType
     schema = fields(("a", node), ("b", node))
     arrow = to_arrow_schema(schema)
 
-    def compare(group: pa.Table, shingler: Shingler) -> pa.RecordBatch | None:
-        node, root, n, own = (group[c].to_numpy() for c in ("node", "root", "n", "own"))
+    def columns(group: pa.Table) -> tuple[np.ndarray, ...]:
+        root, n, own = (group[c].to_numpy() for c in ("root", "n", "own"))
         bits = np.array(group["sketch"].to_pylist(), np.int64).view(np.uint64)
-        bands = np.array(group["bands"].to_pylist(), np.int64)
-        band = group["band"][0].as_py()
+        return root, n, own, bits, np.array(group["bands"].to_pylist(), np.int64)
+
+    def partners(group: pa.Table, at: int, root: np.ndarray, n: np.ndarray, own: np.ndarray, bits: np.ndarray, bands: np.ndarray) -> np.ndarray:
+        """The later rows of the block, or those of its other half, that ``at`` may be linked with."""
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
+        if i == j:
+            cut = np.arange(at + 1, len(root))
+        elif own[at] == i:
+            cut = np.flatnonzero(own == j)
+        else:
+            return np.empty(0, np.int64)
+        cut = cut[root[cut] != root[at]]
+        cut = cut[100 * np.minimum(n[cut], n[at]) >= THRESHOLD_PERCENT * np.maximum(n[cut], n[at])]
+        cut = cut[np.bitwise_count(bits[cut] ^ bits[at]).sum(axis=1) <= MOST_BITS]
+        return cut[(bands[cut] == bands[at]).argmax(axis=1) == group["band"][0].as_py()]
+
+    def sift(group: pa.Table, _: Shingler) -> pa.RecordBatch | None:
+        held = columns(group)
+        paired = np.zeros(group.num_rows, bool)
+        for at in range(group.num_rows):
+            cut = partners(group, at, *held)
+            paired[cut] = True
+            paired[at] |= len(cut) > 0
+        return group.filter(pa.array(paired)).combine_chunks().to_batches()[0] if paired.any() else None
+
+    def compare(group: pa.Table, shingler: Shingler) -> pa.RecordBatch | None:
+        node = group["node"].to_numpy()
+        root, n, own, bits, bands = columns(group)
         texts = as_bytes(group["text"].combine_chunks())
         sets: dict[int, np.ndarray] = {}
         root = root.copy()
@@ -229,16 +256,7 @@ def unconnected_links(buckets: DataFrame, classes: DataFrame, texts: DataFrame,
             return sets[row]
 
         for at in range(len(node)):
-            if i == j:
-                cut = np.arange(at + 1, len(node))
-            elif own[at] == i:
-                cut = np.flatnonzero(own == j)
-            else:
-                continue
-            cut = cut[root[cut] != root[at]]
-            cut = cut[100 * np.minimum(n[cut], n[at]) >= THRESHOLD_PERCENT * np.maximum(n[cut], n[at])]
-            cut = cut[np.bitwise_count(bits[cut] ^ bits[at]).sum(axis=1) <= MOST_BITS]
-            cut = cut[(bands[cut] == bands[at]).argmax(axis=1) == band]
+            cut = partners(group, at, root, n, own, bits, bands)
             for lo in range(0, len(cut), 256):
                 some = cut[lo : lo + 256]
                 some = some[root[some] != root[at]]
@@ -257,6 +275,14 @@ def unconnected_links(buckets: DataFrame, classes: DataFrame, texts: DataFrame,
             return as_batch({"a": a, "b": b}, arrow)
         return None
 
+    met = _by_block(rows, sift, rows.schema)
+    met = stored(met, "open").join(texts, ["node", "tag"])
+    return _by_block(met, compare, schema).distinct()
+
+
+def _by_block(rows: DataFrame, work: Callable[[pa.Table, Shingler], pa.RecordBatch | None], schema: T.StructType) -> DataFrame:
+    """``work`` of every block (key, i, j) of ``rows``, one block at a time in memory."""
+
     def run(batches):
         shingler = Shingler()
         waiting: list[pa.Table] = []
@@ -267,15 +293,14 @@ def unconnected_links(buckets: DataFrame, classes: DataFrame, texts: DataFrame,
             for lo, hi in zip([0, *ends], [*ends, len(marks)], strict=True):
                 piece = table.slice(lo, hi - lo)
                 if waiting and any(waiting[-1][c][0] != piece[c][0] for c in ("key", "i", "j")):
-                    if (out := compare(pa.concat_tables(waiting), shingler)) is not None:
+                    if (out := work(pa.concat_tables(waiting), shingler)) is not None:
                         yield out
                     waiting = []
                 waiting.append(piece)
-        if waiting and (out := compare(pa.concat_tables(waiting), shingler)) is not None:
+        if waiting and (out := work(pa.concat_tables(waiting), shingler)) is not None:
             yield out
 
-    met = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return met.mapInArrow(run, schema).distinct()
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
 
 
 def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

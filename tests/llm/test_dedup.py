@@ -204,3 +204,28 @@ def test_near_copies_beside_a_doc_id_of_unlike_texts(spark, monkeypatch):
     rows = [(i, t) for i, family_text in enumerate(chain) for t in (family_text, *[cases.words(60 + k, 40 + 5 * i + k) for k in range(5)])]
     got = near_rows(cases.frame(spark, rows))
     assert len(got) == len(rows) and {r.component_id for r in got} == {0}
+
+
+def test_only_classes_with_a_likely_pair_go_on_to_their_texts(spark, monkeypatch):
+    """One bucket of unlike texts, of which two are near copies that the bucket's first class does not tie."""
+    plain, kept, stored = N.bands_of, [], N.stored
+
+    def bands(samples):
+        own = plain(samples)
+        own[0], own[1:] = 7, samples.view(np.int64).sum() + np.arange(1, N.BANDS)
+        return own
+
+    def noted(df, name):
+        out = stored(df, name)
+        if name == "open":
+            kept.extend(r.node for r in out.select("node").distinct().collect())
+        return out
+
+    monkeypatch.setattr(N, "BLOCK", 8)
+    monkeypatch.setattr(N, "bands_of", bands)
+    monkeypatch.setattr(N, "stored", noted)
+    rows = [(i, cases.words(80, 300 + i)) for i in range(30)]
+    rows.append((40, rows[20][1] + " more"))
+    got = {r.doc_id: r.component_id for r in near_rows(cases.frame(spark, rows))}
+    assert got == {i: i for i in range(30)} | {40: 20}
+    assert sorted(kept) == [20, 40]
