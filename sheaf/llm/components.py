@@ -2,8 +2,9 @@
 
 A large-star step hangs the larger neighbours of every node on its smallest one, a small-star step
 does so with the smaller neighbours; repeated, each component becomes one star around its smallest
-node. Every step is an aggregation with partial sums and an equi-join, so a hub with very many links
-is never one task's group; each round is written to shared storage before the next reads it.
+node. Every step is an aggregation with partial sums and an equi-join. A hub with very many links meets in one
+partition of that join unless adaptive execution splits it, but rows stream through and no group is collected;
+each round is written to shared storage before the next reads it.
 """
 
 from __future__ import annotations
