@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheaf.session import holds_files, union_all
+from sheaf.session import holds_files, task_storage, union_all
 
 CORRUPT = "_corrupt_record"
 ORIGIN = "_origin"
@@ -205,3 +206,21 @@ def land(items: DataFrame, path: str, unit: Sequence[str], position: str, as_of,
     # One envelope per file, as a reader of whole JSON files expects.
     writer = packed.write.mode("append").option("maxRecordsPerFile", 1)
     (writer.partitionBy(*folders) if folders else writer).json(path)
+
+
+def land_texts(texts: DataFrame, path: str) -> None:
+    """Write each text of the only column to a JSON file of its own, as it is, readable or not.
+
+    Tasks write the files where they are to stay, so the driver handles none of them. A task that runs
+    again writes the same names.
+    """
+
+    def run(rows: Iterator[Row]) -> None:
+        fs, root = task_storage(path)
+        fs.create_dir(root)
+        task = TaskContext.get().partitionId()
+        for i, row in enumerate(rows):
+            with fs.open_output_stream(f"{root}/text-{task:05d}-{i:06d}.json") as file:
+                file.write(f"{'' if row[0] is None else row[0]}\n".encode())
+
+    texts.foreachPartition(run)

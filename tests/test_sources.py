@@ -4,10 +4,14 @@ from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sheaf import schema as S
+from sheaf import session
 from sheaf.operators import analytics as A
+from sheaf.operators import stored_table
 from sheaf.operators.stored_table import read_table
+from sheaf.plans import ingest
 from sheaf.plans.ingest import run_load
 from sheaf.sources import files
 from sheaf.sources.files import CORRUPT, good_and_corrupt, land, load_records, union_relaxed
@@ -174,3 +178,45 @@ def test_deep_pages(spark, offset):
     rows = spark.range(100).selectExpr("id", "if(id % 9 = 0, null, timestamp_seconds(id % 4)) as created_at").repartition(5)
     want = [r.id for r in A.page(rows, 8, offset).collect()]
     assert [r.id for r in A.deep_page(rows, 8, offset, 6).collect()] == want
+
+
+def test_texts_land_as_files_of_their_own(spark, tmp_path):
+    texts = ['{"items": [{"id": "é', '{"id": "good", "title": "x"}', "{"]
+    files.land_texts(spark.createDataFrame([(t,) for t in texts], "value string").repartition(2), f"{tmp_path}/a")
+    good, corrupt = good_and_corrupt(load_records(spark, [f"{tmp_path}/a"], T.StructType().add("id", "string").add("title", "string")))
+    assert [r.id for r in good.collect()] == ["good"]
+    assert sorted(r[CORRUPT].strip() for r in corrupt.collect()) == sorted([texts[0], texts[2]])
+
+
+def test_files_are_found_at_any_depth_without_a_call_for_each(spark, tmp_path, monkeypatch):
+    for i in range(30):
+        (tmp_path / f"a{{1}}/b[{i}]").mkdir(parents=True)
+        (tmp_path / f"a{{1}}/b[{i}]/x.json").write_text("{}")
+    calls = []
+    send = spark.sparkContext._gateway._gateway_client.send_command
+    monkeypatch.setattr(spark.sparkContext._gateway._gateway_client, "send_command", lambda c, *a, **k: calls.append(c) or send(c, *a, **k))
+    assert not session.holds_files(spark, str(tmp_path), (".csv", ".CSV"))
+    assert len(calls) < 200
+    assert session.holds_files(spark, str(tmp_path), (".json", ".JSON"))
+    (tmp_path / "a{1}/b[7]/y.CSV").write_text("")
+    assert session.holds_files(spark, str(tmp_path), (".csv", ".CSV"))
+
+
+def test_a_load_writes_its_records_once_before_the_merge(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("1", "en", "a"), ("1", "en", "b"), ("2", "xx", "c")], "id string, network string, title string")
+    staged, names = session.staged, []
+    for module in (ingest, stored_table):
+        monkeypatch.setattr(module, "staged", lambda s, df, name: names.append(name) or staged(s, df, name))
+    loaded = load_records(spark, [_as_json(rows, tmp_path)])
+    metrics = ingest.load_into(spark, loaded, f"{tmp_path}/t", None, datetime(2025, 1, 1), networks=["en"])
+    assert names == ["records", "unreadable"]
+    assert (metrics.records, metrics.deduplicated, metrics.upserted, metrics.refused) == (3, 2, 1, 1)
+    assert [r.id for r in read_table(spark, f"{tmp_path}/t").collect()] == ["1"]
+
+
+def _as_json(rows, tmp_path):
+    path = tmp_path / "in"
+    path.mkdir()
+    for i, line in enumerate(rows.toJSON().collect()):
+        (path / f"{i}.json").write_text(line)
+    return str(path)

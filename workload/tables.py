@@ -13,7 +13,7 @@ from sheaf.operators import merge as M
 from sheaf.operators.analytics import coverage
 from sheaf.operators.stored_table import read_table
 from sheaf.plans.ingest import normalize, run_load
-from sheaf.session import list_names, rename_path, scratch_dir
+from sheaf.session import scratch_dir
 from sheaf.sources import files as S
 from sheaf.sources.paged import expand_units, fetch_pages, parse_items
 from workload import bindings as B
@@ -121,10 +121,7 @@ def corrupt_files(spark, sf_dir):
     chunks = docs.groupBy(F.concat("network", chunk).alias("name")).agg(F.sort_array(F.collect_list(item)).alias("items"))
     body = F.array_join(F.transform("items", lambda x: x["item"]), ",")
     broken = chunks.select(F.concat(F.lit('{"name": "'), "name", F.lit('", "items": ['), body).alias("value"))
-    broken.write.option("maxRecordsPerFile", 1).text(f"{inbox}/broken")
-    for name in list_names(spark, f"{inbox}/broken"):
-        if name.endswith(".txt"):  # Spark's text files, under a name that the load reads
-            rename_path(spark, f"{inbox}/broken/{name}", f"{inbox}/broken/{name[:-4]}.json")
+    S.land_texts(broken, f"{inbox}/broken")
     langs = ["en", "fr", "de", "es"]
     run_load(spark, [f"{inbox}/good", f"{inbox}/broken"], records, None, B.AS_OF, rejects_path=rejects, networks=langs, load_id="one")
     good = read_table(spark, records).select(F.lit("record").alias("kind"), "id", F.md5("description").alias("content"))
