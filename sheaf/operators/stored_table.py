@@ -25,6 +25,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from contextlib import nullcontext
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -279,13 +280,14 @@ def merge_table(
     buckets: int | None = None,
     order: Sequence[str] = (),
     name: str = MAIN,
+    stored: bool = False,
 ) -> Manifest:
     """Upsert a batch into the table at ``path``, which is made if there is none.
 
     ``order`` names columns by which the last of several rows of a key is taken (they need not be
     columns of the table); without it a repeated key is an error. ``buckets`` fixes the count of a
     new table; given for an existing one it must be the table's own. The batch is read once, into
-    the shared scratch folder; only files that may hold one of its keys are read and written. Merging the
+    the shared scratch folder, or where it lies if it is ``stored`` in files already; only files that may hold one of its keys are read and written. Merging the
     same batch again changes nothing. Rows without a key are left out.
     """
     manifest = current(spark, path) or Manifest(-1)
@@ -298,7 +300,7 @@ def merge_table(
         source = source.select(*table.struct.names)
     elif order:
         source = source.drop(*order)
-    with staged(spark, source, "batch") as batch:
+    with nullcontext(source) if stored else staged(spark, source, "batch") as batch:
         if table is not None:
             batch = conformed(batch, table.struct)
         if not order and _repeats(batch, key):

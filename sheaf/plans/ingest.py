@@ -174,8 +174,8 @@ def load_into(
 ) -> LoadMetrics:
     """Merge loaded records into the tables: records first, then vectors of what was loaded.
 
-    The normalised records, and then the fresh vectors, are written once below the shared scratch
-    folder, which is cleared afterwards: raw files are parsed once and the model sees each text once.
+    The unique records, and then the fresh vectors, are written once below the shared scratch folder, which
+    is cleared afterwards: records are parsed once, merged from there, and the model sees each text once.
     Each step reads what the step before has written, so a lost executor only costs the tasks it
     held, and running the load again leaves the same tables. Refused records and unreadable
     documents go below ``rejects_path/load=<load_id>``, beside those of other loads; a load that is
@@ -188,9 +188,9 @@ def load_into(
     # rows are counted by the writes themselves, not by reading them again
     seen, kept, read, embedded = (Observation() for _ in range(4))
     every, valid = F.count(F.lit(1)).alias("n"), F.count_if(violation(networks).isNull()).alias("valid")
-    with staged(spark, normalize(good, as_of).observe(seen, every), "normalized") as rows, ExitStack() as stack:
+    rows = first_per_key(normalize(good, as_of).observe(seen, every)).drop(ORIGIN)
+    with staged(spark, rows.observe(kept, every, valid), "records") as unique, ExitStack() as stack:
         metrics.records = seen.get.get("n", 0)
-        unique = stack.enter_context(staged(spark, first_per_key(rows).drop(ORIGIN).observe(kept, every, valid), "records"))
         metrics.deduplicated, metrics.upserted = kept.get.get("n", 0), kept.get.get("valid", 0)
         records, refused = split_valid(unique, networks)
         metrics.refused = metrics.deduplicated - metrics.upserted
@@ -199,13 +199,13 @@ def load_into(
             metrics.unreadable = read.get.get("n", 0)
         if rejects_path is not None:
             _rejects(refused, corrupt).write.mode("overwrite").parquet(f"{rejects_path}/load={load_id or uuid.uuid4().hex}")
-        merge_table(spark, records_path, records, "id", ("created_at",), buckets)
+        merge_table(spark, records_path, records, "id", ("created_at",), buckets, stored=True)
         if embeddings_path is not None:
             fresh = embed(texts_to_embed(records), "text", embed_fn, dim)
             fresh = fresh.filter(F.col("embedding").isNotNull()).select("proposal_id", "embedding")
             vectors = stack.enter_context(staged(spark, fresh.observe(embedded, every), "vectors"))
             metrics.embedded = embedded.get.get("n", 0)
-            merge_table(spark, embeddings_path, vectors, "proposal_id", (), buckets)
+            merge_table(spark, embeddings_path, vectors, "proposal_id", (), buckets, stored=True)
     metrics.seconds = time.monotonic() - began
     return metrics
 
