@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -316,3 +317,10 @@ def test_probed_search_in_parts_and_without_rows(spark, tmp_path, monkeypatch, d
     assert VI.probed_search(q.limit(0), docs, index).count() == VI.probed_search(q, docs.limit(0), index).count() == 0
     empty = VI.build_signatures(e.limit(0), str(tmp_path / "none"), 8)
     assert empty.rows == 0 and VI.probed_search(q, docs, empty).count() == 0
+
+
+def test_probes_are_not_broadcast(spark):
+    docs = spark.range(20).select("id", F.lit("a title").alias("title"), F.lit("some more words").alias("description"), F.lit("p").alias("proposer"))
+    asked = docs.select(F.col("id").alias("query_id"), F.col("title").alias("query"))
+    plan = T.fuzzy_search(asked, docs)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"BroadcastHashJoin \[(_gram#\w+, _salt|value)", plan)
