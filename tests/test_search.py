@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -319,6 +320,20 @@ def test_probed_search_in_parts_and_without_rows(spark, tmp_path, monkeypatch, d
     assert empty.rows == 0 and VI.probed_search(q, docs, empty).count() == 0
 
 
+def test_tasks_hold_few_texts_at_a_time(spark):
+    """A batch of Spark's is taken apart before its words become Python objects; results do not change."""
+    whole = pa.RecordBatch.from_pydict({"id": list(range(2 * T.HELD_ROWS + 3))})
+    parts = list(T._slices(iter([whole])))
+    assert max(b.num_rows for b in parts) <= T.HELD_ROWS and [x for b in parts for x in b.column("id").to_pylist()] == list(range(whole.num_rows))
+    docs = spark.range(3 * T.HELD_ROWS).select(
+        "id", F.concat(F.lit("t"), F.col("id") % 7).alias("title"), F.concat_ws(" ", F.lit("blue sky"), F.repeat(F.lit("blue "), (F.col("id") % 300).cast("int"))).alias("description")
+    ).coalesce(1)
+    asked = spark.createDataFrame([(1, "blue t3"), (2, "sky")], "query_id int, query string")
+    for search in (T.fulltext_search, T.lexical_search):
+        direct, joined = search(asked, docs), search(asked, docs, index=T.postings(docs))
+        assert sorted(map(tuple, direct.collect())) == sorted(map(tuple, joined.collect()))
+
+
 def test_probes_are_not_broadcast(spark):
     docs = spark.range(20).select("id", F.lit("a title").alias("title"), F.lit("some more words").alias("description"), F.lit("p").alias("proposer"))
     asked = docs.select(F.col("id").alias("query_id"), F.col("title").alias("query"))
