@@ -28,6 +28,8 @@ from sheaf.session import list_names, path_exists, read_text, remove_path, stage
 
 #: Segments of one size, or lists of dead ids, that are put together; rows of the smallest size.
 FANOUT, SMALLEST = 4, 1 << 16
+#: Parts that the records of one word are dealt out to.
+WORD_PARTS = 64
 
 POSTING = "token string, id {id}, tf long, in_title boolean, in_description boolean, written long"
 
@@ -123,12 +125,12 @@ def read_index(spark: SparkSession, path: str) -> WordIndex:
 
 
 def _write_segment(index: WordIndex, rows: DataFrame, version: int) -> Segment | None:
-    """Postings dealt out and sorted by word and id: a common word fills no single task, and a word is looked
-    for in few row groups."""
+    """Postings dealt out by word, each word in parts, and sorted by word and id: a common word fills no single
+    task, and a word is looked for in few row groups. No sample is drawn, so words are counted once."""
     name = uuid.uuid4().hex
     schema = T.StructType.fromDDL(POSTING.format(id=index.manifest.id_type))
     rows = rows.withColumn("written", F.lit(version).cast("long")).select(*[F.col(f.name).cast(f.dataType) for f in schema])
-    rows.repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.parquet(f"{index.path}/segments/{name}")
+    rows.repartition("token", F.pmod(F.xxhash64("id"), F.lit(WORD_PARTS))).sortWithinPartitions("token", "id").write.parquet(f"{index.path}/segments/{name}")
     written = index._rows("segments", [name], POSTING.format(id=index.manifest.id_type))
     count = written.count()
     if not count:

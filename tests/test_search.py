@@ -334,6 +334,12 @@ def test_tasks_hold_few_texts_at_a_time(spark):
         assert sorted(map(tuple, direct.collect())) == sorted(map(tuple, joined.collect()))
 
 
+def test_words_are_not_shuffled(spark):
+    docs = spark.range(20).select("id", F.lit("a title").alias("title"), F.lit("some more words").alias("description"), F.lit("p").alias("proposer"))
+    plan = T.postings(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(id" in plan  # texts by id, and no words
+
+
 def test_probes_are_not_broadcast(spark):
     docs = spark.range(20).select("id", F.lit("a title").alias("title"), F.lit("some more words").alias("description"), F.lit("p").alias("proposer"))
     asked = docs.select(F.col("id").alias("query_id"), F.col("title").alias("query"))
