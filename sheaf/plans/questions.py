@@ -346,7 +346,13 @@ def collapse_events(events: DataFrame) -> DataFrame:
     def payload(stage: str) -> Column:
         return F.max(F.when(F.col("stage") == stage, F.col("payload")))
 
-    grouped = events.groupBy("query_id").agg(
+    # Texts are summed up by sorting them, so only what a response is made of goes there: not a plan's
+    # examples, which its answer shows, nor the payloads of other events, which leave but their question.
+    plan = F.substring_index("payload", ',"examples":', 1)
+    plan_first = F.col("payload").startswith('{"plan":') & F.contains("payload", F.lit(',"examples":'))
+    cut = F.when(plan_first, F.concat(plan, F.lit("}"))).otherwise(F.col("payload"))
+    read = F.when(F.col("stage") == "sql_result", cut).when(F.col("stage").isin("final_answer", "retrieval_hits", "error"), F.col("payload"))
+    grouped = events.select("query_id", "stage", read.alias("payload")).groupBy("query_id").agg(
         payload("final_answer").alias("_final"),
         payload("sql_result").alias("_sql"),
         payload("retrieval_hits").alias("_hits"),

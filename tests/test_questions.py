@@ -211,3 +211,23 @@ def test_json_arrays_in_text(spark):
 def test_count_question(spark):
     df = frame(spark, ["HOW MANY", "The Total", "none"])
     assert [r[0] for r in df.orderBy("query_id").select(Q.is_count_question(F.col("query"))).collect()] == [True, True, False]
+
+
+def test_responses_sum_up_no_examples(spark):
+    """Of a plan's result only plan and count are sorted by question, of the hits' repeats nothing; the response is the same."""
+    examples = '[{"id":"1","title":"a,\\"examples\\":b"}]'
+    rows = [
+        (1, "sql_result", f'{{"plan":"p \\",\\"examples\\": q","count":7,"examples":{examples}}}'),
+        (1, "final_answer", '{"answer":"yes","metadata":{"processing_type":"sql_agent"}}'),
+        (2, "retrieval_hits", '{"hits":[{"id":"h,\\"examples\\":"}],"count":1}'),
+        (2, "proposals_data", '{"proposals":[{"id":"h"}]}'),
+        (3, "router_decision", '{"decision":"composer"}'),
+        (4, "sql_result", '{"examples":[],"plan":"later"}'),
+        (4, "sql_result", '{"count":1,"examples":[],"plan":"even later"}'),
+    ]
+    found = P.collapse_events(spark.createDataFrame(rows, "query_id int, stage string, payload string"))
+    got = {r.query_id: r for r in found.collect()}
+    assert (got[1].plan, got[1].response, got[1].processing_type) == ('p ","examples": q', "yes", "sql_agent")
+    assert (got[2].results, got[2]["count"]) == ('[{"id":"h,\\"examples\\":"}]', 1)
+    assert got[3].response == "No response generated" and got[4].plan == "later"
+    assert "substring_index(payload" in found._jdf.queryExecution().optimizedPlan().toString()
