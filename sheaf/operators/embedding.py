@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -75,12 +75,12 @@ def embed(
     return df.withColumn(output, run.asNondeterministic()(F.col(text_col)))
 
 
-def texts_to_embed(records: DataFrame, style: str = "structured") -> DataFrame:
-    """``(proposal_id, text)`` of every record with something to embed."""
+def texts_to_embed(records: DataFrame, style: str = "structured", carry: Sequence[str] = ()) -> DataFrame:
+    """``(proposal_id, text)`` of every record with something to embed, and the ``carry`` columns."""
     names = [c if c in records.columns else None for c in ("proposer", "network", "type")]
     extra = [F.coalesce(F.col(c), F.lit("")) if c else None for c in names]
     text = embedding_text(style, F.col("title"), F.col("description"), *extra)
-    return records.select(F.col("id").cast("string").alias("proposal_id"), text.alias("text")).filter(
+    return records.select(F.col("id").cast("string").alias("proposal_id"), text.alias("text"), *carry).filter(
         strip(F.col("text")) != ""
     )
 

@@ -11,13 +11,16 @@ from sheaf.functions.vectors import from_text, to_text
 from sheaf.session import union_all
 
 
-def first_per_key(df: DataFrame, key: str = "id", order: Sequence[str | Column] = ("_origin",)) -> DataFrame:
-    """The first row of each key in load order; rows without a key are dropped.
+def first_per_key(
+    df: DataFrame, key: str = "id", order: Sequence[str | Column] = ("_origin",), within: Sequence[str] = ()
+) -> DataFrame:
+    """The first row of each key in load order, or of each key and value of the ``within`` columns; rows
+    without a key are dropped.
 
     Spark cuts each task's rows to one per key before the shuffle, so a key that repeats in a
     third of all rows does not end up whole in one task.
     """
-    window = Window.partitionBy(key).orderBy(*order)
+    window = Window.partitionBy(key, *within).orderBy(*order)
     return (
         df.filter(F.col(key).isNotNull())
         .withColumn("_position", F.row_number().over(window))

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from dataclasses import fields as dataclass_fields
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,8 +21,8 @@ from sheaf.operators.embedding import EmbedFn, embed, texts_to_embed
 from sheaf.operators.filters import split_valid, violation
 from sheaf.operators.merge import fill_missing, first_per_key
 from sheaf.operators.stored_table import merge_table
-from sheaf.session import prepare, staged, union_all
-from sheaf.sources.files import CORRUPT, ORIGIN, good_and_corrupt, load_records
+from sheaf.session import path_exists, prepare, staged, union_all
+from sheaf.sources.files import BATCH, CORRUPT, ORIGIN, good_and_corrupt, load_records
 
 # Fields that become table columns; all others go into metadata.
 CONSUMED = [
@@ -154,11 +154,39 @@ def _rejects(refused: DataFrame, corrupt: DataFrame | None) -> DataFrame:
     if corrupt is None:
         return out
     unread = corrupt.select(
-        F.lit("unreadable").alias("reason"), F.col(f"{ORIGIN}.file").alias("file"), F.col(CORRUPT).alias("raw")
-    )
+        F.lit("unreadable").alias("reason"), F.col(f"{ORIGIN}.file").alias("file"), F.col(CORRUPT).alias("raw"),
+        *[c for c in corrupt.columns if c == BATCH],
+    )
     return union_all(out, unread, allow_missing=True)
 
 
+def _write_rejects(rejects: DataFrame, path: str, load_id: str | None, batches: Sequence[int]) -> None:
+    """Rejects to the folder of their load, or each to the folder of its batch, in one write. A load or
+    batch without rejects gets a folder too, and what a load under the same id has left is replaced."""
+    if BATCH not in rejects.columns:
+        rejects.write.mode("overwrite").parquet(f"{path}/load={load_id or uuid.uuid4().hex}")
+        return
+    rejects = rejects.withColumn("load", F.concat(F.lit("batch-"), F.col(BATCH))).drop(BATCH)
+    rejects.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("load").parquet(path)
+    for batch in batches:
+        if not path_exists(rejects.sparkSession, f"{path}/load=batch-{batch}"):
+            rejects.drop("load").limit(0).write.parquet(f"{path}/load=batch-{batch}")
+
+
+def _merge_rows(
+    spark: SparkSession, path: str, rows: DataFrame, key: str, keep: Sequence[str], buckets: int | None
+) -> None:
+    """Merge stored rows, those of several batches as if one batch was merged after the other: a key's last
+    row is taken, its ``keep`` columns from its first."""
+    if BATCH not in rows.columns:
+        merge_table(spark, path, rows, key, keep, buckets, stored=True)
+    elif rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        merge_table(spark, path, rows.drop(BATCH), key, keep, buckets, stored=True)
+    else:
+        firsts = {c: F.min_by(c, BATCH).over(Window.partitionBy(key)) for c in keep}
+        merge_table(spark, path, rows.withColumns(firsts), key, keep, buckets, order=(BATCH,))
+
+
 def load_into(
     spark: SparkSession,
     loaded: DataFrame,
@@ -171,6 +199,7 @@ def load_into(
     dim: int = 64,
     buckets: int | None = None,
     load_id: str | None = None,
+    batches: Sequence[int] | None = None,
 ) -> LoadMetrics:
     """Merge loaded records into the tables: records first, then vectors of what was loaded.
 
@@ -180,6 +209,9 @@ def load_into(
     held, and running the load again leaves the same tables. Refused records and unreadable
     documents go below ``rejects_path/load=<load_id>``, beside those of other loads; a load that is
     run again under its id replaces its own.
+
+    ``batches`` are the numbers of a stream's batches whose records, with the number in ``_origin.batch``, are loaded
+    together. Tables, rejects (``load=batch-<n>``) and counts are those of one load for each batch in their order.
     """
     prepare(spark)
     began = time.monotonic()
@@ -188,7 +220,9 @@ def load_into(
     # rows are counted by the writes themselves, not by reading them again
     seen, kept, read, embedded = (Observation() for _ in range(4))
     every, valid = F.count(F.lit(1)).alias("n"), F.count_if(violation(networks).isNull()).alias("valid")
-    rows = first_per_key(normalize(good, as_of).observe(seen, every)).drop(ORIGIN)
+    number = [] if batches is None else [BATCH]
+    rows = normalize(good, as_of).observe(seen, every)
+    rows = first_per_key(rows.withColumns({c: F.col(f"{ORIGIN}.batch") for c in number}), within=number).drop(ORIGIN)
     with staged(spark, rows.observe(kept, every, valid), "records") as unique, ExitStack() as stack:
         metrics.records = seen.get.get("n", 0)
         metrics.deduplicated, metrics.upserted = kept.get.get("n", 0), kept.get.get("valid", 0)
@@ -198,14 +232,15 @@ def load_into(
             corrupt = stack.enter_context(staged(spark, corrupt.select(ORIGIN, CORRUPT).observe(read, every), "unreadable"))
             metrics.unreadable = read.get.get("n", 0)
         if rejects_path is not None:
-            _rejects(refused, corrupt).write.mode("overwrite").parquet(f"{rejects_path}/load={load_id or uuid.uuid4().hex}")
-        merge_table(spark, records_path, records, "id", ("created_at",), buckets, stored=True)
+            unread = corrupt if corrupt is None else corrupt.withColumns({c: F.col(f"{ORIGIN}.batch") for c in number})
+            _write_rejects(_rejects(refused, unread), rejects_path, load_id, batches or ())
+        _merge_rows(spark, records_path, records, "id", ("created_at",), buckets)
         if embeddings_path is not None:
-            fresh = embed(texts_to_embed(records), "text", embed_fn, dim)
-            fresh = fresh.filter(F.col("embedding").isNotNull()).select("proposal_id", "embedding")
+            fresh = embed(texts_to_embed(records, carry=number), "text", embed_fn, dim)
+            fresh = fresh.filter(F.col("embedding").isNotNull()).select("proposal_id", "embedding", *number)
             vectors = stack.enter_context(staged(spark, fresh.observe(embedded, every), "vectors"))
             metrics.embedded = embedded.get.get("n", 0)
-            merge_table(spark, embeddings_path, vectors, "proposal_id", (), buckets, stored=True)
+            _merge_rows(spark, embeddings_path, vectors, "proposal_id", (), buckets)
     metrics.seconds = time.monotonic() - began
     return metrics
 

@@ -13,6 +13,8 @@ from sheaf.session import holds_files, task_storage, union_all
 
 CORRUPT = "_corrupt_record"
 ORIGIN = "_origin"
+#: Number of the batch of a stream that a record came with, where a load takes several batches.
+BATCH = "_batch"
 
 
 def located(raw: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import os
 from datetime import datetime
 from pathlib import Path
 
@@ -220,3 +221,54 @@ def _as_json(rows, tmp_path):
     for i, line in enumerate(rows.toJSON().collect()):
         (path / f"{i}.json").write_text(line)
     return str(path)
+
+
+def test_batches_of_a_run_are_merged_together_as_if_one_after_the_other(spark, tmp_path, monkeypatch):
+    drops = [
+        {"items": [{"id": "a", "network": "dot", "title": "one", "createdAt": "2024-01-01"}, {"id": "a", "network": "dot", "title": "again"}, {"id": "x", "network": "else"}]},
+        {"items": [{"id": "b", "network": "ksm", "title": "two"}, {"id": "a", "network": "dot", "title": "changed", "createdAt": "2024-06-01"}]},
+        '{"items": [{"id": "c", ',
+        {"items": [{"id": "b", "network": "ksm", "title": "blank"}, {"id": "x", "network": "dot", "title": "valid now"}]},
+        {"items": [{"id": "a", "network": "else", "title": "refused"}, {"id": "d", "network": "dot", "title": "new"}]},
+    ]
+    for i, drop in enumerate(drops):
+        write(tmp_path / "in" / f"{i}.json", drop)
+        os.utime(tmp_path / "in" / f"{i}.json", (1_700_000_000 + i,) * 2)
+
+    def model(texts):  # a vector of zeros is none: the one before stays
+        return [[0.0 if "blank" in t else float(len(t)), 0.0 if "blank" in t else 1.0] for t in texts]
+
+    def state(place):
+        records = {r.id: (r.title, r.network, r.created_at) for r in read_table(spark, f"{place}/records").collect()}
+        vectors = {r.proposal_id: tuple(r.embedding) for r in read_table(spark, f"{place}/vectors").collect()}
+        rejects = sorted((r["load"], r.reason, r.id) for r in spark.read.parquet(f"{place}/rejects").collect())
+        return records, vectors, rejects, sorted(p.name for p in Path(f"{place}/rejects").glob("load=*"))
+
+    want = ingest.LoadMetrics()
+    one = tmp_path / "one"
+    for i in range(len(drops)):
+        loaded = load_records(spark, [str(tmp_path / "in" / f"{i}.json")], S.ENVELOPE_SCHEMA)
+        paths = f"{one}/records", f"{one}/vectors"
+        want += ingest.load_into(spark, loaded, *paths, AS_OF, model, f"{one}/rejects", buckets=2, load_id=f"batch-{i}")
+
+    merges, merge = [], ingest.merge_table
+    monkeypatch.setattr(ingest, "merge_table", lambda *a, **k: merges.append(a[1]) or merge(*a, **k))
+    place = tmp_path / "all"
+    paths = f"{place}/records", f"{place}/vectors", f"{place}/checkpoint"
+
+    def run(fn):
+        return run_incremental(spark, f"{tmp_path}/in", *paths, AS_OF, max_files=1, embed_fn=fn, rejects_path=f"{place}/rejects", buckets=2)
+
+    def down(texts):
+        raise OSError("model down")
+
+    with pytest.raises(Exception, match="model down"):
+        run(down)
+    merges.clear()
+    done = run(model)  # what the failed run has parsed is merged now, and only once
+    assert merges == [paths[0], paths[1]]
+    assert state(place) == state(one)
+    got, want = (dict(vars(m), seconds=0) for m in (done, want))
+    assert got == want and got["records"] == 9 and got["unreadable"] == 1
+    assert run(model).records == 0 and len(merges) == 2
+    assert not list(Path(f"{place}/checkpoint/pending").glob("*"))
