@@ -43,6 +43,8 @@ BUCKET_BYTES = 256 << 20
 FILE_ROWS, LOOSE_FILES = 1 << 18, 8
 #: Keys to a word of a Bloom filter, and bits that each key sets in its word.
 WORD_KEYS, KEY_BITS = 4, 4
+#: Keys of a batch, about, by which it is told which files very many of its keys fall to.
+PROBED = 1 << 20
 
 BLOOM = "file string, word int, bits long, rows long"
 
@@ -169,7 +171,7 @@ def _write(df: DataFrame, path: str, key: str, buckets: int) -> dict[str, list[S
         return {}
     words = max(1, FILE_ROWS // WORD_KEYS)
     kind = df.schema[key].dataType
-    ranged = isinstance(kind, T.IntegralType | T.StringType)
+    ranged = _ranged(kind)
     written = spark.read.schema(T.StructType([df.schema[key], T.StructField(BUCKET, T.IntegerType())])).parquet(f"{path}/{folder}")
     place = F.concat(F.lit(f"{folder}/{BUCKET}="), F.col(BUCKET).cast("string"), F.lit("/"), F.col("_metadata.file_name"))
     keys = written.select(F.col(key).alias("key"), BUCKET, place.alias("file"))
@@ -184,32 +186,55 @@ def _write(df: DataFrame, path: str, key: str, buckets: int) -> dict[str, list[S
     return {b: sorted(files, key=lambda f: f.path) for b, files in found.items()}
 
 
+def _ranged(kind: T.DataType) -> bool:
+    return isinstance(kind, T.IntegralType | T.StringType)
+
+
+def _listing(spark: SparkSession, kind: T.DataType, rows: list[tuple]) -> DataFrame:
+    """Files to be asked: bucket, path, smallest and largest key if the key's type has them, words."""
+    if not _ranged(kind):
+        return spark.createDataFrame([(b, p, w) for b, p, _, _, w in rows], f"{BUCKET} int, file string, words int")
+    return spark.createDataFrame(
+        rows,
+        T.StructType(
+            [T.StructField(BUCKET, T.IntegerType()), T.StructField("file", T.StringType())]
+            + [T.StructField(n, kind) for n in ("low", "high")]
+            + [T.StructField("words", T.IntegerType())]
+        ),
+    )
+
+
+def _inside(kind: T.DataType) -> Column:
+    return F.col("_key").between(F.col("low"), F.col("high")) if _ranged(kind) else F.lit(True)
+
+
 def holding(spark: SparkSession, path: str, table: Table, keys: DataFrame) -> set[str]:
-    """Paths of the files that may hold one of the keys, by bucket, key range and Bloom filter."""
+    """Paths of the files that may hold one of the keys, by bucket, key range and Bloom filter.
+
+    A file that more keys fall to than a file has rows, judged by a share of the keys, counts as one without its
+    filter being asked: so many keys would meet a false hit, and keys times files would grow with the square
+    of the table. For the others, no more than a file's rows are asked of each.
+    """
     files = table.listed()
     if not files:
         return set()
     kind = table.struct[table.key].dataType
     rows = [(int(b), f.path, f.low, f.high, f.words) for b, held in table.files.items() for f in held]
-    if isinstance(kind, T.IntegralType | T.StringType):
-        listing = spark.createDataFrame(
-            rows,
-            T.StructType(
-                [T.StructField(BUCKET, T.IntegerType()), T.StructField("file", T.StringType())]
-                + [T.StructField(n, kind) for n in ("low", "high")]
-                + [T.StructField("words", T.IntegerType())]
-            ),
-        )
-        inside = F.col("_key").between(F.col("low"), F.col("high"))
-    else:
-        listing = spark.createDataFrame([(b, p, w) for b, p, _, _, w in rows], f"{BUCKET} int, file string, words int")
-        inside = F.lit(True)
     probes = keys.select(F.col(table.key).alias("_key"), bucket_of(table.key, table.buckets).alias(BUCKET))
-    near = probes.join(listing, BUCKET).filter(inside)
+    sure: set[str] = set()
+    if (many := keys.count()) > FILE_ROWS:  # fewer cannot fall to one file in such numbers
+        share = max(1, many // PROBED)
+        few = probes.filter(F.pmod(F.xxhash64("_key", F.lit(3)), F.lit(share)) == 0)
+        counts = few.join(F.broadcast(_listing(spark, kind, rows)), BUCKET).filter(_inside(kind)).groupBy("file").count()
+        sure = {r.file for r in counts.filter(F.col("count") * share > FILE_ROWS).collect()}
+        rows = [r for r in rows if r[1] not in sure]
+        if not rows:
+            return sure
+    near = probes.join(F.broadcast(_listing(spark, kind, rows)), BUCKET).filter(_inside(kind))
     asked = near.select("file", _word(F.col("_key"), F.col("words")).alias("word"), _bits(F.col("_key")).alias("mask"))
-    blooms = spark.read.schema(BLOOM).parquet(*sorted({f"{path}/{f.stats}" for f in files}))
+    blooms = spark.read.schema(BLOOM).parquet(*sorted({f"{path}/{f.stats}" for f in files if f.path not in sure}))
     hit = asked.join(blooms, ["file", "word"]).filter(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"))
-    return {r.file for r in hit.select("file").distinct().collect()}
+    return sure | {r.file for r in hit.select("file").distinct().collect()}
 
 
 def _checked(table: Table | None, key: str, buckets: int | None) -> None:
@@ -349,6 +374,8 @@ def _append(
     if table is not None:
         rows = rows.select(*table.struct.names)
     with staged(spark, rows, "appended") as batch:
+        if skip_known and table is not None and batch.isEmpty():
+            return manifest
         if not batch.filter(F.col(key).isNull()).isEmpty():
             raise DuplicateKeys("a row has no key")
         if table is not None:

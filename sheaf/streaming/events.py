@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheaf.operators.stored_table import append_missing, current
-from sheaf.session import prepare
+from sheaf.session import prepare, staged
 from sheaf.sources.files import CORRUPT
 
 
@@ -35,6 +35,14 @@ def _first_of_each(rows: DataFrame, key: str, event_time: str) -> DataFrame:
     return numbered.filter("_n = 1").drop("_n")
 
 
+def _dropped_below(told: list[dict]) -> str | None:
+    """The watermark that held when the last of a run's files were read: rows above it were not dropped for being
+    late. It only rises, so it also covers files of a run that died. Without new files it is the last one
+    told; without any, unknown."""
+    read = [p for p in told if any(s["startOffset"] != s["endOffset"] for s in p["sources"])]
+    return (read or told)[-1]["eventTime"].get("watermark") if told else None
+
+
 def run_events(
     spark: SparkSession,
     directory: str,
@@ -58,7 +66,8 @@ def run_events(
 
     Spark's state drops rows that come behind the watermark. They are not lost here: a second stream
     over the same files, with a place of its own in the checkpoint, picks the rows that are no newer than the watermark
-    reached, or that have no time, and adds the first by time of each id that the table does not have. Of
+    in force when the last files were read, or that have no time, and adds the first by time of each id that the table
+    does not have; it parses the files once. Of
     unlike rows with one id inside one batch of the first stream, Spark chooses the one that stays.
 
     Rows without a key and unreadable lines are refused; they go to ``rejects_path/load=<batch>``.
@@ -92,22 +101,23 @@ def run_events(
     timed = usable(source()).filter(F.col(event_time).isNotNull())
     first = run(timed.withWatermark(event_time, within).dropDuplicatesWithinWatermark([key]), "events", add)
     streamed = _rows(spark, path)
-    progress = first.lastProgress
-    # without progress, as after a run that died here, every row is looked at
-    reached = progress["eventTime"].get("watermark") if progress else None
+    # unknown as after a run that died here, then every row is looked at
+    reached = _dropped_below(first.recentProgress)
 
     def sweep(batch: DataFrame, batch_id: int) -> None:
         refused = F.col(CORRUPT).isNotNull() | F.col(key).isNull()
-        counts = batch.agg(F.count(F.lit(1)).alias("n"), F.count_if(refused).alias("refused")).first()
-        metrics.received += counts.n
-        metrics.refused += counts.refused
-        if rejects_path is not None and counts.refused:
-            batch.filter(refused).write.mode("overwrite").parquet(f"{rejects_path}/load=batch-{batch_id}")
-        rows = usable(batch)
+        counts = Observation()
+        rows = usable(batch.observe(counts, F.count(F.lit(1)).alias("n"), F.count_if(refused).alias("refused")))
         if reached:
             rows = rows.filter(F.col(event_time).isNull() | (F.col(event_time) <= F.lit(reached).cast("timestamp")))
-        if not rows.isEmpty():
-            append_missing(batch.sparkSession, path, _first_of_each(rows, key, event_time), key, buckets)
+        with staged(batch.sparkSession, rows, "late") as late:
+            found = counts.get.get("refused", 0)
+            metrics.received += counts.get.get("n", 0)
+            metrics.refused += found
+            if rejects_path is not None and found:
+                batch.filter(refused).write.mode("overwrite").parquet(f"{rejects_path}/load=batch-{batch_id}")
+            if not late.isEmpty():
+                append_missing(batch.sparkSession, path, _first_of_each(late, key, event_time), key, buckets)
 
     run(source(), "late", sweep)
     after = _rows(spark, path)

@@ -82,3 +82,34 @@ def test_times_are_utc(spark, tmp_path):
     E.run_events(spark, str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "c"), SCHEMA, "id", "at", "1 hour", buckets=1)
     text = read_table(spark, str(tmp_path / "t")).selectExpr("cast(at as string) as at").first().at
     assert datetime.fromisoformat(text) == datetime(2024, 5, 1, 8)
+
+
+def test_rows_above_the_watermark_of_their_batch_are_not_looked_at_again(spark, tmp_path, monkeypatch):
+    looked, first = [], E._first_of_each
+    monkeypatch.setattr(E, "_first_of_each", lambda rows, *a: looked.append(sorted(r.id for r in rows.collect())) or first(rows, *a))
+    inbox, path = tmp_path / "in", str(tmp_path / "t")
+
+    def run():
+        looked.clear()
+        return E.run_events(spark, str(inbox), path, str(tmp_path / "c"), SCHEMA, "id", "at", "1 hour", max_files=1, buckets=1)
+
+    land(inbox, "1.json", [("a", at("10:00"), 1), ("b", at("20:00"), 2), ("a", at("10:00"), 1)])
+    assert run() == E.EventMetrics(3, 2, 0, 0) and looked == []
+    land(inbox, "2.json", [("c", at("10:00"), 1), ("a", at("10:00"), 9), ("d", at("23:00"), 2)])
+    land(inbox, "3.json", [("e", at("19:30"), 1), ("f", at("21:30"), 1)])
+    done = run()
+    assert (done.received, done.added, done.refused) == (5, 4, 0)
+    assert ["a", "c"] in looked
+    got = {r.id: r.value for r in read_table(spark, path).collect()}
+    assert got == {"a": 1, "b": 2, "c": 1, "d": 2, "e": 1, "f": 1}
+    assert run() == E.EventMetrics()
+
+
+def test_the_watermark_of_the_last_files_counts():
+    def told(start, end, watermark):
+        return {"sources": [{"startOffset": start, "endOffset": end}], "eventTime": {"watermark": watermark}}
+
+    read = [told(None, {"logOffset": 0}, "1970"), told({"logOffset": 0}, {"logOffset": 1}, "2023")]
+    idle = told({"logOffset": 1}, {"logOffset": 1}, "2024")
+    assert E._dropped_below([*read, idle]) == "2023"
+    assert E._dropped_below([idle]) == "2024" and E._dropped_below([]) is None

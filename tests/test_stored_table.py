@@ -222,3 +222,27 @@ def test_an_older_version_is_read_checked_and_restored(spark, path):
         Path(path, f.path).write_bytes(b"PAR1")
     with pytest.raises(ST.DamagedSnapshot):
         ST.restore(spark, path, back.version)
+
+
+def test_a_file_that_very_many_keys_fall_to_is_taken_without_its_filter(spark, path, monkeypatch):
+    """Keys times files would grow with the square of the table. Keys without ranges fall to all files of a bucket."""
+    monkeypatch.setattr(ST, "FILE_ROWS", 100)
+    monkeypatch.setattr(ST, "PROBED", 500, raising=False)
+    rows = spark.range(4000).selectExpr("cast(id as double) as id", "cast(id as string) as text")
+    ST.append_missing(spark, path, rows, buckets=2)
+    table = ST.current(spark, path).main
+    files = {f.path for f in table.listed()}
+    assert len(files) >= 40
+    asked, bits = [], ST._bits
+    monkeypatch.setattr(ST, "_bits", lambda key: asked.append(1) or bits(key))
+    assert ST.holding(spark, path, table, spark.range(9000).selectExpr("cast(id as double) as id")) == files
+    assert not asked
+    assert len(ST.holding(spark, path, table, spark.range(1).selectExpr("cast(id as double) as id"))) < 40
+    assert asked
+    more = spark.range(2000, 9000).selectExpr("cast(id as double) as id", "'late' as text")
+    ST.append_missing(spark, path, more)
+    got = [(r.id, r.text) for r in ST.read_table(spark, path).collect()]
+    assert sorted(got) == [(float(i), str(i) if i < 4000 else "late") for i in range(9000)]
+    version = ST.current(spark, path).version
+    ST.append_missing(spark, path, more.limit(0))
+    assert ST.current(spark, path).version == version
