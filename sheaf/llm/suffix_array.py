@@ -4,20 +4,50 @@ from __future__ import annotations
 
 import numpy as np
 
-_FIRST = 7  # symbols of nine bits in the first key
+_SYMBOLS = 7  # symbols of nine bits in a word of 63
 
 
 def laid_out(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols (bytes + 1, a 0 behind each string), the string of each place and its end mark."""
-    joined = b"\0".join(strings) + b"\0"
-    sizes = np.array([len(s) + 1 for s in strings])
+    return laid_out_bytes(np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings], np.int64))
+
+
+def laid_out_bytes(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of strings laid end to end."""
+    sizes = lengths + 1
     ends = np.cumsum(sizes) - 1
-    symbols = np.frombuffer(joined, np.uint8).astype(np.int16) + 1
-    symbols[ends] = 0
-    owner = np.repeat(np.arange(len(strings)), sizes)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    symbols = np.zeros(len(owner), np.int16)
+    inner = np.ones(len(owner), bool)
+    inner[ends] = False
+    symbols[inner] = data.astype(np.int16) + 1
     return symbols, owner, ends[owner]
 
 
+def _words(symbols: np.ndarray, count: int, bits: int) -> np.ndarray:
+    """For each place ``count`` symbols from there as one number, zeros behind the last."""
+    wide = np.zeros(len(symbols) + count, np.int64)
+    wide[: len(symbols)] = symbols
+    out = wide[: len(symbols)].copy()
+    for i in range(1, count):
+        out <<= bits
+        out |= wide[i : i + len(symbols)]
+    return out
+
+
+def _ordered(key: np.ndarray, bits: int) -> np.ndarray:
+    """What sorts keys below ``2**bits``; equal keys come in any order or as they stand. Keys that leave room are
+    sorted with their places in the same word, which is several times faster than sorting places by keys."""
+    room = max(len(key) - 1, 1).bit_length()
+    if bits + room > 63:
+        return np.argsort(key, kind="stable")
+    packed = key << room
+    packed |= np.arange(len(key))
+    packed.sort()
+    packed &= (1 << room) - 1
+    return packed
+
+
 def suffix_array(symbols: np.ndarray, owner: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Places sorted by the text from there to their string's end mark; end marks differ, by owner.
 
@@ -26,30 +56,48 @@ def suffix_array(symbols: np.ndarray, owner: np.ndarray, end: np.ndarray) -> np.
     """
     n = len(symbols)
     place = np.arange(n)
-    key = np.zeros(n, np.int64)
-    for i in range(_FIRST):
-        at = np.minimum(place + i, end)
-        key = key << 9 | symbols[at]
-    key[symbols == 0] = -1
-    order = np.lexsort((owner, key)) if n else place
+    if not n:
+        return place
+    # symbols that occur, in order; the first key takes as many of them as leave room for a place
+    occurs = np.zeros(int(symbols.max()) + 1, bool)
+    occurs[symbols] = True
+    bits = max(int(occurs.sum()).bit_length(), 1)
+    first = max(1, min(16, (63 - max(n - 1, 1).bit_length()) // bits))
+    key = _words((np.cumsum(occurs) - occurs[0])[symbols], first, bits)
+    # what follows an end mark is not part of the text
+    left = end - place
+    for i in range(first - 1):
+        near = np.flatnonzero(left == i)
+        drop = (first - 1 - i) * bits
+        key[near] = key[near] >> drop << drop
+    marks = np.flatnonzero(left == 0)
+    key[marks] = 0
+    order = _ordered(key, first * bits)
+    order[: len(marks)] = marks  # end marks stand alone, in the order of their strings
     ranked = key[order]
     head = np.ones(n, bool)
     head[1:] = ranked[1:] != ranked[:-1]
-    head |= symbols[order] == 0  # end marks stand alone, in the order of their strings
+    head[: len(marks) + 1] = True
     slot = np.maximum.accumulate(np.where(head, place, 0))
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32 if n < 1 << 31 else np.int64)
     rank[order] = slot
-    h = _FIRST
+    h = first
+    wide = max(n - 1, 1).bit_length()
     while True:
         single = head & np.append(head[1:], True)
         todo = np.flatnonzero(~single)
         if not len(todo):
             return order
         these = order[todo]
+        group = rank[these]
         ahead = rank[np.minimum(these + h, end[these])]
-        by = np.argsort((rank[these] << 32) | ahead, kind="stable")
+        # groups stay where they are, so a group's number among those left does for its rank
+        number = np.cumsum(head[todo]) - 1
+        if 3 * wide <= 63:
+            by = _ordered(number << wide | ahead, 2 * wide)
+        else:
+            by = np.argsort((group.astype(np.int64) << 32) | ahead, kind="stable")
         these, ahead = these[by], ahead[by]
-        group = rank[these]
         order[todo] = these
         new = np.ones(len(todo), bool)
         new[1:] = (group[1:] != group[:-1]) | (ahead[1:] != ahead[:-1])
@@ -64,7 +112,7 @@ def common_prefixes(symbols: np.ndarray, end: np.ndarray, order: np.ndarray) ->
 
     Kasai's observation, place by place: the prefix shared at a place is at most one shorter than
     at the place before. Where both texts also agree one symbol earlier, it is exactly one shorter;
-    only the other places are compared, eight symbols at a time.
+    only the other places are compared, seven symbols at a time.
     """
     n = len(order)
     lcp = np.zeros(n, np.int64)
@@ -80,17 +128,18 @@ def common_prefixes(symbols: np.ndarray, end: np.ndarray, order: np.ndarray) ->
     earlier[inner] = (symbols[i - 1] == symbols[before[i] - 1]) & (symbols[i - 1] > 0)
     start = np.flatnonzero(has & ~earlier)
     length = np.zeros(len(start), np.int64)
-    limit = np.minimum(end[start] - start, end[before[start]] - before[start])
+    other = before[start]
+    limit = np.minimum(end[start] - start, end[other] - other)
+    words = _words(symbols, _SYMBOLS, 9)
     open_ = np.arange(len(start))
     while len(open_):
-        a, b = start[open_] + length[open_], before[start[open_]] + length[open_]
-        step = np.ones(len(open_), bool)
-        for _ in range(8):
-            step &= (length[open_] < limit[open_])
-            step[step] = symbols[a[step]] == symbols[b[step]]
-            length[open_[step]] += 1
-            a, b = a + 1, b + 1
-        open_ = open_[step]
+        at = length[open_]
+        unlike = words[np.minimum(start[open_] + at, n - 1)] ^ words[np.minimum(other[open_] + at, n - 1)]
+        same = np.zeros(len(open_), np.int64)
+        for i in range(_SYMBOLS):
+            same += unlike < 1 << 9 * i
+        length[open_] = np.minimum(at + same, limit[open_])
+        open_ = open_[(unlike == 0) & (length[open_] < limit[open_])]
     reach = np.zeros(n, np.int64)
     reach[start] = length + start
     shared = np.maximum.accumulate(reach) - place

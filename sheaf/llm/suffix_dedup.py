@@ -44,8 +44,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sheaf.llm.common import as_batch, as_bytes, fields, fold_values, parts_for, stored
-from sheaf.llm.suffix_array import common_prefixes, laid_out, suffix_array
+from sheaf.llm.common import as_batch, as_bytes, fields, fold_values, parts_for, ragged, stored
+from sheaf.llm.suffix_array import common_prefixes, laid_out_bytes, suffix_array
 from sheaf.session import union_all
 
 LENGTH = 50
@@ -124,6 +124,53 @@ def unplanes(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
+def plane_rows(values: np.ndarray, kind: str, cuts: np.ndarray) -> pa.Array:
+    """A binary column of rows that begin at ``cuts``, each as :func:`planes` would give it. All rows are made at
+    once: their number grows with batches times buckets, and chunks times shards."""
+    raw = np.ascontiguousarray(values, kind)
+    width = raw.itemsize
+    sizes = np.diff(np.append(cuts, len(raw)))
+    step = np.repeat(sizes, sizes)
+    at = np.arange(len(raw)) + np.repeat(cuts * (width - 1), sizes)
+    out = np.empty(len(raw) * width, np.uint8)
+    for k, plane in enumerate(raw.view(np.uint8).reshape(len(raw), width).T):
+        out[at + k * step] = plane
+    return binary_rows(out, sizes * width)
+
+
+def binary_rows(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary column of rows of the given sizes, laid end to end."""
+    offsets = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=offsets[1:])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def joined_rows(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls, laid end to end, and the size of each row."""
+    parts, sizes = [np.empty(0, np.uint8)], [np.empty(0, np.int64)]
+    for part in column.chunks:
+        if len(part):
+            _, offsets, data = part.buffers()
+            stops = np.frombuffer(offsets, np.int32)[part.offset : part.offset + len(part) + 1].astype(np.int64)
+            sizes.append(np.diff(stops))
+            if stops[-1] > stops[0]:
+                parts.append(np.frombuffer(data, np.uint8)[stops[0] : stops[-1]])
+    return np.concatenate(parts), np.concatenate(sizes)
+
+
+def row_values(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows of a column of :func:`planes`, and how many each row has."""
+    data, sizes = joined_rows(column)
+    width = np.dtype(kind).itemsize
+    sizes = sizes // width
+    step = np.repeat(sizes, sizes)
+    at = np.arange(len(step)) + np.repeat((np.cumsum(sizes) - sizes) * (width - 1), sizes)
+    out = np.empty((len(step), width), np.uint8)
+    for k in range(width):
+        out[:, k] = data[at + k * step]
+    return out.view(kind).ravel(), sizes
+
+
 def powers(n: int = SCAN + 4 * MARGIN + 1) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
     out = []
@@ -272,52 +319,70 @@ def packed_anchors(docs: DataFrame, buckets: int, frequent: Frequent) -> DataFra
                 covered = doc[number[own]] > first
                 bucket[own] = np.where(covered, -1 - dealt.astype(np.int64), buckets + dealt.astype(np.int64))
             order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order], prepend=bucket[order[0]] - 1))
-            for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True):
-                own = order[lo:hi]
-                texts = number[own]
-                first = np.flatnonzero(np.diff(texts, prepend=-1))
-                b = int(bucket[own[0]])
-                shown = which[own] if b >= buckets else gram[own] & np.uint64(0xFFFFFFFF)
-                row = {
-                    "bucket": [b],
-                    "docs": [planes(doc[texts[first]], "<i8")],
-                    "tags": [planes(tag[texts[first]], "<i4")],
-                    "chunks": [planes(chunk[texts[first]], "<i4")],
-                    "counts": [planes(np.diff([*first, len(own)]), "<u4")],
-                    "grams": [b"" if b < 0 else shown.astype("<u4").tobytes()],
-                    "around": [b"" if b < 0 else around[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 8 if b >= buckets else 6].tobytes()],
-                    "places": [planes(place[own], "<u4")],
-                }
-                yield as_batch(row, arrow)
+            new = np.diff(bucket[order], prepend=bucket[order[0]] - 1) != 0
+            texts = number[order]
+            cuts, first = np.flatnonzero(new), np.flatnonzero(new | (np.diff(texts, prepend=-1) != 0))
+            b, sizes = bucket[order[cuts]], np.diff([*cuts, len(order)])
+            of_first = np.searchsorted(first, cuts)
+            # buckets below 0 hold neither grams nor surroundings; all others come behind them
+            own = order[int(sizes[b < 0].sum()) :]
+            dealt = order[int(sizes[b < buckets].sum()) :]
+            shown = gram[own].astype("<u4")  # the hash's lower bits
+            shown[len(own) - len(dealt) :] = which[dealt]
+            near = around[own].astype("<u8").view(np.uint8).reshape(-1, 8)
+            near = np.concatenate([near[: len(own) - len(dealt), :6].ravel(), near[len(own) - len(dealt) :].ravel()])
+            yield as_batch(
+                {
+                    "bucket": b,
+                    "docs": plane_rows(doc[texts[first]], "<i8", of_first),
+                    "tags": plane_rows(tag[texts[first]], "<i4", of_first),
+                    "chunks": plane_rows(chunk[texts[first]], "<i4", of_first),
+                    "counts": plane_rows(np.diff([*first, len(order)]), "<u4", of_first),
+                    "grams": binary_rows(shown.view(np.uint8), sizes * np.where(b < 0, 0, 4)),
+                    "around": binary_rows(near, sizes * np.where(b < 0, 0, np.where(b < buckets, 6, 8))),
+                    "places": plane_rows(place[order], "<u4", cuts),
+                },
+                arrow,
+            )
 
     return docs.mapInArrow(run, PACKED)
 
 
-def _wide(data: bytes, width: int) -> np.ndarray:
+def _wide(data: np.ndarray, width: int) -> np.ndarray:
     """Numbers of ``width`` bytes, the lowest first."""
     out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    out[:, :width] = data.reshape(-1, width)
     return out.view("<u8").ravel()
 
 
+def _by(*keys: np.ndarray) -> np.ndarray:
+    """What sorts by the keys, the last one first; equal ones stay as they stand. Keys of one value are left out, and
+    a single one of at most 32 bits is sorted with the places in the same word."""
+    keys = tuple(k for k in keys if len(k) and k.min() != k.max())
+    n = len(keys[0]) if keys else 0
+    if len(keys) != 1 or not 0 <= int(keys[0].min()) <= int(keys[0].max()) < 1 << 32 or n >= 1 << 31:
+        return np.lexsort(keys) if keys else None
+    packed = keys[0].astype(np.int64) << 31 | np.arange(n)
+    packed.sort()
+    return packed & ((1 << 31) - 1)
+
+
 def _answers(kind: int, chunk, doc, tag, begin, end, shard=None, part=None) -> dict:
-    """Rows of ANSWER, one for each chunk, shard and part."""
+    """Rows of ANSWER, one for each chunk, shard and part, whose anchors stand as they are given."""
     shard = np.zeros(len(doc), np.int64) if shard is None else shard
     part = np.zeros(len(doc), np.int32) if part is None else part
-    order = np.lexsort((begin, doc, part, shard, chunk))
-    chunk, doc, tag, begin, end, shard, part = (x[order] for x in (chunk, doc, tag, begin, end, shard, part))
+    if (order := _by(part, shard, chunk)) is not None:
+        chunk, doc, tag, begin, end, shard, part = (x[order] for x in (chunk, doc, tag, begin, end, shard, part))
     new = np.ones(len(doc), bool)
     new[1:] = (np.diff(chunk) != 0) | (np.diff(shard) != 0) | (np.diff(part) != 0)
     lo = np.flatnonzero(new)
-    spans = list(zip(lo, [*lo[1:], len(doc)], strict=True))
     return {
         "chunk": chunk[lo],
         "kind": np.full(len(lo), kind),
-        "docs": [planes(doc[a:b], "<i8") for a, b in spans],
-        "tags": [planes(tag[a:b], "<i4") for a, b in spans],
-        "begin": [planes(begin[a:b], "<u4") for a, b in spans],
-        "end": [planes(end[a:b], "<u4") for a, b in spans],
+        "docs": plane_rows(doc, "<i8", lo),
+        "tags": plane_rows(tag, "<i4", lo),
+        "begin": plane_rows(begin, "<u4", lo),
+        "end": plane_rows(end, "<u4", lo),
         "shard": shard[lo],
         "part": part[lo],
     }
@@ -329,23 +394,18 @@ def shared_anchors(packed: DataFrame, buckets: int, frequent: Frequent, shard_an
     shipped = packed.sparkSession.sparkContext.broadcast(frequent)
 
     def run(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        bucket = rows[0]["bucket"]
+        bucket = group["bucket"][0].as_py()
         hot = bucket >= buckets
-        count = np.concatenate([unplanes(r["counts"], "<u4") for r in rows])
-        doc, tag, chunk = (
-            np.repeat(np.concatenate([unplanes(r[c], k) for r in rows]), count)
-            for c, k in (("docs", "<i8"), ("tags", "<i4"), ("chunks", "<i4"))
-        )
-        place = np.concatenate([unplanes(r["places"], "<u4") for r in rows]).astype(np.int64)
+        count = row_values(group["counts"], "<u4")[0]
+        doc, tag, chunk = (np.repeat(row_values(group[c], k)[0], count) for c, k in (("docs", "<i8"), ("tags", "<i4"), ("chunks", "<i4")))
+        place = row_values(group["places"], "<u4")[0].astype(np.int64)
         if bucket < 0:  # known to be covered
             return pa.Table.from_batches([as_batch(_answers(0, chunk, doc, tag, place, place), arrow)], arrow)
-        gram = np.concatenate([np.frombuffer(r["grams"], "<u4") for r in rows])
-        around = np.concatenate([_wide(r["around"], 8 if hot else 6) for r in rows])
-        del rows
-        order = np.argsort(gram, kind="stable")
+        gram = joined_rows(group["grams"])[0].view("<u4").astype(np.int64)
+        around = _wide(joined_rows(group["around"])[0], 8 if hot else 6)
+        order = np.arange(len(gram)) if (by := _by(gram)) is None else by
         if not hot:  # only grams of two documents or more
-            starts = np.flatnonzero(np.diff(gram[order].astype(np.int64), prepend=-1))
+            starts = np.flatnonzero(np.diff(gram[order], prepend=-1))
             sizes = np.diff([*starts, len(order)])
             ranked = doc[order]
             several = np.minimum.reduceat(ranked, starts) < np.maximum.reduceat(ranked, starts)
@@ -354,7 +414,7 @@ def shared_anchors(packed: DataFrame, buckets: int, frequent: Frequent, shard_an
             return arrow.empty_table()
         order = order[np.lexsort((doc[order], around[order], gram[order]))]
         g, a, d = gram[order], around[order], doc[order]
-        new_gram = np.diff(g.astype(np.int64), prepend=-1) != 0
+        new_gram = np.diff(g, prepend=-1) != 0
         new = new_gram.copy()
         new[1:] |= a[1:] != a[:-1]
         first = d[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
@@ -363,13 +423,13 @@ def shared_anchors(packed: DataFrame, buckets: int, frequent: Frequent, shard_an
         unlike = np.bincount(group_of, weights=new)[group_of] > 1
         out = []
 
-        def put(which: np.ndarray, kind: int, *more) -> None:
-            own = order[which]
-            p = place[own]
-            out.append(as_batch(_answers(kind, chunk[own], doc[own], tag[own], p, p, *more), arrow))
+        def deal(shard: np.ndarray, part: np.ndarray) -> None:
+            own = order[edge]
+            out.append(as_batch(_answers(1, chunk[own], doc[own], tag[own], place[own], place[own], shard, part), arrow))
 
         if covered.any():
-            put(covered, 0)
+            own = np.sort(order[covered])  # as they came: a document's places together
+            out.append(as_batch(_answers(0, chunk[own], doc[own], tag[own], place[own], place[own]), arrow))
         edge = ~covered & (unlike | hot)  # other buckets hold more surroundings of a frequent gram
         if edge.any():
             own_group = group_of[edge]
@@ -379,15 +439,16 @@ def shared_anchors(packed: DataFrame, buckets: int, frequent: Frequent, shard_an
             if hot:
                 which = g[edge][at].astype(np.int64)
                 number = 1 + (bucket - buckets) * BUCKET_PARTS + inside // max(shard_anchors, -(-int(size.max()) // (BUCKET_PARTS - 1)))
-                put(edge, 1, np.repeat(-1 - which, size), (np.repeat(shipped.value.cuts[which], size) << PART_BITS | number).astype(np.int32))
+                deal(np.repeat(-1 - which, size), (np.repeat(shipped.value.cuts[which], size) << PART_BITS | number).astype(np.int32))
             else:
                 large = size > shard_anchors
                 # small groups share shards in turn, a large one has a shard of its own in several parts
                 fill = np.cumsum(np.where(large, 0, size)) // shard_anchors
                 shard = np.where(large, (1 << 30) + np.arange(len(size)), fill)
-                cuts = np.array([_cuts(int(n), shard_anchors) for n in size]) if large.any() else np.zeros(len(size), np.int64)
+                cuts = np.zeros(len(size), np.int64)
+                cuts[large] = [_cuts(int(n), shard_anchors) for n in size[large]]
                 part = np.where(np.repeat(large, size), np.repeat(cuts, size) << PART_BITS | 1 + inside // shard_anchors, 0)
-                put(edge, 1, (bucket << 32) + np.repeat(shard, size), part.astype(np.int32))
+                deal((bucket << 32) + np.repeat(shard, size), part.astype(np.int32))
         return pa.Table.from_batches(out, arrow)
 
     return packed.groupBy("bucket").applyInArrow(run, ANSWER)
@@ -403,18 +464,19 @@ class Chunk:
         self.size = size
         doc = docs["_doc"].combine_chunks()
         self.known = doc.is_valid().to_numpy(zero_copy_only=False)
-        keys = np.zeros(len(size), [("doc", "<i8"), ("tag", "<i4")])
-        keys["doc"] = doc.fill_null(0).to_numpy()
-        keys["tag"] = docs["_tag"].to_numpy()
-        self.order = np.lexsort((keys["tag"], keys["doc"]))
+        doc = doc.fill_null(0).to_numpy()
+        self.docs = np.unique(doc)
+        keys = self._keys(doc, docs["_tag"].to_numpy())
+        self.order = np.argsort(keys, kind="stable")
         self.keys = keys[self.order]
 
+    def _keys(self, doc: np.ndarray, tag: np.ndarray) -> np.ndarray:
+        """(doc_id, tag) as one number; tags have 31 bits."""
+        return np.searchsorted(self.docs, doc) << 31 | tag.astype(np.int64)
+
     def rows(self, doc: np.ndarray, tag: np.ndarray) -> np.ndarray:
         """The row of each (doc_id, tag); of equal rows the first."""
-        wanted = np.zeros(len(doc), self.keys.dtype)
-        wanted["doc"], wanted["tag"] = doc, tag
-        each, back = np.unique(wanted, return_inverse=True)
-        return self.order[np.searchsorted(self.keys, each)][back]
+        return self.order[np.searchsorted(self.keys, self._keys(doc, tag))]
 
     def same_as(self) -> np.ndarray:
         """For each row the first row of equal (doc_id, tag)."""
@@ -425,9 +487,10 @@ class Chunk:
         return out
 
 
-def _unpacked(row: dict) -> tuple[np.ndarray, ...]:
+def _unpacked(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """docs, tags, begin and end of all answers, one after the other."""
     kinds = (("docs", "<i8"), ("tags", "<i4"), ("begin", "<u4"), ("end", "<u4"))
-    return tuple(unplanes(row[c], k).astype(np.int64) for c, k in kinds)
+    return tuple(row_values(rows[c], k)[0].astype(np.int64) for c, k in kinds)
 
 
 def surroundings(docs: DataFrame, answers: DataFrame) -> DataFrame:
@@ -438,17 +501,22 @@ def surroundings(docs: DataFrame, answers: DataFrame) -> DataFrame:
         if not left.num_rows or not right.num_rows:
             return arrow.empty_table()
         chunk = Chunk(left)
-        out = {f.name: [] for f in arrow}
-        for row in right.to_pylist():
-            doc, tag, place, _ = _unpacked(row)
-            at = chunk.rows(doc, tag)
-            lo = np.maximum(place - LEFT, 0)
-            hi = np.minimum(place + RIGHT, chunk.size[at])
-            pieces = [chunk.texts[t][a:b] for t, a, b in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True)]
-            values = (row["shard"], row["part"], row["chunk"], row["docs"], row["tags"], planes(lo, "<u4"), planes(hi - lo, "u1"), b"".join(pieces))
-            for name, value in zip(out, values, strict=True):
-                out[name].append(value)
-        return pa.Table.from_batches([as_batch(out, arrow)], arrow)
+        doc, tag, place, _ = _unpacked(right)
+        count = joined_rows(right["docs"])[1] // 8
+        cuts = np.cumsum(count) - count
+        at = chunk.rows(doc, tag)
+        lo = np.maximum(place - LEFT, 0)
+        size = np.minimum(place + RIGHT, chunk.size[at]) - lo
+        texts = np.frombuffer(b"".join(chunk.texts), np.uint8)
+        piece, inside = ragged(size)
+        pieces = texts[(chunk.begin[at] + lo)[piece] + inside]
+        passed = {c: right[c].combine_chunks() for c in ("shard", "part", "chunk", "docs", "tags")}
+        out = passed | {
+            "begin": plane_rows(lo, "<u4", cuts),
+            "sizes": binary_rows(size.astype(np.uint8), count),
+            "text": binary_rows(pieces, np.add.reduceat(size, cuts)),
+        }
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays([out[f.name] for f in arrow], schema=arrow)], arrow)
 
     edges = answers.filter("kind = 1")
     return docs.groupBy("_chunk").cogroup(edges.groupBy("chunk")).applyInArrow(run, SURROUNDINGS)
@@ -458,26 +526,19 @@ class Shard:
     """Surroundings of one shard, their suffix array and their groups of equal windows."""
 
     def __init__(self, group: pa.Table):
-        rows = group.to_pylist()
-        counts = []
-        strings: list[bytes] = []
-        for r in rows:
-            size = np.frombuffer(r["sizes"], np.uint8)
-            stop = np.cumsum(size.astype(np.int64)).tolist()
-            strings += [r["text"][a:b] for a, b in zip([0, *stop], stop, strict=False)]
-            counts.append(len(size))
-        self.doc = np.concatenate([unplanes(r["docs"], "<i8") for r in rows])
-        self.tag = np.concatenate([unplanes(r["tags"], "<i4") for r in rows])
-        self.begin = np.concatenate([unplanes(r["begin"], "<u4") for r in rows]).astype(np.int64)
-        self.chunk = np.repeat([r["chunk"] for r in rows], counts)
-        self.symbols, self.owner, end = laid_out(strings)
+        sizes, counts = joined_rows(group["sizes"])
+        sizes = sizes.astype(np.int64)
+        self.doc, self.tag, begin = (row_values(group[c], k)[0] for c, k in (("docs", "<i8"), ("tags", "<i4"), ("begin", "<u4")))
+        self.begin = begin.astype(np.int64)
+        self.chunk = np.repeat(group["chunk"].to_numpy(), counts)
+        self.symbols, self.owner, end = laid_out_bytes(joined_rows(group["text"])[0], sizes)
         order = suffix_array(self.symbols, self.owner, end)
         shared = common_prefixes(self.symbols, end, order)
         long = end[order] - order >= LENGTH
         self.order = order[long]
         # a shorter suffix in between ends earlier, so it parts no two equal windows
         new = shared[long] < LENGTH
-        self.first_of_string = np.concatenate([[0], np.cumsum([len(s) + 1 for s in strings])])
+        self.first_of_string = np.concatenate([[0], np.cumsum(sizes + 1)])
         self.head = np.flatnonzero(new)
         docs = self.doc[self.owner[self.order]]
         least = np.minimum.reduceat(docs, self.head) if len(docs) else docs
@@ -508,30 +569,36 @@ def shard_repeats(texts: DataFrame) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         shard = Shard(group)
-        answers, runs = [], []
+        out = []
+
+        def put(name: str, rows: dict) -> None:
+            kind = arrow.field(name).type
+            held = pa.StructArray.from_arrays([pa.array(rows[f.name], f.type) for f in kind], fields=list(kind))
+            both = [held if f.name == name else pa.nulls(len(held), f.type) for f in arrow]
+            out.append(pa.RecordBatch.from_arrays(both, schema=arrow))
+
         beaten = np.flatnonzero(shard.docs > shard.least)
         if len(beaten):
             owner, place = shard.places(beaten)
-            found = _ranges(shard.chunk[owner], shard.doc[owner], shard.tag[owner], place)
-            answers = as_batch(found, to_arrow_schema(ANSWER)).to_pylist()
+            put("answer", _ranges(shard.chunk[owner], shard.doc[owner], shard.tag[owner], place))
         part = group["part"][0].as_py()
-        if part:
-            rest = np.flatnonzero(shard.docs == shard.least)
+        rest = np.flatnonzero(shard.docs == shard.least) if part else beaten[:0]
+        if len(rest):
             at = shard.order[rest]
             windows = (shard.symbols[at[:, None] + np.arange(LENGTH)] - 1).astype(np.uint8)
             owner, place = shard.places(rest)
             # cut by the windows' own hash, so that equal windows of all parts meet
             cut = _window_cut(windows, 1 << (part >> PART_BITS))
-            for c in np.unique(cut):
-                own = cut == c
-                o = owner[own]
-                values = (
-                    group["shard"][0].as_py(), part, int(c), windows[own].tobytes(), planes(shard.doc[o], "<i8"),
-                    planes(shard.tag[o], "<i4"), planes(shard.chunk[o], "<i4"), planes(place[own], "<u4"),
-                )
-                runs.append(dict(zip(RUN.names, values, strict=True)))
-        rows = [{"answer": a, "run": None} for a in answers] + [{"answer": None, "run": r} for r in runs]
-        return pa.Table.from_pylist(rows, arrow)
+            order = np.argsort(cut, kind="stable")
+            lo = np.flatnonzero(np.diff(cut[order], prepend=-1))
+            o = owner[order]
+            put("run", {
+                "shard": np.full(len(lo), group["shard"][0].as_py()), "part": np.full(len(lo), part), "cut": cut[order][lo],
+                "windows": binary_rows(windows[order].ravel(), np.diff([*lo, len(order)]) * LENGTH),
+                "docs": plane_rows(shard.doc[o], "<i8", lo), "tags": plane_rows(shard.tag[o], "<i4", lo),
+                "chunks": plane_rows(shard.chunk[o], "<i4", lo), "begin": plane_rows(place[order], "<u4", lo),
+            })
+        return pa.Table.from_batches(out, arrow)
 
     return texts.groupBy("shard", "part").applyInArrow(run, schema)
 
@@ -582,8 +649,8 @@ def removed(left: pa.Table, right: pa.Table) -> tuple[Chunk, np.ndarray]:
     chunk = Chunk(left)
     total = int(chunk.size.sum())
     change = np.zeros(total + 1, np.int32)
-    for row in right.to_pylist():
-        doc, tag, begin, end = _unpacked(row)
+    if right.num_rows:
+        doc, tag, begin, end = _unpacked(right)
         at = chunk.rows(doc, tag)
         anchor = begin == end
         lo = np.where(anchor, np.maximum(begin - LEFT, 0), begin)
@@ -593,6 +660,13 @@ def removed(left: pa.Table, right: pa.Table) -> tuple[Chunk, np.ndarray]:
     return chunk, np.cumsum(change[:-1], out=change[:-1]) > 0
 
 
+def _sums(marks: np.ndarray, chunk: Chunk) -> np.ndarray:
+    """How many bytes of each text are marked."""
+    total = np.zeros(len(marks) + 1, np.int64)
+    np.cumsum(marks, out=total[1:])
+    return total[chunk.begin + chunk.size] - total[chunk.begin]
+
+
 def _keyed(docs: DataFrame, chunks: int) -> DataFrame:
     """Rows with their chunk and a tag that tells rows of one doc_id and unlike texts apart."""
     key = F.xxhash64(docs["doc_id"], docs["text"])
@@ -642,17 +716,18 @@ def repeated_bytes(docs: DataFrame, shard_anchors: int = SHARD_ANCHORS) -> DataF
             return arrow.empty_table()
         chunk, gone = removed(left, right)
         same = chunk.same_as()
-        n_removed, n_spans, digest = [], [], []
+        start = np.zeros(len(gone), bool)
+        start[1:] = gone[1:] & ~gone[:-1]
+        start[chunk.begin[chunk.size > 0]] = gone[chunk.begin[chunk.size > 0]]
+        taken, spans = (_sums(x, chunk) for x in (gone, start))
+        digest = []
         for i in same.tolist():
-            lo = chunk.begin[i]
-            own = gone[lo : lo + chunk.size[i]]
-            n_removed.append(int(own.sum()))
-            n_spans.append(int(own[:1].sum() + (own[1:] & ~own[:-1]).sum()))
             text = chunk.texts[i]
-            kept = np.frombuffer(text, np.uint8)[~own].tobytes() if n_removed[-1] else text
-            digest.append(hashlib.sha256(kept).hexdigest())
-        ids = pa.array([r["doc_id"] for r in left["_row"].to_pylist()], arrow.field("doc_id").type)
-        out = {"doc_id": ids, "n_bytes": chunk.size, "n_removed": n_removed, "n_spans": n_spans, "kept_sha256": digest}
+            if taken[i]:
+                text = np.frombuffer(text, np.uint8)[~gone[chunk.begin[i] : chunk.begin[i] + len(text)]]
+            digest.append(hashlib.sha256(text).hexdigest())
+        ids = left["_row"].combine_chunks().field("doc_id")
+        out = {"doc_id": ids, "n_bytes": chunk.size, "n_removed": taken[same], "n_spans": spans[same], "kept_sha256": digest}
         return pa.Table.from_batches([as_batch(out, arrow)], arrow)
 
     return keyed.groupBy("_chunk").cogroup(ranges.groupBy("chunk")).applyInArrow(run, schema)

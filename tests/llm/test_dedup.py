@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -6,7 +7,7 @@ from hypothesis import strategies as st
 from sheaf.llm import near_dedup as N
 from sheaf.llm import suffix_dedup as S
 from sheaf.llm.components import components
-from sheaf.llm.suffix_array import common_prefixes, laid_out, suffix_array
+from sheaf.llm.suffix_array import _ordered, common_prefixes, laid_out, suffix_array
 from tests.llm import cases
 
 
@@ -113,6 +114,39 @@ def test_suffix_array_and_prefixes(strings):
         assert shared[slot] == n
 
 
+@pytest.mark.parametrize("bits", [9, 40, 62])
+def test_keys_are_ordered_with_their_places_in_a_word_or_beside(bits):
+    key = np.random.default_rng(0).integers(0, 1 << bits, 3000)
+    order = _ordered(key, bits)
+    assert sorted(order.tolist()) == list(range(3000)) and (np.diff(key[order]) >= 0).all()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2**31 - 1), max_size=5), min_size=1, max_size=8), st.sampled_from(["<i8", "<u4"]))
+def test_rows_of_planes_are_those_of_each_row(rows, kind):
+    sizes = [len(r) for r in rows]
+    values = np.array([x for r in rows for x in r], np.int64)
+    column = S.plane_rows(values, kind, np.cumsum(sizes) - sizes)
+    assert column.to_pylist() == [S.planes(np.array(r, np.int64), kind) for r in rows]
+    parts = pa.chunked_array([column[:2], column[2:]])
+    got, count = S.row_values(parts, kind)
+    assert got.tolist() == values.tolist() and count.tolist() == sizes
+
+
+def test_answers_of_a_chunk_are_taken_in_at_once(monkeypatch):
+    """Very many rows of one anchor each, as buckets and shards of a large input give a chunk: one look-up for all."""
+    n = 2000
+    left = pa.table({"_doc": pa.array(range(n)), "_text": ["x" * 100] * n, "_tag": pa.array([5] * n, pa.int32())})
+    rows = S._answers(0, *(np.full(n, 7, np.int32), np.arange(n), np.full(n, 5, np.int32), np.zeros(n, np.int64), np.full(n, 50)), np.arange(n))
+    right = pa.table({k: pa.array(v) for k, v in rows.items()})
+    assert right.num_rows == n
+    calls, look_up = [], S.Chunk.rows
+    monkeypatch.setattr(S.Chunk, "rows", lambda self, doc, tag: calls.append(len(doc)) or look_up(self, doc, tag))
+    _, gone = S.removed(left, right)
+    assert calls == [n]
+    assert (gone.reshape(n, 100) == (np.arange(100) < 50)).all()
+
+
 def near_rows(docs):
     return N.near_duplicates(docs).collect()
 
