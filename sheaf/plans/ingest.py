@@ -21,7 +21,7 @@ from sheaf.operators.embedding import EmbedFn, embed, texts_to_embed
 from sheaf.operators.filters import split_valid, violation
 from sheaf.operators.merge import fill_missing, first_per_key
 from sheaf.operators.stored_table import merge_table
-from sheaf.session import path_exists, prepare, staged, union_all
+from sheaf.session import path_exists, prepare, shuffles_removed, staged, union_all
 from sheaf.sources.files import BATCH, CORRUPT, ORIGIN, good_and_corrupt, load_records
 
 # Fields that become table columns; all others go into metadata.
@@ -223,17 +223,23 @@ def load_into(
     number = [] if batches is None else [BATCH]
     rows = normalize(good, as_of).observe(seen, every)
     rows = first_per_key(rows.withColumns({c: F.col(f"{ORIGIN}.batch") for c in number}), within=number).drop(ORIGIN)
-    with staged(spark, rows.observe(kept, every, valid), "records") as unique, ExitStack() as stack:
+    with ExitStack() as stack:
+        stack.enter_context(shuffles_removed(spark))
+        unique = stack.enter_context(staged(spark, rows.observe(kept, every, valid), "records"))
         metrics.records = seen.get.get("n", 0)
         metrics.deduplicated, metrics.upserted = kept.get.get("n", 0), kept.get.get("valid", 0)
         records, refused = split_valid(unique, networks)
         metrics.refused = metrics.deduplicated - metrics.upserted
         if corrupt is not None:
-            corrupt = stack.enter_context(staged(spark, corrupt.select(ORIGIN, CORRUPT).observe(read, every), "unreadable"))
-            metrics.unreadable = read.get.get("n", 0)
+            # their text goes from the files to the rejects, without a copy in between
+            corrupt = corrupt.select(ORIGIN, CORRUPT).observe(read, every)
+            corrupt = corrupt.withColumns({c: F.col(f"{ORIGIN}.batch") for c in number})
         if rejects_path is not None:
-            unread = corrupt if corrupt is None else corrupt.withColumns({c: F.col(f"{ORIGIN}.batch") for c in number})
-            _write_rejects(_rejects(refused, unread), rejects_path, load_id, batches or ())
+            _write_rejects(_rejects(refused, corrupt), rejects_path, load_id, batches or ())
+        elif corrupt is not None:
+            corrupt.write.format("noop").mode("overwrite").save()
+        if corrupt is not None:
+            metrics.unreadable = read.get.get("n", 0)
         _merge_rows(spark, records_path, records, "id", ("created_at",), buckets)
         if embeddings_path is not None:
             fresh = embed(texts_to_embed(records, carry=number), "text", embed_fn, dim)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from gzip import compress
 
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheaf.session import holds_files, task_storage, union_all
+from sheaf.session import holds_files, shuffles_removed, task_storage, union_all
 
 CORRUPT = "_corrupt_record"
 ORIGIN = "_origin"
@@ -42,7 +43,7 @@ def load_json(spark: SparkSession, paths: Sequence[str], schema: T.StructType |
     from the item alone; an envelope's own fields are not copied into it.
     """
     reader = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-    reader = reader.option("ignoreMissingFiles", True).option("pathGlobFilter", "*.{json,JSON}")
+    reader = reader.option("ignoreMissingFiles", True).option("pathGlobFilter", "*.{json,JSON,json.gz,JSON.gz}")
     if schema is not None:
         if CORRUPT not in schema.names:
             schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
@@ -119,6 +120,7 @@ def load_records(
     parts = []
     for suffix, load in (("json", load_json), ("csv", load_csv)):
         endings = (f".{suffix}", f".{suffix.upper()}")
+        endings += tuple(f"{e}.gz" for e in endings) if suffix == "json" else ()
         chosen = [p for p in paths if suffix in suffixes and holds_files(spark, p, endings)]
         if chosen:
             parts.append(load(spark, chosen, schema))
@@ -200,21 +202,22 @@ def envelopes(items: DataFrame, unit: Sequence[str], position: str, as_of, chunk
     )
 
 
-def land(items: DataFrame, path: str, unit: Sequence[str], position: str, as_of, chunk: int = 1000) -> None:
+def land(items: DataFrame, path: str, unit: Sequence[str], position: str, as_of, chunk: int = 1000, gzip: bool = False) -> None:
     """Write items as JSON envelopes ``{network, timestamp, total_items, items}``, one folder
-    per unit below the first unit column's own value."""
+    per unit below the first unit column's own value. ``gzip`` packs the files, which :func:`load_json` reads alike."""
     packed = envelopes(items, unit, position, as_of, chunk)
     folders = [c for c in unit if c != unit[0]]
     # One envelope per file, as a reader of whole JSON files expects.
     writer = packed.write.mode("append").option("maxRecordsPerFile", 1)
-    (writer.partitionBy(*folders) if folders else writer).json(path)
+    with shuffles_removed(items.sparkSession):
+        (writer.partitionBy(*folders) if folders else writer).json(path, compression="gzip" if gzip else None)
 
 
-def land_texts(texts: DataFrame, path: str) -> None:
+def land_texts(texts: DataFrame, path: str, gzip: bool = False) -> None:
     """Write each text of the only column to a JSON file of its own, as it is, readable or not.
 
     Tasks write the files where they are to stay, so the driver handles none of them. A task that runs
-    again writes the same names.
+    again writes the same names. ``gzip`` packs each file.
     """
 
     def run(rows: Iterator[Row]) -> None:
@@ -222,7 +225,9 @@ def land_texts(texts: DataFrame, path: str) -> None:
         fs.create_dir(root)
         task = TaskContext.get().partitionId()
         for i, row in enumerate(rows):
-            with fs.open_output_stream(f"{root}/text-{task:05d}-{i:06d}.json") as file:
-                file.write(f"{'' if row[0] is None else row[0]}\n".encode())
+            text = f"{'' if row[0] is None else row[0]}\n".encode()
+            # packed here: by its own guess of the name the stream would pack what is packed
+            with fs.open_output_stream(f"{root}/text-{task:05d}-{i:06d}.json{'.gz' if gzip else ''}", compression=None) as file:
+                file.write(compress(text, 6) if gzip else text)
 
     texts.foreachPartition(run)

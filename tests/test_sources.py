@@ -272,3 +272,32 @@ def test_batches_of_a_run_are_merged_together_as_if_one_after_the_other(spark, t
     assert got == want and got["records"] == 9 and got["unreadable"] == 1
     assert run(model).records == 0 and len(merges) == 2
     assert not list(Path(f"{place}/checkpoint/pending").glob("*"))
+
+
+def test_packed_landings_load_alike(spark, tmp_path):
+    items = spark.createDataFrame([("polkadot", i, f"item {i}") for i in range(7)], "network string, position int, title string")
+    broken = spark.createDataFrame([('{"items": [{"id": "1"',), ("[",)], "value string")
+    for name, gzip in (("plain", False), ("packed", True)):
+        files.land(items, f"{tmp_path}/{name}/good", ["network"], "position", AS_OF, chunk=3, gzip=gzip)
+        files.land_texts(broken, f"{tmp_path}/{name}/broken", gzip=gzip)
+    found = {}
+    for name in ("plain", "packed"):
+        loaded = files.load_records(spark, [f"{tmp_path}/{name}/good", f"{tmp_path}/{name}/broken"], S.ENVELOPE_SCHEMA)
+        good, corrupt = files.good_and_corrupt(loaded)
+        found[name] = sorted(r.title for r in good.collect()), sorted(r[files.CORRUPT] for r in corrupt.select(files.CORRUPT, files.ORIGIN).collect())
+    assert len(found["plain"][0]) == 7 and len(found["plain"][1]) == 2
+    assert found["packed"] == found["plain"]
+    landed = [p.name for p in (tmp_path / "packed").rglob("*.json*") if not p.name.startswith(".")]
+    assert len(landed) == 5 and all(n.endswith(".json.gz") for n in landed)
+
+
+def test_unreadable_texts_are_not_copied_on_their_way_to_the_rejects(spark, tmp_path, monkeypatch):
+    names, staged = [], ingest.staged
+    monkeypatch.setattr(ingest, "staged", lambda spark, df, name: names.append(name) or staged(spark, df, name))
+    files.land_texts(spark.createDataFrame([('{"items": [',), ('{"id": "1", "network": "polkadot", "title": "a"}',)], "value string"), f"{tmp_path}/in")
+    for rejects in (f"{tmp_path}/rejects", None):
+        done = ingest.run_load(spark, [f"{tmp_path}/in"], f"{tmp_path}/{rejects is None}", None, AS_OF, rejects_path=rejects)
+        assert (done.unreadable, done.records) == (1, 1)
+    raw = [r.raw for r in spark.read.parquet(f"{tmp_path}/rejects").filter("reason = 'unreadable'").collect()]
+    assert raw == ['{"items": [\n'] and set(names) == {"records"}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"

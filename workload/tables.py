@@ -115,13 +115,13 @@ def corrupt_files(spark, sf_dir):
         F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("network"), F.col("source").alias("type"), F.col("text").alias("content"),
         F.substring_index("text", "\n", 1).alias("title"), F.col("doc_id").alias("position"),
     )
-    S.land(docs, f"{inbox}/good", ["network"], "position", B.AS_OF, chunk=200)
+    S.land(docs, f"{inbox}/good", ["network"], "position", B.AS_OF, chunk=200, gzip=True)
     chunk = F.floor(F.col("position") / 100).cast("string")
     item = F.struct("position", F.to_json(F.struct("id", F.md5("content").alias("sum"), "content")).alias("item"))
     chunks = docs.groupBy(F.concat("network", chunk).alias("name")).agg(F.sort_array(F.collect_list(item)).alias("items"))
     body = F.array_join(F.transform("items", lambda x: x["item"]), ",")
     broken = chunks.select(F.concat(F.lit('{"name": "'), "name", F.lit('", "items": ['), body).alias("value"))
-    S.land_texts(broken, f"{inbox}/broken")
+    S.land_texts(broken, f"{inbox}/broken", gzip=True)
     langs = ["en", "fr", "de", "es"]
     run_load(spark, [f"{inbox}/good", f"{inbox}/broken"], records, None, B.AS_OF, rejects_path=rejects, networks=langs, load_id="one")
     good = read_table(spark, records).select(F.lit("record").alias("kind"), "id", F.md5("description").alias("content"))
