@@ -125,6 +125,40 @@ def test_fuzzy_agrees_with_brute_force(spark):
         assert ordered(T.fuzzy_search_one(text, docs, limit=7).collect(), "similarity") == expected, text
 
 
+def test_equal_queries_are_compared_once(spark, monkeypatch):
+    """A table of 300 queries of three texts asks with three texts, and every query gets its rows."""
+    asked_of, column = [], T._fuzzy_column
+    monkeypatch.setattr(T, "_fuzzy_column", lambda texts, *a: asked_of.append(texts.count()) or column(texts, *a))
+    docs = spark.createDataFrame([(i, f"title {i}", None) for i in range(20)], "id int, title string, proposer string")
+    asked = spark.createDataFrame([(i, f"title {i % 3}") for i in range(300)], "query_id int, query string")
+    found = T.fuzzy_search(asked, docs, limit=4).collect()
+    assert asked_of == [3, 3] and len(found) == 1200
+    rows = {q: sorted((r.position, r.id, r.similarity) for r in found if r.query_id == q) for q in range(300)}
+    assert all(rows[q] == rows[q % 3] and rows[q][0][1] == q % 3 for q in range(300))
+
+
+def test_sets_of_trigrams_are_found_by_few(spark):
+    """Of sets of 16 that must share 8, each is listed under no more than 9, fewer where one side alone has some."""
+    own = F.array(*[F.struct(F.lit(i).alias("df"), F.lit(f"g{i:02d}").alias("gram"), F.lit(1).alias("times")) for i in range(16)])
+    for held, listed in ((16, 9), (9, 2), (8, 1), (7, 0)):
+        rows = spark.range(1).select(F.lit(16).alias("_n"), F.slice(own, 1, held).alias("_own"))
+        assert T._indexed(rows, "_n", [16], 0.3, F.lit(0)).count() == listed
+
+
+@pytest.mark.parametrize("salted", [1, 4096])
+def test_fuzzy_finds_all_sizes(spark, monkeypatch, salted):
+    """Texts from one to many words, also with every trigram dealt out to parts."""
+    monkeypatch.setattr(T, "SALTED_ROWS", salted)
+    rng = random.Random(8)
+    text = lambda: " ".join("".join(rng.choices("abcd1é", k=rng.randint(1, 5))) for _ in range(rng.choice([1, 1, 2, 3, 8])))
+    rows = [(i, text()) for i in range(120)]
+    asked = [text() for _ in range(40)]
+    docs = spark.createDataFrame(rows, "id int, title string")
+    found = T.fuzzy_search(spark.createDataFrame(list(enumerate(asked)), "query_id int, query string"), docs, columns=("title",), limit=200).collect()
+    want = {(q, i, round(x, 9)) for q, a in enumerate(asked) for i, t in rows if (x := similarity(t, a)) >= 0.3}
+    assert {(r.query_id, r.id, round(r.similarity, 9)) for r in found} == want and len(found) == len(want)
+
+
 @pytest.fixture(scope="module")
 def vectors():
     rng = np.random.default_rng(2)
