@@ -237,7 +237,7 @@ def load_into(
         if rejects_path is not None:
             _write_rejects(_rejects(refused, corrupt), rejects_path, load_id, batches or ())
         elif corrupt is not None:
-            corrupt.write.format("noop").mode("overwrite").save()
+            stack.enter_context(staged(spark, corrupt, "unreadable"))
         if corrupt is not None:
             metrics.unreadable = read.get.get("n", 0)
         _merge_rows(spark, records_path, records, "id", ("created_at",), buckets)
